@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path for a written table in the shared folder."""
+    cut(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
