@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from .line_dedup import op6_line_dedup
+from .mixing import OP2_SQL, op2_mixing
+from .near_dedup import op5_near_dedup
+from .packing import op7_packing
 from .quality_rules import op8_quality_rules
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
+}
+ORACLES = {"op2_mixing": OP2_SQL}
