@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_extraction import op1_html_extraction
 from .line_dedup import op6_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op5_near_dedup
@@ -9,6 +10,7 @@ from .packing import op7_packing
 from .quality_rules import op8_quality_rules
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op6_line_dedup": op6_line_dedup,
