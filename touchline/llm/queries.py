@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op10_embedding_dedup
 from .html_extraction import op1_html_extraction
 from .line_dedup import op6_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op5_near_dedup
 from .packing import op7_packing
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 
 QUERIES = {
@@ -16,5 +18,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES = {"op2_mixing": OP2_SQL}
