@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from .embedding_dedup import op10_embedding_dedup
 from .html_extraction import op1_html_extraction
+from .license_scan import op4_license_scan
 from .line_dedup import op6_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op5_near_dedup
 from .packing import op7_packing
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op8_quality_rules
+from .secret_scan import op3_secret_scan
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_license_scan": op4_license_scan,
     "op5_near_dedup": op5_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
