@@ -84,7 +84,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     The counts are summed on the cluster; what the driver reads has ``buckets`` rows at most. Without a trusted
     document all ratios are 0.
     """
-    good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1))
+    # Merged, not broadcast: the labels grow with the corpus, and so the plan is the same at every size.
+    good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1)).hint("merge")
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("good", word_hashes(F.col("text")).alias("h"))
     grams = marked.select("good", F.explode(gram_buckets(F.col("h"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
