@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BUCKETS = 1 << 15
-SMOOTHING = 1.0
+SMOOTHING = 8.0
 THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -81,6 +81,8 @@ def base_columns(text: Column, w: Column, h: Column) -> dict[str, Column]:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """Log ratio of the trusted over the raw multinomial, by bucket.
 
+    The trusted one is smoothed by ``smoothing`` * ``buckets`` further counts spread as in the raw one, so that a
+    target like the corpus has ratios of 0 at every size.
     The counts are summed on the cluster; what the driver reads has ``buckets`` rows at most. Without a trusted
     document all ratios are 0.
     """
@@ -94,8 +96,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
     if not sum(target):
         return [0.0] * buckets
-    wide, narrow = sum(raw) + smoothing * buckets, sum(target) + smoothing * buckets
-    return [math.log((t + smoothing) / narrow) - math.log((r + smoothing) / wide) for t, r in zip(target, raw, strict=True)]
+    wide, narrow, prior = sum(raw), sum(target), smoothing * buckets
+    return [math.log((t * wide / r + prior) / (narrow + prior)) if r else 0.0 for t, r in zip(target, raw, strict=True)]
 
 
 def score_documents(
