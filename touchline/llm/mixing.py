@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 SEED = 20
+#: Most sources whose rates are broadcast (a few MB); beyond it both sides of the join are salted and shuffled.
+BROADCAST_SOURCES = 50_000
+SALTS = 64
 TEMPERATURE = 0.5
 
 
@@ -40,18 +43,27 @@ def poisson_quantile(mean: Column, u: Column) -> Column:
     return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), most), zero, step, lambda s: s["k"])).otherwise(0)
 
 
-def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, size: int | None, temperature: float) -> DataFrame:
-    """(source, rate) for every source of docs; one row a source."""
+def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, size: int | None, temperature: float) -> tuple[DataFrame, int]:
+    """(source, rate) for every source of docs, one row a source; and how many sources there are."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weighted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__s string, w double")
         weighted = counts.join(given, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    total = weighted.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    total = weighted.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     goal = float((total["n"] or 0) if size is None else size)
     rate = F.coalesce(F.try_divide(F.lit(goal) * F.col("w"), F.lit(float(total["w"] or 0)) * F.col("n")), F.lit(0.0))
-    return weighted.select(F.col("source").alias("__source"), rate.alias("rate"))
+    return weighted.select(F.col("source").alias("__source"), rate.alias("rate")), total["sources"]
+
+
+def with_rates(docs: DataFrame, rates: DataFrame, sources: int, most: int = BROADCAST_SOURCES) -> DataFrame:
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if sources <= most:
+        return docs.join(F.broadcast(rates), same).drop("__source")
+    salted = rates.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+    return docs.join(salted, same & (F.col("__salt") == F.col("__salt2"))).drop("__source", "__salt", "__salt2")
 
 
 def mix_sources(
@@ -65,10 +77,10 @@ def mix_sources(
     has. A null source is a source of its own; null ids and texts hash as empty, so they are mixed like others.
     Rows that repeat an id get the same count, each. An empty docs gives no rows.
     """
-    rates = repetition_rates(docs, weights, size, temperature)
+    rates, sources = repetition_rates(docs, weights, size, temperature)
     docs = docs.drop("n_copies", "copy", "shuffle_key")
     own = [F.col("doc_id"), F.xxhash64("text").cast("string")]
-    row = docs.join(rates, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    row = with_rates(docs, rates, sources)
     row = row.withColumn("n_copies", poisson_quantile(F.col("rate"), uniform(seed, F.col("doc_id"))).cast("long")).drop("rate")
     row = row.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     row = row.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *own, F.col("copy")))
