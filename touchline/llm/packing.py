@@ -11,6 +11,9 @@ pieces of a common length.
 from __future__ import annotations
 
 import heapq
+import os
+import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,9 +28,11 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; further words are encoded each time.
-CACHED_WORDS = 500_000
-#: Ids in a piece of a bin are counted in sub-bins of about so many pieces.
-RANK_ROWS = 20_000
+CACHED_WORDS = 800_000
+#: Pieces of a length are ranked in sub-bins of about so many.
+RANK_ROWS = 500
+#: A letter before punctuation other than an apostrophe: the tokenizer always splits there.
+_EDGE = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 _cache: dict[bytes, bytes] = {}
 _loaded: dict[str, object] = {}
 
@@ -38,14 +43,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_words(path: str, texts: list[list[bytes]]) -> list[bytes]:
-    """Ids of texts given as words, as little-endian unsigned 32-bit numbers.
+def split_text(text: str | None) -> list[bytes]:
+    """Parts of a text whose ids, in turn, are the text's ids, cut so that few parts are new to a worker.
 
-    The tokenizer drops white space and splits at it before anything else looks across, so a text's ids are
-    those of its words in turn.
+    The tokenizer lowers letters, drops white space and splits between letters and punctuation; a text that may
+    hold one of its special tokens, which are case-sensitive, is only split at white space.
     """
-    import os
+    data = (text or "").encode()
+    return data.split() if b"<|" in data else _EDGE.sub(rb"\1 \2", data.lower()).split()
+
 
+def encode_words(path: str, texts: list[list[bytes]]) -> list[bytes]:
+    """Ids of texts given as parts (see ``split_text``), as little-endian unsigned 32-bit numbers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -58,7 +67,7 @@ def encode_words(path: str, texts: list[list[bytes]]) -> list[bytes]:
     if new:
         order = list(new)
         coded = _loaded[path].encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
-        fresh = {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(order, coded, strict=True)}
+        fresh = {w: struct.pack(f"<{len(x.ids)}I", *x.ids) for w, x in zip(order, coded, strict=True)}
         for words, ids in zip(texts, found, strict=True):
             if None in ids:
                 ids[:] = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
@@ -77,7 +86,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             for at in range(0, len(part), 256):
                 few = part.iloc[at : at + 256]
                 out = []
-                texts = [[] if t is None else t.encode().split() for t in few["text"]]
+                texts = [split_text(t) for t in few["text"]]
                 for doc_id, ids in zip(few["doc_id"], encode_words(path, texts), strict=True):
                     ids += end
                     total = len(ids) // 4
@@ -148,8 +157,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
         slots(pack_histogram(histogram, capacity)), "__length long, first_rank long, last_rank long, first_sequence long, offset long"
     )
     # Rank in two steps: the sub-bin's first rank, from counts, and the row's number within the sub-bin.
-    parts = max(1, -(-max(histogram.values(), default=0) // rank_rows))
-    binned = pieces.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
+    parts = spark.createDataFrame([(k, -(-n // rank_rows)) for k, n in histogram.items()], "length long, __parts long")
+    binned = pieces.join(F.broadcast(parts), "length")  # a row a length, ``capacity`` at most
+    binned = binned.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "start"), F.col("__parts"))).drop("__parts")
     counts = binned.groupBy("length", "__bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "__bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
