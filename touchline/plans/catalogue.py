@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 from touchline.functions import colour, text
 from touchline.functions import geometry as geo
+from touchline.operators import calibrate
 from touchline.operators import events as ev
 from touchline.operators import identity as idn
 from touchline.operators import possession as pos
 from touchline.operators import store
 from touchline.operators import tracking as tr
-from touchline.sources.tables import adapt, read
+from touchline.sources.tables import adapt, read, shared_folder
+from touchline.streaming import stateful as st
 
 KITS = {1: (70.0, 70.0, 180.0), 2: (180.0, 70.0, 70.0)}
 FRAME = (1920, 1080)
@@ -432,3 +435,65 @@ def match_config_check(t):
 def identity_snapshot(t):
     sure = t.ocr_candidates.where("confidence >= 0.5")
     return idn.snapshot(sure, tr.top_crops(tr.scored_crops(t.crops)))
+
+
+@query
+def team_calibration(t):
+    samples = t.player_colors.select("b", "g", "r", (F.col("frame_num") % 50 + 40).alias("area"), F.col("frame_num").alias("sample_id"))
+    return calibrate.calibrate_teams(samples)
+
+
+@query
+def kit_color_udf(t):
+    """Crops painted from a shirt colour on a green background, and the colour found again."""
+    c = t.player_colors
+    pixel = lambda *v: F.concat(*[F.lpad(F.hex(x.cast("int")), 2, "0") for x in v])
+    channel = lambda k: F.least(F.greatest(F.col(k), F.lit(0)), F.lit(255))
+    shirt, ground = pixel(channel("b"), channel("g"), channel("r")), F.lit("1EC81E")
+    line = F.concat(F.repeat(ground, 2), F.repeat(shirt, 6), F.repeat(ground, 2))
+    image = F.unhex(F.concat(F.repeat(ground, 10), F.repeat(line, 6)))
+    rows = c.select("frame_num", "track_id", calibrate.kit_colour(image, F.lit(7), F.lit(10)).alias("k"))
+    return rows.select("frame_num", "track_id", *[F.round(f"k.{x}", 4).alias(x) for x in "bgr"])
+
+
+@query
+def lstm_event_udf(t):
+    windows = tr.feature_windows(t.features)
+    scored = windows.select("match_id", "frame_num", calibrate.event_scores(F.col("sequence"), calibrate.random_weights(64)).alias("p"))
+    names = F.array(F.lit("goal"), F.lit("foul"), F.lit("none"))
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    return scored.select("match_id", "frame_num", F.element_at(names, best).alias("event"), F.round(F.array_max("p"), 6).alias("confidence"))
+
+
+def streamed(t: Tables, batch: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a streaming operator over rows written as files, to the end of the input, and read what it appended.
+
+    Two later rows move the watermark past the last frame. Files, checkpoint and result are in the shared folder.
+    """
+    base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    st.with_time(batch).write.parquet(f"{base}/in/a")
+    for k, days in enumerate((4000, 4001)):  # files are taken in the order of their times
+        late = st.with_time(batch.limit(1)).withColumns({"match_id": F.lit(-1 - k).cast("long"), "ts": F.expr(f"ts + interval {days} days")})
+        late.write.parquet(f"{base}/in/b{k}")
+    schema = t.spark.read.parquet(f"{base}/in/a").schema
+    source = t.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 16).parquet(f"{base}/in")
+    run = operator(source).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    run.awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").where("match_id >= 0")
+
+
+@query
+def stream_cooldown(t):
+    return streamed(t, ev.eligible(t.detected_events, ev.presence(t.tracks, t.ball)), st.stream_cooldown)
+
+
+@query
+def stream_last_touch(t):
+    touches = t.touches().select("match_id", "frame_num", "track_id")
+    goals = t.goals().select("match_id", F.col("goal_frame").alias("frame_num"), F.lit(None).cast("long").alias("track_id"))
+    return streamed(t, touches.unionByName(goals), st.stream_last_touch)
+
+
+@query
+def stream_sticky_team(t):
+    return streamed(t, t.kits().select("match_id", "frame_num", "track_id", "team_id"), st.sticky_teams)

@@ -234,6 +234,9 @@ SELECTS = {
     "identity_snapshot": """SELECT match_id, track_id, coalesce(crop_count, 0) AS crop_count, best_quality, CAST(coalesce(candidate_count, 0) AS INT) AS candidate_count, texts FROM
  (SELECT match_id, track_id, count(*) AS crop_count, max(quality) AS best_quality FROM top_crops GROUP BY ALL)
  FULL JOIN (SELECT match_id, track_id, count(*) AS candidate_count, string_agg(text, '|' ORDER BY frame_num, text) AS texts FROM ocr_candidates WHERE confidence >= 0.5 GROUP BY ALL) USING (match_id, track_id)""",
+    "stream_cooldown": "SELECT * FROM confirmed",
+    "stream_last_touch": "SELECT * FROM scorers",
+    "stream_sticky_team": "SELECT match_id, track_id, team_id, frame_num AS since FROM (SELECT *, row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame_num) AS k FROM kits WHERE team_id <> 0) WHERE k = 1",
 }
 
 

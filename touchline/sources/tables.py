@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,13 @@ def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return read(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("match_id"), F.col("vec_id").alias("frame_num"), "embedding")
     sources = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
     return spark.sql(ADAPTERS[name].format(**sources, tracks=ADAPTERS["tracks"].format(**sources)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; where it is unset, a temporary one in local mode, else one beside the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix="tables-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tables"
