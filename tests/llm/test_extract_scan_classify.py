@@ -1,0 +1,119 @@
+import html
+import re
+from collections import Counter
+
+import numpy as np
+
+from touchline.llm.html_extraction import extract_text, op1_html_extraction, page_blocks
+from touchline.llm.license_scan import TEMPLATES, document_files, op4_license_scan, scan_licenses
+from touchline.llm.quality_classifier import classify, held_out, op9_quality_classifier, train
+from touchline.llm.secret_scan import candidates, labelled_findings, op3_secret_scan, scan_secrets
+
+from .helpers import SF, documents
+
+PROSE = "The committee said that it would not be able to meet before the end of the year, and that the plan had to wait for more of the data."
+
+
+def test_op1_gives_the_article_of_every_page(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = op1_html_extraction(spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        inner = re.split("</article>|<footer>", pages[r.page_id].split("<article>")[1])[0]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>?", " ", re.sub(r"</?b>", "", inner))).split())
+        assert (r.text, r.n_chars) == (want, len(want))
+
+
+def test_op1_page_parts(spark):
+    page = f"""<!doctype html><html><head><title>Not this</title><script>if (a < b) {{ document.write("<p>no</p>") }}</script></head>
+    <body class="has-sidebar"><a href="#x">Skip to content</a><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
+    <div class="cookie-notice"><p>We use cookies. {PROSE}</p></div><main><h2>A headline &amp; more</h2><p class=x>{PROSE}<p>Short.
+    <p>Caf&eacute;&nbsp;&#8212; <em>an</em><b>other</b><br>line &lt;tag&gt;</p><div class="ad">Buy now! {PROSE}</div><!-- <p>hidden</p> -->
+    <ul class="share"><li><a href=y>Tweet</a></ul><form><p>{PROSE}</p></form><aside>{PROSE}</aside>
+    <section id="comments"><article><p>{PROSE} I agree.</p></article></section></main><footer>(c) {PROSE}</footer></body></html>"""
+    plain = f"<body><div><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three of the menu</a></div><h1>Title</h1><p>{PROSE}</p><div>Ok.</div><p>{PROSE}</p><div>{'zx qv ' * 40}</div></body>"
+    odd = [(1, page), (2, plain), (3, None), (4, ""), (5, "<p"), (6, "<<>> & &am <p>" + PROSE + "</p><di"), (7, "<article>" * 3000 + PROSE), (8, f'<a href="x>y">{PROSE}</a>'), (8, "<script>x"), (9, f"<p title='a\">{PROSE}</p>")]
+    df = spark.createDataFrame([(i, "u", h, "mine") for i, h in odd], "page_id long, url string, html string, text string")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in extract_text(df).collect())
+    texts = {i: t for i, t, _ in got}
+    assert texts[1] == f"A headline & more {PROSE} Short. Café — another line <tag>"
+    assert texts[2] == f"Title {PROSE} Ok. {PROSE}"
+    assert texts[3] == texts[4] == texts[5] == "" and texts[7] == PROSE and PROSE in texts[6] and PROSE in texts[9]
+    assert all(n == len(t) for _, t, n in got) and len(got) == len(odd)
+    assert extract_text(df.limit(0)).count() == 0
+    assert page_blocks("<td>a<td>b")[1][0] == "b"
+
+
+def test_op3_finds_the_planted_tokens(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op3_secret_scan(spark, sf).collect()
+    assert all(texts[r.doc_id][r.start : r.start + r.length] == r.value for r in got)
+    want = {(d, m.start(1)) for d, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert {(r.doc_id, r.start) for r in got if r.is_secret} == want and len(want) > 10
+
+
+def test_op3_held_out_accuracy_and_edges(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.llm.secret_scan import train_forest, with_features
+
+    rows = labelled_findings(spark, 3000)
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("value", "before"), F.lit(3)) == 0)
+    scored = train_forest(rows.where("not h")).transform(with_features(rows.where("h")))
+    assert scored.where("label = __y").count() / scored.count() > 0.97
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [(1, None), (2, ""), (3, f'é𝒳 token = "{key}" and token = "{key}"'), (3, f'é𝒳 token = "{key}" and token = "{key}"'), (4, "x " * 50_000 + f"password: '{key}'"), (None, "nothing here"), (5, "a" * 100_000)]
+    files = documents(spark, texts, extra=["length", "value"]).withColumnRenamed("source", "path")
+    got = Counter((r.doc_id, r.start, r.length, r.is_secret) for r in scan_secrets(files, labelled_findings(spark)).collect())
+    first = texts[2][1].index(key)
+    second = texts[2][1].index(key, first + 1)
+    assert got == Counter({(3, first, 40, True): 2, (3, second, 40, True): 2, (4, 100_000 + len("password: '"), 40, True): 1})
+    assert candidates(files.limit(0)).count() == 0
+
+
+def test_op4_licences_and_inheritance(spark):
+    rows = [
+        ("LICENSE", 1, TEMPLATES[0][1]), ("a/COPYING.txt", 2, "Preamble of this project\n" + TEMPLATES[4][1]), ("a/b/c/x.py", 3, "code"), ("a/b/c/y.py", 4, "# Licensed under CC BY-NC 4.0.\n" + "more code " * 20),
+        ("z/q.py", 5, None), (None, 6, "x"), ("a/b/c/x.py", 3, "code"), ("ab/x.py", 7, ""), ("a/notes.txt", 8, "we spoke of a license to fish in the river of the town"),
+    ]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "path string, doc_id long, text string, license string")
+    got = Counter((r.path, r.license, r.is_license_file, r.inherited_from) for r in scan_licenses(df).collect())
+    assert got == Counter([
+        ("LICENSE", "MIT", True, None), ("a/COPYING.txt", "GPL-3.0", True, None), ("a/b/c/x.py", "GPL-3.0", False, "a"), ("a/b/c/x.py", "GPL-3.0", False, "a"),
+        ("a/b/c/y.py", "CC-BY-NC-4.0", False, None), ("z/q.py", "MIT", False, ""), (None, None, False, None), ("ab/x.py", "MIT", False, ""), ("a/notes.txt", "GPL-3.0", False, "a"),
+    ])
+    assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_op4_planted_lines(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op4_license_scan(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for line, name in (("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Released under the MIT License.", "MIT"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0")):
+        assert all(got[d].license == name and got[d].inherited_from is None for d, t in texts.items() if line in t.split("\n") and not any(x in t for x in ("GNU", "rights")))
+    assert document_files(documents(spark, [(12345, "x")])).first().path == "s/en/12/12345.txt"
+
+
+def test_op9_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = op9_quality_classifier(spark, sf).collect()
+    assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == held_out(r.doc_id) for r in got)
+    held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.9
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+
+def test_op9_edges(spark):
+    docs = documents(spark, [(1, None), (2, ""), (3, "word " * 70_000), (None, "a b"), (3, "word " * 70_000)], extra=["x"])
+    labels = spark.createDataFrame([(1, 1), (2, None), (3, 7)], "doc_id long, quality int")
+    got = classify(docs, labels).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert classify(docs.limit(0), labels.limit(0)).count() == 0
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((2000, 5))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    net = train(x, y)
+    assert np.mean((net.score(x) >= 0.5) == y) > 0.9 and net.temperature > 0
