@@ -27,8 +27,8 @@ def test_hex_colours(spark):
     [((4, 3, 248), REDS_BLUES, {}, 1), ((0, 0, 250), {1: (0, 0, 255), 2: (0, 0, 245)}, {"margin": 10}, 0), ((128, 128, 128), REDS_BLUES, {"most": 25}, 0)],
 )
 def test_team_of_a_colour(spark, bgr, kits, options, team):
-    named = colour.match_team(*[F.lit(float(x)) for x in bgr], {k: tuple(map(float, v)) for k, v in kits.items()}, **options)
-    got = spark.range(1).select(*[v.alias(k) for k, v in named.items()]).first()
+    df = spark.createDataFrame([tuple(map(float, bgr))], "b double, g double, r double")
+    got = colour.match_team(df, {k: tuple(map(float, v)) for k, v in kits.items()}, **options).first()
     assert got.team_id == team and (team == 0 or got.confidence > 0.7)
 
 

@@ -53,8 +53,7 @@ class Tables:
         return pos.last_touch(self.goals(), self.touches())
 
     def kits(self) -> DataFrame:
-        c = self.player_colors
-        return c.select("match_id", "track_id", "frame_num", *[v.alias(k) for k, v in colour.match_team(F.col("b"), F.col("g"), F.col("r"), KITS).items()])
+        return colour.match_team(self.player_colors, KITS).drop("b", "g", "r")
 
     def shirt(self, kind: str) -> DataFrame:
         return idn.consensus(idn.readings(self.ocr_candidates, kind))
@@ -188,8 +187,8 @@ def hex_rgb_roundtrip(t):
 
 @query
 def bgr_to_lab(t):
-    named = zip(("l", "a", "lab_b"), colour.lab(F.col("b"), F.col("g"), F.col("r")), strict=True)
-    return t.player_colors.select("match_id", "track_id", "frame_num", *[F.round(v, 4).alias(k) for k, v in named])
+    rows = colour.with_lab(t.player_colors)
+    return rows.select("match_id", "track_id", "frame_num", *[F.round(k, 4).alias(k) for k in ("l", "a", "lab_b")])
 
 
 @query
