@@ -36,13 +36,12 @@ HINTS = set(
 READERS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
 STOP_WORDS = set(
-    "a about after all also an and are as at be been but by can for from had has have he her his how i if in into is it its more no not of on "
-    "one or our she so that the their them there they this to up was we were what when which who will with would you "
-    "au aux avec ce ces dans de des du elle en est et il ils la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sont "
-    "sur un une vous "
-    "al como con cuando del el ella era es esta este fue ha hasta las lo los más muy ni no o para pero por sin sobre su sus también una uno y ya "
-    "als auch auf aus bei das dem den der die durch ein eine einem einen einer er für hat ich im ist kann mit nach nicht noch nur oder sein sich "
-    "sie sind über und von vor war wenn werden wie wird zu zum zur".split()
+    "a about all an and are as at be been but by can for from had has have he his if in into is it more not of on or our she that the their they "
+    "this to up was we were which who will with you "
+    "au aux avec ce ces dans de des du elle en est et il ils la le les mais ne nous on ou par pas plus pour qu que qui sa se son sont sur un une vous "
+    "al como con cuando del el ella era es esta este fue ha las lo los más muy no o para pero por sin su sus también una y "
+    "als auch auf aus bei das dem den der die durch ein eine einem einen einer er für hat ich im ist mit nach nicht oder sich sie sind und von vor "
+    "war wie wird zu zum zur".split()
 )
 
 STOP_LOW, STOP_HIGH = 0.1, 0.2

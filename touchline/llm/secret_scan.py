@@ -28,18 +28,14 @@ CANDIDATE = rf"(?i:{ASSIGNED})|{PREFIXES}|{LONG_RUN}"
 #: A cheap test that every text with a candidate passes.
 HINT = rf"(?i:{CUES})[\x22']?\s{{0,2}}[:=]|[A-Za-z0-9+/_=.-]{{15}}"
 DICTIONARY = (
-    "access account address admin after alpha always app application archive assert async auth backup base before beta bucket build bundle cache "
-    "call case change check class client close cloud cluster code column commit common config connect container content context control copy count "
-    "create current data database date debug default delete demo deploy dev document domain double driver dummy dynamic edit element email enable "
-    "engine entry error event example export false field file filter find first float folder format frame function get global group handle hash head "
-    "header home host html http image import index info init input insert integer internal item java json key lang last length level library license "
-    "limit line link list load local location lock log login long lower main manager map max member message meta method min mobile mode model module "
-    "month name network new next node none null number object offset old open option order output package page parent parse part password path phone "
-    "pipeline place plain plugin point port post private process product profile project property public python query queue random read record "
-    "reference region release remote report request reset resource response result return role root route row sample save schema score screen script "
-    "search secret section secure select send server service session set setting size sort source spark start state static status step stop storage "
-    "store stream string style submit super switch system table tag target task template temp test text thread time title token tool total track "
-    "train true type unit update upload url user username utils valid value variable version video view web window word work world write year zone"
+    "access account address admin alpha application archive async auth backup base beta bucket build bundle cache call case change check class client "
+    "cloud cluster code column commit common config connect container content context control copy count create current data database date debug "
+    "default delete demo deploy design document domain double driver dummy dynamic element email enable engine entry error event example export field "
+    "file filter find folder format function get global group handle hash head header home host http image import index input insert item java json "
+    "key label layer length level library license link list load local location lock log login main manager member message method mobile model module "
+    "name network node number object option order output package page parent parse part password path phone plugin point port post private process "
+    "product profile project property public python query queue read record region remote report request reset resource response result role root "
+    "route sample save schema search secret secure select server service session set size source start state status storage stream string style"
 ).split()
 PLACEHOLDERS = "example|sample|dummy|changeme|placeholder|redacted|your[_-]|xxxx|1234567|abcdef0?123|test"
 FEATURES = [
