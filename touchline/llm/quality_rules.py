@@ -20,7 +20,7 @@ SMOOTHING = 8.0
 THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
 
 
 def split_words(text: Column) -> Column:
@@ -112,17 +112,25 @@ def score_documents(
     """
     ratios = log_ratios(docs, trusted, buckets, smoothing)
     by_bucket = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+
+    def mean(g: Column) -> Column:
+        total = F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(by_bucket, b))
+        return F.coalesce(F.round(F.try_divide(total, F.size(g)), 9), F.lit(0.0))
+
+    def judged(x: Column) -> Column:
+        failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
+        kept = ~failed & (x["score"] >= threshold)
+        return F.struct(*[x[c].alias(c) for c in RESULTS[:6]], failed.alias("base_failed"), kept.alias("kept"))
+
+    def measured(w: Column, h: Column) -> Column:
+        found = base_columns(text, w, h) | {"score": let(gram_buckets(h, buckets), mean)}
+        return let(F.struct(*[found[c].alias(c) for c in RESULTS[:6]]), judged)
+
+    # One expression in which every part is bound once: a filter on a result may be pushed down at no great cost.
     text = F.coalesce("text", F.lit(""))
-    row = docs.withColumn("__w", split_words(text)).withColumn("__h", F.transform("__w", lambda x: F.xxhash64(x)))
-    row = row.withColumns(base_columns(text, F.col("__w"), F.col("__h")))
-    grams = gram_buckets(F.col("__h"), buckets)
-    mean = let(grams, lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(by_bucket, b)), F.size(g)))
-    return (
-        row.withColumn("score", F.coalesce(F.round(mean, 9), F.lit(0.0)))
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-        .drop("__w", "__h")
-    )
+    verdict = let(split_words(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: measured(w, h)))
+    row = docs.withColumn("__v", verdict)
+    return row.select(*[c for c in docs.columns if c not in RESULTS], "__v.*")
 
 
 def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
