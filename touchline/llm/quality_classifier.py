@@ -189,17 +189,27 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
+def hash_cutoff(n: int, train_rows: int) -> int:
+    """Of n ids, about 1.25 times ``train_rows`` have a 64-bit hash up to this one, or all."""
+    share = min(1.0, 1.25 * train_rows / max(n, 1))
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
     docs: doc_id, text; nothing else is read. labels: doc_id, quality (0 or 1; rows with another value, or null,
     teach nothing). Only rows whose crc32(doc_id as text) mod 3 is not 1 teach. A null or empty text is pooled to
-    zeros and scored like any other. Repeated rows get the same score; a null doc_id is not held out. Without
+    zeros and scored like any other. Repeated rows get the same score, and an id teaches once, by the least of its
+    pooled vectors; a null doc_id is not held out. Without
     two classes to learn from, the score is the share of good rows, or a half. An empty docs gives no rows.
     """
     x = cut(features(docs, word_vectors(docs)))
     known = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    taught = x.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toPandas()
+    known = known.where(F.xxhash64("doc_id") <= hash_cutoff(known.count(), train_rows))
+    # One row an id, and few more than ``train_rows`` of them before the limit, so the task that sorts them is bounded.
+    taught = x.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toPandas()
     rows = np.stack(taught["x"]) if len(taught) else np.zeros((0, 3 * WIDTH + 2))
     net = train(rows.astype(np.float64), taught["y"].to_numpy(dtype=np.float64))
 
