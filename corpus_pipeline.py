@@ -13,6 +13,9 @@ from touchline.llm.packing import packed_digests
 from touchline.llm.quality_rules import score_documents, trusted_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity of near copies in hundredths, and coordinates they agree in but for a chance of 7e-6.
+NEAR_PERCENT = 80
+NEAR_COLLISIONS = 15
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +30,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_duplicates(docs.select(*COLUMNS), keep_columns=COLUMNS).where("kept").select(*COLUMNS)
+    """One document of each group of near duplicates, at a similarity of 0.8 or more."""
+    linked = near_duplicates(docs.select(*COLUMNS), percent=NEAR_PERCENT, collisions=NEAR_COLLISIONS, keep_columns=COLUMNS)
+    return linked.where("kept").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from .helpers import SF
+from .helpers import SF, documents
 from .test_dedup_mix_pack import brute_near
 
 
@@ -35,3 +35,23 @@ def check_packing_part(rows, texts):
 
     for d, t in texts:
         assert sum(r.length for r in by if r.doc_id == d) == len(ids_of(t))
+
+
+def test_near_stage_links_from_four_fifths(spark):
+    """Copies between 0.80 and 0.85, which op5's contract leaves alone, go as well; those below 0.80 stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = [(10**6 + k, " ".join(f"w{k}_{i}" for i in range(104))) for k in range(40)]
+    made += [(2 * 10**6 + k, f"{t} " + " ".join(f"x{k}_{i}" for i in range(25 + k % 2))) for k, (_, t) in enumerate(made)]  # 100 of 125 or 126
+    rows = docs.select("doc_id", "text").unionByName(documents(spark, made).select("doc_id", "text"))
+    got = {r.doc_id for r in corpus_pipeline.near(spark, documents_like(rows), SF).collect()}
+    texts = [(r.doc_id, r.text) for r in rows.collect()]
+    want = {d for d, (_, _, first) in brute_near(texts, 80).items() if first}
+    assert got == want and len(want) < len({d for d, (_, _, first) in brute_near(texts, 85).items() if first})
+    assert {d for d in got if d >= 2 * 10**6} == {2 * 10**6 + k for k in range(1, 40, 2)}
+
+
+def documents_like(rows):
+    from pyspark.sql import functions as F
+
+    return rows.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
