@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from touchline.llm.line_dedup import dedup_lines, fingerprints, op6_line_dedup
+from touchline.llm.line_dedup import dedup_lines, fingerprints, op6_line_dedup, repeated_lines
 from touchline.llm.quality_rules import BUCKETS, op8_quality_rules, score_documents
 
 from .helpers import SF, documents
@@ -120,3 +120,28 @@ def test_op6_no_later_run_stays_and_nothing_is_lost(spark):
             if n >= 20:
                 windows.add(tuple(lines[i:j]))
         seen_lines.update(lines)
+
+
+def test_op6_deletes_every_repeated_line(spark):
+    """Of all lines of three words or more only the first of equals stays; of shorter ones, less than three words of a repeated run."""
+    a, b = "the nine words of this line stand alone here", "of four words only"
+    made = [(10**6 + i, f"own text {i} of this\n{a if i % 2 else b}\nand its end {i} too\nred\none two\nmore own {i} text") for i in range(6)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(documents(spark, made).select("doc_id", "text"))
+    gone = {r.doc_id: set(r.gone) for r in repeated_lines(docs).collect()}
+    seen, grams, n = set(), set(), 0
+    for doc_id, text in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        lines = [(i, x.strip(), len(x.split())) for i, x in enumerate(text.encode().split(b"\n")) if x.split()]
+        out = gone.get(doc_id, set())
+        for k, (i, line, words) in enumerate(lines):
+            assert (i in out) == (line in seen) if words >= 3 else i not in out or line in seen, (doc_id, i)
+            n += words >= 3 and i in out
+            seen.add(line)
+            end = k
+            while end < len(lines) and words < 3:
+                end += 1
+                words += lines[end][2] if end < len(lines) else 0
+            if words >= 3:
+                gram = tuple(x[1] for x in lines[k : end + 1])
+                assert gram not in grams or any(x[0] in out for x in lines[k : end + 1]), (doc_id, i)
+                grams.add(gram)
+    assert n > 1000 and all(gone[10**6 + i] >= {1, 3, 4} for i in range(2, 6))

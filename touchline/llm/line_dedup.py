@@ -7,8 +7,12 @@ Fingerprints are joined to their earliest position in the corpus (least doc_id,
 position: a passage that a third of the corpus shares gives as many rows as it has copies. Each match is extended
 line by line in both directions, and the later run is deleted.
 
-What stays: for any two equal runs of ``guarantee_words`` words or more, the later one has lost lines, and every
-deleted line has an equal line at an earlier position that stands in the output or was equal to one that does.
+With both at 3 words, a line of three words or more is a gram of its own and always selected, so every one that
+stands earlier in the corpus is deleted, alone or in a run.
+
+What stays: for any two equal runs of ``guarantee_words`` words or more, the later one has lost lines, up to a rest
+of fewer words, and every deleted line has an equal line at an earlier position that stands in the output or was
+equal to one that does.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_key
 
-NOISE_WORDS = 10
-GUARANTEE_WORDS = 20
+#: A line of as many words is a gram of its own; lines of fewer are joined to the next.
+NOISE_WORDS = 3
+GUARANTEE_WORDS = 3
 #: Packs two line numbers into one long.
 SHIFT = 32
 
