@@ -140,3 +140,13 @@ def test_register_and_upsert(spark):
     teams = spark.createDataFrame([(1, "Reds", "#FF0000")], "team_id long, team_name string, color string")
     got = store.upsert_teams(teams, spark.createDataFrame([("REDS", ""), ("Blues", "#0000FF")], "team_name string, color string"))
     assert rows(got, "team_id", "team_name", "color") == [(1, "Reds", "#FF0000"), (2, "Blues", "#0000FF")]
+
+
+def test_streams_keep_all_rows_of_many_files_in_no_order(spark):
+    from touchline.plans.catalogue import Tables, streamed
+    from touchline.streaming import stateful
+
+    teams = [(m, f, k, (m + k) % 2 + 1 if f else 0) for m in [*range(200), 5000] for f in range(3) for k in range(3)]
+    batch = spark.createDataFrame(teams, "match_id long, frame_num long, track_id long, team_id int").repartition(60, F.xxhash64("match_id", "frame_num", "track_id"))
+    got = rows(streamed(Tables(spark, ""), batch, stateful.sticky_teams), "match_id", "track_id", "team_id", "since")
+    assert got == sorted((m, k, team, f) for m, f, k, team in teams if f == 1)

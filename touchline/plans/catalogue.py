@@ -467,15 +467,16 @@ def lstm_event_udf(t):
 def streamed(t: Tables, batch: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a streaming operator over rows written as files, to the end of the input, and read what it appended.
 
-    Two later rows move the watermark past the last frame. Files, checkpoint and result are in the shared folder.
+    A row a day after the last one moves the watermark past every frame. The files hold rows of all times in no order, so
+    all of them come in one trigger: with fewer at a time, the watermark of one would drop the rows of the next. Files,
+    checkpoint and result are in the shared folder.
     """
     base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     st.with_time(batch).write.parquet(f"{base}/in/a")
-    for k, days in enumerate((4000, 4001)):  # files are taken in the order of their times
-        late = st.with_time(batch.limit(1)).withColumns({"match_id": F.lit(-1 - k).cast("long"), "ts": F.expr(f"ts + interval {days} days")})
-        late.write.parquet(f"{base}/in/b{k}")
-    schema = t.spark.read.parquet(f"{base}/in/a").schema
-    source = t.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 16).parquet(f"{base}/in")
+    rows = t.spark.read.parquet(f"{base}/in/a")
+    late = rows.orderBy(F.desc("ts")).limit(1).withColumns({"match_id": F.lit(-1).cast("long"), "ts": F.expr("ts + interval 1 day")})
+    late.write.parquet(f"{base}/in/b")
+    source = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
     run = operator(source).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     run.awaitTermination()
     return t.spark.read.parquet(f"{base}/out").where("match_id >= 0")
