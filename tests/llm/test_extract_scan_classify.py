@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm.html_extraction import extract_text, op1_html_extraction, page_blocks
 from touchline.llm.license_scan import TEMPLATES, document_files, op4_license_scan, scan_licenses
@@ -45,6 +46,57 @@ def test_op1_page_parts(spark):
     assert page_blocks("<td>a<td>b")[1][0] == "b"
 
 
+def test_op1_densities_find_the_article_without_its_mark_up(spark):
+    """With the article tags taken out, text rules alone return nearly all of the article and little else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = extract_text(pages.withColumn("html", F.regexp_replace("html", "</?article>", "")))
+    full = {r.page_id: Counter(r.text.split()) for r in extract_text(pages).collect()}
+    kept, more = 0, 0
+    for r in bare.collect():
+        words = Counter(r.text.split())
+        kept += sum((words & full[r.page_id]).values())
+        more += sum((words - full[r.page_id]).values())
+    total = sum(sum(w.values()) for w in full.values())
+    assert kept >= 0.9 * total and more <= 0.02 * total
+
+
+def texts_of(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("n_chars", F.lit("mine"))
+    return [r.text for r in extract_text(df).orderBy("page_id").collect()]
+
+
+def test_op1_evidence_of_the_mark_up(spark):
+    """Hints above an article, cards beside the text, links in prose, and lists of links in an article."""
+    cards = f"<article class='teaser'><p>{PROSE}</p></article><article><h3>Card</h3><p>More of it.</p></article>"
+    prose = f"<p>{PROSE}</p>" * 3
+    got = texts_of(
+        spark,
+        f"<div class=content>{prose}</div>{cards}",
+        f"<div class='page sidebar-layout'><article>{prose}</article></div><div class=sidebar><p>{PROSE}</p></div>",
+        f"<section class=related><article><p>{PROSE}</p></article></section><main>{prose}</main>",
+        f"<article><p><a href=x><b><i><u><em><span>{PROSE}</span></em></u></i></b></a></p><ul><li><a href=1>Zxq</a><li><a href=2>Qvz wq</a></ul>{prose}</article>",
+        f"<main>{prose}<article>{prose}</article>{prose}</main><p>{PROSE}</p>",
+        "<article><h1>Only</h1><p>Short.</p></article>",
+        f"<article><table><tr><td>zx 12<td>qv 13<tr><td>{'zxqv ' * 40}</table>{prose}</article>",
+    )
+    three = " ".join([PROSE] * 3)
+    assert got[1] == got[2] == three and got[4] == " ".join([PROSE] * 9) and got[5] == "Only Short."
+    assert got[0].startswith(three) and "teaser" not in got[0] and PROSE not in got[0][len(three) :]
+    assert got[3] == f"{PROSE} {three}" and got[6] == f"zx 12 qv 13 {'zxqv ' * 40}{three}"
+
+
+def test_op1_nesting_and_stray_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 90_000 + "</x>" * 90_000 + "a", "<article>" * 50_000 + "a" + "</article>" * 50_000, "<ul>" + "<li>b" * 50_000, "<b>" * 200_000 + "a", "<p>" * 90_000 + "</div>" * 90_000 + "a"):
+        assert page_blocks(page)
+    assert time.time() - began < 10
+    zones = [b[4] for b in page_blocks("<main><p>a</p><article><p>b</p></article><p>c</p></main><article>d</article>e")]
+    assert zones == [1, 1, 1, 2, 0]
+    assert page_blocks("<a href=x><b><i><u><em><span>linked</span></em></u></i></b></a> y")[0][3] == 6
+
+
 def test_op3_finds_the_planted_tokens(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -60,8 +112,6 @@ def forest(spark):
 
 
 def test_op3_held_out_accuracy_and_edges(spark, forest):
-    from pyspark.sql import functions as F
-
     words = dictionary()
     rows = labelled_findings(spark, 3000).withColumn("h", F.pmod(F.xxhash64("value", "before"), F.lit(3)) == 0)
     scored = train_forest(rows.where("not h"), words).transform(with_features(rows.where("h"), words))

@@ -1,15 +1,19 @@
 """HTML extraction by two-pass block rules.
 
-A small parser cuts each page into blocks with their features: words, stop words, characters inside links, and the
-zone the block stands in (dropped container, article, or neither). Pass 1 classifies blocks by stop-word density,
-length and link density, in DataFrame expressions. Pass 2 gives ambiguous short blocks the label of the nearest
-decided neighbour of their zone. A page is one row throughout, so nothing is exchanged between tasks.
+A small parser cuts each page into blocks with their features: words, stop words, characters inside links, and where
+the block stands. Pass 1 classifies blocks by stop-word density, length and link density, in DataFrame expressions:
+inside an article and out of it. What the mark-up says is evidence: parts that it names as menus, forms, notices and
+the like are left out, and an article element lowers the densities asked of its blocks, if it holds most of the
+text that reads well. Pass 2 gives ambiguous blocks the label of the nearest decided neighbour. A page is one row
+throughout, so nothing is exchanged between tasks.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,13 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "ins", "kbd", "label", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub",
           "sup", "time", "tt", "u", "var", "wbr"}
 ZONES = {"article", "main"}
+#: Start tags, the elements they end, and the elements beyond which they do not reach; others end a paragraph only.
+P_BARRIERS = ("table", "td", "th", "caption", "button", "object", "blockquote")
+IMPLIED = {
+    "li": (("li", ("ul", "ol", "menu")), ("p", P_BARRIERS + ("li",))), "dt": (("dt", ("dl",)), ("dd", ("dl",))), "dd": (("dt", ("dl",)), ("dd", ("dl",))),
+    "tr": (("tr", ("table",)),), "td": (("td", ("table", "tr")), ("th", ("table", "tr"))), "th": (("td", ("table", "tr")), ("th", ("table", "tr"))),
+    "option": (("option", ("select",)),),
+}
 HINTS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header login masthead menu "
     "modal nav navbar navigation newsletter notice overlay pagination pager popup promo promoted promotion related share sharing sidebar signup "
@@ -47,8 +58,12 @@ STOP_WORDS = set(
 STOP_LOW, STOP_HIGH = 0.1, 0.2
 LENGTH_LOW, LENGTH_HIGH = 60, 160
 LINKS_MOST = 0.3
+#: In an article, links make a block bad only from this share on, and if it has few stop words.
+LINKS_ARTICLE = 0.6
+#: Least share of the words that read well which an article must hold.
+ZONE_SHARE = 0.5
 BLOCK = T.ArrayType(
-    T.StructType().add("text", "string").add("words", "integer").add("stops", "integer").add("linked", "integer").add("zone", "integer").add("heading", "boolean")
+    T.StructType().add("text", "string").add("words", "integer").add("stops", "integer").add("linked", "integer").add("zone", "integer").add("hinted", "boolean").add("heading", "boolean")
 )
 
 _TOKEN = re.compile(
@@ -58,13 +73,15 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW_TEXT}
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def container(name: str, rest: str) -> str:
-    """What an element says about the blocks inside: drop, readers, hint, zone or nothing."""
+    """What an element says about the blocks inside: drop, hint, zone, hinted zone or nothing."""
     if name in DROPPED:
         return "drop"
+    zone = name in ZONES
     if rest and name not in ("html", "body"):
         found = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTRIBUTE.findall(rest)}
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
@@ -73,35 +90,80 @@ def container(name: str, rest: str) -> str:
             return "drop"
         words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
         if words & READERS:
-            return "readers"
-        if name not in ZONES and words & HINTS:
-            return "hint"
-        if found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
-            return "zone"
-    return "zone" if name in ZONES else ""
+            return "drop"
+        zone = zone or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
+        if words & HINTS:
+            return "hinted zone" if zone else "hint"
+    return "zone" if zone else ""
+
+
+class Stack:
+    """The open elements, with what is asked of them kept up to date: each start and end tag costs the same."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, str]] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # by name, where it is open
+        self.drops = 0
+        self.zones: list[tuple[int, bool]] = []  # outermost zones: number, and whether a hint is on or above it
+        self.hints: list[int] = []  # for each open hint, how many zones were open
+        self.numbers = 0
+
+    def push(self, name: str, kind: str) -> None:
+        self.at[name].append(len(self.open))
+        if kind == "drop":
+            self.drops += 1
+        if "hint" in kind:
+            self.hints.append(len(self.zones))
+        if "zone" in kind:
+            if not self.zones:
+                self.numbers += 1
+            self.zones.append((self.numbers, bool(self.hints)))
+        self.open.append((name, kind))
+
+    def pop_to(self, size: int) -> None:
+        while len(self.open) > size:
+            name, kind = self.open.pop()
+            self.at[name].pop()
+            if kind == "drop":
+                self.drops -= 1
+            if "zone" in kind:
+                self.zones.pop()
+            if "hint" in kind:
+                self.hints.pop()
+
+    def end(self, name: str) -> None:
+        if self.at[name]:
+            self.pop_to(self.at[name][-1])
+
+    def imply(self, name: str) -> None:
+        """The end tags that may be left out before this start tag."""
+        for closed, barriers in IMPLIED.get(name, ()) or (("p", P_BARRIERS),):
+            inner = max((self.at[b][-1] for b in barriers if self.at[b]), default=-1)
+            if self.at[closed] and self.at[closed][-1] > inner:
+                self.pop_to(self.at[closed][-1])
+
+    def place(self) -> tuple[int, bool]:
+        """Zone and hinted: zone -1 in a dropped part, or where a hint is inside the innermost zone; 0 in no zone."""
+        if self.drops or (self.zones and self.hints and self.hints[-1] >= len(self.zones)):
+            return -1, False
+        return (self.zones[-1][0], any(h for _, h in self.zones[:1]) or self.zones[-1][1]) if self.zones else (0, bool(self.hints))
 
 
 def page_blocks(page: str) -> list[tuple]:
-    """(text, words, stop words, linked characters, zone, heading) of a page's blocks; zone -1: dropped, 0: none."""
+    """(text, words, stop words, linked characters, zone, hinted, heading) of a page's blocks; see ``Stack.place``."""
     blocks: list[tuple] = []
-    stack: list[tuple[str, str]] = []
+    stack = Stack()
     parts: list[str] = []
-    linked = zones = at = 0
+    linked = at = 0
     heading = False
 
-    def zone() -> int:
-        kinds = [k for _, k in stack if k]
-        if "drop" in kinds or "readers" in kinds:
-            return -1
-        return {"zone": zones, "hint": -1}[kinds[-1]] if kinds else 0
-
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 words = _LETTERS.findall(text.lower())
-                blocks.append((text, len(text.split()), sum(w in STOP_WORDS for w in words), min(linked, len(text)), zone(), heading))
+                blocks.append((text, len(text.split()), sum(w in STOP_WORDS for w in words), min(linked, len(text)), *stack.place(), heading))
             parts.clear()
         linked = 0
 
@@ -109,7 +171,7 @@ def page_blocks(page: str) -> list[tuple]:
         nonlocal linked
         if stop > at:
             parts.append(page[at:stop])
-            if any(n == "a" for n, _ in stack[-4:]):
+            if stack.at["a"]:
                 linked += len(page[at:stop].strip())
 
     while m := _TOKEN.search(page, at):
@@ -122,34 +184,27 @@ def page_blocks(page: str) -> list[tuple]:
             if name not in INLINE:
                 flush()
                 heading = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            stack.end(name)
             continue
         rest = m["rest"] or m["rest2"] or ""
         if name in RAW_TEXT:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            close = _RAW_END[name].search(page, at)
             at = close.end() if close else len(page)
             flush()
         elif name == "br":
             parts.append(" ")
         elif name not in INLINE:
             flush()
-            if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # their end tags may be left out
-                for k in range(len(stack) - 1, max(-1, len(stack) - 5), -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+            stack.imply(name)
             if name == "body":
-                stack = [x for x in stack if x[0] != "head"]
+                stack.end("head")
             heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
             if name not in VOID and not rest.endswith("/"):
-                kind = container(name, rest)
-                zones += kind == "zone"
-                stack.append((name, kind))
+                stack.push(name, container(name, rest))
         elif name not in VOID:
-            stack.append((name, container(name, rest) if rest and name != "a" else ""))
+            if name == "a":
+                stack.end("a")
+            stack.push(name, container(name, rest) if rest and name != "a" else "")
     text_to(len(page))
     flush()
     return blocks
@@ -157,27 +212,54 @@ def page_blocks(page: str) -> list[tuple]:
 
 @F.pandas_udf(BLOCK)
 def blocks_of(pages: pd.Series) -> pd.Series:
-    names = ("text", "words", "stops", "linked", "zone", "heading")
+    names = ("text", "words", "stops", "linked", "zone", "hinted", "heading")
     return pd.Series([[dict(zip(names, b, strict=True)) for b in page_blocks(p or "")] for p in pages])
 
 
-def first_labels(blocks: Column) -> Column:
-    """Pass 1, block by block: 1 kept, -1 left out, 0 still ambiguous.
+def with_place(pages: DataFrame) -> DataFrame:
+    """pages with __hinted, whether hinted articles count, and __zoned, whether only what is in an article counts.
 
-    Blocks of dropped containers, and blocks made of links, are left out; if the page has an article or main
-    element, so is everything outside it. Long blocks are kept with many stop words, or anywhere in an article;
-    long blocks with few stop words are left out elsewhere. The rest is ambiguous.
+    By the words of the blocks that read well: hinted blocks are left out unless they hold twice as many as all
+    others; and where articles hold ``ZONE_SHARE`` of the rest, what stands outside is left out.
+    """
+
+    def words(keep: Callable[[Column], Column]) -> Column:
+        well = lambda b: (F.length(b["text"]) >= LENGTH_LOW) & (b["stops"] >= STOP_LOW * b["words"]) & (b["linked"] <= LINKS_MOST * F.length(b["text"]))
+        return F.aggregate("__blocks", F.lit(0), lambda s, b: s + F.when(keep(b) & well(b), b["words"]).otherwise(0))
+
+    plain = words(lambda b: (b["zone"] >= 0) & ~b["hinted"])
+    hinted = words(lambda b: (b["zone"] > 0) & b["hinted"])
+    nothing_else = ~F.exists("__blocks", lambda b: (b["zone"] >= 0) & ~b["hinted"])
+    row = pages.withColumn("__hinted", (hinted > 2 * plain) | nothing_else)
+    some = F.exists("__blocks", lambda b: (b["zone"] > 0) & (~b["hinted"] | F.col("__hinted")))
+    inside = words(lambda b: (b["zone"] > 0) & (~b["hinted"] | F.col("__hinted")))
+    rest = words(lambda b: (b["zone"] >= 0) & (~b["hinted"] | (F.col("__hinted") & (b["zone"] > 0))))
+    return row.withColumn("__zoned", some & (inside >= ZONE_SHARE * rest))
+
+
+def first_labels(blocks: Column, use_hinted: Column, zoned: Column) -> Column:
+    """Pass 1, block by block: 1 kept, -1 left out, 0 still ambiguous, -2 left out by the mark-up.
+
+    Outside articles: a block mostly of links is left out; a short one is ambiguous; a longer one is kept with many
+    stop words, or with some if it is long, left out with few, and else ambiguous. In an article: a block is left
+    out if it is mostly links and has few stop words; kept if it is not short and has some stop words; the rest,
+    such as headings and tables, is ambiguous.
     """
-    has_zone = F.exists(blocks, lambda b: b["zone"] > 0)
 
     def label(b: Column) -> Column:
         density = b["stops"] / F.greatest(b["words"], F.lit(1))
         length = F.length(b["text"])
+        within = (
+            F.when((b["linked"] > LINKS_ARTICLE * length) & (density < STOP_LOW), -1)
+            .when((length >= LENGTH_LOW) & (density >= STOP_LOW), 1)
+            .otherwise(0)
+        )
         return (
-            F.when((b["zone"] < 0) | (has_zone & (b["zone"] == 0)) | (b["linked"] > LINKS_MOST * length), -1)
+            F.when((b["zone"] < 0) | (b["hinted"] & ~(use_hinted & (b["zone"] > 0))) | (zoned & (b["zone"] == 0)), -2)
+            .when(zoned, within)
+            .when(b["linked"] > LINKS_MOST * length, -1)
             .when(length < LENGTH_LOW, 0)
-            .when((b["zone"] > 0) | (density >= STOP_HIGH), 1)
-            .when((length >= LENGTH_HIGH) & (density >= STOP_LOW), 1)
+            .when((density >= STOP_HIGH) | ((length >= LENGTH_HIGH) & (density >= STOP_LOW)), 1)
             .when(density < STOP_LOW, -1)
             .otherwise(0)
         )
@@ -185,30 +267,28 @@ def first_labels(blocks: Column) -> Column:
     return F.transform(blocks, label)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def inherited(labels: pd.Series, zones: pd.Series, headings: pd.Series) -> pd.Series:
-    """Pass 2: ambiguous blocks take the label of the nearest decided neighbour.
+@F.pandas_udf(T.StringType())
+def inherited_text(texts: pd.Series, labels: pd.Series, zoned: pd.Series, headings: pd.Series) -> pd.Series:
+    """Pass 2: ambiguous blocks take the label of the nearest decided neighbour; the kept blocks, joined.
 
-    In an article only its own blocks are neighbours, and a block without a decided one is kept. Elsewhere a
-    block without a decided neighbour is left out. At equal distance a heading follows the next block, any
-    other block the one before.
+    Blocks that the mark-up leaves out are no neighbours of those in an article. Without a decided neighbour a block
+    is kept in an article and left out elsewhere. At equal distance a heading follows the next block, any other
+    block the one before.
     """
     out = []
-    for label, zone, heading in zip(labels, zones, headings, strict=True):
-        label, zone = np.array(label, dtype=np.int32), np.array(zone, dtype=np.int32)
-        for z in np.unique(zone[label == 0]):
-            own = np.flatnonzero((zone == z) & ((zone == 0) | (label >= 0))) if z > 0 else np.arange(len(zone))
-            known = own[label[own] != 0]
-            for i in own[(label[own] == 0) & (zone[own] == z)]:
-                if len(known) == 0:
-                    label[i] = 1 if z > 0 else -1
-                    continue
-                k = int(np.searchsorted(known, i))
-                before, after = known[max(k - 1, 0)], known[min(k, len(known) - 1)]
-                closer = (abs(after - i), not heading[i]) < (abs(i - before), bool(heading[i]))
-                label[i] = int(label[after if closer else before]) * 2
-        out.append(np.sign(label))
-    return pd.Series(out)
+    for text, label, article, heading in zip(texts, labels, zoned, headings, strict=True):
+        label = np.array(label, dtype=np.int32)
+        known = np.flatnonzero((label != 0) & (label >= (-1 if article else -2)))
+        open_ = np.flatnonzero(label == 0)
+        if len(known) == 0:
+            label[open_] = 1 if article else -1
+        elif len(open_):
+            k = np.searchsorted(known, open_)
+            before, after = known[np.maximum(k - 1, 0)], known[np.minimum(k, len(known) - 1)]
+            near, far = np.abs(after - open_), np.abs(open_ - before)
+            label[open_] = label[np.where((near < far) | ((near == far) & np.array(heading)[open_]), after, before)]
+        out.append(" ".join(np.array(text, dtype=object)[label > 0]))
+    return pd.Series(out, dtype=object)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -218,11 +298,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     page, and one without a kept block, gives an empty text. Repeated rows each get their text. An empty pages
     gives no rows. Character references are decoded, white space inside a block is one space.
     """
-    row = pages.withColumn("__blocks", blocks_of("html")).withColumn("__first", first_labels(F.col("__blocks")))
-    row = row.withColumn("__labels", inherited("__first", F.col("__blocks.zone"), F.col("__blocks.heading")))
-    kept = F.filter("__blocks", lambda b, i: F.get("__labels", i) > 0)
-    row = row.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), " "))
-    return row.withColumn("n_chars", F.length("text").cast("long")).drop("__blocks", "__first", "__labels")
+    b = F.col("__blocks")
+    row = with_place(pages.withColumn("__blocks", blocks_of("html")))
+    row = row.withColumn("__labels", first_labels(b, F.col("__hinted"), F.col("__zoned")))
+    row = row.withColumn("text", inherited_text(b["text"], "__labels", "__zoned", b["heading"]))
+    return row.withColumn("n_chars", F.length("text").cast("long")).drop("__blocks", "__hinted", "__zoned", "__labels")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
