@@ -4,30 +4,45 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts that the rows of one key are dealt out to.
+SALTS = 64
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and return a frame that reads it.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset is another chosen: a
-    temporary folder in local mode, otherwise a folder beside the warehouse, which executors share.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a temporary one is chosen in local mode;
+    on a cluster no folder is known to be shared, so that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        local = context.master.split("[")[0] == "local"
-        context.setCheckpointDir(
-            tempfile.mkdtemp(prefix="checkpoints-")
-            if local
-            else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        )
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def attach(rows: DataFrame, keys: list[str], spread: str, values: dict[str, tuple[Callable[[str | Column], Column], Column]]) -> DataFrame:
+    """rows with columns for values of their key's rows, in such a way that no task holds all rows of a key.
+
+    values: by name, a function that may be applied in two steps (sum, min, max) and its argument. The rows of a key
+    are dealt out over ``SALTS`` parts by ``spread``, each part is summed up, and the parts' values of a key are joined
+    to the key's parts, then to the rows. rows is read twice; rows with a null key are left out.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "__salt").agg(*[f(x).alias(k) for k, (f, x) in values.items()])
+    whole = parts.groupBy(*keys).agg(*[f(k).alias(k) for k, (f, _) in values.items()])
+    told = parts.select(*keys, "__salt").join(whole, keys)
+    return salted.join(told, [*keys, "__salt"]).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,9 +55,9 @@ def text_key(text: Column) -> Column:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected links: (node, component), component being the least node reached.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014). Every step is a grouped
-    minimum followed by a join, so a hub's links are never gathered in one task. Nodes without links are
-    absent. Null ends are ignored.
+    Alternates the large-star and small-star steps of Kiveris et al. (2014). Each step needs only the minimum of a
+    node's neighbours beside its links, which ``attach`` brings there without gathering a hub's links in one task.
+    Nodes without links are absent. Null ends are ignored.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = cut(e.where(F.col("u") > F.col("v")).distinct())
@@ -53,12 +68,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         state = tuple(now)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = attach(both, ["u"], "v", {"m": (F.min, F.least("u", "v"))})
+        large = cut(least.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = attach(large, ["u"], "v", {"m": (F.min, F.col("v"))})
+        moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        e = cut(least.select(moved.alias("u"), F.col("m").alias("v")).distinct())
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

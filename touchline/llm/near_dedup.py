@@ -8,9 +8,11 @@
    values that one document holds are skipped, and the long lists at the end are never opened, only compared.
 3. Each posting list is merged into the cluster of its pivot, the member whose coordinates are most common; a pair
    meeting in several lists of a pivot is looked at once. Large clusters are cut into blocks, and pairs of blocks
-   go to different tasks. Within a block pair, collisions are counted, pairs above the threshold are confirmed on
-   full sets, and pairs already connected by confirmed links are passed over. So every pair of the class graph is
-   either confirmed, refuted or redundant, and the links that come out are no more than the rows that went in.
+   go to different tasks. Within a block pair, collisions are counted from the posting lists: a member's short lists
+   are merged, which gives its candidates, and the long ones are skipped and only looked up for these. Candidates
+   above the threshold are confirmed on full sets, and pairs already connected by confirmed links are passed over. So
+   every pair of the class graph is either confirmed, refuted or redundant, and the links that come out are no more
+   than the rows that went in.
 4. Connected components of the confirmed links.
 """
 
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table, text_key
+from .common import attach, components, cut, table, text_key
 
 WORDS = 5
 COORDINATES = 32
@@ -88,17 +90,16 @@ def sketch(docs: DataFrame) -> DataFrame:
 def clusters(classes: DataFrame, collisions: int = COLLISIONS) -> DataFrame:
     """(pivot, rep): every two representatives that agree in enough coordinates share a pivot."""
     prefix = COORDINATES - collisions + 1
-    posts = classes.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("post"))
-    sizes = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = posts.join(sizes, "post").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("posts"))
+    posts = cut(classes.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("post")))
+    sized = attach(posts, ["post"], "rep", {"n": (F.sum, F.lit(1))}).where("n > 1")
+    ordered = sized.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("posts"))
     # Coordinates that no other document holds come first in rarity, and are used up without being joined.
     take = F.size("posts") - (COORDINATES - prefix)
     central = F.aggregate("posts", F.lit(0).cast("long"), lambda s, x: s + x["n"])
     opened = ordered.where(take > 0).select("rep", central.alias("central"), F.explode(F.slice("posts", F.lit(1), take)).alias("p"))
     opened = cut(opened.select("rep", "central", F.col("p.post").alias("post")))
-    pivots = opened.groupBy("post").agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"))).alias("best"), F.count("*").alias("n"))
-    pivots = pivots.where("n > 1").select("post", (-F.col("best.rep")).alias("pivot"))
-    return opened.join(pivots, "post").select("pivot", "rep").distinct()
+    pivots = attach(opened, ["post"], "rep", {"best": (F.max, F.struct("central", (-F.col("rep")).alias("rep"))), "n": (F.sum, F.lit(1))})
+    return pivots.where("n > 1").select((-F.col("best.rep")).alias("pivot"), "rep").distinct()
 
 
 def class_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -131,11 +132,21 @@ def confirmed(part: pd.DataFrame, percent: int, collisions: int) -> pd.DataFrame
     root = np.arange(len(reps))
     within = blocks[0] == blocks[-1]
     first_of_other = 0 if within else int(np.searchsorted(blocks, blocks[-1]))
+    # The posting lists of the pair of blocks: values are numbered, and the members of each value stand together.
+    values = np.stack([np.unique(column, return_inverse=True)[1] for column in sig.T], axis=1)
+    members = np.argsort(values, axis=0, kind="stable")
+    bounds = [np.searchsorted(values[order, k], np.arange(values[:, k].max() + 2)) for k, order in enumerate(members.T)]
+    sizes = np.stack([np.diff(at)[values[:, k]] for k, at in enumerate(bounds)], axis=1)
+    coordinates = sig.shape[1]
+    by_size = np.argsort(sizes, axis=1, kind="stable")
     links = []
     for a in range(len(reps) if within else first_of_other):
         lo = a + 1 if within else first_of_other
-        near = lo + np.flatnonzero((sig[lo:] == sig[a]).sum(axis=1) >= collisions)
-        near = near[root[near] != root[a]]
+        short, long = by_size[a, : coordinates - collisions + 1], by_size[a, coordinates - collisions + 1 :]
+        lists = [members[bounds[k][values[a, k]] : bounds[k][values[a, k] + 1], k] for k in short]
+        count = np.bincount(np.concatenate(lists), minlength=len(reps))
+        near = lo + np.flatnonzero((count[lo:] > 0) & (root[lo:] != root[a]))
+        near = near[count[near] + (values[near][:, long] == values[a, long]).sum(axis=1) >= collisions]
         if len(near) == 0:
             continue
         own = ids[starts[a] : starts[a] + size[a]]
@@ -154,13 +165,12 @@ def confirmed(part: pd.DataFrame, percent: int, collisions: int) -> pd.DataFrame
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, collisions: int = COLLISIONS) -> DataFrame:
     """(a, b): confirmed links between representatives, enough to connect all that are connected."""
-    members = cut(clusters(classes, collisions))
-    sizes = members.join(classes.select("rep", "n_shingles"), "rep").groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
+    members = cut(clusters(classes, collisions).join(classes.select("rep", "n_shingles"), "rep"))
     low, high = BLOCK_ROWS
     rows = F.greatest(F.lit(low), F.least(F.lit(high), F.col("n") / 64))
     n_blocks = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("all") / F.lit(BLOCK_SHINGLES))).cast("long")
-    sizes = sizes.where("n > 1").select("pivot", n_blocks.alias("n_blocks"))
-    dealt = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
+    sized = attach(members, ["pivot"], "rep", {"n": (F.sum, F.lit(1)), "all": (F.sum, F.col("n_shingles"))}).where("n > 1")
+    dealt = sized.select("pivot", "rep", n_blocks.alias("n_blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     dealt = dealt.select("pivot", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     sets = class_sets(docs, classes.join(members.select("rep").distinct(), "rep", "left_semi"))
@@ -201,4 +211,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, collisions: int = C
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents at 0.85. Edges: see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
