@@ -4,8 +4,12 @@ Lines are hashed; blank lines are passed over. At each line starts a gram, the f
 ``noise_words`` words, and a window, the fewest that hold ``guarantee_words``. Each window selects its least gram
 hash as fingerprint, so a repeated run of at least ``guarantee_words`` words always holds a selected fingerprint.
 Fingerprints are joined to their earliest position in the corpus (least doc_id, then line), one match for each
-position: a passage that a third of the corpus shares gives as many rows as it has copies. Each match is extended
-line by line in both directions, and the later run is deleted.
+position: a passage that a third of the corpus shares gives as many rows as it has copies, dealt out over many tasks.
+Each match is extended line by line in both directions, and the later run is deleted.
+
+A fingerprint travels with the hashes of the lines around it that together hold fewer than ``guarantee_words``
+words on a side. No more are needed: where a repeated run goes on for longer, the window that begins there lies in
+the run and has a fingerprint of its own. So no task reads a whole document for another's sake.
 
 With both at 3 words, a line of three words or more is a gram of its own and always selected, so every one that
 stands earlier in the corpus is deleted, alone or in a run.
@@ -22,16 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_key
+from .common import attach, cut, table, text_key
 
 #: A line of as many words is a gram of its own; lines of fewer are joined to the next.
 NOISE_WORDS = 3
 GUARANTEE_WORDS = 3
-#: Packs two line numbers into one long.
-SHIFT = 32
+#: Fingerprints that a task hands on at once.
+ROWS_AT_ONCE = 20_000
 
 
 def fingerprints(hashes: np.ndarray, n_words: np.ndarray, noise: int, guarantee: int) -> tuple[list[int], list[int]]:
@@ -54,7 +58,9 @@ def fingerprints(hashes: np.ndarray, n_words: np.ndarray, noise: int, guarantee:
 
 
 def sketch_lines(docs: DataFrame, noise_words: int, guarantee_words: int) -> DataFrame:
-    """doc_id, key, and of the lines that have words: number in the text, hash; and the selected fingerprints."""
+    """A row for each selected fingerprint: doc_id, key, gram, line (its first line's number in the text), and the
+    numbers and hashes of its lines (own), and of those around it: before, from the nearest on, and after."""
+    names = ["doc_id", "key", "gram", "line", "own", "before", "before_hash", "after", "after_hash"]
 
     def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -62,60 +68,44 @@ def sketch_lines(docs: DataFrame, noise_words: int, guarantee_words: int) -> Dat
             for doc_id, key, text in zip(part["doc_id"], part["key"], part["text"], strict=True):
                 lines = [(i, line.strip(), len(line.split())) for i, line in enumerate(text.encode().split(b"\n"))]
                 lines = [x for x in lines if x[2]]
+                number = [x[0] for x in lines]
                 hashes = np.array([xxhash.xxh64_intdigest(x[1]) for x in lines], dtype=np.uint64)
-                at, grams = fingerprints(hashes, np.array([x[2] for x in lines], dtype=np.int64), noise_words, guarantee_words)
-                rows.append((doc_id, key, [x[0] for x in lines], hashes.view(np.int64), at, np.array(grams, dtype=np.uint64).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "line", "hash", "at", "gram"])
-
-    schema = "doc_id long, key long, line array<int>, hash array<long>, at array<int>, gram array<long>"
+                n_words = np.array([x[2] for x in lines], dtype=np.int64)
+                at, grams = fingerprints(hashes, n_words, noise_words, guarantee_words)
+                signed, upto = hashes.view(np.int64), np.concatenate(([0], np.cumsum(n_words)))
+                for i, gram in zip(at, grams, strict=True):
+                    end = int(np.searchsorted(upto, upto[i] + noise_words))
+                    lo = int(np.searchsorted(upto, upto[i] - guarantee_words, side="right"))
+                    hi = int(np.searchsorted(upto, upto[end] + guarantee_words, side="left")) - 1
+                    rows.append((doc_id, key, gram - (gram >> 63 << 64), number[i], number[i:end],
+                                 number[lo:i][::-1], signed[lo:i][::-1], number[end:hi], signed[end:hi]))
+                if len(rows) > ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = "doc_id long, key long, gram long, line int, own array<int>, before array<int>, before_hash array<long>, after array<int>, after_hash array<long>"
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), "text")
-    return rows.mapInPandas(sketch, schema).dropDuplicates(["doc_id", "key"])
-
-
-def extend(pairs: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which lines of ``mine`` lie in runs around the matches (own line << SHIFT | earlier line in ``other``)."""
-    gone = np.zeros(len(mine), dtype=bool)
-    done: dict[int, int] = {}  # by diagonal, where the last run ended
-    for pair in np.sort(pairs).tolist():
-        j, i = pair >> SHIFT, pair & ((1 << SHIFT) - 1)
-        if j < done.get(j - i, 0):
-            continue
-        lo = hi = 0
-        while i > lo < j and other[i - lo - 1] == mine[j - lo - 1]:
-            lo += 1
-        while i + hi < len(other) and j + hi < len(mine) and other[i + hi] == mine[j + hi]:
-            hi += 1
-        gone[j - lo : j + hi] = True
-        done[j - i] = j + hi
-    return gone
+    return rows.mapInPandas(sketch, schema)
+
+
+def agreeing(mine: str, other: str, numbers: str) -> Column:
+    """The first of ``numbers``, as many as the hashes in both arrays agree from the start on."""
+    equal = F.zip_with(F.slice(mine, F.lit(1), F.least(F.size(mine), F.size(other))), F.slice(other, F.lit(1), F.least(F.size(mine), F.size(other))), lambda a, b: a == b)
+    return F.slice(numbers, F.lit(1), F.when(F.forall(equal, lambda x: x), F.size(equal)).otherwise(F.array_position(equal, False).cast("int") - 1))
 
 
 def repeated_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
     """(doc_id, key, gone): numbers of the lines to delete; documents without any are absent."""
-    sketches = cut(sketch_lines(docs, noise_words, guarantee_words))
-    posts = sketches.select("doc_id", "key", F.posexplode("gram").alias("k", "g"), "at").select(
-        "doc_id", "key", "g", F.get("at", F.col("k")).cast("long").alias("j")
-    )
-    place = F.struct("doc_id", "key", "j")
-    first = posts.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    matches = posts.join(first, "g").where(place > F.col("first"))
-    pairs = matches.groupBy("doc_id", "key", F.col("first.doc_id").alias("a_id"), F.col("first.key").alias("a_key")).agg(
-        F.collect_list(F.col("j") * F.lit(1 << SHIFT) + F.col("first.j")).alias("pairs")
-    )
-    mine = sketches.select("doc_id", "key", "line", F.col("hash").alias("mine"))
-    other = sketches.select(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key"), F.col("hash").alias("other"))
-
-    @F.pandas_udf("array<int>")
-    def gone(pairs: pd.Series, line: pd.Series, mine: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(a)[extend(p, m, o)] for p, a, m, o in zip(pairs, line, mine, other, strict=True)])
-
-    return (
-        pairs.join(mine, ["doc_id", "key"])
-        .join(other, ["a_id", "a_key"])
-        .select("doc_id", "key", gone("pairs", "line", "mine", "other").alias("gone"))
-        .groupBy("doc_id", "key")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    posts = cut(sketch_lines(docs, noise_words, guarantee_words))
+    place = F.struct("doc_id", "key", "line")
+    first = F.struct("doc_id", "key", "line", "before_hash", "after_hash")  # the first three are unique, but for repeated rows
+    matches = attach(posts, ["gram"], "doc_id", {"first": (F.min, first), "last": (F.max, place)}).where(
+        F.struct("first.doc_id", "first.key", "first.line") < F.col("last")
     )
+    later = matches.where(F.struct("first.doc_id", "first.key", "first.line") < place)
+    run = F.concat("own", agreeing("before_hash", "first.before_hash", "before"), agreeing("after_hash", "first.after_hash", "after"))
+    return later.select("doc_id", "key", run.alias("run")).groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
@@ -131,8 +121,10 @@ def dedup_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words
     row = docs.drop("n_lines", "n_removed", "emptied").join(
         gone, (F.col("doc_id") == F.col("__id")) & (text_key(F.col("text")) == F.col("__key")), "left"
     )
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    row = row.withColumn("__lines", F.split("text", "\n", -1))
+    lines = F.col("__lines")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    left = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
     hit = F.col("__gone").isNotNull()
     row = row.withColumns(
         {
@@ -143,8 +135,9 @@ def dedup_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words
     )
     emptied = hit & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     row = row.withColumn("emptied", F.coalesce(emptied, F.lit(False)))
-    return row.withColumn("text", F.when(F.col("emptied"), F.lit("")).otherwise(F.col("text"))).drop("__id", "__key", "__gone")
+    return row.withColumn("text", F.when(F.col("emptied"), F.lit("")).otherwise(F.col("text"))).drop("__id", "__key", "__gone", "__lines")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines. Edges: see ``dedup_lines``."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
