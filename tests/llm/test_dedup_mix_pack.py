@@ -99,15 +99,45 @@ def test_op10_matches_brute_force(spark, monkeypatch, block):
     rows = [(i, [float(x) for x in centers[min(i % 40, 24)] + rng.standard_normal(24) * rng.choice([0.1, 0.3, 0.5])]) for i in range(500)]
     rows += [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [1.0, None] * 12), (904, [float("inf")] + [0.0] * 23), (905, []),
              (906, [1.0, 2.0]), (907, [2.0, 4.0]), (908, rows[3][1]), (909, [1e-30 * x for x in rows[3][1]])]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
-    want = brute_vectors(rows)
+    rows += [rows[5], rows[5], (None, rows[5][1]), (None, None)]
+    df = spark.createDataFrame([(*r, "mine", "too") for r in rows], "vec_id long, embedding array<double>, n_links string, kept string")
+    every = embedding_dedup.near_duplicates(df).collect()
+    assert len(every) == len(rows) and [tuple(r) for r in every if r.vec_id is None] == [(None, 0, None, True)] * 2
+    assert len({tuple(r) for r in every if r.vec_id == 5}) == 1
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in every if r.vec_id is not None}
+    want = brute_vectors(dict((i, v) for i, v in rows if i is not None).items())
     assert got.keys() == want.keys()
     assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values())
     assert all(got[i][0] <= want[i][0] for i in want) and sum(got[i] != want[i] for i in want) <= 5
     assert embedding_dedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_op10_on_the_table(spark):
+    """The whole table, with near and exact copies of some of its vectors, against all pairs."""
+    table, rng = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding"), np.random.default_rng(8)
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    made = [(10**6 + 10 * k + c, [float(np.float32(a + e)) for a, e in zip(v, rng.normal(0, s, len(v)) * np.linalg.norm(v))])
+            for k, (_, v) in enumerate(rows[::9]) for c, s in enumerate((0, 0.02, 0.05, 0.06))]
+    got = embedding_dedup.near_duplicates(table.unionByName(spark.createDataFrame(made, table.schema))).collect()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    ids, x = [i for i, _ in rows + made], np.array([v for _, v in rows + made], dtype=float)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near, sets = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool), Sets(ids)
+    for a, b in zip(*np.nonzero(near)):
+        sets.join(ids[a], ids[b])
+    want = {i: (int(n), sets.find(i), sets.find(i) == i) for i, n in zip(ids, near.sum(axis=1))}
+    assert near.sum() > 1000 and got.keys() == want.keys() and all(got[i][0] <= want[i][0] for i in ids)
+    assert sum(g[0] for g in got.values()) >= 0.99 * near.sum() and sum(got[i] != want[i] for i in ids) <= 0.01 * len(ids)
+    assert embedding_dedup.op10_embedding_dedup(spark, "/root/testdata/sf0.1").count() == len(rows)
+
+
+def test_op10_codes_grow_without_end():
+    bits = [embedding_dedup.shape(n, 0.9, 0.0005)[0] for n in (10, 10**4, 10**9, 10**12)]
+    assert bits == sorted(bits) and bits[-1] > 30
+    planes, x = embedding_dedup.Planes(*embedding_dedup.shape(10**6, 0.9, 0.0005), 1), np.random.default_rng(0).standard_normal((5, 8))
+    assert (planes.codes(x)[:, :3] == planes.codes(x[:2], 3)[0]).any() and (planes.codes(x, 3) == planes.codes(x)[:, :3]).all()
+
+
 def test_op2_counts_follow_the_weights(spark):
     docs = documents(spark, [(i, "t") for i in range(3000)], "a").unionByName(documents(spark, [(i, None) for i in range(3000, 4000)], None))
     got = mix_sources(docs, {"a": 1.0}, size=6000)

@@ -2,10 +2,12 @@
 
 Each vector gets, in each table, the signs of its products with a few random hyperplanes as a code; vectors of one
 code are candidates. Codes are longer, and tables more, for more vectors, so that buckets of unrelated vectors stay
-small and a pair at the threshold is missed with a chance under ``miss``. Candidates are verified by exact cosine
-in double precision. A large bucket is cut into blocks, and pairs of blocks go to different tasks. A pair that
-met in an earlier table is not counted again: codes of all tables travel with a vector. A task returns a row per
-vector, not per pair: how many new links it has there, and one linked vector of least id that it reaches.
+small and a pair at the threshold is missed with a chance under ``miss``. Codes travel without their vectors until
+buckets of one row are gone; vectors then join the buckets that are left, many buckets to a task, one after another.
+Candidates are verified by exact cosine in double precision. A large bucket is cut into blocks, and pairs of blocks
+go to different tasks. A pair that met in an earlier table is not counted again: the codes of linked vectors are
+computed once more where they are needed. A bucket returns a row per vector, not per pair: how many new links it has
+there, and one linked vector of least id that it reaches.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, cut, table
+from .common import attach, components, cut, table
 
 THRESHOLD = 0.9
 MISS = 0.0005
@@ -30,79 +33,85 @@ BLOCK_ROWS = 1024
 
 def shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """Bits of a code and number of tables for n vectors."""
-    bits = min(24, max(4, round(math.log2(max(n, 1) / BUCKET_ROWS)) if n > BUCKET_ROWS else 4))
+    bits = max(4, round(math.log2(max(n, 1) / BUCKET_ROWS)) if n > BUCKET_ROWS else 4)
     agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
     tables = 1 if agree >= 1 else math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     return bits, max(1, tables)
 
 
-def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
+class Planes:
+    """Codes of unit vectors. The hyperplanes follow from the seed, so every task makes the same ones."""
 
+    def __init__(self, bits: int, tables: int, seed: int) -> None:
+        self.bits, self.tables, self.seed = bits, tables, seed
+        self.known: dict[int, np.ndarray] = {}
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, raw (its components as bytes): the vectors that can be compared."""
+    def codes(self, x: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """A row a vector, a column for each of the first ``tables`` tables."""
+        dim, tables = x.shape[1], self.tables if tables is None else tables
+        if dim not in self.known:
+            self.known[dim] = np.random.default_rng([self.seed, dim]).standard_normal((dim, self.bits * self.tables))
+        signs = (x @ self.known[dim][:, : self.bits * tables] > 0).reshape(len(x), tables, self.bits)
+        return signs @ (1 << np.arange(self.bits, dtype=np.int64))
+
+
+def unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length in double precision, scaled to length 1."""
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def comparable(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """vec_id, key (a hash), dim, raw (the components as bytes) of vectors that can be compared, each once; numpy's name of a component."""
+    e, kind = F.col("embedding"), "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            raw = [np.asarray(x, dtype="<f8").tobytes() for x in part["embedding"]]
+            raw = [np.asarray(x, dtype=kind).tobytes() for x in part["embedding"]]
             yield pd.DataFrame({"vec_id": part["vec_id"], "raw": raw})
 
-    e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = vectors.select(F.col("vec_id").cast("long"), "embedding").where(
         F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0)
     )
-    return good.mapInPandas(rows, "vec_id long, raw binary").dropDuplicates(["vec_id", "raw"])
+    units = good.mapInPandas(rows, "vec_id long, raw binary").withColumns({"key": F.xxhash64("raw"), "dim": F.length("raw")})
+    return units.dropDuplicates(["vec_id", "key"]), kind
 
 
-def coded(units: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """vec_id, raw, dim, codes (all tables, 4 bytes each) and code array<int>."""
+def coded(units: DataFrame, kind: str, planes: Planes) -> DataFrame:
+    """vec_id, key, dim, t, code: a row for each vector and table."""
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        known: dict[int, np.ndarray] = {}
         for part in parts:
-            dims = part["raw"].map(len).to_numpy() // 8
-            for dim in np.unique(dims):
-                few = part[dims == dim]
-                x = np.frombuffer(b"".join(few["raw"]), dtype="<f8").reshape(len(few), dim)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                if dim not in known:
-                    known[dim] = planes(int(dim), bits, tables, seed)
-                signs = (x @ known[dim] > 0).reshape(len(few), tables, bits)
-                code = (signs @ weights).astype("<i4")
-                yield pd.DataFrame(
-                    {"vec_id": few["vec_id"], "raw": few["raw"], "dim": np.int32(dim), "codes": [c.tobytes() for c in code], "code": list(code)}
-                )
-
-    return units.mapInPandas(rows, "vec_id long, raw binary, dim int, codes binary, code array<int>")
-
-
-def bucket_links(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Per vector of a bucket (or of two of its blocks): links that no earlier table found, and a vector it reaches."""
-    part = part.sort_values(["block", "vec_id"])
-    ids, blocks, at = part["vec_id"].to_numpy(), part["block"].to_numpy(), int(part["t"].iloc[0])
-    x = np.frombuffer(b"".join(part["raw"]), dtype="<f8").reshape(len(part), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    codes = np.frombuffer(b"".join(part["codes"]), dtype="<i4").reshape(len(part), -1)[:, :at]
-    split = len(ids) if part["i"].iloc[0] == part["j"].iloc[0] else int(np.searchsorted(blocks, part["j"].iloc[0]))
+            for dim, all_of_dim in part.groupby("dim"):
+                for at in range(0, len(all_of_dim), 1024):
+                    few = all_of_dim.iloc[at : at + 1024]
+                    code = planes.codes(unit(list(few["raw"]), kind))
+                    each = {c: np.repeat(few[c].to_numpy(), planes.tables) for c in ("vec_id", "key")}
+                    yield pd.DataFrame(each | {"dim": np.int32(dim), "t": np.tile(np.arange(planes.tables, dtype=np.int32), len(few)), "code": code.ravel()})
+
+    return units.mapInPandas(rows, "vec_id long, key long, dim int, t int, code long")
+
+
+def bucket_links(ids: np.ndarray, x: np.ndarray, split: int, at: int, planes: Planes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket in table ``at`` (or of two of its blocks, the second from ``split`` on), for the vectors with links
+    that no earlier table found: ids, number of such links, and the least id reached by them."""
     within = split == len(ids)
-    count = np.zeros(len(ids), dtype=np.int64)
-    root = np.arange(len(ids))
+    count, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     for lo in range(0, split, 256):
         hi = min(lo + 256, split)
         first = lo if within else split
         a, b = np.nonzero(x[lo:hi] @ x[first:].T >= threshold)
         a, b = a + lo, b + first
-        a, b = a[ids[a] != ids[b]], b[ids[a] != ids[b]]
-        if within:
-            a, b = a[a < b], b[a < b]
-        if at:
-            new = np.empty(len(a), dtype=bool)
+        keep = (ids[a] != ids[b]) & ((a < b) | (not within))
+        a, b = a[keep], b[keep]
+        if at and len(a):
+            linked, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+            codes, new = planes.codes(x[linked], at), np.empty(len(a), dtype=bool)
+            u, v = places[: len(a)], places[len(a) :]
             for k in range(0, len(a), 100_000):
-                new[k : k + 100_000] = ~(codes[a[k : k + 100_000]] == codes[b[k : k + 100_000]]).any(axis=1)
+                new[k : k + 100_000] = ~(codes[u[k : k + 100_000]] == codes[v[k : k + 100_000]]).any(axis=1)
             a, b = a[new], b[new]
         count += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
         if len(a):  # hook larger roots under smaller ones until each link's ends agree
@@ -113,35 +122,68 @@ def bucket_links(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
                 while (root != root[root]).any():
                     root = root[root]
-    hit = count > 0
-    low = pd.Series(ids).groupby(root).transform("min").to_numpy()
-    return pd.DataFrame({"vec_id": ids[hit], "n": count[hit], "to": low[hit]})
+    hit = np.flatnonzero(count)
+    low = ids.copy()
+    np.minimum.at(low, root[hit], ids[hit])
+    return ids[hit], count[hit], low[root[hit]]
+
+
+def found_links(dealt: DataFrame, kind: str, planes: Planes, threshold: float) -> DataFrame:
+    """vec_id, n, to for the rows of buckets: t, dim, code, i, j, block, vec_id, raw; buckets stand together and in order."""
+    key, out = ["t", "dim", "code", "i", "j"], ["vec_id", "n", "to"]
+
+    def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """rows: whole buckets."""
+        for _, same in rows.groupby("dim", sort=False):
+            x, ids, block = unit(list(same["raw"]), kind), same["vec_id"].to_numpy(), same["block"].to_numpy()
+            k = same[key].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1), [True])))
+            got = []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    t, _, _, i, j = k[lo].tolist()
+                    split = hi - lo if i == j else int(np.searchsorted(block[lo:hi], j))
+                    got.append(bucket_links(ids[lo:hi], x[lo:hi], split, t, planes, threshold))
+            if got:
+                yield pd.DataFrame(dict(zip(out, map(np.concatenate, zip(*got, strict=True)), strict=True)))
+
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last bucket so far, which may go on
+        for part in parts:
+            rows = part if held is None else pd.concat([held, part], ignore_index=True)
+            last = (rows[key] == rows[key].iloc[-1]).all(axis=1).to_numpy() if len(rows) else np.zeros(0, dtype=bool)
+            yield from links(rows[~last])
+            held = rows[last]
+        if held is not None:
+            yield from links(held)
+
+    placed = dealt.repartition(*key).sortWithinPartitions(*key, "block")
+    return placed.select(*key, "block", "vec_id", "raw").mapInPandas(stream, "vec_id long, n long, to long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, seed: int = SEED) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept.
+    """Per row of vectors: vec_id, n_links, component_id, kept.
 
     vectors: vec_id, embedding (array of float or double); other columns are ignored. Linked: two vectors of
     different ids and equal length with a cosine of at least ``threshold``. Vectors that are null, empty, zero or
     hold null or non-finite components are linked with nothing. n_links is the number of other vectors linked
     directly; component_id the least vec_id reachable; kept: that is its own. Rows that repeat an id and vector
-    are one vector; vectors that share an id are counted together, as one vector. A row without an id has
-    null as component and is kept. An empty vectors gives no rows.
+    count as one vector and each get its result; vectors that share an id are counted together, as one vector. Each
+    row without an id has no link, a null component, and is kept. An empty vectors gives no rows.
     """
-    units = cut(unit_vectors(vectors))
-    bits, tables = shape(units.count(), threshold, miss)
-    posts = coded(units, bits, tables, seed).select("vec_id", "raw", "dim", "codes", F.posexplode("code").alias("t", "code"))
-    key = ["t", "dim", "code"]
-    posts = cut(posts.select("vec_id", "raw", "codes", *key))
-    sizes = posts.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    dealt = posts.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("blocks")))
+    units, kind = comparable(vectors)
+    units = cut(units)
+    planes = Planes(*shape(units.count(), threshold, miss), seed)
+    posts = cut(coded(units, kind, planes))
+    sized = attach(posts, ["t", "dim", "code"], "vec_id", {"rows": (F.sum, F.lit(1))}).where("rows > 1")
+    dealt = sized.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("blocks")))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("vec_id", "raw", "codes", *key, "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    found = cut(dealt.groupBy(*key, "i", "j").applyInPandas(lambda part: bucket_links(part, threshold), "vec_id long, n long, to long"))
+    dealt = dealt.select("vec_id", "key", "t", "dim", "code", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    found = cut(found_links(dealt.join(units.drop("dim"), ["vec_id", "key"]), kind, planes, threshold))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     groups = components(found.where(F.col("vec_id") != F.col("to")), "vec_id", "to").withColumnRenamed("node", "vec_id")
-    ids = vectors.select(F.col("vec_id").cast("long")).distinct()
-    result = ids.join(counts, "vec_id", "left").join(groups, "vec_id", "left")
+    rows = vectors.select(F.col("vec_id").cast("long"))
+    result = rows.join(counts, "vec_id", "left").join(groups, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return result.select(
         "vec_id",
@@ -152,4 +194,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings. Edges: see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
