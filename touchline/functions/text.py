@@ -27,6 +27,38 @@ def name(text: Column) -> Column:
     return F.when(fits, bare)
 
 
+def has_digit(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{Nd}"), F.lit(False))
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def shown(value: Column, placeholder: str = "—") -> Column:
+    """value as a text, or what is shown where it is missing or blank."""
+    as_text = value.cast("string")
+    return F.when(F.coalesce(F.length(F.trim(as_text)) > 0, F.lit(False)), as_text).otherwise(placeholder)
+
+
+def payload_readings(payload: Column) -> Column:
+    """array<struct<text, score>> of what a reader returned as JSON, whichever shape it has, scores cut to 0..1.
+
+    Shapes: an object, or objects in lists, with rec_texts and rec_scores or texts and scores, as they are or under res; a
+    pair [text, score]; [box, [text, score]]; and lists of these to any depth. A text or score without partner is left out.
+    """
+    one = r'"(?:[^"\\]|\\.)*+"'
+    many = rf'\[(?:[^\]"]|{one})*+\]'
+    lists = lambda name, kind: F.flatten(F.transform(F.regexp_extract_all(payload, F.lit(rf'"(?:rec_)?{name}"\s*:\s*({many})'), F.lit(1)), lambda x: F.from_json(x, f"array<{kind}>")))
+    listed = F.zip_with(lists("texts", "string"), lists("scores", "double"), lambda t, s: F.struct(t.alias("text"), s.alias("score")))
+    pairs = F.regexp_extract_all(payload, F.lit(rf"\[\s*({one}\s*,\s*-?[0-9.eE+-]+)\s*\]"), F.lit(1))
+    pair = lambda x: F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")
+    paired = F.transform(pairs, lambda x: F.struct(F.get(pair(x), F.lit(0)).alias("text"), F.get(pair(x), F.lit(1)).cast("double").alias("score")))
+    found = F.when(F.size(listed) > 0, listed).otherwise(paired)
+    whole = F.filter(found, lambda x: x["text"].isNotNull() & x["score"].isNotNull())
+    return F.transform(whole, lambda x: F.struct(x["text"].alias("text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["score"])).alias("score")))
+
+
 def clock(frame: Column, fps: float) -> Column:
     """mm:ss of a frame, cut to whole seconds."""
     seconds = F.floor(frame / F.greatest(F.lit(fps), F.lit(1.0))).cast("long")

@@ -6,24 +6,26 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.colour import rgb_to_hex
 
 SEED = 7
+STARTS = 10
 
 
-def calibrate_teams(samples: DataFrame, seed: int = SEED) -> DataFrame:
+def calibrate_teams(samples: DataFrame, seed: int = SEED, starts: int = STARTS, least: int = 2) -> DataFrame:
     """Two kit colours of samples (b, g, r, area, sample_id), and the sample nearest each, the larger of equal ones.
 
-    Clusters are numbered by their centre's red, then green, then blue. Fewer than two samples, or one colour
-    only, are refused.
+    Of ``starts`` clusterings from different seeds the one with the least sum of squares counts. Clusters are numbered
+    by their centre's red, then green, then blue. Fewer than ``least`` samples, or one colour only, are refused.
     """
-    rows = VectorAssembler(inputCols=["b", "g", "r"], outputCol="__v").transform(samples)
-    if len(rows.select("b", "g", "r").distinct().take(2)) < 2:
-        raise ValueError("two different colours are needed to tell teams apart")
-    model = KMeans(k=2, seed=seed, featuresCol="__v", predictionCol="__c", initMode="k-means||").fit(rows)
+    rows = VectorAssembler(inputCols=["b", "g", "r"], outputCol="__v").transform(samples).cache()
+    if len(rows.take(least)) < least or len(rows.select("b", "g", "r").distinct().take(2)) < 2:
+        raise ValueError(f"{least} samples and two different colours are needed to tell teams apart")
+    models = [KMeans(k=2, seed=seed + k, featuresCol="__v", predictionCol="__c", initMode="k-means||").fit(rows) for k in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     centers = sorted(enumerate(model.clusterCenters()), key=lambda x: tuple(x[1][::-1]))
     table = samples.sparkSession.createDataFrame(
         [(old, new, *map(float, np.clip(c, 0, 255))) for new, (old, c) in enumerate(centers)], "__c int, cluster_id int, cb double, cg double, cr double"
@@ -84,8 +86,21 @@ def random_weights(inputs: int, hidden: int = 32, classes: int = 3, seed: int =
     return {k: rng.normal(0, 0.1, s) for k, s in shapes.items()}
 
 
-def event_scores(sequence: Column, weights: dict[str, np.ndarray]) -> Column:
-    """Class probabilities of feature windows under a recurrent network (input, forget, cell, output gates)."""
+def save_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
+    """A row an array: name, shape, values."""
+    rows = [(k, list(w.shape), [float(x) for x in w.ravel()]) for k, w in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
+def event_scores(sequence: Column, weights: dict[str, np.ndarray], separate: bool = False) -> Column:
+    """Class probabilities of feature windows under a recurrent network (input, forget, cell, output gates).
+
+    They sum to 1, or with ``separate`` each class has its own.
+    """
     hidden = weights["wh"].shape[0]
 
     @F.pandas_udf("array<double>")
@@ -101,6 +116,8 @@ def event_scores(sequence: Column, weights: dict[str, np.ndarray]) -> Column:
             c = sig(f) * c + sig(i) * np.tanh(g)
             h = sig(o) * np.tanh(c)
         z = h @ weights["wo"] + weights["bo"]
+        if separate:
+            return pd.Series(list(1 / (1 + np.exp(-z))))
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ def eligible(detected: DataFrame, present: DataFrame, goal: float = 0.5, other:
     return rows.where(fits).select(*detected.columns)
 
 
+def accepted(detected: DataFrame, types: Sequence[str] = ("goal", "foul")) -> DataFrame:
+    """Detected events of the given types; others are passed over."""
+    return detected.where(F.col("event").isin(*types))
+
+
 def spaced(frames: Column, cooldown: int, start: int = START) -> Column:
     """Of frames in order, those at least ``cooldown`` after the last one taken."""
     first = F.struct(F.lit(start).cast("long").alias("last"), F.array().cast("array<bigint>").alias("taken"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
+from touchline.operators.identity import team_as_of
 
 REACH = 70.0
 LOOKBACK = 180
@@ -28,16 +29,14 @@ def team_slot(track_id: Column) -> Column:
     return F.when(track_id % 11 == 0, 0).otherwise(1 + track_id % 2).cast("int")
 
 
-def possession(nearest: DataFrame, teams: DataFrame) -> DataFrame:
-    """Touches with the toucher's team at that time; 0 and unknown_team where it is not known."""
-    rows = nearest.where(F.col("track_id") >= 0).join(teams, ["match_id", "track_id"], "left")
-    return rows.withColumns(
-        {"team_id": F.coalesce("team_id", F.lit(0)), "team_name": F.coalesce(F.nullif("team_name", F.lit("")), F.lit("unknown_team"))}
-    )
+def possession(nearest: DataFrame, known: DataFrame) -> DataFrame:
+    """Touches with the toucher's team at that time; 0 and unknown_team where it is not known by then. known: see ``identity.team_as_of``."""
+    return team_as_of(nearest.where(F.col("track_id") >= 0), known)
 
 
-def touches_before(goals: DataFrame, touches: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
-    """Each goal with the touches of the lookback frames up to it: an equi-join on buckets, then the exact band.
+def touches_before(goals: DataFrame, touches: DataFrame, lookback: int = LOOKBACK, how: str = "inner") -> DataFrame:
+    """Each goal with the touches of the lookback frames up to it, as a struct, null where a left join finds none: an
+    equi-join on buckets, then the exact band.
 
     goals: match_id, goal_frame. A goal falls in its bucket of ``lookback`` + 1 frames and the one before; a touch
     in its own; so both sides stay hash-partitioned and no row meets more than two buckets.
@@ -46,19 +45,29 @@ def touches_before(goals: DataFrame, touches: DataFrame, lookback: int = LOOKBAC
     own = F.floor(F.col("goal_frame") / width)
     g = goals.withColumn("__bucket", F.explode(F.array(own, own - 1)))
     t = touches.withColumn("__bucket", F.floor(F.col("frame_num") / width))
-    return g.join(t, ["match_id", "__bucket"]).where(F.col("frame_num").between(F.col("goal_frame") - lookback, F.col("goal_frame"))).drop("__bucket")
-
-
-def last_touch(goals: DataFrame, touches: DataFrame, lookback: int = LOOKBACK, recent: int = RECENT) -> DataFrame:
-    """The last touch before each goal, and the share of the toucher among the last touches; goals without are absent."""
-    order = Window.partitionBy("match_id", "goal_frame").orderBy(F.desc("frame_num"))
-    rows = touches_before(goals.select("match_id", "goal_frame"), touches, lookback)
-    rows = rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= recent)
-    rows = rows.withColumn("__last", F.first("track_id").over(order))
-    same = F.avg((F.col("track_id") == F.col("__last")).cast("double"))
-    last = F.max(F.struct("frame_num", "track_id")).alias("m")
-    found = rows.groupBy("match_id", "goal_frame").agg(last, F.bround(same, 3).alias("possession_confidence"))
-    return found.select("match_id", "goal_frame", "m.track_id", F.col("m.frame_num").alias("last_touch_frame"), "possession_confidence")
+    rows = g.join(t.select("match_id", "__bucket", F.struct("frame_num", "track_id").alias("touch")), ["match_id", "__bucket"], how)
+    near = F.col("touch.frame_num").between(F.col("goal_frame") - lookback, F.col("goal_frame"))
+    rows = rows.withColumn("touch", F.when(near, F.col("touch"))).drop("__bucket")
+    return rows if how == "left" else rows.where("touch is not null")
+
+
+def last_touch(goals: DataFrame, touches: DataFrame, lookback: int = LOOKBACK, recent: int = RECENT, all_goals: bool = False) -> DataFrame:
+    """The last touch before each goal, and the share of the toucher among the last touches.
+
+    Goals without a touch are absent, or with ``all_goals`` there with nulls. A goal gathers its touches, which are at most
+    one a frame of the lookback.
+    """
+    rows = touches_before(goals.select("match_id", "goal_frame"), touches.select("match_id", "frame_num", "track_id"), lookback, "left" if all_goals else "inner")
+    found = rows.groupBy("match_id", "goal_frame").agg(F.sort_array(F.collect_list("touch"), asc=False).alias("t"))
+    last, few = F.get("t", F.lit(0)), F.slice("t", 1, recent)
+    same = F.try_divide(F.size(F.filter(few, lambda x: x["track_id"] == last["track_id"])), F.size(few))
+    return found.select("match_id", "goal_frame", last["track_id"].alias("track_id"), last["frame_num"].alias("last_touch_frame"), F.bround(same, 3).alias("possession_confidence"))
+
+
+def ring(samples: DataFrame, keep: int = 600) -> DataFrame:
+    """The last samples of every match."""
+    order = Window.partitionBy("match_id").orderBy(F.desc("frame_num"), F.desc("track_id"))
+    return samples.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= keep).drop("__k")
 
 
 def ball_control(frames: DataFrame, touches: DataFrame) -> DataFrame:

@@ -21,6 +21,19 @@ def remap_classes(detections: DataFrame, classes: Sequence[str], least: float =
     return sure.withColumn("object_class", F.when(keeper, F.lit("player")).otherwise(F.col("object_class")))
 
 
+def split_classes(detections: DataFrame, classes: Sequence[str], least: float = 0.1) -> dict[str, DataFrame]:
+    """players, referees and ball of the detections, goalkeepers among the players; the ball is the last one of a frame."""
+    rows = remap_classes(detections, classes, least)
+    kind = lambda name: rows.where(F.col("object_class") == name)
+    return {"players": kind("player"), "referees": kind("referee"), "ball": last_ball(kind("ball"), least)}
+
+
+def number_frames(frames: DataFrame, order: str) -> DataFrame:
+    """frames with frame_num, from 0 without gaps in every match, by the column ``order``, which is left out."""
+    number = F.row_number().over(Window.partitionBy("match_id").orderBy(order)) - 1
+    return frames.withColumn("frame_num", number.cast("long")).drop(order)
+
+
 def last_ball(detections: DataFrame, least: float = 0.1) -> DataFrame:
     """One ball a frame: the last that was detected."""
     box = F.struct("x1", "y1", "x2", "y2")
@@ -28,16 +41,22 @@ def last_ball(detections: DataFrame, least: float = 0.1) -> DataFrame:
     return best.select("match_id", "frame_num", F.lit(1).alias("track_id"), "b.*")
 
 
+def pair_points(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Feature points of a frame before and after, by index. old, new: match_id, frame_num, feature_idx, x, y."""
+    key = ["match_id", "frame_num", "feature_idx"]
+    return old.withColumnsRenamed({"x": "old_x", "y": "old_y"}).join(new.withColumnsRenamed({"x": "new_x", "y": "new_y"}), key)
+
+
 def camera_movement(pairs: DataFrame, least: float = 5.0) -> DataFrame:
-    """(frame_num, dx, dy): the largest displacement of a feature point, the first of equal ones; small ones are 0."""
-    moved = pairs.select("frame_num", "feature_idx", (F.col("old_x") - F.col("new_x")).alias("dx"), (F.col("old_y") - F.col("new_y")).alias("dy"))
+    """(match_id, frame_num, dx, dy): the largest displacement of a feature point, the first of equal ones; small ones are 0."""
+    moved = pairs.select("match_id", "frame_num", "feature_idx", (F.col("old_x") - F.col("new_x")).alias("dx"), (F.col("old_y") - F.col("new_y")).alias("dy"))
     far = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    top = moved.groupBy("frame_num").agg(F.max(F.struct(far.alias("far"), (-F.col("feature_idx")).alias("k"), "dx", "dy")).alias("m"))
+    top = moved.groupBy("match_id", "frame_num").agg(F.max(F.struct(far.alias("far"), (-F.col("feature_idx")).alias("k"), "dx", "dy")).alias("m"))
     keep = lambda c: F.when(F.col("m.far") > least, F.col(f"m.{c}")).otherwise(0.0).alias(c)
-    return top.select("frame_num", keep("dx"), keep("dy"))
+    return top.select("match_id", "frame_num", keep("dx"), keep("dy"))
 
 
-def adjust_positions(positions: DataFrame, movement: DataFrame, keys: Sequence[str] = ("frame_num",)) -> DataFrame:
+def adjust_positions(positions: DataFrame, movement: DataFrame, keys: Sequence[str] = ("match_id", "frame_num")) -> DataFrame:
     """px, py less the camera's movement in that frame."""
     moved = positions.join(movement, list(keys), "left")
     return moved.withColumns(
@@ -48,10 +67,11 @@ def adjust_positions(positions: DataFrame, movement: DataFrame, keys: Sequence[s
 def interpolate(frames: DataFrame, seen: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row a frame: values between sightings on a line, before the first and after the last held constant."""
     rows = frames.select("match_id", "frame_num").distinct().join(seen, ["match_id", "frame_num"], "left")
-    order = Window.partitionBy("match_id").orderBy("frame_num")
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # Both windows start at an end of the match and grow, so each row is looked at once; the later one runs backwards.
+    match = Window.partitionBy("match_id")
+    before, after = (match.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("frame_num", F.desc("frame_num")))
     point = F.when(F.col(columns[0]).isNotNull(), F.struct("frame_num", *columns))
-    rows = rows.withColumns({"__p": F.last(point, ignorenulls=True).over(before), "__n": F.first(point, ignorenulls=True).over(after)})
+    rows = rows.withColumns({"__p": F.last(point, ignorenulls=True).over(before), "__n": F.last(point, ignorenulls=True).over(after)})
     share = F.try_divide(F.col("frame_num") - F.col("__p.frame_num"), F.col("__n.frame_num") - F.col("__p.frame_num"))
 
     def value(c: str):
@@ -69,7 +89,7 @@ def speed_distance(positions: DataFrame, frames: DataFrame, window: int = 5, fps
     """
     last = frames.groupBy("match_id").agg((F.max("frame_num")).alias("last_frame"))
     known = positions.where("x is not null and y is not null")
-    start = known.where(F.col("frame_num") % window == 0).join(F.broadcast(last), "match_id")  # a row a match
+    start = known.where(F.col("frame_num") % window == 0).join(last, "match_id")
     start = start.withColumn("end_frame", F.least(F.col("frame_num") + window, F.col("last_frame"))).where("end_frame > frame_num")
     ends = known.select("match_id", "track_id", F.col("frame_num").alias("end_frame"), F.col("x").alias("ex"), F.col("y").alias("ey"))
     spans = start.join(ends, ["match_id", "track_id", "end_frame"])
@@ -121,6 +141,12 @@ def feature_windows(features: DataFrame, length: int = 10) -> DataFrame:
     return rows.where(F.size("sequence") == length).drop("embedding")
 
 
+def movement_labels(movement: DataFrame) -> DataFrame:
+    """What an overlay says of the camera in each frame."""
+    shown = lambda axis, v: F.concat(F.lit(f"Camera Movement {axis}: "), F.format_string("%.2f", v))
+    return movement.select("match_id", "frame_num", shown("X", F.col("dx")).alias("x_text"), shown("Y", F.col("dy")).alias("y_text"))
+
+
 def annotations(tracks: DataFrame) -> DataFrame:
     """Where an overlay would be drawn: ellipse at the feet, marker above the head, label box."""
     cx, _ = geo.center()

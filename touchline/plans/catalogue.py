@@ -8,15 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.functions import colour, text
+from touchline.functions import checks, colour, text
 from touchline.functions import geometry as geo
-from touchline.operators import calibrate
+from touchline.operators import boundary, calibrate
 from touchline.operators import events as ev
 from touchline.operators import identity as idn
 from touchline.operators import possession as pos
 from touchline.operators import store
 from touchline.operators import tracking as tr
-from touchline.sources.tables import adapt, read, shared_folder
+from touchline.sources.tables import adapt, read, shared_folder, staged
 from touchline.streaming import stateful as st
 
 KITS = {1: (70.0, 70.0, 180.0), 2: (180.0, 70.0, 70.0)}
@@ -37,11 +37,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return read(self.spark, self.sf_dir, name)
 
+    def known_teams(self) -> DataFrame:
+        """Since when each track's team is known, with its name; a team's id within a match is its slot."""
+        names = self.plays.join(self.teams, "team_id").select("match_id", F.col("team_slot").alias("team_id"), "team_name")
+        return idn.first_known(self.team_frames).join(names, ["match_id", "team_id"], "left")
+
     def touches(self) -> DataFrame:
-        slots = self.tracks.select("match_id", "track_id").distinct().withColumn("slot", pos.team_slot(F.col("track_id")))
-        names = self.plays.join(self.teams, "team_id").select("match_id", F.col("team_slot").alias("slot"), "team_name")
-        teams = slots.join(names, ["match_id", "slot"], "left").select("match_id", "track_id", F.col("slot").alias("team_id"), "team_name")
-        return pos.possession(pos.nearest_player(self.tracks, self.ball), teams)
+        return pos.possession(pos.nearest_player(self.tracks, self.ball), self.known_teams())
 
     def confirmed(self) -> DataFrame:
         return ev.with_cooldown(ev.eligible(self.detected_events, ev.presence(self.tracks, self.ball)))
@@ -58,14 +60,41 @@ class Tables:
     def shirt(self, kind: str) -> DataFrame:
         return idn.consensus(idn.readings(self.ocr_candidates, kind))
 
+    def placed_goals(self) -> DataFrame:
+        """All goals with the scorer, where there is one, and the scorer's team as of the goal."""
+        rows = pos.last_touch(self.goals(), self.touches(), all_goals=True)
+        return idn.team_as_of(rows, self.known_teams(), "goal_frame")
+
     def named_scorers(self) -> DataFrame:
-        """Scorers with team, number and name; goals without a touch keep nulls."""
-        number = self.shirt("number").select("match_id", "track_id", F.col("value").alias("jersey_number"), F.col("confidence").alias("jersey_confidence"))
-        name = self.shirt("name").select("match_id", "track_id", F.col("value").alias("player_name"), F.col("confidence").alias("name_confidence"))
-        slots = self.plays.join(self.teams, "team_id").select("match_id", "team_slot", "team_name")
-        rows = self.goals().join(self.scorers(), ["match_id", "goal_frame"], "left").withColumn("team_slot", pos.team_slot(F.col("track_id")))
-        rows = rows.join(number, ["match_id", "track_id"], "left").join(name, ["match_id", "track_id"], "left").join(slots, ["match_id", "team_slot"], "left")
-        return rows.withColumn("team_name", F.coalesce("team_name", F.lit("unknown_team")))
+        """All goals with the scorer's team, number and name as of the goal; without a touch they keep nulls."""
+        goals = staged(self.placed_goals())
+        best = tr.crops_as_of(goals.where("track_id is not null").select("match_id", "goal_frame", "track_id"), tr.scored_crops(self.crops))
+        read = idn.readings_as_of(goals, self.ocr_candidates, best)
+        key = ["match_id", "goal_frame"]
+        for kind, value, sure in (("number", "jersey_number", "jersey_confidence"), ("name", "player_name", "name_confidence")):
+            found = idn.consensus(idn.readings(read, kind), by=key)
+            goals = goals.join(found.select(*key, F.col("value").alias(value), F.col("confidence").alias(sure)), key, "left")
+        return goals
+
+    def stored(self) -> dict[str, DataFrame]:
+        """What storing all matches adds to the store."""
+        plays = self.plays.withColumn("play_id", F.col("match_id") * 2 + F.col("team_slot"))
+        scorers = self.named_scorers().withColumnRenamed("goal_frame", "frame_num").drop("team_id")
+        detected = self.confirmed().drop("confidence").join(scorers.withColumn("event", F.lit("goal")), ["match_id", "frame_num", "event"], "left")
+        return store.stored_match(self.matches(), plays, self.teams, self.players(), staged(detected), FPS)
+
+    def players(self) -> DataFrame:
+        s = self.read("supplier").where("s_acctbal > 4500")
+        return s.groupBy(F.col("s_nationkey").cast("long").alias("team_id"), (F.col("s_suppkey") % 100).cast("int").alias("jersey_no")).agg(
+            F.min("s_suppkey").alias("player_id"), F.min(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("")).alias("name"))
+
+    def jobs(self) -> DataFrame:
+        done = F.col("status") == "completed"
+        return self.matches().select(
+            F.concat(F.lit("job-"), F.col("match_id").cast("string")).alias("job_id"), "status",
+            F.when(done, F.lit("Analysis complete")).otherwise(F.lit("Analysis failed")).alias("stage"), F.when(done, 100).alias("progress_percent"),
+            F.when(~done, F.lit("no ball")).alias("error"), F.when(done, F.col("match_id")).alias("result"),
+        )
 
     def pitch_positions(self) -> DataFrame:
         x, y = geo.project(F.col("ax"), F.col("ay"))
@@ -74,8 +103,10 @@ class Tables:
     def adjusted(self) -> DataFrame:
         px, py = geo.foot()
         rows = self.tracks.select("match_id", "track_id", "frame_num", px.alias("px"), py.alias("py"))
-        move = tr.camera_movement(self.feature_pairs)
-        return tr.adjust_positions(rows, move.withColumns({"match_id": F.lit(0).cast("long"), "frame_num": F.col("frame_num")}), ["match_id", "frame_num"])
+        return tr.adjust_positions(rows, self.movement())
+
+    def movement(self) -> DataFrame:
+        return tr.camera_movement(tr.pair_points(self.old_points, self.new_points))
 
     def occurrences(self) -> DataFrame:
         """Two records for some goals: the later one counts."""
@@ -125,9 +156,31 @@ def ball_last_detection(t):
     return tr.last_ball(t.ball_detections)
 
 
+@query
+def class_split(t):
+    """Players, referees and the ball of the detections, as one table."""
+    balls = t.ball_detections.withColumns({"track_id": F.col("det_order"), "object_class": F.lit("ball")})
+    rows = t.detections.withColumn("det_order", F.col("track_id")).unionByName(balls)
+    parts = tr.split_classes(rows, ["player", "goalkeeper", "referee", "ball"])
+    one = [d.select(F.lit(k).alias("part"), "match_id", "frame_num", F.col("track_id").cast("long"), "x1", "y2") for k, d in parts.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
 @query
 def camera_movement_argmax(t):
-    return tr.camera_movement(t.feature_pairs)
+    return t.movement()
+
+
+@query
+def movement_labels(t):
+    return tr.movement_labels(t.movement().withColumns({k: F.round(k, 2) for k in ("dx", "dy")}))
+
+
+@query
+def frame_numbers(t):
+    """Frames numbered by the time of the orders behind them."""
+    o = t.read("orders").select(F.floor(F.col("o_orderkey") / 1000).cast("long").alias("match_id"), "o_orderkey")
+    return tr.number_frames(o.withColumn("at", F.col("o_orderkey")), "at")
 
 
 @query
@@ -249,6 +302,19 @@ def feature_window(t):
     return rows.select("match_id", "frame_num", F.size("sequence").alias("steps"), F.round(total(F.col("sequence")[0]), 4).alias("first_sum"), F.round(total(F.col("sequence")[9]), 4).alias("last_sum"))
 
 
+@query
+def feature_fixed(t):
+    """Vectors of 64 values cut to 40 and filled up to 80."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    cut, filled = (boundary.fixed_width(F.col("embedding"), n) for n in (40, 80))
+    return t.features.select("match_id", "frame_num", *[F.size(v).alias(f"n_{k}") for k, v in (("cut", cut), ("filled", filled))], F.round(total(cut), 4).alias("cut_sum"), F.round(total(filled), 4).alias("filled_sum"))
+
+
+@query
+def event_types(t):
+    return ev.accepted(t.detected_events)
+
+
 @query
 def event_thresholds(t):
     return ev.eligible(t.detected_events, ev.presence(t.tracks, t.ball))
@@ -307,14 +373,26 @@ def name_consensus(t):
 
 @query
 def ocr_payload_flatten(t):
-    """Payloads as an engine returns them, [{"res": {"rec_texts": [..], "rec_scores": [..]}}], to rows."""
-    c = t.ocr_candidates
-    scores = F.array(F.round("confidence", 2), F.round("crop_quality", 2))
-    made = F.to_json(F.array(F.struct(F.struct(F.array("text", F.col("text")).alias("rec_texts"), scores.alias("rec_scores")).alias("res"))))
-    payloads = c.select("match_id", "frame_num", made.alias("payload"))
-    parsed = payloads.withColumn("p", F.from_json("payload", "array<struct<res:struct<rec_texts:array<string>,rec_scores:array<double>>>>"))
-    pages = parsed.select("match_id", "frame_num", F.explode("p.res").alias("res"))
-    return pages.select("match_id", "frame_num", F.posexplode(F.arrays_zip("res.rec_texts", "res.rec_scores")).alias("item", "z")).select("match_id", "frame_num", "item", F.col("z.rec_texts").alias("text"), F.col("z.rec_scores").alias("score"))
+    """Payloads in the five shapes that engines return, by frame, to rows."""
+    text_of = F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
+    one, two = (F.round(c, 2).cast("string") for c in ("confidence", "crop_quality"))
+    pair = lambda score: F.concat(F.lit("["), text_of, F.lit(", "), score, F.lit("]"))
+    boxed = lambda score: F.concat(F.lit("[[[1, 2], [3, 4]], "), pair(score), F.lit("]"))
+    lists = F.concat(F.lit("["), text_of, F.lit(", "), text_of, F.lit('], "%s": ['), one, F.lit(", "), two, F.lit("]"))
+    shape = F.col("frame_num") % 5
+    payload = (
+        F.when(shape == 0, F.concat(F.lit('[{"res": {"rec_texts": '), F.replace(lists, F.lit("%s"), F.lit("rec_scores")), F.lit("}}]")))
+        .when(shape == 1, F.concat(F.lit('{"texts": '), F.replace(lists, F.lit("%s"), F.lit("scores")), F.lit("}")))
+        .when(shape == 2, pair(one)).when(shape == 3, boxed(one)).otherwise(F.concat(F.lit("[["), boxed(one), F.lit(", "), boxed(two), F.lit("]]")))
+    )
+    rows = t.ocr_candidates.select("match_id", "frame_num", F.posexplode(text.payload_readings(payload)).alias("item", "z"))
+    return rows.select("match_id", "frame_num", "item", "z.text", "z.score")
+
+
+@query
+def text_kinds(t):
+    c = F.col("text")
+    return t.ocr_candidates.select("match_id", "frame_num", "track_id", "text", text.has_digit(c).alias("digit"), text.has_letter(c).alias("letter"))
 
 
 @query
@@ -344,7 +422,7 @@ def time_mss_rounded(t):
 
 @query
 def score_sheet(t):
-    goals = t.scorers().withColumn("team_slot", pos.team_slot(F.col("track_id")))
+    goals = t.placed_goals().select("match_id", "goal_frame", F.col("team_id").alias("team_slot"))
     return ev.score_sheet(t.plays, goals).join(t.teams, "team_id").select("match_id", "team_slot", "team_name", "score")
 
 
@@ -354,6 +432,48 @@ def scorer_list(t):
     return t.named_scorers().select(*cols)
 
 
+@query
+def scorers_shown(t):
+    """The scorers as a page shows them, with what stands for a missing number or name."""
+    number, name = text.shown(F.col("jersey_number")), text.shown(F.col("player_name"), "Name not confirmed")
+    return t.named_scorers().select("match_id", "goal_frame", number.alias("number"), name.alias("name"))
+
+
+@query
+def possession_ring(t):
+    return pos.ring(t.touches()).select("match_id", "frame_num", "track_id")
+
+
+@query
+def stored_plays(t):
+    return t.stored()["plays"].select("play_id", "match_id", "team_id", "score")
+
+
+@query
+def stored_events(t):
+    return t.stored()["events"].withColumn("time_seconds", F.round("time_seconds", 6))
+
+
+@query
+def stored_occurrences(t):
+    return t.stored()["occurrences"].drop("start_time", "end_time", "jersey_confidence", "name_confidence")
+
+
+@query
+def stored_players(t):
+    return t.stored()["players"]
+
+
+@query
+def match_object(t):
+    """What the object of a match holds: how many entities of each kind, its teams, its goals, and what its events say."""
+    o = store.match_objects(t.stored(), t.teams.withColumn("primary_color", F.lit("#000000")))
+    told = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
+    sizes = [F.greatest(F.coalesce(F.size(k), F.lit(0)), F.lit(0)).alias(f"n_{k.lower()}") for k in ("teams", "play", "events", "occurBy", "players")]
+    score = F.coalesce(F.aggregate("play", F.lit(0).cast("long"), lambda s, x: s + x["score"]), F.lit(0))
+    return o.select("match_id", *sizes, told("teams", lambda x: x["teamName"]).alias("team_names"), score.alias("goals"), told("events", lambda x: x["description"]).alias("descriptions"))
+
+
 @query
 def sample_frames(t):
     return tr.sample_frames(t.frames)
@@ -393,19 +513,61 @@ def team_upsert(t):
 @query
 def player_upsert(t):
     s = t.read("supplier")
-    players = s.where("s_suppkey <= 50").groupBy(F.col("s_nationkey").alias("team_id"), (F.col("s_suppkey") % 100).cast("int").alias("jersey_no")).agg(
-        F.min("s_suppkey").alias("player_id"), F.min(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("")).alias("name"))
-    seen = s.select(F.col("s_nationkey").alias("team_id"), (F.col("s_suppkey") % 100).cast("int").alias("jersey_no"), F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("event_id"))
-    return store.upsert_players(players, seen)
+    seen = s.select(F.col("s_nationkey").cast("long").alias("team_id"), (F.col("s_suppkey") % 100).cast("int").alias("jersey_no"), F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("event_id"))
+    return store.upsert_players(t.players(), seen)
 
 
 @query
 def register_dedupe(t):
+    return store.registrable(*people(t))
+
+
+def people(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers with a good balance as users, and all of them as requests."""
     c = t.read("customer")
     person = lambda n: [n.alias("username"), F.concat(F.lit("mail"), (F.col("c_custkey") % 997).cast("string"), F.lit("@example.com")).alias("email")]
-    users = c.where("c_custkey <= 100").select(*person(F.lower("c_name")))
-    wanted = c.select(F.col("c_custkey").alias("request_id"), *person(F.col("c_name")))
-    return store.registrable(users, wanted)
+    users = c.where("c_acctbal > 4500").select(F.col("c_custkey").alias("user_id"), *person(F.lower("c_name")))
+    return users, c.select(F.col("c_custkey").alias("request_id"), *person(F.col("c_name")))
+
+
+@query
+def register_rows(t):
+    """New users with their log rows."""
+    fresh, log = store.register(*people(t), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    return fresh.join(log, "user_id")
+
+
+@query
+def login_status(t):
+    users, wanted = people(t)
+    attempts = wanted.select("request_id", F.upper("email").alias("email"), (F.col("request_id") % 3 > 0).alias("verified"))
+    first = users.groupBy("email").agg(F.min("user_id").alias("user_id"))
+    return store.login(first, attempts, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))[0].select("request_id", "user_id", "status")
+
+
+@query
+def registration_check(t):
+    """Which requests would be refused, and why: names, emails and passwords of several kinds."""
+    c, k = t.read("customer"), F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.substring("c_name", 1, 1)).otherwise(F.col("c_name"))
+    email = F.when(k % 7 == 0, F.col("c_name")).otherwise(F.concat(F.col("c_name"), F.lit("@example.com")))
+    password = F.repeat(F.lit("x"), (k % 140).cast("int"))
+    return c.select("c_custkey", checks.registration(name, F.regexp_replace(email, "[ #]", "."), password).alias("reason"))
+
+
+@query
+def team_names_check(t):
+    n, r = t.read("nation"), t.read("region").select("r_regionkey", "r_name")
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    one = F.when(F.col("n_nationkey") % 6 == 0, F.concat(F.lit(" "), F.lower("r_name"))).otherwise(F.col("n_name"))
+    return rows.select("n_nationkey", checks.team_names(one, F.col("r_name")).alias("reason"))
+
+
+@query
+def upload_status(t):
+    pages = t.read("pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 4 == 0, ".txt").otherwise(".MP4")).alias("file_name"))
+    size = F.col("page_id") * 100_000_000
+    return pages.select("page_id", checks.upload(F.col("file_name"), size, text.is_video(F.col("file_name"))).alias("status"))
 
 
 @query
@@ -417,8 +579,14 @@ def video_suffix_filter(t):
 
 @query
 def job_status(t):
-    rows = t.matches().withColumn("progress", F.when(F.col("status") == "completed", 100).otherwise(12))
-    return rows.select(F.col("match_id").alias("jobId"), "status", "progress", (F.col("status") == "completed").alias("hasResult"))
+    return store.job_status(t.jobs())
+
+
+@query
+def job_results(t):
+    """Results asked for: of every match, and of as many jobs that are not there."""
+    ids = t.jobs().select("job_id")
+    return store.job_results(ids.unionByName(ids.select(F.concat("job_id", F.lit("x")).alias("job_id"))), t.jobs())
 
 
 @query
@@ -426,19 +594,20 @@ def match_config_check(t):
     """Which colours and names would be refused as team settings."""
     n = t.read("nation")
     value = F.when(F.col("n_nationkey") % 4 == 0, F.lit("blue")).otherwise(F.concat(F.lit("#"), F.lpad(F.col("n_nationkey").cast("string"), 6, "0")))
-    ok = value.rlike("^#?[0-9A-Fa-f]{6}$") & (F.length(F.trim("n_name")) > 0) & F.col("n_regionkey").isin(1, 2)
-    return n.select("n_nationkey", value.alias("color"), F.col("n_regionkey").alias("team_id"), ok.alias("valid"))
+    reason = checks.team_setting(F.col("n_regionkey"), F.col("n_name"), colour.hex_to_rgb(value))
+    return n.select("n_nationkey", value.alias("color"), F.col("n_regionkey").alias("team_id"), reason.alias("reason"))
 
 
 @query
 def identity_snapshot(t):
     sure = t.ocr_candidates.where("confidence >= 0.5")
-    return idn.snapshot(sure, tr.top_crops(tr.scored_crops(t.crops)))
+    rows = idn.snapshot(sure, tr.top_crops(tr.scored_crops(t.crops)), t.known_teams(), t.shirt("number"), t.shirt("name"))
+    return rows.withColumns({k: F.array_join(k, "|") for k in ("jersey_candidates", "name_candidates")})
 
 
 @query
 def team_calibration(t):
-    samples = t.player_colors.select("b", "g", "r", (F.col("frame_num") % 50 + 40).alias("area"), F.col("frame_num").alias("sample_id"))
+    samples = t.player_colors.select("b", "g", "r", (F.col("frame_num") % 50 + 40).alias("area"), (F.col("match_id") * 100 + F.col("frame_num")).alias("sample_id"))
     return calibrate.calibrate_teams(samples)
 
 
@@ -451,8 +620,8 @@ def kit_color_udf(t):
     shirt, ground = pixel(channel("b"), channel("g"), channel("r")), F.lit("1EC81E")
     line = F.concat(F.repeat(ground, 2), F.repeat(shirt, 6), F.repeat(ground, 2))
     image = F.unhex(F.concat(F.repeat(ground, 10), F.repeat(line, 6)))
-    rows = c.select("frame_num", "track_id", calibrate.kit_colour(image, F.lit(7), F.lit(10)).alias("k"))
-    return rows.select("frame_num", "track_id", *[F.round(f"k.{x}", 4).alias(x) for x in "bgr"])
+    rows = c.select("match_id", "frame_num", "track_id", calibrate.kit_colour(image, F.lit(7), F.lit(10)).alias("k"))
+    return rows.select("match_id", "frame_num", "track_id", *[F.round(f"k.{x}", 4).alias(x) for x in "bgr"])
 
 
 @query
@@ -494,6 +663,21 @@ def stream_last_touch(t):
     return streamed(t, touches.unionByName(goals), st.stream_last_touch)
 
 
+@query
+def stream_goal_crops(t):
+    crops = tr.scored_crops(t.crops).select("match_id", "frame_num", "track_id", "score", "quality")
+    none = F.lit(None).cast("double")
+    goals = t.scorers().select("match_id", F.col("goal_frame").alias("frame_num"), "track_id", none.alias("score"), none.alias("quality"))
+    return streamed(t, crops.unionByName(goals), st.stream_goal_crops)
+
+
+@query
+def stream_feature_windows(t):
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    rows = streamed(t, t.features, st.stream_feature_windows)
+    return rows.select("match_id", "frame_num", F.size("sequence").alias("steps"), F.round(total(F.col("sequence")[0]), 4).alias("first_sum"), F.round(total(F.col("sequence")[9]), 4).alias("last_sum"))
+
+
 @query
 def stream_sticky_team(t):
     return streamed(t, t.kits().select("match_id", "frame_num", "track_id", "team_id"), st.sticky_teams)

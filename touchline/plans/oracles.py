@@ -44,19 +44,23 @@ def _spaced(source: str, cooldown: int, by: str, name: str) -> str:
 
 
 VIEWS = {k: f"{k} AS ({_plain(v)})" for k, v in ADAPTERS.items()}
-for _k in ("detections",):
-    VIEWS[_k] = VIEWS[_k].replace("(tracks) t", "tracks t")
+for _k in ("detections", "team_frames", "feature_pairs"):
+    VIEWS[_k] = re.sub(r"\((tracks|old_points|new_points)\) ", r"\1 ", VIEWS[_k])
 VIEWS |= {
-    "player_colors": "player_colors AS (SELECT CAST(0 AS BIGINT) AS match_id, vec_id % 22 + 1 AS track_id, vec_id AS frame_num, "
+    "player_colors": "player_colors AS (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 22 + 1 AS track_id, vec_id % 100 AS frame_num, "
     + ", ".join(f"floor((CAST(embedding[{k}] AS DOUBLE) + 5e-1) * 255) AS {c}" for k, c in ((1, "b"), (2, "g"), (3, "r"))) + " FROM embeddings)",
     "nearest": """nearest AS (SELECT match_id, frame_num, track_id, distance FROM (
  SELECT *, row_number() OVER (PARTITION BY match_id, frame_num ORDER BY distance, track_id) AS k FROM (
   SELECT t.match_id, t.frame_num, t.track_id, least(sqrt((t.x1-bx)*(t.x1-bx)+(t.y2-by_)*(t.y2-by_)), sqrt((t.x2-bx)*(t.x2-bx)+(t.y2-by_)*(t.y2-by_))) AS distance
   FROM tracks t JOIN (SELECT match_id, frame_num, trunc((x1+x2)/2) AS bx, trunc((y1+y2)/2) AS by_ FROM ball) b USING (match_id, frame_num)) WHERE distance < 70) WHERE k = 1)""",
     "named_plays": "named_plays AS (SELECT match_id, team_slot, team_name FROM plays JOIN teams USING (team_id))",
-    "touches": """touches AS (SELECT n.match_id, n.frame_num, n.track_id, n.distance, slot AS team_id, coalesce(team_name, 'unknown_team') AS team_name
- FROM (SELECT *, CASE WHEN track_id % 11 = 0 THEN 0 ELSE CAST(1 + track_id % 2 AS INT) END AS slot FROM nearest) n
- LEFT JOIN named_plays p ON p.match_id = n.match_id AND p.team_slot = n.slot)""",
+    "team_state": """team_state AS (SELECT match_id, track_id, frame_num, CAST(coalesce(first_value(CASE WHEN team_id <> 0 THEN team_id END IGNORE NULLS) OVER w, 0) AS INT) AS slot FROM team_frames
+ WINDOW w AS (PARTITION BY match_id, track_id ORDER BY frame_num ROWS UNBOUNDED PRECEDING))""",
+    "touches": """touches AS (SELECT n.match_id, n.frame_num, n.track_id, n.distance, CAST(coalesce(s.slot, 0) AS INT) AS team_id, coalesce(team_name, 'unknown_team') AS team_name
+ FROM nearest n LEFT JOIN team_state s ON s.match_id = n.match_id AND s.track_id = n.track_id AND s.frame_num = n.frame_num
+ LEFT JOIN named_plays p ON p.match_id = n.match_id AND p.team_slot = s.slot)""",
+    "goal_state": """goal_state AS (SELECT g.match_id, g.goal_frame, arg_max(s.slot, s.frame_num) AS slot FROM scorers g
+ JOIN team_state s ON s.match_id = g.match_id AND s.track_id = g.track_id AND s.frame_num <= g.goal_frame GROUP BY g.match_id, g.goal_frame)""",
     "present": """present AS (SELECT match_id, frame_num, coalesce(players, 0) AS players, coalesce(has_ball, false) AS has_ball
  FROM (SELECT match_id, frame_num, count(DISTINCT track_id) AS players FROM tracks GROUP BY ALL)
  FULL JOIN (SELECT DISTINCT match_id, frame_num, true AS has_ball FROM ball) USING (match_id, frame_num))""",
@@ -77,15 +81,14 @@ VIEWS |= {
     " FROM labs c, kit_labs p, kit_labs q WHERE p.track_id = 1 AND q.track_id = 2))",
     "crops_scored": """crops_scored AS (SELECT *, quality + 0.25 * rear_facing_score AS score FROM (SELECT *,
  round_even(greatest(0, least(1, 0.45*least(1, h*w/12000) + 0.35*least(1, sharpness/180) + 0.20*rear_facing_score)), 3) AS quality FROM crops))""",
-    "number_values": """number_values AS (SELECT *, unnest(list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) <= 2), lambda x: CAST(x AS INT))) AS value FROM ocr_candidates)""",
-    "name_values": """name_values AS (SELECT * FROM (SELECT *, trim(regexp_replace(regexp_replace(upper(text), '[^A-Z ''\\-]', ' ', 'g'), ' +', ' ', 'g')) AS value FROM ocr_candidates)
- WHERE regexp_full_match(value, '[A-Z][A-Z ''\\-]{2,23}') AND len(list_filter(string_split(value, ' '), lambda w: w NOT IN ('GOAL','TEAM','PLAYER','SCORE','SPORT','LIVE','MATCH','HOME','AWAY'))) > 0)""",
-    "moves": """moves AS (SELECT frame_num, CASE WHEN far > 5 THEN dx ELSE 0 END AS dx, CASE WHEN far > 5 THEN dy ELSE 0 END AS dy FROM (
- SELECT *, row_number() OVER (PARTITION BY frame_num ORDER BY far DESC, feature_idx) AS k FROM (
-  SELECT frame_num, feature_idx, old_x-new_x AS dx, old_y-new_y AS dy, sqrt((old_x-new_x)*(old_x-new_x)+(old_y-new_y)*(old_y-new_y)) AS far FROM feature_pairs)) WHERE k = 1)""",
+    "goal_readings": """goal_readings AS (SELECT g.match_id, g.goal_frame, o.frame_num, o.text, o.confidence, g.quality AS crop_quality FROM goal_crops g
+ JOIN ocr_candidates o ON o.match_id = g.match_id AND o.track_id = g.track_id AND o.frame_num = g.crop_frame)""",
+    "moves": """moves AS (SELECT match_id, frame_num, CASE WHEN far > 5 THEN dx ELSE 0 END AS dx, CASE WHEN far > 5 THEN dy ELSE 0 END AS dy FROM (
+ SELECT *, row_number() OVER (PARTITION BY match_id, frame_num ORDER BY far DESC, feature_idx) AS k FROM (
+  SELECT match_id, frame_num, feature_idx, old_x-new_x AS dx, old_y-new_y AS dy, sqrt((old_x-new_x)*(old_x-new_x)+(old_y-new_y)*(old_y-new_y)) AS far FROM feature_pairs)) WHERE k = 1)""",
     "adjusted": """adjusted AS (SELECT match_id, track_id, frame_num, px, py, px - coalesce(dx, 0) AS ax, py - coalesce(dy, 0) AS ay FROM (
  SELECT match_id, track_id, frame_num, CAST(trunc((x1+x2)/2) AS INT) AS px, CAST(trunc(y2) AS INT) AS py FROM tracks) t
- LEFT JOIN (SELECT CAST(0 AS BIGINT) AS match_id, * FROM moves) m USING (match_id, frame_num))""",
+ LEFT JOIN moves m USING (match_id, frame_num))""",
     "on_pitch": f"on_pitch AS (SELECT *, {_INSIDE} AS inside FROM adjusted)",
     "projected": f"""projected AS (SELECT match_id, track_id, frame_num,
  CASE WHEN inside THEN (CAST({_H[0]!r} AS DOUBLE)*ax + CAST({_H[1]!r} AS DOUBLE)*ay + CAST({_H[2]!r} AS DOUBLE)) / (CAST({_H[6]!r} AS DOUBLE)*ax + CAST({_H[7]!r} AS DOUBLE)*ay + 1) END AS x,
@@ -111,24 +114,45 @@ for _name, _source in (("labs", "player_colors"), ("kit_labs", "(SELECT 0 AS mat
         f"500*({_F('x')} - {_F('y')}) AS a, 200*({_F('y')} - {_F('z')}) AS lab_b FROM (SELECT match_id, track_id, frame_num, {_XYZ} FROM "
         f"(SELECT match_id, track_id, frame_num, {_lab('', 'r', 'g', 'b')} FROM {_source})))"
     )
-for _kind in ("number", "name"):
-    VIEWS[f"{_kind}_consensus"] = f"""{_kind}_consensus AS (SELECT match_id, track_id, CASE WHEN sure THEN value END AS value, CASE WHEN sure THEN round_even(average, 3) ELSE average END AS confidence, support FROM (
+_VALUES = {
+    "number": """SELECT *, unnest(list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) <= 2), lambda x: CAST(x AS INT))) AS value FROM {source}""",
+    "name": """SELECT * FROM (SELECT *, trim(regexp_replace(regexp_replace(upper(text), '[^A-Z ''\\-]', ' ', 'g'), ' +', ' ', 'g')) AS value FROM {source})
+ WHERE regexp_full_match(value, '[A-Z][A-Z ''\\-]{{2,23}}') AND len(list_filter(string_split(value, ' '), lambda w: w NOT IN ('GOAL','TEAM','PLAYER','SCORE','SPORT','LIVE','MATCH','HOME','AWAY'))) > 0""",
+}
+for _kind, _name, _source, _by in [(k, k, "ocr_candidates", "match_id, track_id") for k in _VALUES] + [(k, f"goal_{k}", "goal_readings", "match_id, goal_frame") for k in _VALUES]:
+    VIEWS[f"{_name}_values"] = f"{_name}_values AS ({_VALUES[_kind].format(source=_source)})"
+    VIEWS[f"{_name}_consensus"] = f"""{_name}_consensus AS (SELECT {_by}, CASE WHEN sure THEN value END AS value, CASE WHEN sure THEN round_even(average, 3) ELSE average END AS confidence, support FROM (
  SELECT *, support >= 2 AND average >= 0.58 AND NOT coalesce(weight < 1.15 * next_weight, false) AS sure FROM (
   SELECT *, row_number() OVER w AS k, lead(weight) OVER w AS next_weight FROM (
-   SELECT match_id, track_id, value, round(sum(confidence*crop_quality), 9) AS weight, count(DISTINCT frame_num) AS support,
+   SELECT {_by}, value, round(sum(confidence*crop_quality), 9) AS weight, count(DISTINCT frame_num) AS support,
     round(sum(confidence*crop_quality) / greatest(sum(crop_quality), 1e-9), 9) AS average, min(frame_num) AS first_read
-   FROM {_kind}_values WHERE confidence >= 0.5 GROUP BY match_id, track_id, value)
-  WINDOW w AS (PARTITION BY match_id, track_id ORDER BY weight DESC, support DESC, average DESC, first_read, value)) WHERE k = 1))"""
+   FROM {_name}_values WHERE confidence >= 0.5 GROUP BY {_by}, value)
+  WINDOW w AS (PARTITION BY {_by} ORDER BY weight DESC, support DESC, average DESC, first_read, value)) WHERE k = 1))"""
 _GOAL = """CASE WHEN jersey_number IS NULL THEN 'GOAL — ' || team_name || ' — scorer number unavailable'
  WHEN length(trim(player_name)) > 0 THEN 'GOAL — ' || team_name || ' — #' || jersey_number || ' ' || player_name || ' scored'
  ELSE 'GOAL — ' || team_name || ' — #' || jersey_number || ' scored' END"""
 VIEWS["named_scorers"] = f"""named_scorers AS (SELECT *, {_GOAL} AS g FROM (
- SELECT g.match_id, g.goal_frame, s.track_id, coalesce(p.team_name, 'unknown_team') AS team_name, n.value AS jersey_number, n.confidence AS jersey_confidence,
+ SELECT g.match_id, g.goal_frame, s.track_id, s.last_touch_frame, coalesce(p.team_name, 'unknown_team') AS team_name, n.value AS jersey_number, n.confidence AS jersey_confidence,
   m.value AS player_name, m.confidence AS name_confidence, s.possession_confidence
  FROM goals g LEFT JOIN scorers s USING (match_id, goal_frame)
- LEFT JOIN number_consensus n ON n.match_id = g.match_id AND n.track_id = s.track_id
- LEFT JOIN name_consensus m ON m.match_id = g.match_id AND m.track_id = s.track_id
- LEFT JOIN named_plays p ON p.match_id = g.match_id AND p.team_slot = CASE WHEN s.track_id % 11 = 0 THEN 0 ELSE 1 + s.track_id % 2 END))"""
+ LEFT JOIN goal_number_consensus n ON n.match_id = g.match_id AND n.goal_frame = g.goal_frame
+ LEFT JOIN goal_name_consensus m ON m.match_id = g.match_id AND m.goal_frame = g.goal_frame
+ LEFT JOIN goal_state t ON t.match_id = g.match_id AND t.goal_frame = g.goal_frame
+ LEFT JOIN named_plays p ON p.match_id = g.match_id AND p.team_slot = t.slot))"""
+VIEWS |= {
+    "players": """players AS (SELECT CAST(s_nationkey AS BIGINT) AS team_id, CAST(s_suppkey % 100 AS INT) AS jersey_no, min(s_suppkey) AS player_id, min(CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END) AS name
+ FROM supplier WHERE s_acctbal > 4500 GROUP BY ALL)""",
+    "numbered_plays": "numbered_plays AS (SELECT match_id * 2 + team_slot AS play_id, match_id, team_id, team_name FROM plays JOIN teams USING (team_id))",
+    "told": """told AS (SELECT c.match_id * 1000000 + c.frame_num AS event_id, c.match_id, c.frame_num, c.event, s.track_id, s.team_name, s.jersey_number, s.player_name, s.g, p.play_id, p.team_id FROM confirmed c
+ LEFT JOIN named_scorers s ON c.event = 'goal' AND s.match_id = c.match_id AND s.goal_frame = c.frame_num LEFT JOIN numbered_plays p ON p.match_id = c.match_id AND p.team_name = s.team_name)""",
+    "seen_players": """seen_players AS (SELECT team_id, jersey_number AS jersey_no, arg_min(player_name, event_id) FILTER (player_name IS NOT NULL) AS name FROM told WHERE jersey_number IS NOT NULL AND team_id IS NOT NULL GROUP BY ALL)""",
+    "kept_players": """kept_players AS (SELECT player_id, team_id, jersey_no, coalesce(nullif(p.name, ''), f.name) AS name FROM players p LEFT JOIN seen_players f USING (team_id, jersey_no)
+ UNION ALL SELECT (SELECT max(player_id) FROM players) + row_number() OVER (ORDER BY substr(md5(team_id || '/' || jersey_no), 1, 3), team_id, jersey_no), team_id, jersey_no, name FROM seen_players ANTI JOIN players USING (team_id, jersey_no))""",
+    "requests": "requests AS (SELECT c_custkey AS request_id, c_name AS username, 'mail' || (c_custkey % 997) || '@example.com' AS email, c_acctbal FROM customer)",
+    "free_requests": """free_requests AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS j FROM (
+ SELECT *, row_number() OVER (PARTITION BY lower(username) ORDER BY request_id) AS k FROM requests r WHERE NOT EXISTS (SELECT 1 FROM requests o WHERE o.c_acctbal > 4500 AND (lower(o.username) = lower(r.username) OR o.email = r.email)))
+ WHERE k = 1) WHERE j = 1)""",
+}
 VIEWS["occurrences"] = """occurrences AS (SELECT event_id, 2*event_id AS occurrence_id, track_id AS detected_track_id, jersey_number AS detected_jersey_no FROM (SELECT *, match_id*1000+goal_frame AS event_id FROM named_scorers)
  UNION ALL SELECT event_id, 2*event_id+1, track_id + 100, jersey_number FROM (SELECT *, match_id*1000+goal_frame AS event_id FROM named_scorers) WHERE event_id % 3 = 0)"""
 VIEWS["top_crops"] = """top_crops AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY match_id, track_id ORDER BY score DESC, frame_num DESC) AS INT) AS rank FROM crops_scored WHERE frame_num % 3 = 0) WHERE rank <= 16)"""
@@ -145,7 +169,11 @@ SELECTS = {
     "class_remap_split": "SELECT match_id, frame_num, track_id, replace(object_class, 'goalkeeper', 'player') AS object_class, confidence FROM detections WHERE confidence >= 0.1",
     "ball_last_detection": """SELECT match_id, frame_num, CAST(1 AS INT) AS track_id, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_num ORDER BY det_order DESC) AS k
  FROM ball_detections WHERE confidence >= 0.1) WHERE k = 1""",
-    "camera_movement_argmax": "SELECT frame_num, dx, dy FROM moves",
+    "class_split": """SELECT CASE object_class WHEN 'referee' THEN 'referees' ELSE 'players' END AS part, match_id, frame_num, track_id, x1, y2 FROM detections WHERE confidence >= 0.1
+ UNION ALL SELECT 'ball', match_id, frame_num, 1, arg_max(x1, det_order), arg_max(y2, det_order) FROM ball_detections WHERE confidence >= 0.1 GROUP BY match_id, frame_num""",
+    "camera_movement_argmax": "SELECT match_id, frame_num, dx, dy FROM moves",
+    "movement_labels": "SELECT match_id, frame_num, 'Camera Movement X: ' || printf('%.2f', round(dx, 2)) AS x_text, 'Camera Movement Y: ' || printf('%.2f', round(dy, 2)) AS y_text FROM moves",
+    "frame_numbers": "SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS match_id, o_orderkey, row_number() OVER (PARTITION BY CAST(floor(o_orderkey / 1000) AS BIGINT) ORDER BY o_orderkey) - 1 AS frame_num FROM orders",
     "camera_adjust": "SELECT match_id, frame_num, track_id, px, py, ax, ay FROM adjusted",
     "point_in_pitch": "SELECT match_id, track_id, frame_num, inside FROM on_pitch",
     "homography_project": "SELECT match_id, track_id, frame_num, round(x, 6) AS x, round(y, 6) AS y FROM projected",
@@ -183,8 +211,11 @@ SELECTS = {
  printf('%.2f', round(speed, 2)) || ' km/h' AS speed_text, printf('%.2f', round(distance, 2)) || ' m' AS distance_text FROM speeds JOIN tracks USING (match_id, track_id, frame_num)""",
     "annotations": """SELECT match_id, frame_num, track_id, cx AS ellipse_x, CAST(trunc(y2) AS INT) AS ellipse_y, CAST(trunc(x2-x1) AS INT) AS axis_x, CAST(trunc((x2-x1)*CAST(0.35 AS DOUBLE)) AS INT) AS axis_y, cx AS marker_x, ty AS marker_y,
  cx-10 AS marker_left, cx+10 AS marker_right, ty-20 AS marker_top, ty-24 AS label_y FROM (SELECT *, CAST(trunc((x1+x2)/2) AS INT) AS cx, CAST(trunc(y1) AS INT) AS ty FROM tracks)""",
-    "feature_window": """SELECT match_id, frame_num, CAST(10 AS INT) AS steps, round(first_sum, 4) AS first_sum, round(last_sum, 4) AS last_sum FROM (SELECT CAST(0 AS BIGINT) AS match_id, vec_id AS frame_num,
- lag(s, 9) OVER (ORDER BY vec_id) AS first_sum, s AS last_sum FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s FROM embeddings)) WHERE first_sum IS NOT NULL""",
+    "feature_window": """SELECT match_id, frame_num, CAST(10 AS INT) AS steps, round(first_sum, 4) AS first_sum, round(last_sum, 4) AS last_sum FROM (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num,
+ lag(s, 9) OVER (PARTITION BY floor(vec_id / 100) ORDER BY vec_id) AS first_sum, s AS last_sum FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s FROM embeddings)) WHERE first_sum IS NOT NULL""",
+    "feature_fixed": """SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num, CAST(40 AS INT) AS n_cut, CAST(80 AS INT) AS n_filled,
+ round(list_sum(list_transform(embedding[1:40], lambda x: CAST(x AS DOUBLE))), 4) AS cut_sum, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS filled_sum FROM embeddings""",
+    "event_types": "SELECT * FROM detected_events WHERE event IN ('goal', 'foul')",
     "event_thresholds": "SELECT * FROM eligible",
     "event_presence": "SELECT * FROM present",
     "event_cooldown": "SELECT * FROM confirmed",
@@ -197,16 +228,30 @@ SELECTS = {
     "jersey_consensus": "SELECT * FROM number_consensus",
     "name_consensus": "SELECT * FROM name_consensus",
     "ocr_payload_flatten": """SELECT match_id, frame_num, CAST(0 AS INT) AS item, text, round(confidence, 2) AS score FROM ocr_candidates
- UNION ALL SELECT match_id, frame_num, 1, text, round(crop_quality, 2) FROM ocr_candidates""",
+ UNION ALL SELECT match_id, frame_num, 1, text, round(crop_quality, 2) FROM ocr_candidates WHERE frame_num % 5 IN (0, 1, 4)""",
+    "text_kinds": "SELECT match_id, frame_num, track_id, text, regexp_matches(text, '[0-9]') AS digit, regexp_matches(text, '[A-Za-z]') AS letter FROM ocr_candidates",
     "goal_text": "SELECT match_id, goal_frame, g AS description FROM named_scorers",
     "match_summary_text": f"""SELECT c.match_id, c.frame_num, {_CLOCK('c.frame_num / 24')} || ' → ' || CASE WHEN event = 'goal' THEN g ELSE upper(event) END AS line,
  CASE WHEN event = 'goal' THEN g ELSE upper(event) || ' detected' END AS description, upper(substr(event, 1, 1)) || substr(event, 2) AS event_name
  FROM confirmed c LEFT JOIN named_scorers s ON s.match_id = c.match_id AND s.goal_frame = c.frame_num""",
     "time_mmss": f"SELECT match_id, frame_num, frame_num / 24 AS seconds, {_CLOCK('frame_num / 24')} AS clock FROM frames",
     "time_mss_rounded": f"""SELECT match_id, frame_num, CAST(s // 60 AS VARCHAR) || ':' || {_TWO('CAST(s % 60 AS VARCHAR)')} AS clock FROM (SELECT *, CAST(greatest(floor((frame_num - 24) / 24 + 0.5), 0) AS BIGINT) AS s FROM frames)""",
-    "score_sheet": """SELECT match_id, team_slot, team_name, count(goal_frame) AS score FROM named_plays p LEFT JOIN (SELECT match_id, goal_frame, CASE WHEN track_id % 11 = 0 THEN 0 ELSE 1 + track_id % 2 END AS team_slot FROM scorers) s
+    "score_sheet": """SELECT match_id, team_slot, team_name, count(goal_frame) AS score FROM named_plays p LEFT JOIN (SELECT match_id, goal_frame, slot AS team_slot FROM goal_state) s
  USING (match_id, team_slot) GROUP BY ALL""",
-    "scorer_list": "SELECT * EXCLUDE (g) FROM named_scorers",
+    "scorer_list": "SELECT * EXCLUDE (g, last_touch_frame) FROM named_scorers",
+    "scorers_shown": "SELECT match_id, goal_frame, coalesce(CAST(jersey_number AS VARCHAR), '—') AS number, coalesce(player_name, 'Name not confirmed') AS name FROM named_scorers",
+    "possession_ring": "SELECT match_id, frame_num, track_id FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame_num DESC, track_id DESC) AS k FROM touches) WHERE k <= 600",
+    "stored_plays": "SELECT play_id, match_id, team_id, count(frame_num) AS score FROM numbered_plays LEFT JOIN (SELECT play_id, frame_num FROM told WHERE event = 'goal') USING (play_id) GROUP BY ALL",
+    "stored_events": f"""SELECT event_id, match_id, event AS event_type, upper(substr(event, 1, 1)) || substr(event, 2) AS event_name,
+ CASE WHEN event = 'goal' THEN g ELSE upper(event) || ' detected' END AS description, round(frame_num / 24, 6) AS time_seconds FROM told""",
+    "stored_occurrences": """SELECT event_id AS occurrence_id, event_id, play_id, player_id, track_id AS detected_track_id, jersey_number AS detected_jersey_no, player_name AS detected_player_name,
+ coalesce(team_name, 'unknown_team') AS detected_team_name FROM told LEFT JOIN kept_players ON kept_players.team_id = told.team_id AND jersey_no = jersey_number""",
+    "stored_players": "SELECT player_id, team_id, jersey_no, name FROM kept_players",
+    "match_object": """SELECT match_id, CAST(coalesce(n_teams, 0) AS INT) AS n_teams, CAST(coalesce(n_play, 0) AS INT) AS n_play, CAST(coalesce(n_events, 0) AS INT) AS n_events, CAST(coalesce(n_events, 0) AS INT) AS n_occurby,
+ CAST(coalesce(n_players, 0) AS INT) AS n_players, coalesce(team_names, '') AS team_names, coalesce(goals, 0) AS goals, coalesce(descriptions, '') AS descriptions FROM matches
+ LEFT JOIN (SELECT match_id, count(DISTINCT team_id) AS n_teams, count(*) AS n_play, string_agg(team_name, '|' ORDER BY team_id) AS team_names FROM numbered_plays GROUP BY 1) USING (match_id)
+ LEFT JOIN (SELECT match_id, count(*) AS n_events, count(*) FILTER (event = 'goal' AND play_id IS NOT NULL) AS goals, string_agg(CASE WHEN event = 'goal' THEN g ELSE upper(event) || ' detected' END, '|' ORDER BY event_id) AS descriptions FROM told GROUP BY 1) USING (match_id)
+ LEFT JOIN (SELECT told.match_id, count(DISTINCT player_id) AS n_players FROM told JOIN kept_players ON kept_players.team_id = told.team_id AND jersey_no = jersey_number GROUP BY 1) USING (match_id)""",
     "sample_frames": """SELECT DISTINCT match_id, frame_num FROM (SELECT match_id, CAST(floor(i * least(greatest(n - 1, 0), 1125) / 11) AS BIGINT) AS frame_num FROM
  (SELECT match_id, count(*) AS n FROM frames GROUP BY match_id), (SELECT unnest(range(0, 12)) AS i)) JOIN frames USING (match_id, frame_num)""",
     "match_list": 'SELECT match_id AS "matchId", match_date AS "matchDate", user_id AS "userId", status FROM matches',
@@ -218,22 +263,38 @@ SELECTS = {
  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY occurrence_id DESC) AS k FROM occurrences) WHERE k = 1) o ON o.event_id = e.event_id""",
     "team_upsert": """WITH w AS (SELECT lower(n) AS k, min(n) AS n, max(c) AS c FROM (SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'Club ' || s_nationkey ELSE 'germany' END AS n, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE '#' || lpad(CAST(s_nationkey AS VARCHAR), 6, '0') END AS c FROM supplier) GROUP BY 1)
  SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team_name, coalesce(nullif(c, ''), '#000000') AS color FROM nation LEFT JOIN w ON k = lower(n_name)
- UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY k), n, c FROM w WHERE k NOT IN (SELECT lower(n_name) FROM nation)""",
-    "player_upsert": """WITH p AS (SELECT s_nationkey AS team_id, CAST(s_suppkey % 100 AS INT) AS jersey_no, min(s_suppkey) AS player_id, min(CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END) AS name FROM supplier WHERE s_suppkey <= 50 GROUP BY ALL),
- f AS (SELECT s_nationkey AS team_id, CAST(s_suppkey % 100 AS INT) AS jersey_no, 'P' || min(s_suppkey) AS name FROM supplier GROUP BY ALL)
+ UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY substr(md5(k), 1, 3), k), n, c FROM w WHERE k NOT IN (SELECT lower(n_name) FROM nation)""",
+    "player_upsert": """WITH p AS (SELECT * FROM players), f AS (SELECT CAST(s_nationkey AS BIGINT) AS team_id, CAST(s_suppkey % 100 AS INT) AS jersey_no, 'P' || min(s_suppkey) AS name FROM supplier GROUP BY ALL)
  SELECT player_id, team_id, jersey_no, coalesce(nullif(p.name, ''), f.name) AS name FROM p LEFT JOIN f USING (team_id, jersey_no)
- UNION ALL SELECT (SELECT max(player_id) FROM p) + row_number() OVER (ORDER BY team_id, jersey_no), team_id, jersey_no, name FROM f ANTI JOIN p USING (team_id, jersey_no)""",
-    "register_dedupe": """WITH u AS (SELECT c_custkey AS request_id, c_name AS username, 'mail' || (c_custkey % 997) || '@example.com' AS email FROM customer), old AS (SELECT lower(username) AS n, lower(email) AS e FROM u WHERE request_id <= 100),
- a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(username) ORDER BY request_id) AS k FROM u WHERE lower(username) NOT IN (SELECT n FROM old) AND lower(email) NOT IN (SELECT e FROM old)) WHERE k = 1)
- SELECT request_id, username, email FROM (SELECT request_id, username, email, row_number() OVER (PARTITION BY lower(email) ORDER BY request_id) AS k FROM a) WHERE k = 1""",
+ UNION ALL SELECT (SELECT max(player_id) FROM p) + row_number() OVER (ORDER BY substr(md5(team_id || '/' || jersey_no), 1, 3), team_id, jersey_no), team_id, jersey_no, name FROM f ANTI JOIN p USING (team_id, jersey_no)""",
+    "register_dedupe": "SELECT request_id, username, email FROM free_requests",
+    "register_rows": """SELECT (SELECT max(c_custkey) FROM customer WHERE c_acctbal > 4500) + row_number() OVER (ORDER BY substr(md5(email), 1, 3), email) AS user_id, username, email, 'register' AS action,
+ CAST('2020-01-01 00:00:00' AS TIMESTAMP) AS timestamp FROM free_requests""",
+    "login_status": """SELECT request_id, user_id, CAST(CASE WHEN user_id IS NOT NULL AND request_id % 3 > 0 THEN 200 ELSE 401 END AS INT) AS status FROM requests
+ LEFT JOIN (SELECT email, min(request_id) AS user_id FROM requests WHERE c_acctbal > 4500 GROUP BY email) USING (email)""",
+    "registration_check": """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'username' WHEN c_custkey % 7 = 0 THEN 'email' WHEN c_custkey % 140 < 6 OR c_custkey % 140 > 128 THEN 'password' END AS reason FROM customer""",
+    "team_names_check": "SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 OR n_name = r_name THEN 'same name' END AS reason FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "upload_status": "SELECT page_id, CAST(CASE WHEN page_id % 4 = 0 THEN 415 WHEN page_id * 100000000 > 2147483648 THEN 413 ELSE 202 END AS INT) AS status FROM pages",
     "video_suffix_filter": """SELECT page_id, file_name, suffix, suffix IN ('.mp4', '.mov', '.avi', '.mkv') AS accepted FROM (SELECT *, lower(regexp_extract(file_name, '(\\.[^./]+)$', 1)) AS suffix FROM (
  SELECT page_id, page_id || CASE page_id % 6 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MOV' WHEN 2 THEN '.avi' WHEN 3 THEN '.mkv' WHEN 4 THEN '.webm' ELSE '' END AS file_name FROM pages))""",
-    "job_status": """SELECT match_id AS "jobId", status, CAST(CASE WHEN status = 'completed' THEN 100 ELSE 12 END AS INT) AS progress, status = 'completed' AS "hasResult" FROM matches""",
-    "match_config_check": """SELECT n_nationkey, color, team_id, regexp_full_match(color, '#?[0-9A-Fa-f]{6}') AND length(trim(n_name)) > 0 AND team_id IN (1, 2) AS valid FROM (
+    "job_status": """SELECT 'job-' || match_id AS job_id, status, CASE WHEN status = 'completed' THEN 'Analysis complete' ELSE 'Analysis failed' END AS stage,
+ CAST(CASE WHEN status = 'completed' THEN 100 END AS INT) AS progress_percent, CAST(NULL AS VARCHAR) AS team_candidates, CASE WHEN status <> 'completed' THEN 'no ball' END AS error FROM matches""",
+    "job_results": """SELECT 'job-' || match_id AS job_id, CAST(CASE WHEN status = 'completed' THEN 200 ELSE 409 END AS INT) AS code, CASE WHEN status = 'completed' THEN match_id END AS result FROM matches
+ UNION ALL SELECT 'job-' || match_id || 'x', 404, NULL FROM matches""",
+    "match_config_check": """SELECT n_nationkey, color, team_id, CASE WHEN team_id NOT IN (1, 2) THEN 'team_id must be 1 or 2' WHEN length(trim(n_name)) = 0 THEN 'team name is empty'
+ WHEN NOT regexp_full_match(color, '#?[0-9A-Fa-f]{6}') THEN 'colour channels are 0 to 255' END AS reason FROM (
  SELECT *, n_regionkey AS team_id, CASE WHEN n_nationkey % 4 = 0 THEN 'blue' ELSE '#' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') END AS color FROM nation)""",
-    "identity_snapshot": """SELECT match_id, track_id, coalesce(crop_count, 0) AS crop_count, best_quality, CAST(coalesce(candidate_count, 0) AS INT) AS candidate_count, texts FROM
- (SELECT match_id, track_id, count(*) AS crop_count, max(quality) AS best_quality FROM top_crops GROUP BY ALL)
- FULL JOIN (SELECT match_id, track_id, count(*) AS candidate_count, string_agg(text, '|' ORDER BY frame_num, text) AS texts FROM ocr_candidates WHERE confidence >= 0.5 GROUP BY ALL) USING (match_id, track_id)""",
+    "identity_snapshot": """SELECT match_id, track_id, CAST(coalesce(slot, 0) AS INT) AS team_id, coalesce(team_name, 'unknown_team') AS team_name, coalesce(team_confidence, 0) AS team_confidence,
+ n.value AS jersey_number, n.confidence AS jersey_confidence, m.value AS player_name, m.confidence AS name_confidence, coalesce(crop_count, 0) AS crop_count,
+ coalesce(jersey_candidates, '') AS jersey_candidates, coalesce(name_candidates, '') AS name_candidates FROM
+ (SELECT match_id, track_id, count(*) AS crop_count FROM top_crops GROUP BY ALL)
+ FULL JOIN (SELECT match_id, track_id, string_agg(text, '|' ORDER BY frame_num, text) FILTER (regexp_matches(text, '[0-9]')) AS jersey_candidates,
+  string_agg(text, '|' ORDER BY frame_num, text) FILTER (regexp_matches(text, '[A-Za-z]')) AS name_candidates FROM ocr_candidates WHERE confidence >= 0.5 GROUP BY ALL) USING (match_id, track_id)
+ LEFT JOIN (SELECT match_id, track_id, arg_min(team_id, frame_num) AS slot, arg_min(team_confidence, frame_num) AS team_confidence FROM team_frames WHERE team_id <> 0 GROUP BY ALL) k USING (match_id, track_id)
+ LEFT JOIN (SELECT match_id, team_slot AS slot, team_name FROM named_plays) p USING (match_id, slot)
+ LEFT JOIN number_consensus n USING (match_id, track_id) LEFT JOIN name_consensus m USING (match_id, track_id)""",
+    "kit_color_udf": "SELECT match_id, frame_num, track_id, greatest(0, least(255, b)) AS b, greatest(0, least(255, g)) AS g, greatest(0, least(255, r)) AS r FROM player_colors",
+    "stream_goal_crops": "SELECT * FROM goal_crops",
     "stream_cooldown": "SELECT * FROM confirmed",
     "stream_last_touch": "SELECT * FROM scorers",
     "stream_sticky_team": "SELECT match_id, track_id, team_id, frame_num AS since FROM (SELECT *, row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame_num) AS k FROM kits WHERE team_id <> 0) WHERE k = 1",
@@ -259,4 +320,5 @@ def compose(select: str) -> str:
     return f"WITH RECURSIVE {body} {select}"
 
 
+SELECTS["stream_feature_windows"] = SELECTS["feature_window"]
 ORACLES = {k: compose(v) for k, v in SELECTS.items()}

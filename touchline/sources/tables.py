@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages"]
 
+#: Rows of embeddings that count as one match's.
+VECTORS = 100
 #: Query texts that Spark SQL and other engines run alike; {name} is a table.
 ADAPTERS = {
     "tracks": """
@@ -55,10 +58,20 @@ SELECT CAST(floor(event_id / 1000) AS BIGINT) AS match_id, CAST(floor(event_id %
  value AS x1, value + 1 AS y1, value + 16 AS x2, value + 17 AS y2, (event_id * 29) % 100 / 100 AS confidence
 FROM {events}""",
     "feature_pairs": """
-SELECT CAST(floor(a.event_id / 100) AS BIGINT) AS frame_num, a.event_id % 100 AS feature_idx,
- a.value AS old_x, CAST(CAST(regexp_extract(a.props, '([0-9]+)', 1) AS INT) AS DOUBLE) AS old_y,
- b.value AS new_x, CAST(CAST(regexp_extract(b.props, '([0-9]+)', 1) AS INT) AS DOUBLE) AS new_y
-FROM {events} a JOIN {events} b ON b.event_id = a.event_id + 1""",
+SELECT match_id, frame_num, feature_idx, o.x AS old_x, o.y AS old_y, n.x AS new_x, n.y AS new_y
+FROM ({old_points}) o JOIN ({new_points}) n USING (match_id, frame_num, feature_idx)""",
+    "old_points": """
+SELECT CAST(floor(event_id / 1000) AS BIGINT) AS match_id, CAST(floor(event_id % 1000 / 100) AS BIGINT) AS frame_num, event_id % 100 AS feature_idx,
+ value AS x, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS DOUBLE) AS y
+FROM {events}""",
+    "new_points": """
+SELECT CAST(floor((event_id - 1) / 1000) AS BIGINT) AS match_id, CAST(floor((event_id - 1) % 1000 / 100) AS BIGINT) AS frame_num, (event_id - 1) % 100 AS feature_idx,
+ value AS x, CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS DOUBLE) AS y
+FROM {events} WHERE event_id > 0""",
+    "team_frames": """
+SELECT match_id, track_id, frame_num, CAST(CASE WHEN track_id % 11 = 0 OR frame_num % 3 = 0 THEN 0 ELSE 1 + track_id % 2 END AS INT) AS team_id,
+ CAST(1 AS DOUBLE) - CAST(frame_num % 4 AS DOUBLE) / 8 AS team_confidence
+FROM ({tracks}) t""",
 }
 
 
@@ -71,20 +84,28 @@ def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "player_colors":
         channel = lambda k: F.floor((F.element_at("embedding", k).cast("double") + 0.5) * 255).cast("double")
         return read(spark, sf_dir, "embeddings").select(
-            F.lit(0).cast("long").alias("match_id"), (F.col("vec_id") % 22 + 1).alias("track_id"), F.col("vec_id").alias("frame_num"),
+            F.floor(F.col("vec_id") / VECTORS).alias("match_id"), (F.col("vec_id") % 22 + 1).alias("track_id"), (F.col("vec_id") % VECTORS).alias("frame_num"),
             channel(1).alias("b"), channel(2).alias("g"), channel(3).alias("r"),
         )
     if name == "features":
-        return read(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("match_id"), F.col("vec_id").alias("frame_num"), "embedding")
+        return read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / VECTORS).alias("match_id"), (F.col("vec_id") % VECTORS).alias("frame_num"), "embedding")
     sources = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(ADAPTERS[name].format(**sources, tracks=ADAPTERS["tracks"].format(**sources)))
+    within = {k: ADAPTERS[k].format(**sources) for k in ("tracks", "old_points", "new_points")}
+    return spark.sql(ADAPTERS[name].format(**sources, **within))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; where it is unset, a temporary one in local mode, else one beside the warehouse."""
+    """The folder that the session names for checkpoints. Where it is unset, a temporary one in local mode; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.split("[")[0] == "local":
         return tempfile.mkdtemp(prefix="tables-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tables"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: for what several parts of a plan need."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

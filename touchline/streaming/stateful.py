@@ -1,7 +1,8 @@
-"""Streaming counterparts of the stateful operators, keyed by match, exact for late rows up to the watermark.
+"""Streaming counterparts of the stateful operators, keyed by match (or track), exact for late rows up to the watermark.
 
-Rows wait in state until the watermark passes them, then are folded in frame order; what a fold keeps is one clock,
-or the touches of the lookback.
+Rows wait in state until the watermark passes them, so at most ``delay`` of a match waits, then are folded in frame order;
+what a fold keeps is one clock, the touches of the lookback, the best crops, or the last feature vectors. A key's state is
+removed once the watermark is ``IDLE_MS`` past its last row: by then the match is over, and rows that old are dropped.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,38 +27,46 @@ def with_time(frames: DataFrame, fps: float = 24.0, start: str = "2020-01-01 00:
     return frames.withColumn("ts", F.timestamp_micros(F.unix_micros(at) + (seconds * 1_000_000).cast("long")))
 
 
-def _run(df: DataFrame, delay: str, fold, out: str, state: str) -> DataFrame:
-    columns = [c for c in df.columns if c != "match_id"]
+#: Longer than any pause in a match.
+IDLE_MS = 6 * 3600 * 1000
+
+
+def _run(df: DataFrame, delay: str, fold, out: str, state: str, by: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    columns = [c for c in df.columns if c not in by]
+    ms = lambda row: row[columns.index("ts")] // 1_000_000  # noqa: E731  nanoseconds of a pandas time
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = held.get if held.exists else ([], [])
+        kept, waiting, last = held.get if held.exists else ([], [], 0)
         kept, waiting = [tuple(x) for x in kept], [tuple(x) for x in waiting]
         if not held.hasTimedOut:
             for part in parts:
-                waiting += [tuple(x) for x in part[columns].assign(ts=part["ts"].astype("int64")).itertuples(index=False, name=None)]
-        mark = held.getCurrentWatermarkMs()
-        scale = 1_000_000  # nanoseconds of a pandas time to milliseconds
-        ready = sorted(x for x in waiting if x[columns.index("ts")] / scale <= mark)
-        waiting = [x for x in waiting if x[columns.index("ts")] / scale > mark]
-        rows, kept = fold(key[0], ready, kept)
-        held.update((kept, waiting))
-        if waiting:
-            held.setTimeoutTimestamp(max(mark + 1, int(min(x[columns.index("ts")] for x in waiting) / scale) + 1))
+                rows = part[columns].assign(ts=part["ts"].astype("int64"))
+                waiting += [tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in x) for x in rows.itertuples(index=False, name=None)]
+        mark, last = held.getCurrentWatermarkMs(), max([last, *map(ms, waiting)])
+        ready = sorted(x for x in waiting if ms(x) <= mark)
+        waiting = [x for x in waiting if ms(x) > mark]
+        rows, kept = fold(key, ready, kept)
+        if not waiting and mark >= last + IDLE_MS:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((kept, waiting, last))
+            held.setTimeoutTimestamp(max(mark + 1, (min(map(ms, waiting)) if waiting else last + IDLE_MS) + 1))
         if len(rows):
             yield rows
 
-    return df.withWatermark("ts", delay).groupBy("match_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return df.withWatermark("ts", delay).groupBy(*by).applyInPandasWithState(step, out, f"{state}, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_cooldown(events: DataFrame, cooldown: int = COOLDOWN, delay: str = "10 seconds") -> DataFrame:
     """Confirmed events of a stream of eligible ones: match_id, frame_num, event, confidence, ts."""
 
-    def fold(match: int, ready: list[tuple], kept: list[tuple]):
+    def fold(key: tuple, ready: list[tuple], kept: list[tuple]):
         last, out = (kept[0][0] if kept else START), []
         for frame, event, confidence, _ in ready:
             if frame - last >= cooldown:
                 last = frame
-                out.append((match, frame, event, confidence))
+                out.append((*key, frame, event, confidence))
         return pd.DataFrame(out, columns=["match_id", "frame_num", "event", "confidence"]), [(last,)]
 
     rows = events.select("match_id", "frame_num", "event", "confidence", "ts")
@@ -67,7 +77,7 @@ def stream_cooldown(events: DataFrame, cooldown: int = COOLDOWN, delay: str = "1
 def stream_last_touch(rows: DataFrame, lookback: int = LOOKBACK, recent: int = RECENT, delay: str = "10 seconds") -> DataFrame:
     """Last touches of a stream of touches and goals: match_id, frame_num, track_id (null for a goal), ts."""
 
-    def fold(match: int, ready: list[tuple], kept: list[tuple]):
+    def fold(key: tuple, ready: list[tuple], kept: list[tuple]):
         out, touches = [], kept
         for frame, goal, track, _ in ready:  # of one frame, the touch comes before the goal
             touches = [t for t in touches if t[0] >= frame - lookback]
@@ -76,7 +86,7 @@ def stream_last_touch(rows: DataFrame, lookback: int = LOOKBACK, recent: int = R
             elif touches:
                 near = touches[-recent:]
                 share = round(sum(t[1] == near[-1][1] for t in near) / len(near), 3)
-                out.append((match, frame, near[-1][1], near[-1][0], share))
+                out.append((*key, frame, near[-1][1], near[-1][0], share))
         return pd.DataFrame(out, columns=["match_id", "goal_frame", "track_id", "last_touch_frame", "possession_confidence"]), touches
 
     rows = rows.select("match_id", "frame_num", F.col("track_id").isNull().alias("goal"), F.coalesce("track_id", F.lit(-1)).alias("track_id"), "ts")
@@ -88,15 +98,51 @@ def stream_last_touch(rows: DataFrame, lookback: int = LOOKBACK, recent: int = R
 def sticky_teams(rows: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """First known team of every track of a stream of match_id, frame_num, track_id, team_id, ts: a row a track."""
 
-    def fold(match: int, ready: list[tuple], kept: list[tuple]):
-        known = {t for (t,) in kept}
+    def fold(key: tuple, ready: list[tuple], kept: list[tuple]):
+        first = next(((frame, team) for frame, team, _ in ready if team), None) if not kept else None
+        out = [(*key, first[1], first[0])] if first else []
+        return pd.DataFrame(out, columns=["match_id", "track_id", "team_id", "since"]), kept or [(t,) for *_, t, _ in out]
+
+    rows = rows.select("match_id", "track_id", "frame_num", "team_id", "ts")
+    waiting = "array<struct<frame_num:bigint,team_id:int,ts:bigint>>"
+    out = "match_id long, track_id long, team_id int, since long"
+    return _run(rows, delay, fold, out, f"kept array<struct<team_id:int>>, waiting {waiting}", ("match_id", "track_id"))
+
+
+def stream_goal_crops(rows: DataFrame, keep: int = 16, read: int = 8, delay: str = "10 seconds") -> DataFrame:
+    """The identity store: best crops of the scorer as of each goal, from a stream of scored crops and goals.
+
+    rows: match_id, track_id, frame_num, score, quality (both null for a goal), ts. The best ``keep`` crops of a track are
+    kept, by score, then by the later frame.
+    """
+
+    def fold(key: tuple, ready: list[tuple], kept: list[tuple]):
+        out = []
+        for frame, goal, score, quality, _ in ready:  # of one frame, the crop comes before the goal
+            if not goal:
+                kept = sorted([*kept, (score, frame, quality)], reverse=True)[:keep]
+            else:
+                out += [(key[0], frame, key[1], k, crop, q) for k, (_, crop, q) in enumerate(kept[:read], 1)]
+        return pd.DataFrame(out, columns=["match_id", "goal_frame", "track_id", "rank", "crop_frame", "quality"]), kept
+
+    goal = F.col("score").isNull()
+    rows = rows.select("match_id", "track_id", "frame_num", goal.alias("goal"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("quality", F.lit(0.0)).alias("quality"), "ts")
+    waiting = "array<struct<frame_num:bigint,goal:boolean,score:double,quality:double,ts:bigint>>"
+    out = "match_id long, goal_frame long, track_id long, rank int, crop_frame long, quality double"
+    return _run(rows, delay, fold, out, f"kept array<struct<score:double,frame_num:bigint,quality:double>>, waiting {waiting}", ("match_id", "track_id"))
+
+
+def stream_feature_windows(rows: DataFrame, length: int = 10, delay: str = "10 seconds") -> DataFrame:
+    """The last ``length`` feature vectors of every frame that has so many; rows: match_id, frame_num, embedding, ts."""
+
+    def fold(key: tuple, ready: list[tuple], kept: list[tuple]):
         out = []
-        for frame, track, team, _ in ready:
-            if team and track not in known:
-                known.add(track)
-                out.append((match, track, team, frame))
-        return pd.DataFrame(out, columns=["match_id", "track_id", "team_id", "since"]), [(t,) for t in sorted(known)]
-
-    rows = rows.select("match_id", "frame_num", "track_id", "team_id", "ts")
-    waiting = "array<struct<frame_num:bigint,track_id:bigint,team_id:int,ts:bigint>>"
-    return _run(rows, delay, fold, "match_id long, track_id long, team_id int, since long", f"kept array<struct<track_id:bigint>>, waiting {waiting}")
+        for frame, vector, _ in ready:
+            kept = [*kept, (vector,)][-length:]
+            if len(kept) == length:
+                out.append((*key, frame, [v for (v,) in kept]))
+        return pd.DataFrame(out, columns=["match_id", "frame_num", "sequence"]), kept[-(length - 1) :]
+
+    rows = rows.select("match_id", "frame_num", "embedding", "ts")
+    waiting = "array<struct<frame_num:bigint,embedding:array<float>,ts:bigint>>"
+    return _run(rows, delay, fold, "match_id long, frame_num long, sequence array<array<float>>", f"kept array<struct<embedding:array<float>>>, waiting {waiting}")
