@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.llm.html_extraction import extract_text, op1_html_extraction, page_blocks
+from touchline.llm import license_scan
 from touchline.llm.license_scan import TEMPLATES, document_files, op4_license_scan, scan_licenses
 from touchline.llm.quality_classifier import classify, held_out, op9_quality_classifier, train
 from touchline.llm.secret_scan import candidates, dictionary, labelled_findings, op3_secret_scan, scan_secrets, train_forest, with_features
@@ -165,9 +166,80 @@ def test_op3_findings_of_another_origin(spark, forest):
     assert hit / (hit + len(wrong)) >= 0.9, wrong
 
 
+MIT = TEMPLATES[2][1]
+
+
+def wrapped(text, mark, width=60):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def brute_licences(files):
+    """Licence and similarity by (path, doc_id), with plain loops over segments, tokens and templates."""
+    import math
+
+    word = lambda x: re.findall(license_scan.TOKEN, x.lower())
+    cue, counts = re.compile(license_scan.CUE), [Counter(word(b)) for _, b in TEMPLATES]
+    known = {t for c in counts for t in c}
+    found = {}
+    for path, doc_id, text in files:
+        text, named = text or "", bool(re.search(license_scan.FILE_NAME, path or ""))
+        if not (cue.search(text) or named):
+            continue
+        lines = [re.sub(license_scan.COMMENT, "", x) for x in text.split("\n")]
+        runs, run = [], []
+        for x in [*lines, None]:
+            t = word(x or "")
+            if x == "" or (x and (cue.search(x) or (len(t) >= 3 and sum(y in known for y in t) >= 0.75 * len(t)))):
+                run.append(x)
+            else:
+                runs.append("\n".join(run))
+                run = []
+        bodies = [x for x in runs if cue.search(x)] + [x for x in lines if cue.search(x)] + ([text] if named else [])
+        found[path, doc_id] = [tuple(word(x)) for x in bodies]
+    every, n = {b for bs in found.values() for b in bs if b}, len(TEMPLATES)
+    idf = {t: math.log((1 + 2 * n) / (1 + sum(t in c for c in counts) + n * sum(t in b for b in every) / max(len(every), 1))) + 1 for t in known}
+    unit = lambda c: (lambda v: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()})({t: (1 + math.log(k)) * idf.get(t, math.log(1 + 2 * n) + 1) for t, k in c.items()})
+    vectors, best = [unit(c) for c in counts], {}
+    for b in every:
+        v = unit(Counter(b))
+        best[b] = max((round(sum(x * u.get(t, 0) for t, x in v.items()), 6), -k) for k, u in enumerate(vectors))
+    out = {}
+    for key, bs in found.items():
+        hits = [(TEMPLATES[-best[b][1]][0] != "proprietary", best[b][0], -i, TEMPLATES[-best[b][1]][0]) for i, b in enumerate(bs) if b and best[b][0] >= license_scan.THRESHOLD]
+        if hits:
+            out[key] = (max(hits)[3], max(hits)[1])
+    return out
+
+
+def test_op4_headers_as_published(spark):
+    """Wrapped headers, identifiers and whole licence texts, each held against plain loops as well."""
+    by = {}
+    for name, body in TEMPLATES:
+        by.setdefault(name, []).append(body)
+    code = "\nint main() { return run_everything(7); }\n" * 30
+    rows = [
+        ("a/apache.py", "Apache-2.0", "# Copyright 2024 The Example Authors\n#\n" + wrapped(by["Apache-2.0"][1], "# ") + code), ("a/gpl.c", "GPL-3.0", "/*\n" + wrapped(by["GPL-3.0"][2], " * ") + "\n */" + code),
+        ("a/lgpl.c", "LGPL-2.1", "/*\n" + wrapped(by["LGPL-2.1"][1], " * ", 70) + "\n */" + code), ("a/mpl.js", "MPL-2.0", "/* " + wrapped(by["MPL-2.0"][1], " * ", 50) + " */" + code),
+        ("a/bsd.h", "BSD-3-Clause", "// Copyright (c) 2020, Jane Doe\n// All rights reserved.\n//\n" + wrapped(by["BSD-3-Clause"][0], "// ") + code), ("a/spdx.rs", "Apache-2.0", "// SPDX-License-Identifier: Apache-2.0" + code),
+        ("a/mit.rs", "MIT", "// SPDX-License-Identifier: MIT" + code), ("p/LICENSE", "MIT", "Copyright (c) 2019 Some One\n\n" + wrapped(MIT, "", 80)), ("a/own.c", "proprietary", "// Copyright (c) 2024 X. All rights reserved." + code),
+        ("b/isc.c", "ISC", wrapped(by["ISC"][0], "; ")), ("q/COPYING", "GPL-2.0", " GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n" + "Preamble text of no importance here\n" * 50),
+        ("c/prose.txt", None, "We asked the city for a license to sell copies of the paper on the bridge in the summer."), ("c/none.txt", None, "nothing\n" * 20_000), ("c/null.txt", None, None), ("c/empty/LICENSE", None, ""),
+    ]
+    files = [(path, k, text) for k, (path, _, text) in enumerate(rows)]
+    files += [(f"docs/{r.doc_id}", r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {(r.path, r.doc_id): r for r in scan_licenses(spark.createDataFrame(files, "path string, doc_id long, text string")).collect()}
+    own = {k: (r.license, r.similarity) for k, r in got.items() if r.license and r.inherited_from is None}
+    want = brute_licences(files)
+    assert own.keys() == want.keys() and all(own[k][0] == want[k][0] and abs(own[k][1] - want[k][1]) < 2e-6 for k in want)
+    assert {path: want.get((path, k), (None,))[0] for k, (path, _, _) in enumerate(rows)} == {path: name for path, name, _ in rows}
+    assert got["p/LICENSE", 7].is_license_file and got["q/COPYING", 10].is_license_file and not got["a/apache.py", 0].is_license_file
+
+
 def test_op4_licences_and_inheritance(spark):
     rows = [
-        ("LICENSE", 1, TEMPLATES[0][1]), ("a/COPYING.txt", 2, "Preamble of this project\n" + TEMPLATES[4][1]), ("a/b/c/x.py", 3, "code"), ("a/b/c/y.py", 4, "# Licensed under CC BY-NC 4.0.\n" + "more code " * 20),
+        ("LICENSE", 1, TEMPLATES[0][1]), ("a/COPYING.txt", 2, "Preamble of this project\n" + TEMPLATES[6][1]), ("a/b/c/x.py", 3, "code"), ("a/b/c/y.py", 4, "# Licensed under CC BY-NC 4.0.\n" + "more code " * 20),
         ("z/q.py", 5, None), (None, 6, "x"), ("a/b/c/x.py", 3, "code"), ("ab/x.py", 7, ""), ("a/notes.txt", 8, "we spoke of a license to fish in the river of the town"),
     ]
     df = spark.createDataFrame([(*r, "mine") for r in rows], "path string, doc_id long, text string, license string")

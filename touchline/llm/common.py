@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,21 @@ def new_folder(spark: SparkSession) -> str:
     """A path for a written table in the shared folder."""
     cut(spark.range(1))
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def hashed_set(words: list[str], bits: int = 18) -> Callable[[Column], Column]:
+    """Whether a word's hash is that of one of ``words``: a test of one bit in a constant array, the same cost for any number.
+
+    A share of len(words) / 2**bits of other words passes as well.
+    """
+    longs = [0] * ((1 << bits) // 64)
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=42) % (1 << bits)
+        longs[h >> 6] |= 1 << (h & 63)
+    constant = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)), ",").cast("array<bigint>")
+
+    def holds(word: Column) -> Column:
+        h = F.pmod(F.xxhash64(word), F.lit(1 << bits)).cast("int")
+        return F.getbit(F.get(constant, F.shiftright(h, 6)), h.bitwiseAND(63)) == 1
+
+    return holds

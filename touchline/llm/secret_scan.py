@@ -16,7 +16,6 @@ import re
 from collections import Counter
 from functools import reduce
 
-import xxhash
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -24,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, hashed_set, table
 
 # Patterns.
 CUES = r"tokens?|secrets?|passw(?:or)?d|passphrase|pwd|api[_-]?key|(?:access|private|signing|encryption)[_-]?key|auth(?:orization)?|bearer|credentials?"
@@ -59,8 +58,7 @@ CONTEXT = 80
 TREES, DEPTH, SEED = 30, 8, 3
 #: Rows of the built-in table of labelled findings.
 LABELLED_ROWS = 6000
-#: Words of the dictionary, and bits of the table that holds them.
-DICTIONARY_WORDS, BITS = 8000, 18
+DICTIONARY_WORDS = 8000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -75,15 +73,6 @@ def dictionary(path: str | None = None, most: int = DICTIONARY_WORDS) -> list[st
     return [m[1] for w in sorted(vocabulary, key=vocabulary.get) if (m := re.fullmatch("([a-z]{4,})</w>", w))][:most]
 
 
-def word_bits(words: list[str]) -> Column:
-    """A constant array of longs: bit h of it is set for the hash h of each word."""
-    longs = [0] * ((1 << BITS) // 64)
-    for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), seed=42) % (1 << BITS)
-        longs[h >> 6] |= 1 << (h & 63)
-    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)), ",").cast("array<bigint>")
-
-
 def letter_pairs(words: list[str]) -> Column:
     """A constant array of 27 x 27 log probabilities: the second letter after the first, in words; 26 is no letter."""
     at = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
@@ -143,11 +132,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     chars = F.length(v)
     share = lambda cls: F.regexp_count(v, F.lit(f"[{cls}]")) / chars
     kinds = reduce(lambda s, x: F.regexp_replace(s, x[0], x[1]), [("[a-z]", "l"), ("[A-Z]", "u"), ("[0-9]", "d"), ("[^lud]", "o")], v)
-    bits, pairs, longest = word_bits(words), letter_pairs(words), max(map(len, words), default=0)
-
-    def known(word: Column) -> Column:
-        h = F.pmod(F.xxhash64(word), F.lit(1 << BITS)).cast("int")
-        return F.getbit(F.get(bits, F.shiftright(h, 6)), h.bitwiseAND(63)) == 1
+    known, pairs, longest = hashed_set(words), letter_pairs(words), max(map(len, words), default=0)
 
     def covered(word: Column) -> Column:
         """Whether the letters are a word or two words; no two words are longer than twice the longest."""
