@@ -151,6 +151,15 @@ def test_op2_counts_follow_the_weights(spark):
     assert abs(mix_sources(docs).count() - 4000) < 300
 
 
+def test_op2_edges(spark):
+    """Clashing names, null ids and sources, repeated rows and a very long text."""
+    texts = [(1, None), (2, ""), (None, "no id"), (3, "word " * 200_000), (4, "same"), (4, "same")]
+    got = mix_sources(documents(spark, texts, source=None, extra=["copy", "rate", "shuffle_key", "w"]), size=600).collect()
+    n = Counter((r.doc_id, r.n_copies) for r in got)
+    assert abs(len(got) - 600) < 250 and all(v == k[1] * (2 if k[0] == 4 else 1) for k, v in n.items()) and {k[0] for k in n} == {1, 2, 3, 4, None}
+    assert all(r.rate == r.w == "mine" and isinstance(r.copy, int) for r in got) and {len(r.text) for r in got if r.doc_id == 3} == {1_000_000}
+
+
 def test_op2_large_means_and_many_sources(spark, monkeypatch):
     docs = documents(spark, [(i, "t") for i in range(5)], "a")
     assert abs(mix_sources(docs, size=10_000).count() - 10_000) < 600
@@ -199,12 +208,27 @@ def test_op7_edges(spark):
     texts = [(1, None), (2, ""), (3, "Ünï code É́ ok <|endoftext|>x it's 123"), (4, "word " * 30_000), (5, "\x1c\x0b a"), (6, "İΣ ΑΣ ς")]
     rows = packed_digests(documents(spark, texts, extra=["ids"])).collect()
     check_packing(rows, texts)
+    none = [(None, "no id"), (None, "no id"), (None, None)]
+    assert sorted((r.doc_tokens, r.length) for r in packed_digests(documents(spark, none)).collect() if r.doc_id is None) == sorted((n, n) for n in map(len, map(ids_of, (t for _, t in none))))
     twice = packed_digests(documents(spark, texts[:3] + texts[:3])).collect()
     assert len(twice) == 6 and len({(r.sequence_id, r.offset) for r in twice}) == 6
     assert packed_digests(documents(spark, [])).count() == 0
     assert encode_words(tokenizer_path(), [[]]) == [b""]
 
 
+def test_op7_ranks_over_many_groups_of_bins(spark, monkeypatch):
+    from touchline.llm import packing
+
+    monkeypatch.setattr(packing, "BINS_A_GROUP", 3)
+    pieces = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "if(id % 3 = 0, 2048L, id % 7 + 1) AS length", "'mine' AS n")
+    got = packing.pack(pieces, rank_rows=20).collect()
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id] and r.n == "mine"
+        ends[r.sequence_id] += r.length
+    assert len(got) == 3000 and max(ends.values()) == 2048 and sorted(ends) == list(range(len(ends)))
+
+
 def test_packing_patterns_hold_the_histogram():
     rng = np.random.default_rng(7)
     histogram = Counter(rng.integers(1, 2049, 5000).tolist() + [7] * 4000)

@@ -282,3 +282,47 @@ def test_op9_edges(spark):
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     net = train(x, y)
     assert np.mean((net.score(x) >= 0.5) == y) > 0.9 and net.temperature > 0
+
+
+def test_op9_features_and_scores_match_plain_loops(spark):
+    """Word vectors, pooling and the network, computed again word by word."""
+    import xxhash
+
+    from touchline.llm import quality_classifier as qc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, n)) for n in (1, 2, 7, 300, 40)] + ["", "Ünï W1 w1"]
+    docs = documents(spark, list(enumerate(texts)), extra=["score", "held_out", "x"])
+    bucket = lambda w: xxhash.xxh64_intdigest(w.lower().encode()) % qc.BUCKETS
+    index, sums = qc.index_vectors(), {}
+    for t in texts:
+        b = [bucket(w) for w in t.split()]
+        for i, x in enumerate(b):
+            for j in range(max(0, i - qc.REACH), min(len(b), i + qc.REACH + 1)):
+                if j != i:
+                    sums[x] = sums.get(x, 0) + index[b[j]].astype(float)
+    unit = lambda v: v / max(np.sqrt((v * v).sum()), 1e-9)
+    scaled = {b: unit(v) for b, v in sums.items() if np.abs(v).sum()}
+    mean = np.mean(list(scaled.values()), axis=0)
+    vectors = {b: unit(v - mean) for b, v in scaled.items()}
+    got = qc.word_vectors(docs)
+    assert all(np.allclose(got[b], v, atol=1e-5) for b, v in vectors.items()) and set(np.flatnonzero(np.abs(got).sum(axis=1))) <= set(vectors)
+    zero, x = np.zeros(qc.WIDTH), {}
+    for d, t in enumerate(texts):
+        v = [vectors.get(bucket(w), zero) for w in t.split()]
+        kinds = {bucket(w) for w in t.split()}
+        if v:
+            m = sum(v) / len(v)
+            spread = np.sqrt(np.maximum(sum(a * a for a in v) / len(v) - m * m, 0))
+            x[d] = np.concatenate((m, sum(vectors.get(b, zero) for b in kinds) / len(kinds), spread, [len(kinds) / len(v), np.log1p(len(v)) / 8]))
+        else:
+            x[d] = np.zeros(3 * qc.WIDTH + 2)
+    found = {r.doc_id: np.array(r.x) for r in qc.features(docs, got).collect()}
+    assert all(np.allclose(found[d], x[d], atol=1e-4) for d in x)
+    net = train(np.stack(list(x.values())), np.array([0, 1, 0, 1, 1, 0, 1.0]), epochs=3)
+    for d, v in x.items():
+        hidden = [max(sum((v[k] - net.mean[k]) / net.scale[k] * net.w1[k][j] for k in range(len(v))) + net.b1[j], 0) for j in range(len(net.b1))]
+        z = (sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert abs(net.score(v[None])[0] - 1 / (1 + np.exp(-z))) < 1e-9, d
+    scored = classify(docs, spark.createDataFrame([(d, d % 2) for d in range(7)], "doc_id long, quality int")).collect()
+    assert sorted(r.doc_id for r in scored) == list(range(7)) and all(0 <= r.score <= 1 for r in scored)

@@ -36,6 +36,40 @@ def test_op8_base_statistics_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_op8_scores_match_brute_force(spark):
+    """Score and verdict of every document, from counts made by plain loops."""
+    import math
+
+    from touchline.llm.quality_rules import SMOOTHING, THRESHOLD
+
+    def signed(h):
+        return h - (h >> 63 << 64)
+
+    def chained(a, b):  # xxhash64 of two longs: the hash of the second, seeded with that of the first
+        h = xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), seed=42)
+        return signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), seed=h))
+
+    def buckets(text):
+        h = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in WORD.findall(text or "")]
+        return [x % BUCKETS for x in h] + [chained(a, b) % BUCKETS for a, b in zip(h, h[1:])]
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    trusted = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1 and r.toxic == 0}
+    grams = {d: buckets(t) for d, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for d, g in grams.items():
+        raw.update(g)
+        if d in trusted:
+            target.update(g)
+    wide, narrow, prior = sum(raw.values()), sum(target.values()), SMOOTHING * BUCKETS
+    ratio = {b: round(math.log((target[b] * wide / n + prior) / (narrow + prior)), 6) for b, n in raw.items()}
+    for r in op8_quality_rules(spark, SF).collect():
+        g = grams[r.doc_id]
+        want = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert abs(r.score - want) < 1e-8, r.doc_id
+        assert r.kept == (not r.base_failed and r.score >= THRESHOLD)
+
+
 def test_op8_keeps_good_and_rejects_bad(spark):
     labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = {r.doc_id: r for r in op8_quality_rules(spark, "/root/testdata/sf0.01").collect()}

@@ -44,7 +44,7 @@ def poisson_quantile(mean: Column, u: Column) -> Column:
 
 
 def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, size: int | None, temperature: float) -> tuple[DataFrame, int]:
-    """(source, rate) for every source of docs, one row a source; and how many sources there are."""
+    """(__source, __rate) for every source of docs, one row a source; and how many sources there are."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weighted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
@@ -54,7 +54,7 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, size:
     total = weighted.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     goal = float((total["n"] or 0) if size is None else size)
     rate = F.coalesce(F.try_divide(F.lit(goal) * F.col("w"), F.lit(float(total["w"] or 0)) * F.col("n")), F.lit(0.0))
-    return weighted.select(F.col("source").alias("__source"), rate.alias("rate")), total["sources"]
+    return weighted.select(F.col("source").alias("__source"), rate.alias("__rate")), total["sources"]
 
 
 def with_rates(docs: DataFrame, rates: DataFrame, sources: int, most: int = BROADCAST_SOURCES) -> DataFrame:
@@ -81,7 +81,7 @@ def mix_sources(
     docs = docs.drop("n_copies", "copy", "shuffle_key")
     own = [F.col("doc_id"), F.xxhash64("text").cast("string")]
     row = with_rates(docs, rates, sources)
-    row = row.withColumn("n_copies", poisson_quantile(F.col("rate"), uniform(seed, F.col("doc_id"))).cast("long")).drop("rate")
+    row = row.withColumn("n_copies", poisson_quantile(F.col("__rate"), uniform(seed, F.col("doc_id"))).cast("long")).drop("__rate")
     row = row.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     row = row.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *own, F.col("copy")))
     return row.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

@@ -31,6 +31,7 @@ TOKENIZER = "word_bpe_49k.json"
 CACHED_WORDS = 800_000
 #: Pieces of a length are ranked in sub-bins of about so many.
 RANK_ROWS = 500
+BINS_A_GROUP = 1000
 #: A letter before punctuation other than an apostrophe: the tokenizer always splits there.
 _EDGE = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 _cache: dict[bytes, bytes] = {}
@@ -156,13 +157,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
     table_of_slots = spark.createDataFrame(
         slots(pack_histogram(histogram, capacity)), "__length long, first_rank long, last_rank long, first_sequence long, offset long"
     )
-    # Rank in two steps: the sub-bin's first rank, from counts, and the row's number within the sub-bin.
+    # Rank in three steps, so that no task sees all of a length's pieces or sub-bins: the first rank of a group of
+    # sub-bins, that of the sub-bin within it, both from counts, and the row's number within the sub-bin.
     parts = spark.createDataFrame([(k, -(-n // rank_rows)) for k, n in histogram.items()], "length long, __parts long")
     binned = pieces.join(F.broadcast(parts), "length")  # a row a length, ``capacity`` at most
     binned = binned.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "start"), F.col("__parts"))).drop("__parts")
     counts = binned.groupBy("length", "__bin").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "__bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    counts = counts.withColumn("__group", F.floor(F.col("__bin") / BINS_A_GROUP))
+    earlier = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("length", "__group").agg(F.sum("n").alias("n"))
+    groups = groups.select("length", "__group", earlier(["length"], "__group").alias("__first"))
+    counts = counts.select("length", "__bin", "__group", earlier(["length", "__group"], "__bin").alias("__within")).join(groups, ["length", "__group"])
+    counts = counts.select("length", "__bin", (F.col("__first") + F.col("__within")).alias("__base"))
     number = F.row_number().over(Window.partitionBy("length", "__bin").orderBy("doc_id", "start")) - 1
     ranked = binned.withColumn("__number", number).join(counts, ["length", "__bin"])
     ranked = ranked.withColumn("__rank", F.col("__base") + F.col("__number"))
@@ -185,4 +191,5 @@ def packed_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all pieces of all documents. Edges: see ``packed_digests``."""
     return packed_digests(table(spark, sf_dir, "documents"))

@@ -227,4 +227,5 @@ def held_out(doc_id: int) -> bool:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document. Edges: see ``classify``."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))

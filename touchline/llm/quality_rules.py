@@ -139,5 +139,6 @@ def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every document. Edges: see ``score_documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_documents(docs, trusted_rows(spark, sf_dir)).select("doc_id", *RESULTS)
