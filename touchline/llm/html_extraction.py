@@ -13,7 +13,6 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -63,7 +62,7 @@ LINKS_ARTICLE = 0.6
 #: Least share of the words that read well which an article must hold.
 ZONE_SHARE = 0.5
 BLOCK = T.ArrayType(
-    T.StructType().add("text", "string").add("words", "integer").add("stops", "integer").add("linked", "integer").add("zone", "integer").add("hinted", "boolean").add("heading", "boolean")
+    T.StructType().add("text", "string").add("words", "integer").add("stops", "integer").add("linked", "integer").add("place", "integer").add("heading", "boolean")
 )
 
 _TOKEN = re.compile(
@@ -210,34 +209,33 @@ def page_blocks(page: str) -> list[tuple]:
     return blocks
 
 
-@F.pandas_udf(BLOCK)
-def blocks_of(pages: pd.Series) -> pd.Series:
-    names = ("text", "words", "stops", "linked", "zone", "hinted", "heading")
-    return pd.Series([[dict(zip(names, b, strict=True)) for b in page_blocks(p or "")] for p in pages])
-
-
-def with_place(pages: DataFrame) -> DataFrame:
-    """pages with __hinted, whether hinted articles count, and __zoned, whether only what is in an article counts.
+def places(blocks: list[tuple]) -> list[int]:
+    """Of a page's blocks: 1 in the article, -1 left out by the mark-up, 0 in a page without a clear article.
 
     By the words of the blocks that read well: hinted blocks are left out unless they hold twice as many as all
     others; and where articles hold ``ZONE_SHARE`` of the rest, what stands outside is left out.
     """
+    well = [n if len(text) >= LENGTH_LOW and stops >= STOP_LOW * n and linked <= LINKS_MOST * len(text) else 0 for text, n, stops, linked, *_ in blocks]
+    at = [(zone, hinted) for *_, zone, hinted, _ in blocks]
+    plain = sum(n for n, (zone, hinted) in zip(well, at, strict=True) if zone >= 0 and not hinted)
+    in_hinted = sum(n for n, (zone, hinted) in zip(well, at, strict=True) if zone > 0 and hinted)
+    use_hinted = in_hinted > 2 * plain or not any(zone >= 0 and not hinted for zone, hinted in at)
+    open_ = [zone >= 0 and (not hinted or (use_hinted and zone > 0)) for zone, hinted in at]
+    inside = [n for n, (zone, _), o in zip(well, at, open_, strict=True) if o and zone > 0]
+    rest = sum(n for n, o in zip(well, open_, strict=True) if o)
+    if inside and sum(inside) >= ZONE_SHARE * rest:
+        return [1 if o and zone > 0 else -1 for (zone, _), o in zip(at, open_, strict=True)]
+    return [0 if o else -1 for o in open_]
 
-    def words(keep: Callable[[Column], Column]) -> Column:
-        well = lambda b: (F.length(b["text"]) >= LENGTH_LOW) & (b["stops"] >= STOP_LOW * b["words"]) & (b["linked"] <= LINKS_MOST * F.length(b["text"]))
-        return F.aggregate("__blocks", F.lit(0), lambda s, b: s + F.when(keep(b) & well(b), b["words"]).otherwise(0))
 
-    plain = words(lambda b: (b["zone"] >= 0) & ~b["hinted"])
-    hinted = words(lambda b: (b["zone"] > 0) & b["hinted"])
-    nothing_else = ~F.exists("__blocks", lambda b: (b["zone"] >= 0) & ~b["hinted"])
-    row = pages.withColumn("__hinted", (hinted > 2 * plain) | nothing_else)
-    some = F.exists("__blocks", lambda b: (b["zone"] > 0) & (~b["hinted"] | F.col("__hinted")))
-    inside = words(lambda b: (b["zone"] > 0) & (~b["hinted"] | F.col("__hinted")))
-    rest = words(lambda b: (b["zone"] >= 0) & (~b["hinted"] | (F.col("__hinted") & (b["zone"] > 0))))
-    return row.withColumn("__zoned", some & (inside >= ZONE_SHARE * rest))
+@F.pandas_udf(BLOCK)
+def blocks_of(pages: pd.Series) -> pd.Series:
+    names = ("text", "words", "stops", "linked", "place", "heading")
+    parsed = (page_blocks(p or "") for p in pages)
+    return pd.Series([[dict(zip(names, (*b[:4], place, b[6]), strict=True)) for b, place in zip(blocks, places(blocks), strict=True)] for blocks in parsed])
 
 
-def first_labels(blocks: Column, use_hinted: Column, zoned: Column) -> Column:
+def first_labels(blocks: Column) -> Column:
     """Pass 1, block by block: 1 kept, -1 left out, 0 still ambiguous, -2 left out by the mark-up.
 
     Outside articles: a block mostly of links is left out; a short one is ambiguous; a longer one is kept with many
@@ -255,8 +253,8 @@ def first_labels(blocks: Column, use_hinted: Column, zoned: Column) -> Column:
             .otherwise(0)
         )
         return (
-            F.when((b["zone"] < 0) | (b["hinted"] & ~(use_hinted & (b["zone"] > 0))) | (zoned & (b["zone"] == 0)), -2)
-            .when(zoned, within)
+            F.when(b["place"] < 0, -2)
+            .when(b["place"] > 0, within)
             .when(b["linked"] > LINKS_MOST * length, -1)
             .when(length < LENGTH_LOW, 0)
             .when((density >= STOP_HIGH) | ((length >= LENGTH_HIGH) & (density >= STOP_LOW)), 1)
@@ -268,7 +266,7 @@ def first_labels(blocks: Column, use_hinted: Column, zoned: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def inherited_text(texts: pd.Series, labels: pd.Series, zoned: pd.Series, headings: pd.Series) -> pd.Series:
+def inherited_text(texts: pd.Series, labels: pd.Series, places: pd.Series, headings: pd.Series) -> pd.Series:
     """Pass 2: ambiguous blocks take the label of the nearest decided neighbour; the kept blocks, joined.
 
     Blocks that the mark-up leaves out are no neighbours of those in an article. Without a decided neighbour a block
@@ -276,8 +274,8 @@ def inherited_text(texts: pd.Series, labels: pd.Series, zoned: pd.Series, headin
     block the one before.
     """
     out = []
-    for text, label, article, heading in zip(texts, labels, zoned, headings, strict=True):
-        label = np.array(label, dtype=np.int32)
+    for text, label, place, heading in zip(texts, labels, places, headings, strict=True):
+        label, article = np.array(label, dtype=np.int32), 1 in place
         known = np.flatnonzero((label != 0) & (label >= (-1 if article else -2)))
         open_ = np.flatnonzero(label == 0)
         if len(known) == 0:
@@ -299,11 +297,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     gives no rows. Character references are decoded, white space inside a block is one space.
     """
     b = F.col("__blocks")
-    row = with_place(pages.withColumn("__blocks", blocks_of("html")))
-    row = row.withColumn("__labels", first_labels(b, F.col("__hinted"), F.col("__zoned")))
-    row = row.withColumn("text", inherited_text(b["text"], "__labels", "__zoned", b["heading"]))
-    return row.withColumn("n_chars", F.length("text").cast("long")).drop("__blocks", "__hinted", "__zoned", "__labels")
+    row = pages.withColumn("__blocks", blocks_of("html")).withColumn("__labels", first_labels(b))
+    row = row.withColumn("text", inherited_text(b["text"], "__labels", b["place"], b["heading"]))
+    return row.withColumn("n_chars", F.length("text").cast("long")).drop("__blocks", "__labels")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Edges: see ``extract_text``."""
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
