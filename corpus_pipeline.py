@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages, each written as Parquet and read again by the next.
+
+What holds for every stage: docs has the columns of documents; further columns, whatever their names, are left out. An
+empty docs gives no rows. A stage keeps the rows that its operator keeps, with their ids, and of equal rows all or none,
+but for mixing, which repeats rows.
+"""
 
 from __future__ import annotations
 
@@ -19,29 +24,35 @@ NEAR_COLLISIONS = 15
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. A null or empty text fails them; a row without an id is judged by its text."""
     return score_documents(docs.select(*COLUMNS), trusted_rows(spark, sf_dir)).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated runs of lines; those left without a word go, and n_chars follows the text."""
+    """Documents without their repeated runs of lines; those left without a word by it go, and n_chars follows the text.
+
+    A null text, a text without words, and a row without an id stay as they are.
+    """
     kept = dedup_lines(docs.select(*COLUMNS)).where(~F.col("emptied"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, at a similarity of 0.8 or more."""
+    """One document of each group of near duplicates, at a similarity of 0.8 or more: the one with the least id.
+
+    Documents without words, and rows without an id, are in no group and stay. Rows that repeat an id and text stay together.
+    """
     linked = near_duplicates(docs.select(*COLUMNS), percent=NEAR_PERCENT, collisions=NEAR_COLLISIONS, keep_columns=COLUMNS)
     return linked.where("kept").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards the target weights of their sources, in a global shuffle."""
+    """Documents repeated towards the target weights of their sources, in a global shuffle. A null source is one of its own."""
     return mix_sources(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids, placed in sequences."""
+    """Pieces of the documents' token ids, placed in sequences; a null or empty text is the end id alone."""
     return packed_digests(docs.select("doc_id", "text"))
 
 
