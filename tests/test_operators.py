@@ -246,7 +246,7 @@ def test_checks_and_settings(spark):
             bad()
 
 
-def test_store_of_a_match(spark):
+def test_store_of_a_match(spark, tmp_path):
     matches = spark.createDataFrame([(1, None, None), (2, None, 5)], "match_id long, match_date timestamp, user_id long")
     plays = spark.createDataFrame([(10, 1, 100), (11, 1, 101), (12, 2, 100)], "play_id long, match_id long, team_id long")
     teams = spark.createDataFrame([(100, "Reds", "#FF0000"), (101, "Blues", "#0000FF")], "team_id long, team_name string, primary_color string")
@@ -261,6 +261,17 @@ def test_store_of_a_match(spark):
         (1000048, 10, 3, "Reds"), (1000120, 10, 3, "Reds"), (1000200, 11, 4, "Blues"), (1000300, None, None, "unknown_team"), (1000400, None, None, "Greens")]
     one, two = store.match_objects(got, teams).orderBy("match_id").collect()
     assert (len(one.events), len(one.play), [t.teamName for t in one.teams], [p.name for p in one.players], two.events, two.match.userId) == (5, 2, ["Reds", "Blues"], ["NEO", "TRI"], None, 5)
+    import json
+
+    result = json.loads(store.result_json(store.match_objects(got, teams)).where("match_id = 1").first().result)
+    assert result["score_sheet"] == [{"team": "Reds", "score": 2}, {"team": "Blues", "score": 1}] and [e["eventType"] for e in result["events"]] == ["goal"] * 3 + ["foul", "goal"]
+    assert len({r.job_id for r in store.with_job_ids(matches).collect()}) == 2
+    from touchline.sources.files import save_store
+
+    for _ in range(2):
+        save_store(got, f"{tmp_path}/s")
+    save_store({k: v.where("match_id = 2") if k == "matches" else v for k, v in got.items()}, f"{tmp_path}/s")
+    assert {k: spark.read.parquet(f"{tmp_path}/s/{k}").count() for k in got} == {"matches": 2, "plays": 3, "events": 5, "occurrences": 5, "players": 2}
     jobs = spark.createDataFrame([("a", "completed", "r"), ("b", "queued", None)], "job_id string, status string, result string")
     wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string")
     assert [tuple(r) for r in store.job_results(wanted, jobs).orderBy("job_id").collect()] == [("a", 200, "r"), ("b", 409, None), ("c", 404, None)]
@@ -345,7 +356,7 @@ def test_team_calibration(spark):
     samples = [(10.0, 20.0, 230.0), (12.0, 18.0, 225.0), (220.0, 40.0, 20.0), (225.0, 38.0, 22.0)]
     df = spark.createDataFrame([(*c, 3200, k) for k, c in enumerate(samples)], "b double, g double, r double, area int, sample_id int")
     got = calibrate.calibrate_teams(df, starts=3).orderBy("cluster_id").collect()
-    assert [(r.color, r.label, r.sample_id, r.members) for r in got] == [("#1527DE", "Team 1", 2, 2), ("#E3130B", "Team 2", 0, 2)]
+    assert [(r.color, r.label, r.sample_id, r.members, r.sample_image) for r in got] == [("#1527DE", "Team 1", 2, 2, "team_1.jpg"), ("#E3130B", "Team 2", 0, 2, "team_2.jpg")]
     for bad in (df.limit(1), df.where("sample_id = 0").union(df.where("sample_id = 0"))):
         with pytest.raises(ValueError):
             calibrate.calibrate_teams(bad)

@@ -33,7 +33,11 @@ def calibrate_teams(samples: DataFrame, seed: int = SEED, starts: int = STARTS,
     near = model.transform(rows).join(F.broadcast(table), "__c")  # two rows
     far = F.sqrt(sum(F.pow(F.col(k) - F.col(f"c{k}"), 2) for k in "bgr"))
     best = near.groupBy("cluster_id", "cb", "cg", "cr").agg(F.min(F.struct(far.alias("far"), (-F.col("area")).alias("a"), "sample_id")).alias("m"), F.count("*").alias("members"))
-    return best.select("cluster_id", rgb_to_hex(F.col("cr"), F.col("cg"), F.col("cb")).alias("color"), F.concat(F.lit("Team "), (F.col("cluster_id") + 1).cast("string")).alias("label"), F.col("m.sample_id").alias("sample_id"), "members")
+    number = (F.col("cluster_id") + 1).cast("string")
+    return best.select(
+        "cluster_id", rgb_to_hex(F.col("cr"), F.col("cg"), F.col("cb")).alias("color"), F.concat(F.lit("Team "), number).alias("label"),
+        F.col("m.sample_id").alias("sample_id"), "members", F.concat(F.lit("team_"), number, F.lit(".jpg")).alias("sample_image"),
+    )
 
 
 def two_means(pixels: np.ndarray, seed: int = SEED, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:

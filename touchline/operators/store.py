@@ -150,6 +150,18 @@ def match_objects(stored: dict[str, DataFrame], teams: DataFrame) -> DataFrame:
     return rows
 
 
+def result_json(objects: DataFrame) -> DataFrame:
+    """match_id and the result of its job as JSON: score sheet, players and events. objects: see ``match_objects``."""
+    name = lambda team_id: F.get(F.filter("teams", lambda t: t["teamId"] == team_id), F.lit(0))["teamName"]
+    sheet = F.transform("play", lambda p: F.struct(name(p["teamId"]).alias("team"), p["score"].alias("score")))
+    return objects.select("match_id", F.to_json(F.struct(sheet.alias("score_sheet"), "players", "events")).alias("result"))
+
+
+def with_job_ids(rows: DataFrame) -> DataFrame:
+    """rows with a random job_id, another one each time the plan runs: write them before they are used twice."""
+    return rows.withColumn("job_id", F.uuid())
+
+
 def match_list(matches: DataFrame, user_id: int | None = None) -> DataFrame:
     """Matches, newest first, of one user or all."""
     rows = matches if user_id is None else matches.where(F.col("user_id") == user_id)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,28 @@ def save_by_match(df: DataFrame, path: str) -> None:
     df.repartition("match_id").write.partitionBy("match_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def save_store(stored: Mapping[str, DataFrame], path: str) -> None:
+    """Save the tables of ``store.stored_match`` under path, each in a folder of its own.
+
+    All of them are computed into a staging folder first, so that a failure there leaves the store as it was; then each is
+    put in place from it. Tables with a match replace just the matches they hold, players all rows. Occurrences find their
+    match through their event.
+    """
+    spark = next(iter(stored.values())).sparkSession
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    tables = dict(stored)
+    if "match_id" not in tables["occurrences"].columns:
+        tables["occurrences"] = tables["occurrences"].join(tables["events"].select("event_id", "match_id"), "event_id")
+    for name, df in tables.items():
+        df.write.parquet(f"{staging}/{name}")
+    for name in tables:
+        ready = spark.read.parquet(f"{staging}/{name}")
+        if "match_id" in ready.columns:
+            save_by_match(ready, f"{path}/{name}")
+        else:
+            ready.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def create_database(spark: SparkSession, name: str) -> None:
     if not re.fullmatch(r"[A-Za-z0-9_]+", name):
         raise ValueError(f"not a database name: {name!r}")
