@@ -626,8 +626,11 @@ def kit_color_udf(t):
 
 @query
 def lstm_event_udf(t):
+    """Scores of a small recurrent network whose weights are read from a table."""
+    folder = f"{shared_folder(t.spark)}/weights-{uuid.uuid4().hex}"
+    calibrate.save_weights(t.spark, calibrate.random_weights(64, hidden=1), folder)
     windows = tr.feature_windows(t.features)
-    scored = windows.select("match_id", "frame_num", calibrate.event_scores(F.col("sequence"), calibrate.random_weights(64)).alias("p"))
+    scored = windows.select("match_id", "frame_num", calibrate.event_scores(F.col("sequence"), calibrate.load_weights(t.spark, folder)).alias("p"))
     names = F.array(F.lit("goal"), F.lit("foul"), F.lit("none"))
     best = F.array_position("p", F.array_max("p")).cast("int")
     return scored.select("match_id", "frame_num", F.element_at(names, best).alias("event"), F.round(F.array_max("p"), 6).alias("confidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from touchline.functions.geometry import HOMOGRAPHY, PITCH_CORNERS
+from touchline.operators.calibrate import random_weights
 from touchline.sources.tables import ADAPTERS
 
 _H = HOMOGRAPHY
@@ -320,5 +321,26 @@ def compose(select: str) -> str:
     return f"WITH RECURSIVE {body} {select}"
 
 
+def _recurrence(steps: int = 10) -> str:
+    """The network of one hidden unit, a select for each step; the windows' gate inputs come first, by lag."""
+    w = random_weights(64, hidden=1)
+    number = lambda x: f"CAST({float(x)!r} AS DOUBLE)"
+    gates = ["i", "f", "g", "o"]
+    dots = [f"list_inner_product(e, [{', '.join(number(x) for x in w['wx'][:, k])}]) + {number(w['b'][k])} AS {n}" for k, n in enumerate(gates)]
+    lags = [f"lag({n}, {steps - 1 - t}) OVER w AS {n}{t}" for t in range(steps) for n in gates]
+    sql = f"""SELECT *, CAST(0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS c FROM (SELECT match_id, frame_num, {", ".join(lags)} FROM (
+ SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num, {", ".join(dots)} FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))
+ WINDOW w AS (PARTITION BY match_id ORDER BY frame_num)) WHERE i0 IS NOT NULL"""
+    sig = lambda x: f"(1 / (1 + exp(-({x}))))"
+    tanh = lambda x: f"(1 - 2 / (exp(2 * ({x})) + 1))"
+    for t in range(steps):
+        i, f, g, o = (f"{n}{t} + h * {number(w['wh'][0][k])}" for k, n in enumerate(gates))
+        sql = f"SELECT * EXCLUDE (c_, o_) REPLACE ({sig('o_')} * {tanh('c_')} AS h, c_ AS c) FROM (SELECT *, {sig(f)} * c + {sig(i)} * {tanh(g)} AS c_, {o} AS o_ FROM ({sql}))"
+    z = [f"exp(h * {number(w['wo'][0][k])} + {number(w['bo'][k])})" for k in range(3)]
+    return f"""SELECT match_id, frame_num, CASE greatest(a, b, n) WHEN a THEN 'goal' WHEN b THEN 'foul' ELSE 'none' END AS event, round(greatest(a, b, n) / (a + b + n), 6) AS confidence
+ FROM (SELECT match_id, frame_num, {z[0]} AS a, {z[1]} AS b, {z[2]} AS n FROM ({sql}))"""
+
+
+SELECTS["lstm_event_udf"] = _recurrence()
 SELECTS["stream_feature_windows"] = SELECTS["feature_window"]
 ORACLES = {k: compose(v) for k, v in SELECTS.items()}
