@@ -67,6 +67,20 @@ def test_op5_edges(spark):
     assert kept.count() == len(texts) and kept.where("kept").count() == 10
 
 
+def test_runtime_filter_lets_all_keys_pass(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.llm.common import attach, runtime_filter
+
+    keys, rows = spark.range(0, 60_000, 3).toDF("k"), spark.range(100_000).toDF("k")
+    passed = {r.k for r in rows.where(runtime_filter(keys, "k")(F.col("k"))).collect()}
+    assert {r.k for r in keys.collect()} <= passed and len(passed) < 30_000
+    assert rows.where(runtime_filter(keys.limit(0), "k")(F.col("k"))).count() == 0
+    told = attach(rows.withColumn("g", F.col("k") % 3), ["g"], "k", {"n": (F.sum, F.lit(1)), "top": (F.max, F.struct("k"))})
+    assert {tuple(r) for r in told.select("g", "n", "top.k").distinct().collect()} == {(0, 33_334, 99_999), (1, 33_333, 99_997), (2, 33_333, 99_998)}
+    assert told.count() == 100_000
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)]

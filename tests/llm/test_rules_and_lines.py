@@ -186,6 +186,17 @@ def test_op6_matches_a_plain_winnowing(spark, noise, guarantee):
         assert left[d] == ("\n".join(kept) if WORD.search("\n".join(kept)) or d not in got else "")
 
 
+def test_op6_query_is_the_plain_winnowing_of_the_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    gone = plain_winnowing(texts.items(), 3, 3)
+    got = {r.doc_id: (r.text, r.n_removed, r.emptied) for r in op6_line_dedup(spark, SF).collect()}
+    for d, t in texts.items():
+        left = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ()))
+        emptied = d in gone and not WORD.search(left)
+        assert got[d] == ("" if emptied else left, len(gone.get(d, ())), emptied)
+    assert got.keys() == texts.keys()
+
+
 def test_op6_deletes_every_repeated_line(spark):
     """Of all lines of three words or more only the first of equals stays; of shorter ones, less than three words of a repeated run."""
     a, b = "the nine words of this line stand alone here", "of four words only"
