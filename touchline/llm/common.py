@@ -84,19 +84,36 @@ def new_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
 
 
-def hashed_set(words: list[str], bits: int = 18) -> Callable[[Column], Column]:
-    """Whether a word's hash is that of one of ``words``: a test of one bit in a constant array, the same cost for any number.
+def bit_test(longs: list[int]) -> Callable[[Column], Column]:
+    """Whether the bit of a value's hash is set in a table of bits, a power of two; the same cost for any number of bits."""
+    n = 64 * len(longs)
+    constant = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)), ",").cast("array<bigint>")
 
-    A share of len(words) / 2**bits of other words passes as well.
-    """
+    def holds(value: Column) -> Column:
+        h = F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
+        return F.getbit(F.get(constant, F.shiftright(h, 6)), h.bitwiseAND(63)) == 1
+
+    return holds
+
+
+def hashed_set(words: list[str], bits: int = 18) -> Callable[[Column], Column]:
+    """Whether a word's hash is that of one of ``words``. A share of len(words) / 2**bits of other words passes as well."""
     longs = [0] * ((1 << bits) // 64)
     for w in words:
         h = xxhash.xxh64_intdigest(w.encode(), seed=42) % (1 << bits)
         longs[h >> 6] |= 1 << (h & 63)
-    constant = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)), ",").cast("array<bigint>")
+    return bit_test(longs)
 
-    def holds(word: Column) -> Column:
-        h = F.pmod(F.xxhash64(word), F.lit(1 << bits)).cast("int")
-        return F.getbit(F.get(constant, F.shiftright(h, 6)), h.bitwiseAND(63)) == 1
 
-    return holds
+def runtime_filter(keys: DataFrame, key: str, bits: int = 20) -> Callable[[Column], Column]:
+    """A test that every value of the column ``key`` passes, and of other values those that share a bit with one.
+
+    For rows that are to be joined with keys: fewer of them are then shuffled, unless the keys are too many for the
+    2**bits bits (128 KB); a full table lets everything pass, and nothing else changes. The bits are summed up on the cluster.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")).collect()
+    table = bytearray((1 << bits) // 8)
+    for r in rows:  # 32,768 bits each
+        table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["b"]
+    return bit_test([int.from_bytes(table[k : k + 8], "little") for k in range(0, len(table), 8)])

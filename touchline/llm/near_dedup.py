@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, components, cut, table, text_key
+from .common import attach, components, cut, runtime_filter, table, text_key
 
 WORDS = 5
 COORDINATES = 32
@@ -115,6 +115,7 @@ def class_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["rep", "set", "sig"])
 
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.where(runtime_filter(reps, "rep")(F.col("rep")))
     d = d.withColumn("key", text_key(F.col("text"))).join(reps.select("rep", "key").distinct(), ["rep", "key"])
     return d.dropDuplicates(["rep", "key"]).select("rep", "text").mapInPandas(rows, "rep long, set binary, sig binary")
 
@@ -173,7 +174,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, collision
     dealt = sized.select("pivot", "rep", n_blocks.alias("n_blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     dealt = dealt.select("pivot", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    sets = class_sets(docs, classes.join(members.select("rep").distinct(), "rep", "left_semi"))
+    sets = class_sets(docs, cut(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "key")))
     return dealt.join(sets, "rep").groupBy("pivot", "i", "j").applyInPandas(lambda part: confirmed(part, percent, collisions), "a long, b long")
 
 
