@@ -35,7 +35,7 @@ from .common import attach, cut, table, text_key
 NOISE_WORDS = 3
 GUARANTEE_WORDS = 3
 #: Fingerprints that a task hands on at once.
-ROWS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 5_000
 
 
 def fingerprints(hashes: np.ndarray, n_words: np.ndarray, noise: int, guarantee: int) -> tuple[list[int], list[int]]:
@@ -72,11 +72,11 @@ def sketch_lines(docs: DataFrame, noise_words: int, guarantee_words: int) -> Dat
                 hashes = np.array([xxhash.xxh64_intdigest(x[1]) for x in lines], dtype=np.uint64)
                 n_words = np.array([x[2] for x in lines], dtype=np.int64)
                 at, grams = fingerprints(hashes, n_words, noise_words, guarantee_words)
-                signed, upto = hashes.view(np.int64), np.concatenate(([0], np.cumsum(n_words)))
-                for i, gram in zip(at, grams, strict=True):
-                    end = int(np.searchsorted(upto, upto[i] + noise_words))
-                    lo = int(np.searchsorted(upto, upto[i] - guarantee_words, side="right"))
-                    hi = int(np.searchsorted(upto, upto[end] + guarantee_words, side="left")) - 1
+                signed, upto = hashes.view(np.int64).tolist(), np.concatenate(([0], np.cumsum(n_words)))
+                ends = np.searchsorted(upto, upto[at] + noise_words)
+                los = np.searchsorted(upto, upto[at] - guarantee_words, side="right").tolist()
+                his = (np.searchsorted(upto, upto[ends] + guarantee_words, side="left") - 1).tolist()
+                for i, gram, end, lo, hi in zip(at, grams, ends.tolist(), los, his, strict=True):
                     rows.append((doc_id, key, gram - (gram >> 63 << 64), number[i], number[i:end],
                                  number[lo:i][::-1], signed[lo:i][::-1], number[end:hi], signed[end:hi]))
                 if len(rows) > ROWS_AT_ONCE:
