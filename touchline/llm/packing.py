@@ -30,7 +30,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; further words are encoded each time.
 CACHED_WORDS = 800_000
 #: Pieces of a length are ranked in sub-bins of about so many.
-RANK_ROWS = 500
+RANK_ROWS = 100
 BINS_A_GROUP = 1000
 #: A letter before punctuation other than an apostrophe: the tokenizer always splits there.
 _EDGE = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
