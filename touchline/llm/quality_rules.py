@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import runtime_filter, table
 
 BUCKETS = 1 << 15
 SMOOTHING = 8.0
@@ -86,14 +86,20 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     The counts are summed on the cluster; what the driver reads has ``buckets`` rows at most. Without a trusted
     document all ratios are 0.
     """
-    # Merged, not broadcast: the labels grow with the corpus, and so the plan is the same at every size.
-    good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1)).hint("merge")
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("good", word_hashes(F.col("text")).alias("h"))
-    grams = marked.select("good", F.explode(gram_buckets(F.col("h"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
+
+    # Texts whose id may be trusted are merged with the trusted ids, not broadcast: the labels can grow with the corpus, and
+    # so the plan is the same at every size. All other texts are counted where they are read.
+    good = trusted.select("doc_id").distinct()
+    likely = F.coalesce(runtime_filter(good, "doc_id")(F.col("doc_id").cast(good.schema["doc_id"].dataType)), F.lit(False))
+    texts = docs.select("doc_id", "text")
+    marked = texts.where(likely).join(good.withColumn("good", F.lit(1)).hint("merge"), "doc_id", "left")
     raw, target = [0] * buckets, [0] * buckets
-    for row in counts:
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
+    for rows in (marked, texts.where(~likely).withColumn("good", F.lit(None).cast("int"))):
+        grams = rows.select("good", word_hashes(F.col("text")).alias("h"))
+        grams = grams.select("good", F.explode(gram_buckets(F.col("h"), buckets)).alias("bucket"))
+        for row in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect():
+            raw[row["bucket"]] += row["raw"]
+            target[row["bucket"]] += row["target"]
     if not sum(target):
         return [0.0] * buckets
     wide, narrow, prior = sum(raw), sum(target), smoothing * buckets
