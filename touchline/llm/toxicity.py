@@ -5,7 +5,7 @@ followed by what toxic documents have of their own: runs of letters that many of
 have, the most frequent nearest to the end, where a reference to them is shortest. A window's distance is how many
 bytes fewer it takes with the second dictionary than with the first. Windows are compressed behind a carrier, a stretch
 that both dictionaries hold, so that a window of two words is not stored as it is and a single word tells. A window
-that shares no four bytes in a row with the toxic part cannot gain by it and counts as 0.
+that shares no five bytes in a row with the toxic part gains nothing to speak of by it and counts as 0.
 
 A document is a histogram of the distances of all its windows. Labelled documents that took no part in the dictionaries
 give the likelihood ratio of each distance, and calibrate the document's sum to a probability.
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, text_key
 from .quality_classifier import hash_cutoff, remainder
 
 #: Most labelled rows that teach, windows of them that the ordinary dictionary is trained on, and pieces of words compared.
@@ -34,9 +34,9 @@ TRAIN_ROWS = 20_000
 TRAIN_WINDOWS = 20_000
 TRAIN_PIECES = 2_048
 WINDOW_WORDS = 2
-#: Bytes of the pieces of words that are compared, and of the shortest match that counts.
+#: Bytes of the pieces of words that are compared, and of the shortest run that a window must share with the toxic part.
 PIECES = (4, 5, 6, 7, 8)
-PIECE = 4
+NEAR = 5
 #: A piece is toxic if it is in this share of the toxic documents at least, and in so many times the share of the ordinary ones.
 SUPPORT = 0.03
 CONTRAST = 20
@@ -93,20 +93,27 @@ def pieces(words: set[bytes]) -> set[bytes]:
 
 
 def taught_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """doc_id, text, toxic, fold (0: calibrates; else teaches): labelled rows, one an id, without the near copies of others."""
+    """doc_id, text, toxic, fold (0: calibrates; else teaches): labelled rows, one an id, without the near copies of others.
+
+    What is broadcast are labelled ids, not many more than ``train_rows``; texts meet them where they are read.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.xxhash64("doc_id") <= hash_cutoff(known.count(), train_rows))
-    rows = docs.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def sketched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             keys = [sketch(t) for t in part["text"]]
-            yield part.assign(**{f"k{i}": [k[i] for k in keys] for i in range(3)})
+            yield part.drop(columns="text").assign(**{f"k{i}": [k[i] for k in keys] for i in range(3)})
 
-    rows = rows.mapInPandas(sketched, "doc_id long, toxic int, text string, k0 long, k1 long, k2 long")
+    labelled = docs.join(F.broadcast(known), "doc_id").withColumn("version", text_key(F.col("text")))
+    rows = labelled.mapInPandas(sketched, "doc_id long, toxic int, version long, k0 long, k1 long, k2 long")
+    rows = cut(rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("version", "k0", "k1", "k2")).alias("s")).select("doc_id", "toxic", "s.*"))
     for k in ("k0", "k1", "k2"):  # of at most about ``train_rows`` rows, so a window's task is bounded
         rows = rows.withColumn("first", F.min("doc_id").over(Window.partitionBy(k))).where("doc_id = first")
-    return cut(rows.select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(3)).alias("fold")))
+    kept = cut(rows.select("doc_id", "toxic", "version"))
+    texts = docs.withColumn("version", text_key(F.col("text"))).join(F.broadcast(kept), ["doc_id", "version"])
+    once = texts.groupBy("doc_id", "toxic").agg(F.first("text").alias("text"))  # rows that repeat an id and text
+    return cut(once.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(3))))
 
 
 def toxic_pieces(taught: DataFrame) -> set[bytes]:
@@ -154,7 +161,7 @@ def most_common(rows: DataFrame, runs_of, most: int) -> bytes:
 
     sums = rows.select("text").mapInPandas(runs, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
     out = b""
-    for r in sums.orderBy(F.desc("n"), "run").limit(most // PIECE).collect():
+    for r in sums.orderBy(F.desc("n"), "run").limit(most // PIECES[0]).collect():
         if len(out) + len(r["run"]) < most:
             out = SEPARATOR + bytes(r["run"]) + out
     return out
@@ -211,15 +218,17 @@ class Compressors:
             self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, **as_is))
         self.bits = np.zeros(1 << 16, dtype=bool)
         own = np.frombuffer(toxic, dtype=np.uint8)
-        if len(own) >= PIECE:
+        if len(own) >= NEAR:
             self.bits[self.places(own)] = True
         self.seen: dict[bytes, int] = {}
 
     @staticmethod
     def places(data: np.ndarray) -> np.ndarray:
-        """A 16-bit hash of the four bytes at each place."""
-        d = data.astype(np.uint32)
-        return ((d[:-3] | d[1:-2] << 8 | d[2:-1] << 16 | d[3:] << 24) * np.uint32(2654435761)) >> np.uint32(16)
+        """A 16-bit hash of the NEAR bytes from each place on."""
+        n, total = len(data) - NEAR + 1, np.uint64(0)
+        for k in range(NEAR):
+            total = total | data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        return (total * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
     def distance(self, window: bytes) -> int:
         if (known := self.seen.get(window)) is None:
@@ -235,9 +244,10 @@ class Compressors:
         for part in text_parts(text):
             spans = windows(part)
             if len(spans):
-                hit = np.concatenate((self.bits[self.places(np.frombuffer(part, dtype=np.uint8))], np.zeros(3, dtype=bool))) if len(part) >= 4 else np.zeros(len(part), dtype=bool)
-                sums = np.concatenate(([0], np.cumsum(hit)))
-                near = spans[sums[np.maximum(spans[:, 1] - 3, spans[:, 0])] > sums[spans[:, 0]]]
+                data = np.frombuffer(part, dtype=np.uint8)
+                hit = self.bits[self.places(data)] if len(data) >= NEAR else np.zeros(0, dtype=bool)
+                sums = np.concatenate(([0], np.cumsum(hit), np.full(NEAR, hit.sum())))
+                near = spans[sums[np.maximum(spans[:, 1] - NEAR + 1, spans[:, 0])] > sums[spans[:, 0]]]
                 out[-LOW] += len(spans) - len(near)
                 for a, b in near.tolist():
                     out[self.distance(part[a:b]) - LOW] += 1
@@ -295,7 +305,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     """Per row of docs: doc_id, held_out, score, predicted.
 
     docs: doc_id, text; nothing else is read. labels: doc_id, toxic (0 or 1; rows with another value, or null, teach
-    nothing). Only rows whose crc32(doc_id as text) mod 3 is not 1 teach; an id teaches once, by the least of its texts, and of
+    nothing). Only rows whose crc32(doc_id as text) mod 3 is not 1 teach; an id teaches once, by the text of least hash, and of
     near copies one. A null or empty text has no windows and is scored as such. Repeated rows get the same score; a
     null doc_id is not held out. Without two classes to learn from, every score is the share of toxic rows, or a half.
     An empty docs gives no rows.
