@@ -48,6 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it, letter case aside."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that repeat a doc_id with another text."""
     return F.xxhash64(text)

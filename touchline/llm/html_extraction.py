@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, unused
 
 # Element names of HTML, words of class names, and frequent words of four languages.
 RAW_TEXT = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "noscript", "template", "svg", "math",
-           "button", "select", "object", "audio", "video", "canvas", "fieldset", "datalist"}
+DROPPED = {"head", "nav", "header", "footer", "aside", "menu", "dialog", "noscript", "template", "svg", "math",
+           "button", "select", "object", "audio", "video", "canvas", "datalist"}
+FORMS = {"form", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
           "ins", "kbd", "label", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub",
@@ -61,39 +62,43 @@ LINKS_MOST = 0.3
 LINKS_ARTICLE = 0.6
 #: Least share of the words that read well which an article must hold.
 ZONE_SHARE = 0.5
+#: A part that a hint or a form names is left out unless it holds these shares of the page: of the words that read well, and
+#: of the words of text blocks in any language. Readers' comments may be longer than the article, so they need nearly all.
+HINT_SHARES = (2 / 3, 0.5)
+#: The same for a part inside an article, which holds much else of the article or is no part of it.
+INNER_SHARES = (0.8, 0.8)
+READERS_SHARES = (0.95, 0.95)
 BLOCK = T.ArrayType(
     T.StructType().add("text", "string").add("words", "integer").add("stops", "integer").add("linked", "integer").add("place", "integer").add("heading", "boolean")
 )
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
-    r"""|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)""",
+    r"""|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)(?:>|\Z)""",  # a quote counts after = only
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW_TEXT}
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def container(name: str, rest: str) -> str:
-    """What an element says about the blocks inside: drop, hint, zone, hinted zone or nothing."""
+    """What an element says about the blocks inside: drop, zone, hint (named as no part of the article), readers (their
+    comments), a zone that is one of these, or nothing."""
     if name in DROPPED:
         return "drop"
-    zone = name in ZONES
+    zone, kind = name in ZONES, "hint" if name in FORMS else ""
     if rest and name not in ("html", "body"):
         found = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTRIBUTE.findall(rest)}
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
             return "drop"
-        if ROLES & set(found.get("role", "").split()):
+        roles = set(found.get("role", "").split())
+        if ROLES & roles - {"form"}:
             return "drop"
         words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-        if words & READERS:
-            return "drop"
         zone = zone or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
-        if words & HINTS:
-            return "hinted zone" if zone else "hint"
-    return "zone" if zone else ""
+        kind = "readers" if words & READERS else "hint" if words & HINTS or "form" in roles else kind
+    return f"{kind} zone" if zone else kind
 
 
 class Stack:
@@ -103,20 +108,22 @@ class Stack:
         self.open: list[tuple[str, str]] = []
         self.at: defaultdict[str, list[int]] = defaultdict(list)  # by name, where it is open
         self.drops = 0
-        self.zones: list[tuple[int, bool]] = []  # outermost zones: number, and whether a hint is on or above it
-        self.hints: list[int] = []  # for each open hint, how many zones were open
+        self.zones: list[int] = []  # numbers of the outermost open zone, once for each open one
         self.numbers = 0
+        self.doubted: list[int] = [0]  # numbers of the open parts that are hinted at or readers' comments
+        self.parts: list[tuple[int, bool, bool]] = [(0, False, False)]  # of each, from 1 on: the one around it, whether it is readers', and in a zone
 
     def push(self, name: str, kind: str) -> None:
         self.at[name].append(len(self.open))
         if kind == "drop":
             self.drops += 1
-        if "hint" in kind:
-            self.hints.append(len(self.zones))
         if "zone" in kind:
             if not self.zones:
                 self.numbers += 1
-            self.zones.append((self.numbers, bool(self.hints)))
+            self.zones.append(self.numbers)
+        if "hint" in kind or "readers" in kind:
+            self.parts.append((self.doubted[-1], "readers" in kind, len(self.zones) > ("zone" in kind)))
+            self.doubted.append(len(self.parts) - 1)
         self.open.append((name, kind))
 
     def pop_to(self, size: int) -> None:
@@ -127,8 +134,8 @@ class Stack:
                 self.drops -= 1
             if "zone" in kind:
                 self.zones.pop()
-            if "hint" in kind:
-                self.hints.pop()
+            if "hint" in kind or "readers" in kind:
+                self.doubted.pop()
 
     def end(self, name: str) -> None:
         if self.at[name]:
@@ -141,15 +148,13 @@ class Stack:
             if self.at[closed] and self.at[closed][-1] > inner:
                 self.pop_to(self.at[closed][-1])
 
-    def place(self) -> tuple[int, bool]:
-        """Zone and hinted: zone -1 in a dropped part, or where a hint is inside the innermost zone; 0 in no zone."""
-        if self.drops or (self.zones and self.hints and self.hints[-1] >= len(self.zones)):
-            return -1, False
-        return (self.zones[-1][0], any(h for _, h in self.zones[:1]) or self.zones[-1][1]) if self.zones else (0, bool(self.hints))
+    def place(self) -> tuple[int, int]:
+        """The zone (-1 in a dropped part, 0 in none) and the innermost doubted part (0: none)."""
+        return (-1 if self.drops else self.zones[-1] if self.zones else 0), self.doubted[-1]
 
 
-def page_blocks(page: str) -> list[tuple]:
-    """(text, words, stop words, linked characters, zone, hinted, heading) of a page's blocks; see ``Stack.place``."""
+def parse(page: str) -> tuple[list[tuple], list[tuple[int, bool, bool]]]:
+    """(text, words, stop words, linked characters, zone, doubted part, heading) of a page's blocks, and its doubted parts; see ``Stack``."""
     blocks: list[tuple] = []
     stack = Stack()
     parts: list[str] = []
@@ -176,16 +181,16 @@ def page_blocks(page: str) -> list[tuple]:
     while m := _TOKEN.search(page, at):
         text_to(m.start())
         at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+        name = (m["name"] or "").lower()
         if not name:
             continue
-        if m["end"] or m["end2"]:
+        if m["end"]:
             if name not in INLINE:
                 flush()
                 heading = False
             stack.end(name)
             continue
-        rest = m["rest"] or m["rest2"] or ""
+        rest = m["rest"] or ""
         if name in RAW_TEXT:
             close = _RAW_END[name].search(page, at)
             at = close.end() if close else len(page)
@@ -206,33 +211,60 @@ def page_blocks(page: str) -> list[tuple]:
             stack.push(name, container(name, rest) if rest and name != "a" else "")
     text_to(len(page))
     flush()
-    return blocks
+    return blocks, stack.parts
 
 
-def places(blocks: list[tuple]) -> list[int]:
+def page_blocks(page: str) -> list[tuple]:
+    return parse(page)[0]
+
+
+def left_out(blocks: list[tuple], parts: list[tuple[int, bool, bool]]) -> list[bool]:
+    """Of a page's doubted parts: whether the text rules agree that it is left out, with all inside it.
+
+    Where an article that nothing casts doubt on has text, parts outside of articles are left out.
+    """
+    plain = any(zone > 0 and part == 0 for *_, zone, part, _ in blocks)
+    well, text = [0] * len(parts), [0] * len(parts)
+    for block, words, stops, linked, zone, part, _ in blocks:
+        if zone >= 0 and len(block) >= LENGTH_LOW and linked <= LINKS_MOST * len(block):
+            text[part] += words
+            well[part] += words if stops >= STOP_LOW * words else 0
+    for k in range(len(parts) - 1, 0, -1):  # a part comes after the one around it
+        well[parts[k][0]] += well[k]
+        text[parts[k][0]] += text[k]
+    out = [False] * len(parts)
+    for k in range(1, len(parts)):
+        around, readers, inner = parts[k]
+        w, t = READERS_SHARES if readers else INNER_SHARES if inner else HINT_SHARES
+        out[k] = out[around] or (plain and not inner) or text[k] == 0 or well[k] < w * well[0] or text[k] < t * text[0]
+    return out
+
+
+def places(blocks: list[tuple], parts: list[tuple[int, bool, bool]]) -> list[int]:
     """Of a page's blocks: 1 in the article, -1 left out by the mark-up, 0 in a page without a clear article.
 
-    By the words of the blocks that read well: hinted blocks are left out unless they hold twice as many as all
-    others; and where articles hold ``ZONE_SHARE`` of the rest, what stands outside is left out.
+    Doubted parts are left out as ``left_out`` says; where no text is left then, they all count but for readers' comments. Where
+    articles hold ``ZONE_SHARE`` of the words that read well, what stands outside is left out.
     """
-    well = [n if len(text) >= LENGTH_LOW and stops >= STOP_LOW * n and linked <= LINKS_MOST * len(text) else 0 for text, n, stops, linked, *_ in blocks]
-    at = [(zone, hinted) for *_, zone, hinted, _ in blocks]
-    plain = sum(n for n, (zone, hinted) in zip(well, at, strict=True) if zone >= 0 and not hinted)
-    in_hinted = sum(n for n, (zone, hinted) in zip(well, at, strict=True) if zone > 0 and hinted)
-    use_hinted = in_hinted > 2 * plain or not any(zone >= 0 and not hinted for zone, hinted in at)
-    open_ = [zone >= 0 and (not hinted or (use_hinted and zone > 0)) for zone, hinted in at]
-    inside = [n for n, (zone, _), o in zip(well, at, open_, strict=True) if o and zone > 0]
-    rest = sum(n for n, o in zip(well, open_, strict=True) if o)
-    if inside and sum(inside) >= ZONE_SHARE * rest:
-        return [1 if o and zone > 0 else -1 for (zone, _), o in zip(at, open_, strict=True)]
+    out = left_out(blocks, parts)
+    if not any(not out[part] and (zone > 0 or (zone == 0 and len(text) >= LENGTH_LOW)) for text, _, _, _, zone, part, _ in blocks):
+        out = [False]
+        for around, readers, _ in parts[1:]:
+            out.append(out[around] or readers)
+    open_ = [zone >= 0 and not out[part] for *_, zone, part, _ in blocks]
+    well = [n if o and len(text) >= LENGTH_LOW and stops >= STOP_LOW * n and linked <= LINKS_MOST * len(text) else 0 for (text, n, stops, linked, *_), o in zip(blocks, open_, strict=True)]
+    zones = [zone for *_, zone, _, _ in blocks]
+    inside = [n for n, zone, o in zip(well, zones, open_, strict=True) if o and zone > 0]
+    if inside and sum(inside) >= ZONE_SHARE * sum(well):
+        return [1 if o and zone > 0 else -1 for zone, o in zip(zones, open_, strict=True)]
     return [0 if o else -1 for o in open_]
 
 
 @F.pandas_udf(BLOCK)
 def blocks_of(pages: pd.Series) -> pd.Series:
     names = ("text", "words", "stops", "linked", "place", "heading")
-    parsed = (page_blocks(p or "") for p in pages)
-    return pd.Series([[dict(zip(names, (*b[:4], place, b[6]), strict=True)) for b, place in zip(blocks, places(blocks), strict=True)] for blocks in parsed])
+    parsed = (parse(p or "") for p in pages)
+    return pd.Series([[dict(zip(names, (*b[:4], place, b[6]), strict=True)) for b, place in zip(blocks, places(blocks, parts), strict=True)] for blocks, parts in parsed])
 
 
 def first_labels(blocks: Column) -> Column:
@@ -296,10 +328,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     page, and one without a kept block, gives an empty text. Repeated rows each get their text. An empty pages
     gives no rows. Character references are decoded, white space inside a block is one space.
     """
-    b = F.col("__blocks")
-    row = pages.withColumn("__blocks", blocks_of("html")).withColumn("__labels", first_labels(b))
-    row = row.withColumn("text", inherited_text(b["text"], "__labels", b["place"], b["heading"]))
-    return row.withColumn("n_chars", F.length("text").cast("long")).drop("__blocks", "__labels")
+    blocks, labels = unused([*pages.columns, "text", "n_chars"], "blocks", "labels")
+    b = F.col(blocks)
+    row = pages.withColumn(blocks, blocks_of("html")).withColumn(labels, first_labels(b))
+    row = row.withColumn("text", inherited_text(b["text"], labels, b["place"], b["heading"]))
+    return row.withColumn("n_chars", F.length("text").cast("long")).drop(blocks, labels)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

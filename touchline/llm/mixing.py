@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 SEED = 20
 #: Most sources whose rates are broadcast (a few MB); beyond it both sides of the join are salted and shuffled.
@@ -44,26 +44,29 @@ def poisson_quantile(mean: Column, u: Column) -> Column:
 
 
 def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None, size: int | None, temperature: float) -> tuple[DataFrame, int]:
-    """(__source, __rate) for every source of docs, one row a source; and how many sources there are."""
+    """(of, rate) for every source of docs, one row a source; and how many sources there are."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weighted = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
-        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__s string, w double")
-        weighted = counts.join(given, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "named string, w double")
+        weighted = counts.join(given, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     total = weighted.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     goal = float((total["n"] or 0) if size is None else size)
     rate = F.coalesce(F.try_divide(F.lit(goal) * F.col("w"), F.lit(float(total["w"] or 0)) * F.col("n")), F.lit(0.0))
-    return weighted.select(F.col("source").alias("__source"), rate.alias("__rate")), total["sources"]
+    return weighted.select(F.col("source").alias("of"), rate.alias("rate")), total["sources"]
 
 
-def with_rates(docs: DataFrame, rates: DataFrame, sources: int, most: int = BROADCAST_SOURCES) -> DataFrame:
-    same = F.col("source").eqNullSafe(F.col("__source"))
+def with_rates(docs: DataFrame, rates: DataFrame, sources: int, most: int = BROADCAST_SOURCES, *, into: str = "rate") -> DataFrame:
+    """docs with the rate of their source in a column named ``into``."""
+    of, salt, other = unused([*docs.columns, into], "of", "salt", "salt2")
+    rates = rates.select(F.col("of").alias(of), F.col("rate").alias(into))
+    same = F.col("source").eqNullSafe(F.col(of))
     if sources <= most:
-        return docs.join(F.broadcast(rates), same).drop("__source")
-    salted = rates.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    docs = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-    return docs.join(salted, same & (F.col("__salt") == F.col("__salt2"))).drop("__source", "__salt", "__salt2")
+        return docs.join(F.broadcast(rates), same).drop(of)
+    salted = rates.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    docs = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+    return docs.join(salted, same & (F.col(salt) == F.col(other))).drop(of, salt, other)
 
 
 def mix_sources(
@@ -80,8 +83,9 @@ def mix_sources(
     rates, sources = repetition_rates(docs, weights, size, temperature)
     docs = docs.drop("n_copies", "copy", "shuffle_key")
     own = [F.col("doc_id"), F.xxhash64("text").cast("string")]
-    row = with_rates(docs, rates, sources)
-    row = row.withColumn("n_copies", poisson_quantile(F.col("__rate"), uniform(seed, F.col("doc_id"))).cast("long")).drop("__rate")
+    (rate,) = unused([*docs.columns, "n_copies", "copy", "shuffle_key"], "rate")
+    row = with_rates(docs, rates, sources, into=rate)
+    row = row.withColumn("n_copies", poisson_quantile(F.col(rate), uniform(seed, F.col("doc_id"))).cast("long")).drop(rate)
     row = row.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     row = row.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *own, F.col("copy")))
     return row.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

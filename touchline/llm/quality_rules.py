@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runtime_filter, table
+from .common import runtime_filter, table, unused
 
 BUCKETS = 1 << 15
 SMOOTHING = 8.0
@@ -135,8 +135,9 @@ def score_documents(
     # One expression in which every part is bound once: a filter on a result may be pushed down at no great cost.
     text = F.coalesce("text", F.lit(""))
     verdict = let(split_words(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: measured(w, h)))
-    row = docs.withColumn("__v", verdict)
-    return row.select(*[c for c in docs.columns if c not in RESULTS], "__v.*")
+    (v,) = unused(docs.columns, "verdict")
+    row = docs.withColumn(v, verdict)
+    return row.select(*[c for c in docs.columns if c.lower() not in RESULTS], f"{v}.*")
 
 
 def trusted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
