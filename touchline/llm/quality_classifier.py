@@ -3,8 +3,9 @@
 Words hash into ``BUCKETS`` buckets, each with a sparse random index vector. A word vector is the sum of the index
 vectors around its occurrences in the whole corpus, less the mean and scaled to length 1; the table of word vectors
 has a fixed size. Documents are pooled over their whole text: mean over words, mean over distinct words, deviation,
-and length. The network learns from at most ``TRAIN_ROWS`` labelled rows, the least by a hash, and a part of them
-held back sets the temperature that calibrates its probabilities.
+and length. The network learns from at most ``TRAIN_ROWS`` labelled rows, the least by a hash, each with the same
+weight, so that its probabilities follow the share of good rows. Of the rows held back, some pick the epoch, and others the
+temperature that calibrates the probabilities.
 """
 
 from __future__ import annotations
@@ -145,16 +146,16 @@ class Network:
 
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = SEED, epochs: int = 60) -> Network:
-    """Fit by Adam on four fifths of the rows; the rest picks the best epoch and the temperature."""
+    """Fit by Adam on seven tenths of the rows; half of the rest picks the epoch, the other half the temperature."""
     rng = np.random.default_rng(seed)
     n = x.shape[1]
     if len(np.unique(y)) < 2:  # nothing to tell apart: the share of good rows, or a half without any
         p = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         return Network(np.zeros(n), np.ones(n), np.zeros((n, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))))
     order = rng.permutation(len(x))
-    held, rest = order[: len(x) // 5], order[len(x) // 5 :]
+    tenth = len(x) * 3 // 20
+    held, apart, rest = order[:tenth], order[tenth : 2 * tenth], order[2 * tenth :]
     net = Network(x[rest].mean(axis=0), x[rest].std(axis=0) + 1e-3, rng.normal(0, (2 / n) ** 0.5, (n, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), 0.0)
-    weights = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5
     p = [net.w1, net.b1, net.w2, np.zeros(1)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
 
@@ -167,7 +168,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED, epochs: int = 60) -> N
         for batch in np.array_split(rng.permutation(rest), max(1, len(rest) // 128)):
             a = (x[batch] - net.mean) / net.scale
             h = np.maximum(a @ p[0] + p[1], 0)
-            d = weights[batch] * (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - y[batch]) / len(batch)
+            d = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - y[batch]) / len(batch)
             dh = np.outer(d, p[2]) * (h > 0)
             grads = [a.T @ dh + 1e-4 * p[0], dh.sum(axis=0), h.T @ d, np.array([d.sum()])]
             step += 1
@@ -180,8 +181,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED, epochs: int = 60) -> N
             best, kept = now, [a.copy() for a in p]
     if kept:
         net.w1, net.b1, net.w2, net.b2 = kept[0], kept[1], kept[2], float(kept[3][0])
-    if len(np.unique(y[held])) == 2:
-        net.temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda t: loss(held, t)))
+    if len(np.unique(y[apart])) == 2:
+        net.temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda t: loss(apart, t)))
     return net
 
 
