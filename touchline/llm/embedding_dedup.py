@@ -4,10 +4,12 @@ Each vector gets, in each table, the signs of its products with a few random hyp
 code are candidates. Codes are longer, and tables more, for more vectors, so that buckets of unrelated vectors stay
 small and a pair at the threshold is missed with a chance under ``miss``. Codes travel without their vectors until
 buckets of one row are gone; vectors then join the buckets that are left, many buckets to a task, one after another.
-Candidates are verified by exact cosine in double precision. A large bucket is cut into blocks, and pairs of blocks
-go to different tasks. A pair that met in an earlier table is not counted again: the codes of linked vectors are
-computed once more where they are needed. A bucket returns a row per vector, not per pair: how many new links it has
-there, and one linked vector of least id that it reaches.
+Candidates are verified by exact cosine in double precision. Equal vectors are one class from the start, with the
+number of its vectors, so copies are never compared. A large bucket is cut into blocks, and pairs of blocks go to
+different tasks. A pair that met in an earlier table is not counted again: vectors and hyperplanes are taken as whole
+numbers, so that codes are exact and can be computed anew where they are needed; within two blocks, rectangles of vectors
+that share an earlier code are passed over before any product is formed. A bucket returns a row per class, not per
+pair: how many new links it has there, and one linked class of least id that it reaches.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ SEED = 10
 #: Vectors that share a code by chance, on average, and rows of a block of a bucket.
 BUCKET_ROWS = 48
 BLOCK_ROWS = 1024
+#: Products that are formed without a look for earlier tables first.
+PRODUCTS = 1 << 14
+#: Steps of a component of a unit vector, and of a hyperplane, for the codes: products are whole numbers below 2 ** 53.
+VECTOR_STEPS, PLANE_STEPS = 2.0**20, 2.0**10
 
 
 def shape(n: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -50,8 +56,8 @@ class Planes:
         """A row a vector, a column for each of the first ``tables`` tables."""
         dim, tables = x.shape[1], self.tables if tables is None else tables
         if dim not in self.known:
-            self.known[dim] = np.random.default_rng([self.seed, dim]).standard_normal((dim, self.bits * self.tables))
-        signs = (x @ self.known[dim][:, : self.bits * tables] > 0).reshape(len(x), tables, self.bits)
+            self.known[dim] = np.rint(PLANE_STEPS * np.random.default_rng([self.seed, dim]).standard_normal((dim, self.bits * self.tables)))
+        signs = (np.rint(VECTOR_STEPS * x) @ self.known[dim][:, : self.bits * tables] > 0).reshape(len(x), tables, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
@@ -63,7 +69,7 @@ def unit(raw: list[bytes], kind: str) -> np.ndarray:
 
 
 def comparable(vectors: DataFrame) -> tuple[DataFrame, str]:
-    """vec_id, key (a hash), dim, raw (the components as bytes) of vectors that can be compared, each once; numpy's name of a component."""
+    """vec_id, raw (the components as bytes), dim of vectors that can be compared, each once; numpy's name of a component."""
     e, kind = F.col("embedding"), "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,8 +81,14 @@ def comparable(vectors: DataFrame) -> tuple[DataFrame, str]:
     good = vectors.select(F.col("vec_id").cast("long"), "embedding").where(
         F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0)
     )
-    units = good.mapInPandas(rows, "vec_id long, raw binary").withColumns({"key": F.xxhash64("raw"), "dim": F.length("raw")})
-    return units.dropDuplicates(["vec_id", "key"]), kind
+    units = good.mapInPandas(rows, "vec_id long, raw binary").withColumn("dim", F.length("raw"))
+    return units.distinct(), kind
+
+
+def classes(units: DataFrame) -> DataFrame:
+    """A row for each vector: raw, dim, key (a hash), vec_id (the least of its ids), and size, the number of its ids."""
+    same = units.groupBy("raw", "dim").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"))
+    return same.withColumn("key", F.xxhash64("raw"))
 
 
 def coded(units: DataFrame, kind: str, planes: Planes) -> DataFrame:
@@ -94,28 +106,58 @@ def coded(units: DataFrame, kind: str, planes: Planes) -> DataFrame:
     return units.mapInPandas(rows, "vec_id long, key long, dim int, t int, code long")
 
 
-def bucket_links(ids: np.ndarray, x: np.ndarray, split: int, at: int, planes: Planes, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket in table ``at`` (or of two of its blocks, the second from ``split`` on), for the vectors with links
-    that no earlier table found: ids, number of such links, and the least id reached by them."""
+def unmet(codes: np.ndarray, a: np.ndarray, b: np.ndarray, at: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rectangles of places (a, b) that hold every pair which shares no earlier code: those of a table's commonest code are left out."""
+    if not len(a) or not len(b):
+        return
+    if at == codes.shape[1] or len(a) * len(b) <= PRODUCTS:
+        yield a, b
+        return
+    kinds, counts = np.unique(codes[a, at], return_counts=True)
+    common = kinds[counts.argmax()]
+    in_a, in_b = codes[a, at] == common, codes[b, at] == common
+    if not in_b.any():
+        yield from unmet(codes, a, b, at + 1)
+        return
+    yield from unmet(codes, a[in_a], b[~in_b], at + 1)
+    yield from unmet(codes, a[~in_a], b, at + 1)
+
+
+def bucket_links(
+    ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, split: int, at: int, planes: Planes, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket in table ``at`` (or of two of its blocks, the second from ``split`` on), for the classes with links
+    that no earlier table found: their places, the vectors linked to them so, and the least id reached by them."""
     within = split == len(ids)
     count, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-    for lo in range(0, split, 256):
-        hi = min(lo + 256, split)
-        first = lo if within else split
-        a, b = np.nonzero(x[lo:hi] @ x[first:].T >= threshold)
-        a, b = a + lo, b + first
-        keep = (ids[a] != ids[b]) & ((a < b) | (not within))
-        a, b = a[keep], b[keep]
-        if at and len(a):
-            linked, places = np.unique(np.concatenate((a, b)), return_inverse=True)
-            codes, new = planes.codes(x[linked], at), np.empty(len(a), dtype=bool)
-            u, v = places[: len(a)], places[len(a) :]
-            for k in range(0, len(a), 100_000):
-                new[k : k + 100_000] = ~(codes[u[k : k + 100_000]] == codes[v[k : k + 100_000]]).any(axis=1)
-            a, b = a[new], b[new]
-        count += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-        if len(a):  # hook larger roots under smaller ones until each link's ends agree
-            while True:
+    codes = planes.codes(x, at) if at and split * (len(ids) - (0 if within else split)) > PRODUCTS else None
+    every = np.arange(len(ids))
+    whole = (every[:split], every if within else every[split:])
+    half = within and codes is None  # each pair once; in rectangles each way round is one end's link
+    for rows, columns in unmet(codes, *whole) if codes is not None else [whole]:
+        for lo in range(0, len(rows), 256):
+            some, others = rows[lo : lo + 256], columns[lo:] if half else columns
+            a, b = np.nonzero(x[some] @ x[others].T >= threshold)
+            a, b = some[a], others[b]
+            if within:
+                keep = a < b if half else a != b
+                a, b = a[keep], b[keep]
+            if at and len(a):
+                if codes is None:
+                    linked, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+                    known, u, v = planes.codes(x[linked], at), places[: len(a)], places[len(a) :]
+                else:
+                    known, u, v = codes, a, b
+                new = np.empty(len(a), dtype=bool)
+                for k in range(0, len(a), 100_000):
+                    new[k : k + 100_000] = ~(known[u[k : k + 100_000]] == known[v[k : k + 100_000]]).any(axis=1)
+                a, b = a[new], b[new]
+            if not len(a):
+                continue
+            count += np.bincount(a, weights=sizes[b], minlength=len(ids)).astype(np.int64)
+            if half or not within:
+                count += np.bincount(b, weights=sizes[a], minlength=len(ids)).astype(np.int64)
+            while True:  # hook larger roots under smaller ones until each link's ends agree
                 ra, rb = root[a], root[b]
                 if (ra == rb).all():
                     break
@@ -125,17 +167,18 @@ def bucket_links(ids: np.ndarray, x: np.ndarray, split: int, at: int, planes: Pl
     hit = np.flatnonzero(count)
     low = ids.copy()
     np.minimum.at(low, root[hit], ids[hit])
-    return ids[hit], count[hit], low[root[hit]]
+    return hit, count[hit], low[root[hit]]
 
 
 def found_links(dealt: DataFrame, kind: str, planes: Planes, threshold: float) -> DataFrame:
-    """vec_id, n, to for the rows of buckets: t, dim, code, i, j, block, vec_id, raw; buckets stand together and in order."""
-    key, out = ["t", "dim", "code", "i", "j"], ["vec_id", "n", "to"]
+    """vec_id, key, n, to for the rows of buckets: t, dim, code, i, j, block, vec_id, key, size, raw; buckets stand together and in order."""
+    key, out = ["t", "dim", "code", "i", "j"], ["vec_id", "key", "n", "to"]
 
     def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """rows: whole buckets."""
         for _, same in rows.groupby("dim", sort=False):
-            x, ids, block = unit(list(same["raw"]), kind), same["vec_id"].to_numpy(), same["block"].to_numpy()
+            x, block = unit(list(same["raw"]), kind), same["block"].to_numpy()
+            ids, sizes, keys = (same[c].to_numpy() for c in ("vec_id", "size", "key"))
             k = same[key].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1), [True])))
             got = []
@@ -143,7 +186,8 @@ def found_links(dealt: DataFrame, kind: str, planes: Planes, threshold: float) -
                 if hi - lo > 1:
                     t, _, _, i, j = k[lo].tolist()
                     split = hi - lo if i == j else int(np.searchsorted(block[lo:hi], j))
-                    got.append(bucket_links(ids[lo:hi], x[lo:hi], split, t, planes, threshold))
+                    hit, n, low = bucket_links(ids[lo:hi], sizes[lo:hi], x[lo:hi], split, t, planes, threshold)
+                    got.append((ids[lo:hi][hit], keys[lo:hi][hit], n, low))
             if got:
                 yield pd.DataFrame(dict(zip(out, map(np.concatenate, zip(*got, strict=True)), strict=True)))
 
@@ -158,7 +202,7 @@ def found_links(dealt: DataFrame, kind: str, planes: Planes, threshold: float) -
             yield from links(held)
 
     placed = dealt.repartition(*key).sortWithinPartitions(*key, "block")
-    return placed.select(*key, "block", "vec_id", "raw").mapInPandas(stream, "vec_id long, n long, to long")
+    return placed.select(*key, "block", "vec_id", "key", "size", "raw").mapInPandas(stream, "vec_id long, key long, n long, to long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, seed: int = SEED) -> DataFrame:
@@ -168,23 +212,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     different ids and equal length with a cosine of at least ``threshold``. Vectors that are null, empty, zero or
     hold null or non-finite components are linked with nothing. n_links is the number of other vectors linked
     directly; component_id the least vec_id reachable; kept: that is its own. Rows that repeat an id and vector
-    count as one vector and each get its result; vectors that share an id are counted together, as one vector. Each
-    row without an id has no link, a null component, and is kept. An empty vectors gives no rows.
+    count as one vector and each get its result; vectors that share an id but differ are vectors of their own, whose links
+    are added up and whose components are one. Each row without an id has no link, a null component, and is kept. An
+    empty vectors gives no rows.
     """
     units, kind = comparable(vectors)
     units = cut(units)
-    planes = Planes(*shape(units.count(), threshold, miss), seed)
-    posts = cut(coded(units, kind, planes))
+    all_classes = cut(classes(units))
+    planes = Planes(*shape(all_classes.count(), threshold, miss), seed)
+    posts = cut(coded(all_classes, kind, planes))
     sized = attach(posts, ["t", "dim", "code"], "vec_id", {"rows": (F.sum, F.lit(1))}).where("rows > 1")
     dealt = sized.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("blocks")))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("vec_id", "key", "t", "dim", "code", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    found = cut(found_links(dealt.join(units.drop("dim"), ["vec_id", "key"]), kind, planes, threshold))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    groups = components(found.where(F.col("vec_id") != F.col("to")), "vec_id", "to").withColumnRenamed("node", "vec_id")
-    rows = vectors.select(F.col("vec_id").cast("long"))
-    result = rows.join(counts, "vec_id", "left").join(groups, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    found = cut(found_links(dealt.join(all_classes.drop("dim"), ["vec_id", "key"]), kind, planes, threshold))
+    counts = found.groupBy("vec_id", "key").agg(F.sum("n").alias("n"))
+    linked = all_classes.join(counts, ["vec_id", "key"], "left")
+    told = linked.select("key", "raw", F.col("vec_id").alias("least"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    members = cut(units.withColumn("key", F.xxhash64("raw")).join(told, ["key", "raw"]).select("vec_id", "least", "n_links"))
+    several = members.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("least").alias("least"), F.max("least").alias("most"))
+    same_id = members.join(several.where("least <> most").select("vec_id"), "vec_id").select("vec_id", F.col("least").alias("to"))
+    ends = found.select("vec_id", "to").unionByName(same_id).where(F.col("vec_id") != F.col("to"))
+    groups = components(ends, "vec_id", "to").withColumnRenamed("node", "least")
+    result = vectors.select(F.col("vec_id").cast("long")).join(several.drop("most"), "vec_id", "left").join(groups, "least", "left")
+    component = F.coalesce("component", "least", "vec_id")
     return result.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
