@@ -213,7 +213,10 @@ def test_classes_and_frame_numbers(spark):
     ("payload", "want"),
     [('[{"res":{"rec_texts":["7","A, \\"B\\" ]"],"rec_scores":[0.91,1.5]}}]', [("7", 0.91), ('A, "B" ]', 1.0)]), ('[[[1,2],["11",0.89]]]', [("11", 0.89)]),
      ('{"texts":["x"],"scores":[-1]}', [("x", 0.0)]), ('["9", 0.5]', [("9", 0.5)]), ('[[[[[1,2],[3,4]],["a",0.1]],[[[1,2]],["b",0.2]]]]', [("a", 0.1), ("b", 0.2)]),
-     ('{"res":{"rec_texts":["q","r"],"rec_scores":[0.3]}}', [("q", 0.3)]), ("[]", []), ("null", []), ('[{"res":{"rec_texts":[],"rec_scores":[]}}]', [])],
+     ('{"res":{"rec_texts":["q","r"],"rec_scores":[0.3]}}', [("q", 0.3)]), ("[]", []), ("null", []), ('[{"res":{"rec_texts":[],"rec_scores":[]}}]', []),
+     ('[{"texts":["7","12"],"scores":[0.9]},{"texts":["10"],"scores":[0.8]}]', [("7", 0.9), ("10", 0.8)]), ('[{"texts":["7"],"scores":[0.9]},{},["MESSI",0.8]]', [("7", 0.9), ("MESSI", 0.8)]), ('[{"texts":["7"],"scores":[0.9]},["MESSI",0.8]]', [("MESSI", 0.8)]),
+     ('{"a":{"b":[{"c":{"res":{"texts":["x"],"scores":[1]}}},4,["y",2]]},"d":[[1],["z",0.5]]}', [("x", 1.0), ("y", 1.0), ("z", 0.5)]), ('{"rec_texts":[],"texts":["t"],"scores":[0.2]}', [("t", 0.2)]),
+     ('{"texts":["t",null,7,"n","w"],"scores":[0.2,0.3,0.4,NaN,"no"]}', [("t", 0.2), ("7", 0.4)]), ('{"res":[["r",0.1]]}', [("r", 0.1)]), ("[[", []), ("", []), (None, []), ("[" * 600 + '["q",0.5]' + "]" * 600, [("q", 0.5)]), ("[" * 100_000, [])],
 )
 def test_payload_shapes(spark, payload, want):
     got = spark.createDataFrame([(payload,)], "p string").select(text.payload_readings(F.col("p")).alias("r")).first().r
@@ -354,14 +357,69 @@ def test_team_calibration(spark):
     from touchline.operators import calibrate
 
     samples = [(10.0, 20.0, 230.0), (12.0, 18.0, 225.0), (220.0, 40.0, 20.0), (225.0, 38.0, 22.0)]
-    df = spark.createDataFrame([(*c, 3200, k) for k, c in enumerate(samples)], "b double, g double, r double, area int, sample_id int")
-    got = calibrate.calibrate_teams(df, starts=3).orderBy("cluster_id").collect()
-    assert [(r.color, r.label, r.sample_id, r.members, r.sample_image) for r in got] == [("#1527DE", "Team 1", 2, 2, "team_1.jpg"), ("#E3130B", "Team 2", 0, 2, "team_2.jpg")]
-    for bad in (df.limit(1), df.where("sample_id = 0").union(df.where("sample_id = 0"))):
-        with pytest.raises(ValueError):
-            calibrate.calibrate_teams(bad)
-    with pytest.raises(ValueError):
-        calibrate.calibrate_teams(df, least=6)
+    made = [(1, *c, 3200, k) for k, c in enumerate(samples)] + [(1, *samples[0], 9000, 9), (2, 1.0, 1.0, 1.0, 5, 0), (3, 1.0, 1.0, 1.0, 5, 0), (3, 1.0, 1.0, 1.0, 5, 1), (4, None, 1.0, 1.0, 5, 0), (None, 1.0, 1.0, 1.0, 5, 0)]
+    df = spark.createDataFrame(made, "match_id long, b double, g double, r double, area int, sample_id int")
+    got = calibrate.calibrate_teams(df).orderBy("match_id", "cluster_id").collect()
+    assert [(r.match_id, r.color, r.label, r.sample_id, r.members, r.sample_image, r.reason) for r in got] == [
+        (1, "#1527DE", "Team 1", 2, 2, "team_1.jpg", None), (1, "#E4130A", "Team 2", 9, 3, "team_2.jpg", None),
+        (2, None, None, None, None, None, "too few samples"), (3, None, None, None, None, None, "one colour only"),
+    ]
+    assert [r.reason for r in calibrate.calibrate_teams(df, least=6).collect()] == ["too few samples"] * 3
+    assert calibrate.calibrate_teams(df.limit(0)).count() == 0
+    told = {r.match_id: r for r in calibrate.candidates_json(calibrate.calibrate_teams(df)).collect()}
+    assert told[2].team_candidates is None and told[2].error == "too few samples" and told[1].error is None and "#E4130A" in told[1].team_candidates
+
+
+def test_kit_clusters_are_those_of_plain_two_means(spark):
+    """Centres of many matches at once against plain loops, match by match."""
+    import numpy as np
+
+    from touchline.operators import calibrate
+
+    rng = np.random.default_rng(2)
+    made = [(m, *map(float, np.clip(np.rint(rng.normal((60, 90, 200) if rng.random() < 0.3 + m / 20 else (180, 100, 40), 25)), 0, 255))) for m in range(8) for _ in range(60)]
+    got = {r.match_id: r for r in calibrate.kit_clusters(spark.createDataFrame(made, "match_id long, b double, g double, r double")).collect()}
+    for m in range(8):
+        x = np.array([c for k, *c in made if k == m])
+        far = lambda o: max(map(tuple, x), key=lambda c: (((np.array(c) - o) ** 2).sum(), *(-np.array(c))))  # noqa: B023, E731
+        first = np.array(far(x.mean(axis=0)))
+        centers = [first, np.array(far(first))]
+        for _ in range(calibrate.STEPS):
+            second = ((x - centers[1]) ** 2).sum(axis=1) < ((x - centers[0]) ** 2).sum(axis=1)
+            centers = [x[~second].mean(axis=0), x[second].mean(axis=0)]
+        r = got[m]
+        assert np.allclose([[r.b0, r.g0, r.r0], [r.b1, r.g1, r.r1]], centers) and r.n_samples == 60
+
+
+def one_after_another(users, wanted):
+    names, emails = {u.lower() for u, _ in users}, {e.lower() for _, e in users}
+    got = []
+    for i, u, e in sorted(set(wanted)):
+        if u.lower() not in names and e.lower() not in emails:
+            got.append((i,))
+            names.add(u.lower())
+            emails.add(e.lower())
+    return got
+
+
+@pytest.mark.parametrize("alone", [0, 25, 20_000])
+def test_registration_of_chains(spark, alone):
+    """Requests that were refused strike no others off, however long the chain; the result is that of one after another."""
+    import random
+
+    rng = random.Random(alone)
+    chain = [(f"u{k // 2}", f"e{(k + 1) // 2}@x") for k in range(1000)]  # each shares its name with the next, or its email
+    ids = rng.sample(range(1, 5000), 1000)
+    wanted = [(i, u.upper() if i % 2 else u, e) for i, (u, e) in zip(ids, chain)]
+    wanted += [(6000 + k, f"n{rng.randrange(60)}", f"m{rng.randrange(60)}@X") for k in range(200)] + [(6300, "hot", f"h{k}@x") for k in range(1)]
+    wanted += [(6400 + k, "HOT", f"h{k}@x") for k in range(100)] + [wanted[0], (7000, "taken", "free@x"), (7001, "free", "Taken@x"), (7002, "free", "free@x")]
+    users = [("Taken", "taken@X")]
+    schema = "request_id long, username string, email string"
+    got = store.registrable(spark.createDataFrame(users, "username string, email string"), spark.createDataFrame(wanted, schema), alone=alone)
+    assert rows(got, "request_id") == one_after_another(users, wanted)
+    three = [(0, "u0", "e1"), (1, "u1", "e1"), (2, "u1", "e2")]
+    assert rows(store.registrable(spark.createDataFrame(users, "username string, email string"), spark.createDataFrame(three, schema), alone=alone), "request_id") == [(0,), (2,)]
+    assert store.registrable(spark.createDataFrame(users, "username string, email string"), spark.createDataFrame([], schema), alone=alone).count() == 0
 
 
 def test_streams_with_late_rows_and_without_state_at_the_end(spark, tmp_path):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,22 +45,55 @@ def shown(value: Column, placeholder: str = "—") -> Column:
     return F.when(F.coalesce(F.length(F.trim(as_text)) > 0, F.lit(False)), as_text).otherwise(placeholder)
 
 
+def _readings(payload: str | None) -> list[tuple[str, float]]:
+    """Texts with their scores, in the order of the payload: its tree is gone down to any depth, without recursion."""
+    try:
+        waiting, found = [json.loads(payload or "null")], []
+    except (ValueError, RecursionError):
+        return []
+    scored = lambda x: isinstance(x, list) and len(x) == 2 and isinstance(x[0], str)
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            node = node.get("res", node)
+        if isinstance(node, dict):
+            texts, scores = (node.get(f"rec_{k}") or node.get(k) for k in ("texts", "scores"))
+            if texts is None or scores is None:
+                waiting += reversed(node.values())
+            elif isinstance(texts, list) and isinstance(scores, list):
+                found += zip(texts, scores)  # what has no partner is left out
+        elif scored(node) and isinstance(node[1], (int, float)):
+            found.append(node)
+        elif isinstance(node, list) and len(node) > 1 and scored(node[1]):
+            found.append(node[1])
+        elif isinstance(node, list):
+            waiting += reversed(node)
+    out = []
+    for text, score in found:
+        try:
+            sure = float(score)
+        except (TypeError, ValueError):
+            continue
+        if text is not None and not math.isnan(sure):
+            out.append((text if isinstance(text, str) else json.dumps(text), max(0.0, min(1.0, sure))))
+    return out
+
+
 def payload_readings(payload: Column) -> Column:
     """array<struct<text, score>> of what a reader returned as JSON, whichever shape it has, scores cut to 0..1.
 
-    Shapes: an object, or objects in lists, with rec_texts and rec_scores or texts and scores, as they are or under res; a
-    pair [text, score]; [box, [text, score]]; and lists of these to any depth. A text or score without partner is left out.
+    Shapes: an object with rec_texts and rec_scores, or texts and scores, as they are or under res, whose texts belong to the
+    scores at the same place; a pair [text, score]; a list whose second entry is such a pair, as [box, [text, score]], of which nothing
+    else counts; and lists
+    and objects of these under any key and to any depth, mixed or not. An empty list counts as absent. A text or score without
+    partner, a null text and a score that is no number are left out; null and what is no JSON hold nothing.
     """
-    one = r'"(?:[^"\\]|\\.)*+"'
-    many = rf'\[(?:[^\]"]|{one})*+\]'
-    lists = lambda name, kind: F.flatten(F.transform(F.regexp_extract_all(payload, F.lit(rf'"(?:rec_)?{name}"\s*:\s*({many})'), F.lit(1)), lambda x: F.from_json(x, f"array<{kind}>")))
-    listed = F.zip_with(lists("texts", "string"), lists("scores", "double"), lambda t, s: F.struct(t.alias("text"), s.alias("score")))
-    pairs = F.regexp_extract_all(payload, F.lit(rf"\[\s*({one}\s*,\s*-?[0-9.eE+-]+)\s*\]"), F.lit(1))
-    pair = lambda x: F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")
-    paired = F.transform(pairs, lambda x: F.struct(F.get(pair(x), F.lit(0)).alias("text"), F.get(pair(x), F.lit(1)).cast("double").alias("score")))
-    found = F.when(F.size(listed) > 0, listed).otherwise(paired)
-    whole = F.filter(found, lambda x: x["text"].isNotNull() & x["score"].isNotNull())
-    return F.transform(whole, lambda x: F.struct(x["text"].alias("text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["score"])).alias("score")))
+
+    @F.pandas_udf("array<struct<text:string,score:double>>")
+    def readings(payloads: pd.Series) -> pd.Series:
+        return pd.Series([[{"text": t, "score": s} for t, s in _readings(p)] for p in payloads], dtype=object)
+
+    return readings(payload)
 
 
 def clock(frame: Column, fps: float) -> Column:

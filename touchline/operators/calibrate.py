@@ -4,40 +4,90 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.colour import rgb_to_hex
+from touchline.sources.tables import staged
 
 SEED = 7
-STARTS = 10
+#: Steps in which cluster centres move; kits are far apart, so they rest after two or three.
+STEPS = 10
 
 
-def calibrate_teams(samples: DataFrame, seed: int = SEED, starts: int = STARTS, least: int = 2) -> DataFrame:
-    """Two kit colours of samples (b, g, r, area, sample_id), and the sample nearest each, the larger of equal ones.
+def far_apart(a: str, b: str) -> Column:
+    """Squared distance of two colours, given as prefixes of columns b, g, r."""
+    return sum((F.col(f"{a}{k}") - F.col(f"{b}{k}")) * (F.col(f"{a}{k}") - F.col(f"{b}{k}")) for k in "bgr")
 
-    Of ``starts`` clusterings from different seeds the one with the least sum of squares counts. Clusters are numbered
-    by their centre's red, then green, then blue. Fewer than ``least`` samples, or one colour only, are refused.
+
+def kit_clusters(samples: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Two centres of every match's samples by exact 2-means, all matches at once: match_id, n, colours, and b0, g0, r0, b1, g1, r1.
+
+    samples: match_id, b, g, r. The first centre starts at the colour farthest from the mean, the second at the one farthest
+    from the first, of equal ones the lesser. Then, ``steps`` times, a colour goes to the nearer centre (the first, if both
+    are) and a centre to the mean of its colours, each step being one grouped sum over the distinct colours, so that no
+    task needs all samples of a match. A centre without colours stays.
     """
-    rows = VectorAssembler(inputCols=["b", "g", "r"], outputCol="__v").transform(samples).cache()
-    if len(rows.take(least)) < least or len(rows.select("b", "g", "r").distinct().take(2)) < 2:
-        raise ValueError(f"{least} samples and two different colours are needed to tell teams apart")
-    models = [KMeans(k=2, seed=seed + k, featuresCol="__v", predictionCol="__c", initMode="k-means||").fit(rows) for k in range(starts)]
-    model = min(models, key=lambda m: m.summary.trainingCost)
-    centers = sorted(enumerate(model.clusterCenters()), key=lambda x: tuple(x[1][::-1]))
-    table = samples.sparkSession.createDataFrame(
-        [(old, new, *map(float, np.clip(c, 0, 255))) for new, (old, c) in enumerate(centers)], "__c int, cluster_id int, cb double, cg double, cr double"
-    )
-    near = model.transform(rows).join(F.broadcast(table), "__c")  # two rows
-    far = F.sqrt(sum(F.pow(F.col(k) - F.col(f"c{k}"), 2) for k in "bgr"))
-    best = near.groupBy("cluster_id", "cb", "cg", "cr").agg(F.min(F.struct(far.alias("far"), (-F.col("area")).alias("a"), "sample_id")).alias("m"), F.count("*").alias("members"))
+    colours = staged(samples.groupBy("match_id", "b", "g", "r").agg(F.count("*").alias("n")))
+    total = lambda k, of=None: F.sum(F.col(k) * F.col("n") if of is None else F.when(of, F.col(k) * F.col("n")))
+    heart = colours.groupBy("match_id").agg(F.sum("n").alias("n_samples"), F.count("*").alias("colours"), *[(total(k) / F.sum("n")).alias(f"m{k}") for k in "bgr"])
+
+    held = lambda columns: [F.min(c).alias(c) for c in columns]  # noqa: E731  the same in all rows of a match
+
+    def farthest(centers: DataFrame, origin: str, name: str) -> DataFrame:
+        away = colours.join(centers, "match_id").withColumn("far", far_apart("", origin))
+        best = F.max(F.struct("far", *[(-F.col(k)).alias(k) for k in "bgr"]))
+        found = away.groupBy("match_id").agg(best.alias("best"), *held([c for c in centers.columns if c != "match_id"]))
+        return found.withColumns({f"{name}{k}": -F.col(f"best.{k}") for k in "bgr"}).drop("best")
+
+    centers = farthest(farthest(heart, "m", "s"), "s", "t")
+    names = [f"{k}{c}" for c in "01" for k in "bgr"]
+    centers = centers.select("match_id", "n_samples", "colours", *[F.col(f"{'st'[int(n[1])]}{n[0]}").alias(n) for n in names])
+    for _ in range(steps):
+        near = colours.join(centers, "match_id")
+        gap = [sum((F.col(k) - F.col(f"{k}{c}")) * (F.col(k) - F.col(f"{k}{c}")) for k in "bgr") for c in "01"]
+        near = near.withColumn("second", gap[1] < gap[0])
+        means = []
+        for name in names:
+            own = F.col("second") == (name[1] == "1")
+            means.append(F.coalesce(total(name[0], own) / F.sum(F.when(own, F.col("n"))), F.min(name)).alias(name))
+        centers = near.groupBy("match_id").agg(*held(["n_samples", "colours"]), *means)
+    return centers
+
+
+def calibrate_teams(samples: DataFrame, least: int = 2, steps: int = STEPS) -> DataFrame:
+    """Two kit colours of every match, and the sample nearest each, the larger of equal ones, then that of the lesser id.
+
+    samples: match_id, sample_id, b, g, r, area. A row for each cluster: match_id, cluster_id, color, label, sample_id, members,
+    sample_image and reason, which is null. Clusters are numbered by their centre's red, then green, then blue. A match
+    with fewer than ``least`` samples, or one colour only, has one row that holds nothing but the reason. Samples without a
+    colour or match are left out.
+    """
+    samples = samples.where("match_id is not null and b is not null and g is not null and r is not null").withColumns({k: F.col(k).cast("double") for k in "bgr"})
+    centers = staged(kit_clusters(samples, steps))
+    swap = F.struct("r1", "g1", "b1") < F.struct("r0", "g0", "b0")
+    good = (F.col("n_samples") >= least) & (F.col("colours") >= 2)
+    first = lambda k, c: F.greatest(F.lit(0), F.least(F.lit(255), F.when(swap, F.col(f"{k}{'10'[c]}")).otherwise(F.col(f"{k}{c}"))))
+    known = centers.where(good).select("match_id", "b0", "g0", "r0", "b1", "g1", "r1", swap.alias("swap"), *[first(k, c).alias(f"c{k}{c}") for c in (0, 1) for k in "bgr"])
+    near = samples.join(known, "match_id")
+    gap = [sum((F.col(k) - F.col(f"{k}{c}")) * (F.col(k) - F.col(f"{k}{c}")) for k in "bgr") for c in "01"]
+    near = near.withColumn("cluster_id", F.when((gap[1] < gap[0]) != F.col("swap"), 1).otherwise(0))
+    near = near.select("match_id", "cluster_id", "sample_id", "area", *[F.when(F.col("cluster_id") == 1, F.col(f"c{k}1")).otherwise(F.col(f"c{k}0")).alias(f"c{k}") for k in "bgr"], F.least(*gap).alias("far"))
+    best = near.groupBy("match_id", "cluster_id", "cb", "cg", "cr").agg(F.min(F.struct("far", (-F.col("area")).alias("a"), "sample_id")).alias("m"), F.count("*").alias("members"))
     number = (F.col("cluster_id") + 1).cast("string")
-    return best.select(
-        "cluster_id", rgb_to_hex(F.col("cr"), F.col("cg"), F.col("cb")).alias("color"), F.concat(F.lit("Team "), number).alias("label"),
-        F.col("m.sample_id").alias("sample_id"), "members", F.concat(F.lit("team_"), number, F.lit(".jpg")).alias("sample_image"),
+    told = best.select(
+        "match_id", "cluster_id", rgb_to_hex(F.col("cr"), F.col("cg"), F.col("cb")).alias("color"), F.concat(F.lit("Team "), number).alias("label"),
+        F.col("m.sample_id").alias("sample_id"), "members", F.concat(F.lit("team_"), number, F.lit(".jpg")).alias("sample_image"), F.lit(None).cast("string").alias("reason"),
     )
+    reason = F.when(F.col("n_samples") < least, "too few samples").otherwise("one colour only")
+    return told.unionByName(centers.where(~good).select("match_id", reason.alias("reason")), allowMissingColumns=True)
+
+
+def candidates_json(clusters: DataFrame) -> DataFrame:
+    """match_id, team_candidates (as JSON, null if there are none) and error: what the job of a match tells the user."""
+    entry = F.struct("cluster_id", "color", "label", "sample_image")
+    listed = clusters.groupBy("match_id").agg(F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), entry))).alias("c"), F.max("reason").alias("error"))
+    return listed.select("match_id", F.when(F.size("c") > 0, F.to_json("c")).alias("team_candidates"), "error")
 
 
 def two_means(pixels: np.ndarray, seed: int = SEED, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:

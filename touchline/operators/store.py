@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as tx
+from touchline.sources.tables import staged
 
 
 #: Hexadecimal digits of the hash that deals rows out to chunks: 4096 chunks, whatever the table.
@@ -27,8 +32,13 @@ def new_ids(rows: DataFrame, last: DataFrame, key: str, order: list[str]) -> Dat
 
 
 def upsert_teams(teams: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Get or create teams by lower-case name; a non-empty colour overwrites. wanted: team_name, color."""
-    one = wanted.groupBy(F.lower("team_name").alias("__k")).agg(F.min("team_name").alias("__name"), F.max("color").alias("__color"))
+    """Get or create teams by lower-case name; a non-empty colour overwrites, the last one where there are several.
+
+    wanted: team_name, color, and order where there are several rows of a team; a new team is named as in its first row.
+    """
+    order = F.col("order") if "order" in wanted.columns else F.lit(0)
+    told = F.when(F.length("color") > 0, F.struct(order.alias("o"), "color"))
+    one = wanted.groupBy(F.lower("team_name").alias("__k")).agg(F.min(F.struct(order.alias("o"), "team_name"))["team_name"].alias("__name"), F.coalesce(F.max(told)["color"], F.lit("")).alias("__color"))
     named = teams.withColumn("__k", F.lower("team_name"))
     kept = named.join(one, "__k", "left").select("team_id", "team_name", F.coalesce(F.nullif("__color", F.lit("")), "color").alias("color"))
     fresh = new_ids(one.join(named, "__k", "left_anti"), teams, "team_id", ["__k"])
@@ -45,12 +55,49 @@ def upsert_players(players: DataFrame, seen: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select("player_id", *key, F.col("__name").alias("name")))
 
 
-def registrable(users: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Requests whose user name and email are free, letter case aside; of several for one name the first."""
+#: So few requests that are still undecided are gone through one after another, in one task.
+UNDECIDED_ROWS = 20_000
+
+
+def registrable(users: DataFrame, wanted: DataFrame, alone: int = UNDECIDED_ROWS) -> DataFrame:
+    """The requests that get in if all are tried in order of request_id: user name and email are free, letter case aside,
+    neither a user's nor those of a request that got in before.
+
+    In rounds: a request that is the first of all undecided ones both for its name and for its email gets in; the others of
+    that name or email are struck off. Each round decides at least the first request of every connected set, and
+    is written before the next. Once ``alone`` or fewer are undecided, one task goes through them in order. Repeated
+    rows of a request are one.
+    """
     low = lambda d: d.withColumns({"__u": F.lower("username"), "__e": F.lower("email")})
-    w = low(wanted).join(low(users).select("__u").distinct(), "__u", "left_anti").join(low(users).select("__e").distinct(), "__e", "left_anti")
-    first = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("request_id"))
-    return w.withColumn("__k", first("__u")).where("__k = 1").withColumn("__k", first("__e")).where("__k = 1").drop("__k", "__u", "__e")
+    free = low(wanted).dropDuplicates(["request_id"])
+    for key in ("__u", "__e"):
+        free = free.join(low(users).select(key).distinct(), key, "left_anti")
+    free = staged(free)
+    left, accepted = staged(free.select("request_id", "__u", "__e")), []
+    while (n := left.count()) > alone:
+        first = [left.groupBy(k).agg(F.min("request_id").alias("request_id")).select("request_id") for k in ("__u", "__e")]
+        won = staged(left.join(first[0], "request_id").join(first[1], "request_id"))
+        accepted.append(won.select("request_id"))
+        for key in ("__u", "__e"):
+            left = left.join(won.select(key), key, "left_anti")
+        left = staged(left)
+    if n:
+        accepted.append(left.coalesce(1).sortWithinPartitions("request_id").mapInPandas(_in_order, "request_id " + dict(left.dtypes)["request_id"]))
+    ids = reduce(DataFrame.unionByName, accepted) if accepted else left.select("request_id")
+    return free.join(ids, "request_id", "left_semi").select(*wanted.columns)
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows whose name and email no accepted row before them has."""
+    names, emails = set(), set()
+    for part in parts:
+        got = []
+        for request_id, name, email in zip(part["request_id"], part["__u"], part["__e"], strict=True):
+            if name not in names and email not in emails:
+                names.add(name)
+                emails.add(email)
+                got.append(request_id)
+        yield pd.DataFrame({"request_id": got})
 
 
 def register(users: DataFrame, wanted: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ from touchline.operators import identity as idn
 from touchline.operators import possession as pos
 from touchline.operators import store
 from touchline.operators import tracking as tr
+from touchline.plans.payloads import PAYLOADS
 from touchline.sources.tables import adapt, read, shared_folder, staged
 from touchline.streaming import stateful as st
 
@@ -373,18 +374,11 @@ def name_consensus(t):
 
 @query
 def ocr_payload_flatten(t):
-    """Payloads in the five shapes that engines return, by frame, to rows."""
+    """Payloads of all shapes, by frame, to rows."""
     text_of = F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
     one, two = (F.round(c, 2).cast("string") for c in ("confidence", "crop_quality"))
-    pair = lambda score: F.concat(F.lit("["), text_of, F.lit(", "), score, F.lit("]"))
-    boxed = lambda score: F.concat(F.lit("[[[1, 2], [3, 4]], "), pair(score), F.lit("]"))
-    lists = F.concat(F.lit("["), text_of, F.lit(", "), text_of, F.lit('], "%s": ['), one, F.lit(", "), two, F.lit("]"))
-    shape = F.col("frame_num") % 5
-    payload = (
-        F.when(shape == 0, F.concat(F.lit('[{"res": {"rec_texts": '), F.replace(lists, F.lit("%s"), F.lit("rec_scores")), F.lit("}}]")))
-        .when(shape == 1, F.concat(F.lit('{"texts": '), F.replace(lists, F.lit("%s"), F.lit("scores")), F.lit("}")))
-        .when(shape == 2, pair(one)).when(shape == 3, boxed(one)).otherwise(F.concat(F.lit("[["), boxed(one), F.lit(", "), boxed(two), F.lit("]]")))
-    )
+    shape = F.get(F.array(*map(F.lit, PAYLOADS)), (F.col("frame_num") % len(PAYLOADS)).cast("int"))
+    payload = F.replace(F.replace(F.replace(shape, F.lit("{t}"), text_of), F.lit("{a}"), one), F.lit("{b}"), two)
     rows = t.ocr_candidates.select("match_id", "frame_num", F.posexplode(text.payload_readings(payload)).alias("item", "z"))
     return rows.select("match_id", "frame_num", "item", "z.text", "z.score")
 
@@ -505,7 +499,8 @@ def team_upsert(t):
     teams = t.teams.withColumn("color", F.lit("#000000"))
     wanted = t.read("supplier").select(
         F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("Club "), F.col("s_nationkey").cast("string"))).otherwise(F.lit("germany")).alias("team_name"),
-        F.when(F.col("s_nationkey") % 3 == 0, "").otherwise(F.concat(F.lit("#"), F.lpad(F.col("s_nationkey").cast("string"), 6, "0"))).alias("color"),
+        F.when(F.col("s_nationkey") % 3 == 0, "").otherwise(F.concat(F.lit("#"), F.lpad((F.col("s_nationkey") * 1000 + F.col("s_suppkey") * 7 % 1000).cast("string"), 6, "0"))).alias("color"),
+        F.col("s_suppkey").alias("order"),
     )
     return store.upsert_teams(teams, wanted)
 
@@ -519,7 +514,8 @@ def player_upsert(t):
 
 @query
 def register_dedupe(t):
-    return store.registrable(*people(t))
+    """All rounds on the cluster, down to the last undecided request."""
+    return store.registrable(*people(t), alone=0)
 
 
 def people(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -527,7 +523,9 @@ def people(t: Tables) -> tuple[DataFrame, DataFrame]:
     c = t.read("customer")
     person = lambda n: [n.alias("username"), F.concat(F.lit("mail"), (F.col("c_custkey") % 997).cast("string"), F.lit("@example.com")).alias("email")]
     users = c.where("c_acctbal > 4500").select(F.col("c_custkey").alias("user_id"), *person(F.lower("c_name")))
-    return users, c.select(F.col("c_custkey").alias("request_id"), *person(F.col("c_name")))
+    # two of three requests share their name, in other letters, and those far apart their email: chains of conflicts
+    name = F.when(F.col("c_custkey") % 3 == 1, F.upper("c_name")).otherwise(F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") - F.col("c_custkey") % 3 + 2).cast("string"), 9, "0")))
+    return users, c.select(F.col("c_custkey").alias("request_id"), *person(name))
 
 
 @query
@@ -605,10 +603,22 @@ def identity_snapshot(t):
     return rows.withColumns({k: F.array_join(k, "|") for k in ("jersey_candidates", "name_candidates")})
 
 
+def kit_samples(t: Tables) -> DataFrame:
+    """Colours with an area and an id; every seventh match has one colour only, and every eleventh one sample."""
+    one = lambda k: F.when(F.col("match_id") % 7 == 3, F.lit(40.0)).otherwise(F.col(k)).alias(k)
+    rows = t.player_colors.where("match_id % 11 <> 4 OR frame_num = 0")
+    return rows.select("match_id", *map(one, "bgr"), (F.col("frame_num") % 50 + 40).alias("area"), (F.col("match_id") * 100 + F.col("frame_num")).alias("sample_id"))
+
+
 @query
 def team_calibration(t):
-    samples = t.player_colors.select("b", "g", "r", (F.col("frame_num") % 50 + 40).alias("area"), (F.col("match_id") * 100 + F.col("frame_num")).alias("sample_id"))
-    return calibrate.calibrate_teams(samples)
+    return calibrate.calibrate_teams(kit_samples(t))
+
+
+@query
+def team_candidates(t):
+    """What the job of a match says of its kits."""
+    return calibrate.candidates_json(calibrate.calibrate_teams(kit_samples(t)))
 
 
 @query

@@ -7,6 +7,7 @@ import re
 from touchline.functions.geometry import HOMOGRAPHY, PITCH_CORNERS
 from touchline.operators.calibrate import random_weights
 from touchline.sources.tables import ADAPTERS
+from touchline.plans.payloads import PAYLOADS
 
 _H = HOMOGRAPHY
 _EDGES = list(zip(PITCH_CORNERS, PITCH_CORNERS[1:] + PITCH_CORNERS[:1], strict=True))
@@ -33,6 +34,51 @@ _TWO = lambda n: f"CASE WHEN length({n}) < 2 THEN '0' || {n} ELSE {n} END"  # no
 _CLOCK = lambda s: f"""{_TWO(f"CAST(CAST(floor({s}) AS BIGINT) // 60 AS VARCHAR)")} || ':' || {_TWO(f"CAST(CAST(floor({s}) AS BIGINT) % 60 AS VARCHAR)")}"""
 
 
+def _payloads() -> str:
+    """The payloads, made by shape, and their trees gone down by recursion: a level a step."""
+    shapes = " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PAYLOADS))
+    texts, scores = (f"CASE WHEN json_array_length(x, '$.rec_{k}') > 0 THEN x->'$.rec_{k}' ELSE x->'$.{k}' END" for k in ("texts", "scores"))
+    scored = lambda v: f"(json_type({v}) = 'ARRAY' AND json_array_length({v}) = 2 AND json_type({v}, '$[0]') = 'VARCHAR')"
+    return f"""WITH made AS (SELECT match_id, frame_num, replace(replace(replace(CASE frame_num % {len(PAYLOADS)} {shapes} END, '{{t}}', CAST(to_json(text) AS VARCHAR)), '{{a}}', CAST(round(confidence, 2) AS VARCHAR)), '{{b}}', CAST(round(crop_quality, 2) AS VARCHAR)) AS p FROM ocr_candidates),
+ level AS (SELECT match_id, frame_num, CAST([] AS BIGINT[]) AS trail, CAST(p AS JSON) AS v FROM made UNION ALL
+ SELECT match_id, frame_num, list_append(trail, unnest(range(len(kids)))), unnest(kids) FROM (SELECT match_id, frame_num, trail, CASE
+  WHEN json_type(x) = 'OBJECT' AND (texts IS NULL OR scores IS NULL) THEN map_values(CAST(x AS MAP(VARCHAR, JSON)))
+  WHEN json_type(x) = 'ARRAY' AND NOT (paired OR boxed) THEN CAST(x AS JSON[]) ELSE CAST([] AS JSON[]) END AS kids
+  FROM (SELECT *, {texts} AS texts, {scores} AS scores, {scored("x")} AND json_type(x, '$[1]') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AS paired, coalesce({scored("x->'$[1]'")}, false) AS boxed
+   FROM (SELECT *, CASE WHEN json_type(v) = 'OBJECT' AND json_exists(v, '$.res') THEN v->'$.res' ELSE v END AS x FROM level)))),
+ found AS (SELECT match_id, frame_num, trail, CASE WHEN json_type(x) = 'OBJECT' THEN list_zip(CAST(texts AS JSON[]), CAST(scores AS JSON[]), true) WHEN paired THEN [(x->'$[0]', x->'$[1]')] WHEN boxed THEN [(x->'$[1][0]', x->'$[1][1]')] END AS pairs
+  FROM (SELECT *, {texts} AS texts, {scores} AS scores, {scored("x")} AND json_type(x, '$[1]') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AS paired, coalesce({scored("x->'$[1]'")}, false) AS boxed
+   FROM (SELECT *, CASE WHEN json_type(v) = 'OBJECT' AND json_exists(v, '$.res') THEN v->'$.res' ELSE v END AS x FROM level))
+  WHERE json_type(x) <> 'OBJECT' OR (json_type(texts) = 'ARRAY' AND json_type(scores) = 'ARRAY')),
+ pair AS (SELECT match_id, frame_num, trail, unnest(range(len(pairs))) AS k, unnest(pairs) AS z FROM found WHERE pairs IS NOT NULL)
+ SELECT match_id, frame_num, CAST(row_number() OVER (PARTITION BY match_id, frame_num ORDER BY trail, k) - 1 AS INT) AS item, z.t->>'$' AS text, greatest(0, least(1, z.s)) AS score
+ FROM (SELECT match_id, frame_num, trail, k, struct_pack(t := z[1], s := TRY_CAST(z[2] AS DOUBLE)) AS z FROM pair) WHERE z.s IS NOT NULL"""
+
+
+_PAYLOADS = _payloads()
+
+
+def _two_means(steps: int = 10) -> str:
+    """Centres by match after so many steps, a select for each."""
+    gap = lambda c: " + ".join(f"({k} - {k}{c}) * ({k} - {k}{c})" for k in "bgr")
+    mean = lambda k, c, own: f"coalesce(sum({k}) FILTER ({own}) / count(*) FILTER ({own}), any_value({k}{c})) AS {k}{c}"
+    kept = "any_value(n_samples) AS n_samples, any_value(colours) AS colours"
+    far = lambda o: "+".join(f"({k} - {o}{k}) * ({k} - {o}{k})" for k in "bgr")
+    sql = "SELECT match_id, count(*) AS n_samples, count(DISTINCT (b, g, r)) AS colours, sum(b) / count(*) AS mb, sum(g) / count(*) AS mg, sum(r) / count(*) AS mr FROM kit_samples GROUP BY match_id"
+    for o, names in (("m", ("sb", "sg", "sr")), ("s", ("b1", "g1", "r1"))):
+        first = ", ".join(f"arg_min({k}, (-({far(o)}), b, g, r)) AS {n}" for k, n in zip("bgr", names, strict=True))
+        sql = f"SELECT match_id, {kept}, {', '.join(f'any_value(s{k}) AS s{k}' for k in 'bgr' if o == 's')}{', ' if o == 's' else ''}{first} FROM kit_samples JOIN ({sql}) USING (match_id) GROUP BY match_id"
+    sql = f"SELECT match_id, n_samples, colours, sb AS b0, sg AS g0, sr AS r0, b1, g1, r1 FROM ({sql})"
+    for _ in range(steps):
+        near = f"({gap(1)}) < ({gap(0)})"
+        sql = f"SELECT match_id, {kept}, {', '.join(mean(k, c, own) for c, own in ((0, f'NOT ({near})'), (1, near)) for k in 'bgr')} FROM kit_samples JOIN ({sql}) USING (match_id) GROUP BY match_id"
+    return sql
+
+
+_HEX = lambda c: f"printf('%02X', CAST(trunc(least(255, greatest(0, {c}))) AS INT))"
+_GAP = lambda c: " + ".join(f"({k} - {k}{c}) * ({k} - {k}{c})" for k in "bgr")
+
+
 def _spaced(source: str, cooldown: int, by: str, name: str) -> str:
     """Greedy choice as a recursion: the least frame, then each time the least that is far enough on."""
     same = " AND ".join(f"e.{k} = t.{k}" for k in by.split(", "))
@@ -149,10 +195,21 @@ VIEWS |= {
     "seen_players": """seen_players AS (SELECT team_id, jersey_number AS jersey_no, arg_min(player_name, event_id) FILTER (player_name IS NOT NULL) AS name FROM told WHERE jersey_number IS NOT NULL AND team_id IS NOT NULL GROUP BY ALL)""",
     "kept_players": """kept_players AS (SELECT player_id, team_id, jersey_no, coalesce(nullif(p.name, ''), f.name) AS name FROM players p LEFT JOIN seen_players f USING (team_id, jersey_no)
  UNION ALL SELECT (SELECT max(player_id) FROM players) + row_number() OVER (ORDER BY substr(md5(team_id || '/' || jersey_no), 1, 3), team_id, jersey_no), team_id, jersey_no, name FROM seen_players ANTI JOIN players USING (team_id, jersey_no))""",
-    "requests": "requests AS (SELECT c_custkey AS request_id, c_name AS username, 'mail' || (c_custkey % 997) || '@example.com' AS email, c_acctbal FROM customer)",
-    "free_requests": """free_requests AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS j FROM (
- SELECT *, row_number() OVER (PARTITION BY lower(username) ORDER BY request_id) AS k FROM requests r WHERE NOT EXISTS (SELECT 1 FROM requests o WHERE o.c_acctbal > 4500 AND (lower(o.username) = lower(r.username) OR o.email = r.email)))
- WHERE k = 1) WHERE j = 1)""",
+    "requests": """requests AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 = 1 THEN upper(c_name) ELSE 'Customer#' || lpad(CAST(c_custkey - c_custkey % 3 + 2 AS VARCHAR), 9, '0') END AS username,
+ 'mail' || (c_custkey % 997) || '@example.com' AS email, c_name, c_acctbal FROM customer)""",
+    "kit_samples": """kit_samples AS (SELECT match_id, CASE WHEN match_id % 7 = 3 THEN 40 ELSE b END AS b, CASE WHEN match_id % 7 = 3 THEN 40 ELSE g END AS g, CASE WHEN match_id % 7 = 3 THEN 40 ELSE r END AS r,
+ frame_num % 50 + 40 AS area, match_id * 100 + frame_num AS sample_id FROM player_colors WHERE match_id % 11 <> 4 OR frame_num = 0)""",
+    "kit_centers": f"kit_centers AS ({_two_means()})",
+    "kit_clusters": f"""kit_clusters AS (SELECT match_id, CAST(k AS INT) AS cluster_id, color, 'Team ' || (k + 1) AS label, sample_id, members, 'team_' || (k + 1) || '.jpg' AS sample_image, CAST(NULL AS VARCHAR) AS reason FROM (
+ SELECT match_id, CASE WHEN second <> ((r1, g1, b1) < (r0, g0, b0)) THEN 1 ELSE 0 END AS k, any_value('#' || CASE WHEN second THEN {_HEX("r1")} || {_HEX("g1")} || {_HEX("b1")} ELSE {_HEX("r0")} || {_HEX("g0")} || {_HEX("b0")} END) AS color,
+  arg_min(sample_id, (far, -area, sample_id)) AS sample_id, count(*) AS members FROM (SELECT *, ({_GAP(1)}) < ({_GAP(0)}) AS second, least({_GAP(0)}, {_GAP(1)}) AS far FROM kit_samples JOIN kit_centers USING (match_id) WHERE n_samples >= 2 AND colours >= 2) GROUP BY ALL)
+ UNION ALL SELECT match_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN n_samples < 2 THEN 'too few samples' ELSE 'one colour only' END FROM kit_centers WHERE n_samples < 2 OR colours < 2)""",
+    "open_requests": """open_requests AS (SELECT *, row_number() OVER (ORDER BY request_id) AS k FROM requests r WHERE NOT EXISTS (
+ SELECT 1 FROM requests o WHERE o.c_acctbal > 4500 AND (lower(o.c_name) = lower(r.username) OR o.email = r.email)))""",
+    "tried_requests": """tried_requests AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS emails, false AS fits UNION ALL
+ SELECT o.k, CASE WHEN f THEN list_append(names, lower(username)) ELSE names END, CASE WHEN f THEN list_append(emails, email) ELSE emails END, f FROM (
+  SELECT o.k, username, email, names, emails, NOT list_contains(names, lower(username)) AND NOT list_contains(emails, email) AS f FROM tried_requests t JOIN open_requests o ON o.k = t.k + 1) o)""",
+    "free_requests": "free_requests AS (SELECT o.* FROM open_requests o JOIN tried_requests t ON t.k = o.k WHERE fits)",
 }
 VIEWS["occurrences"] = """occurrences AS (SELECT event_id, 2*event_id AS occurrence_id, track_id AS detected_track_id, jersey_number AS detected_jersey_no FROM (SELECT *, match_id*1000+goal_frame AS event_id FROM named_scorers)
  UNION ALL SELECT event_id, 2*event_id+1, track_id + 100, jersey_number FROM (SELECT *, match_id*1000+goal_frame AS event_id FROM named_scorers) WHERE event_id % 3 = 0)"""
@@ -228,8 +285,7 @@ SELECTS = {
     "ocr_names": "SELECT match_id, frame_num, track_id, text, value AS name FROM name_values",
     "jersey_consensus": "SELECT * FROM number_consensus",
     "name_consensus": "SELECT * FROM name_consensus",
-    "ocr_payload_flatten": """SELECT match_id, frame_num, CAST(0 AS INT) AS item, text, round(confidence, 2) AS score FROM ocr_candidates
- UNION ALL SELECT match_id, frame_num, 1, text, round(crop_quality, 2) FROM ocr_candidates WHERE frame_num % 5 IN (0, 1, 4)""",
+    "ocr_payload_flatten": _PAYLOADS,
     "text_kinds": "SELECT match_id, frame_num, track_id, text, regexp_matches(text, '[0-9]') AS digit, regexp_matches(text, '[A-Za-z]') AS letter FROM ocr_candidates",
     "goal_text": "SELECT match_id, goal_frame, g AS description FROM named_scorers",
     "match_summary_text": f"""SELECT c.match_id, c.frame_num, {_CLOCK('c.frame_num / 24')} || ' → ' || CASE WHEN event = 'goal' THEN g ELSE upper(event) END AS line,
@@ -262,7 +318,7 @@ SELECTS = {
  LEFT JOIN (SELECT match_id, count(*) AS n_events, count(*) FILTER (event = 'goal') AS goals, count(*) FILTER (event = 'foul') AS fouls, count(*) FILTER (event = 'card') AS cards FROM confirmed GROUP BY match_id) USING (match_id)""",
     "occurrence_lookup": """SELECT e.event_id, e.match_id, e.event, o.occurrence_id, o.detected_track_id, o.detected_jersey_no FROM (SELECT match_id*1000+frame_num AS event_id, match_id, event FROM confirmed) e
  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY occurrence_id DESC) AS k FROM occurrences) WHERE k = 1) o ON o.event_id = e.event_id""",
-    "team_upsert": """WITH w AS (SELECT lower(n) AS k, min(n) AS n, max(c) AS c FROM (SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'Club ' || s_nationkey ELSE 'germany' END AS n, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE '#' || lpad(CAST(s_nationkey AS VARCHAR), 6, '0') END AS c FROM supplier) GROUP BY 1)
+    "team_upsert": """WITH w AS (SELECT lower(n) AS k, min(n) AS n, coalesce(arg_max(c, s_suppkey) FILTER (c <> ''), '') AS c FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'Club ' || s_nationkey ELSE 'germany' END AS n, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE '#' || lpad(CAST(s_nationkey * 1000 + s_suppkey * 7 % 1000 AS VARCHAR), 6, '0') END AS c FROM supplier) GROUP BY 1)
  SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team_name, coalesce(nullif(c, ''), '#000000') AS color FROM nation LEFT JOIN w ON k = lower(n_name)
  UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY substr(md5(k), 1, 3), k), n, c FROM w WHERE k NOT IN (SELECT lower(n_name) FROM nation)""",
     "player_upsert": """WITH p AS (SELECT * FROM players), f AS (SELECT CAST(s_nationkey AS BIGINT) AS team_id, CAST(s_suppkey % 100 AS INT) AS jersey_no, 'P' || min(s_suppkey) AS name FROM supplier GROUP BY ALL)
@@ -294,6 +350,9 @@ SELECTS = {
  LEFT JOIN (SELECT match_id, track_id, arg_min(team_id, frame_num) AS slot, arg_min(team_confidence, frame_num) AS team_confidence FROM team_frames WHERE team_id <> 0 GROUP BY ALL) k USING (match_id, track_id)
  LEFT JOIN (SELECT match_id, team_slot AS slot, team_name FROM named_plays) p USING (match_id, slot)
  LEFT JOIN number_consensus n USING (match_id, track_id) LEFT JOIN name_consensus m USING (match_id, track_id)""",
+    "team_calibration": "SELECT * FROM kit_clusters",
+    "team_candidates": """SELECT match_id, '[' || string_agg('{"cluster_id":' || cluster_id || ',"color":"' || color || '","label":"' || label || '","sample_image":"' || sample_image || '"}', ',' ORDER BY cluster_id) || ']' AS team_candidates,
+ max(reason) AS error FROM kit_clusters GROUP BY match_id""",
     "kit_color_udf": "SELECT match_id, frame_num, track_id, greatest(0, least(255, b)) AS b, greatest(0, least(255, g)) AS g, greatest(0, least(255, r)) AS r FROM player_colors",
     "stream_goal_crops": "SELECT * FROM goal_crops",
     "stream_cooldown": "SELECT * FROM confirmed",
