@@ -60,3 +60,18 @@ def test_long_runs_are_deleted_whole_short_lines_and_all(spark):
         assert {run.source_id for run in got[i].runs} == {0}
     assert got[0].runs == [] and got[10].text == "head of ten is here\ntail of ten is here" and got[10].runs[0].source_line == 6
     assert all(r[n] == "mine" for r in got.values() for n in names if n != "runs")
+
+
+def test_op7_sub_bins_are_even_for_rows_without_an_id(spark):
+    """Pieces that are alike in every column are dealt out over a length's sub-bins like others."""
+    from collections import Counter
+
+    from touchline.llm.packing import pack
+
+    pieces = spark.range(4000).selectExpr("CAST(NULL AS bigint) AS doc_id", "0L AS start", "7L AS length")
+    got = pack(pieces, rank_rows=50).collect()
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert len(got) == 4000 and max(ends.values()) <= 2048

@@ -152,6 +152,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
     own. No pieces give no rows.
     """
     pieces = cut(pieces.drop("sequence_id", "offset"))
+    columns = pieces.columns
+    pieces = pieces.withColumn("__row", F.monotonically_increasing_id())  # the same each time, as the pieces are written
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     spark = pieces.sparkSession
     table_of_slots = spark.createDataFrame(
@@ -161,7 +163,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
     # sub-bins, that of the sub-bin within it, both from counts, and the row's number within the sub-bin.
     parts = spark.createDataFrame([(k, -(-n // rank_rows)) for k, n in histogram.items()], "length long, __parts long")
     binned = pieces.join(F.broadcast(parts), "length")  # a row a length, ``capacity`` at most
-    binned = binned.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "start"), F.col("__parts"))).drop("__parts")
+    binned = binned.withColumn("__bin", F.pmod(F.xxhash64("__row"), F.col("__parts"))).drop("__parts")
     counts = binned.groupBy("length", "__bin").agg(F.count("*").alias("n"))
     counts = counts.withColumn("__group", F.floor(F.col("__bin") / BINS_A_GROUP))
     earlier = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -169,14 +171,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
     groups = groups.select("length", "__group", earlier(["length"], "__group").alias("__first"))
     counts = counts.select("length", "__bin", "__group", earlier(["length", "__group"], "__bin").alias("__within")).join(groups, ["length", "__group"])
     counts = counts.select("length", "__bin", (F.col("__first") + F.col("__within")).alias("__base"))
-    number = F.row_number().over(Window.partitionBy("length", "__bin").orderBy("doc_id", "start")) - 1
+    number = F.row_number().over(Window.partitionBy("length", "__bin").orderBy("doc_id", "start", "__row")) - 1
     ranked = binned.withColumn("__number", number).join(counts, ["length", "__bin"])
     ranked = ranked.withColumn("__rank", F.col("__base") + F.col("__number"))
     # The slots are bounded by the patterns of ``capacity`` lengths, not by the corpus.
     here = (F.col("length") == F.col("__length")) & F.col("__rank").between(F.col("first_rank"), F.col("last_rank"))
     placed = ranked.join(F.broadcast(table_of_slots), here)
     placed = placed.withColumn("sequence_id", F.col("first_sequence") + F.col("__rank") - F.col("first_rank"))
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    return placed.select(*columns, "sequence_id", "offset")
 
 
 def packed_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
