@@ -235,18 +235,21 @@ def test_snapshot(spark):
 
 def test_checks_and_settings(spark):
     from touchline.functions import checks
-    from touchline.plans.config import Run, Team
+    from touchline.plans.config import Run
 
     s, n = lambda v: F.lit(v).cast("string"), lambda v: F.lit(v).cast("int")
     assert [one(spark, checks.registration(s(u), s(e), s(p))) for u, e, p in (("ab", "a@b.co", "123456"), ("a", "a@b.co", "123456"), ("ab", "a@b", "123456"), ("ab", "a@b.co", "x" * 129), (None, "a@b.co", "123456"))] == [None, "username", "email", "password", "username"]
     assert [one(spark, checks.team_names(s(a), s(b))) for a, b in (("A", "B"), ("A ", " a"), ("", "B"), ("A", "x" * 101))] == [None, "same name", "team_1_name", "team_2_name"]
-    assert [one(spark, checks.team_setting(n(i), s(t), [n(0), n(c), n(255)])) for i, t, c in ((1, "A", 3), (3, "A", 3), (2, " ", 3), (2, "A", 256), (2, "A", None))] == [None, "team_id must be 1 or 2", "team name is empty", "colour channels are 0 to 255", "colour channels are 0 to 255"]
+    assert [one(spark, checks.team_setting(n(i), s(t), [n(0), n(c), n(255)])) for i, t, c in ((1, "A", 3), (3, "A", 3), (2, " ", 3), (2, "A", 256), (2, "A", None))] == [None, "no such team", "nameless team", "no such colour", "no such colour"]
     assert [one(spark, checks.upload(s("x"), F.lit(z), F.lit(ok))) for z, ok in ((1, True), (1, False), ((2 << 30) + 1, True))] == [202, 415, 413]
-    run = Run.of("in", "out", " Reds ", "#12A0ff", "Blues", "0000FF", cooldown=30)
-    assert run.team_a.rgb == (18, 160, 255) and run.kits[2] == (255.0, 0.0, 0.0) and run.cooldown == 30
-    for bad in (lambda: Run.of("in", "out", "A", "blue", "B", "#000000"), lambda: Run.of("in", "out", "A", "#000000", "a", "#000000"), lambda: Run.of("", "out", "A", "#000000", "B", "#000000"), lambda: Team(3, "A", (0, 0, 0)), lambda: Team(1, " ", (0, 0, 0)), lambda: Team(1, "A", (0, 0, 256)), lambda: Run.of("i", "o", "A", "#000000", "B", "#000000", reach=0)):
+    run = Run.of(spark, "in", "out", [(" Reds ", "#12A0ff"), ("Blues", " 0000FF ")], cooldown=30)
+    assert run.kits == {1: (255.0, 160.0, 18.0), 2: (255.0, 0.0, 0.0)} and run.names[1] == "Reds" and run.limits["cooldown"] == 30 and run.limits["fps"] == 24.0
+    good = [("A", "#000000"), ("B", "#000000")]
+    for teams, limits in (([("A", "blue"), good[1]], {}), ([good[0], ("a", "#000000")], {}), ([good[0], (" ", "#000000")], {}), ([good[0], ("B", None)], {}), (good[:1], {}), (good, {"reach": 0}), (good, {"reacj": 1})):
         with pytest.raises(ValueError):
-            bad()
+            Run.of(spark, "in", "out", teams, **limits)
+    with pytest.raises(ValueError):
+        Run.of(spark, "", "out", good)
 
 
 def test_store_of_a_match(spark, tmp_path):
@@ -269,12 +272,12 @@ def test_store_of_a_match(spark, tmp_path):
     result = json.loads(store.result_json(store.match_objects(got, teams)).where("match_id = 1").first().result)
     assert result["score_sheet"] == [{"team": "Reds", "score": 2}, {"team": "Blues", "score": 1}] and [e["eventType"] for e in result["events"]] == ["goal"] * 3 + ["foul", "goal"]
     assert len({r.job_id for r in store.with_job_ids(matches).collect()}) == 2
-    from touchline.sources.files import save_store
+    from touchline.sources.files import read_store, save_store
 
     for _ in range(2):
         save_store(got, f"{tmp_path}/s")
     save_store({k: v.where("match_id = 2") if k == "matches" else v for k, v in got.items()}, f"{tmp_path}/s")
-    assert {k: spark.read.parquet(f"{tmp_path}/s/{k}").count() for k in got} == {"matches": 2, "plays": 3, "events": 5, "occurrences": 5, "players": 2}
+    assert {k: v.count() for k, v in read_store(spark, f"{tmp_path}/s").items()} == {"matches": 2, "plays": 3, "events": 5, "occurrences": 5, "players": 2}
     jobs = spark.createDataFrame([("a", "completed", "r"), ("b", "queued", None)], "job_id string, status string, result string")
     wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string")
     assert [tuple(r) for r in store.job_results(wanted, jobs).orderBy("job_id").collect()] == [("a", 200, "r"), ("b", 409, None), ("c", 404, None)]

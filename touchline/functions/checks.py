@@ -19,7 +19,7 @@ def first_reason(*tests: tuple[Column, str]) -> Column:
 def team_setting(team_id: Column, name: Column, rgb: Sequence[Column]) -> Column:
     """A team's id is 1 or 2, its name is not blank, its three channels are 0 to 255."""
     channels = reduce(lambda a, b: a | b, [~x.between(0, 255) for x in rgb])
-    return first_reason((~team_id.isin(1, 2), "team_id must be 1 or 2"), (F.length(F.trim(name)) == 0, "team name is empty"), (channels, "colour channels are 0 to 255"))
+    return first_reason((~team_id.isin(1, 2), "no such team"), (F.length(F.trim(name)) == 0, "nameless team"), (channels, "no such colour"))
 
 
 def registration(username: Column, email: Column, password: Column) -> Column:

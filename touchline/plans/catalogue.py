@@ -16,9 +16,12 @@ from touchline.operators import identity as idn
 from touchline.operators import possession as pos
 from touchline.operators import store
 from touchline.operators import tracking as tr
+from touchline.operators.tracker import assign_tracks
 from touchline.plans.payloads import PAYLOADS
+from touchline.sources import files
 from touchline.sources.tables import adapt, read, shared_folder, staged
 from touchline.streaming import stateful as st
+from touchline.streaming.replay import Replay
 
 KITS = {1: (70.0, 70.0, 180.0), 2: (180.0, 70.0, 70.0)}
 FRAME = (1920, 1080)
@@ -647,21 +650,67 @@ def lstm_event_udf(t):
 
 
 def streamed(t: Tables, batch: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a streaming operator over rows written as files, to the end of the input, and read what it appended.
+    """Play the rows back in time order, a slot of frames a trigger, and read what the operator appended.
 
-    A row a day after the last one moves the watermark past every frame. The files hold rows of all times in no order, so
-    all of them come in one trigger: with fewer at a time, the watermark of one would drop the rows of the next. Files,
-    checkpoint and result are in the shared folder.
+    Half of the slots come first; the query then ends, and starts again from its checkpoint for the rest.
     """
-    base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    st.with_time(batch).write.parquet(f"{base}/in/a")
-    rows = t.spark.read.parquet(f"{base}/in/a")
-    late = rows.orderBy(F.desc("ts")).limit(1).withColumns({"match_id": F.lit(-1).cast("long"), "ts": F.expr("ts + interval 1 day")})
-    late.write.parquet(f"{base}/in/b")
-    source = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    run = operator(source).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
-    run.awaitTermination()
-    return t.spark.read.parquet(f"{base}/out").where("match_id >= 0")
+    replay = Replay(batch)
+    replay.play(replay.slots // 2)
+    if replay.played:
+        replay.run(operator)
+    replay.play()
+    replay.run(operator)
+    return replay.result()
+
+
+@query
+def tracks_assigned(t):
+    """Tracks of the detections, found anew: their own ids are not used."""
+    return assign_tracks(t.detections.drop("track_id"))
+
+
+@query
+def stream_tracks(t):
+    return streamed(t, t.detections.drop("track_id"), st.stream_tracks)
+
+
+@query
+def job_progress(t):
+    """How far a run has come after each of its triggers, as the stream itself reports it."""
+    replay = Replay(t.frames)
+    replay.play()
+    return replay.progress([replay.run(lambda rows: rows.select("match_id", "frame_num"))])
+
+
+@query
+def store_read_back(t):
+    """The store as its manifest names it, after two saves: of all matches, then again of those with an even number."""
+    path = f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}"
+    stored = {k: staged(v) for k, v in t.stored().items()}
+    files.save_store(stored, path)
+    files.save_store({k: v.where("match_id % 2 = 0") for k, v in stored.items() if k in ("plays", "events")}, path)
+    tables = files.read_store(t.spark, path)
+    one = lambda name, key: tables[name].select(F.lit(name).alias("name"), "match_id", F.col(key).alias("id"))
+    return one("plays", "play_id").unionByName(one("events", "event_id")).unionByName(one("occurrences", "occurrence_id"))
+
+
+@query
+def result_json(t):
+    """The result of every match's job, as the poll returns it."""
+    objects = store.match_objects(t.stored(), t.teams.withColumn("primary_color", F.lit("#000000")))
+    jobs = t.jobs().withColumn("match_id", F.regexp_extract("job_id", "[0-9]+", 0).cast("long")).drop("result")
+    told = store.job_results(jobs.select("job_id"), jobs.join(store.result_json(objects), "match_id"))
+    sheet = F.from_json("result", "score_sheet array<struct<team:string,score:long>>")["score_sheet"]
+    told = told.withColumns({"goals": F.aggregate(sheet, F.lit(0).cast("long"), lambda s, x: s + x["score"]), "teams": F.size(sheet)})
+    return told.select("job_id", "code", F.when(F.col("code") == 200, F.col("goals")).alias("goals"), F.when(F.col("code") == 200, F.col("teams")).alias("teams"))
+
+
+@query
+def crop_sharpness(t):
+    """Vectors of 64 values as grey crops of 8 by 8 points; times 64 * 64 the variance is a whole number."""
+    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255)).cast("long")), 2, "0"))
+    image = F.unhex(F.array_join(grey, ""))
+    return t.features.select("match_id", "frame_num", F.round(calibrate.sharpness(image, F.lit(8), F.lit(8)) * 4096).cast("long").alias("sharpness"))
 
 
 @query

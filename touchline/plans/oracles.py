@@ -338,8 +338,8 @@ SELECTS = {
  CAST(CASE WHEN status = 'completed' THEN 100 END AS INT) AS progress_percent, CAST(NULL AS VARCHAR) AS team_candidates, CASE WHEN status <> 'completed' THEN 'no ball' END AS error FROM matches""",
     "job_results": """SELECT 'job-' || match_id AS job_id, CAST(CASE WHEN status = 'completed' THEN 200 ELSE 409 END AS INT) AS code, CASE WHEN status = 'completed' THEN match_id END AS result FROM matches
  UNION ALL SELECT 'job-' || match_id || 'x', 404, NULL FROM matches""",
-    "match_config_check": """SELECT n_nationkey, color, team_id, CASE WHEN team_id NOT IN (1, 2) THEN 'team_id must be 1 or 2' WHEN length(trim(n_name)) = 0 THEN 'team name is empty'
- WHEN NOT regexp_full_match(color, '#?[0-9A-Fa-f]{6}') THEN 'colour channels are 0 to 255' END AS reason FROM (
+    "match_config_check": """SELECT n_nationkey, color, team_id, CASE WHEN team_id NOT IN (1, 2) THEN 'no such team' WHEN length(trim(n_name)) = 0 THEN 'nameless team'
+ WHEN NOT regexp_full_match(color, '#?[0-9A-Fa-f]{6}') THEN 'no such colour' END AS reason FROM (
  SELECT *, n_regionkey AS team_id, CASE WHEN n_nationkey % 4 = 0 THEN 'blue' ELSE '#' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') END AS color FROM nation)""",
     "identity_snapshot": """SELECT match_id, track_id, CAST(coalesce(slot, 0) AS INT) AS team_id, coalesce(team_name, 'unknown_team') AS team_name, coalesce(team_confidence, 0) AS team_confidence,
  n.value AS jersey_number, n.confidence AS jersey_confidence, m.value AS player_name, m.confidence AS name_confidence, coalesce(crop_count, 0) AS crop_count,
@@ -350,6 +350,15 @@ SELECTS = {
  LEFT JOIN (SELECT match_id, track_id, arg_min(team_id, frame_num) AS slot, arg_min(team_confidence, frame_num) AS team_confidence FROM team_frames WHERE team_id <> 0 GROUP BY ALL) k USING (match_id, track_id)
  LEFT JOIN (SELECT match_id, team_slot AS slot, team_name FROM named_plays) p USING (match_id, slot)
  LEFT JOIN number_consensus n USING (match_id, track_id) LEFT JOIN name_consensus m USING (match_id, track_id)""",
+    "job_progress": """WITH w AS (SELECT greatest(1, CAST(ceil((max(frame_num) + 1) / 12) AS BIGINT)) AS width FROM frames), c AS (SELECT frame_num // width AS slot, count(*) AS n FROM frames, w GROUP BY ALL)
+ SELECT CAST(row_number() OVER (ORDER BY slot) AS INT) AS trigger, n AS n_rows, round(100 * sum(n) OVER (ORDER BY slot) / sum(n) OVER (), 2) AS percent FROM c""",
+    "store_read_back": """SELECT 'plays' AS name, match_id, play_id AS id FROM numbered_plays UNION ALL SELECT 'events', match_id, event_id FROM told UNION ALL SELECT 'occurrences', match_id, event_id FROM told""",
+    "result_json": """SELECT 'job-' || match_id AS job_id, CAST(CASE WHEN status = 'completed' THEN 200 ELSE 409 END AS INT) AS code, CAST(CASE WHEN status = 'completed' THEN g END AS BIGINT) AS goals,
+ CAST(CASE WHEN status = 'completed' THEN n END AS INT) AS teams FROM matches JOIN (SELECT match_id, count(DISTINCT play_id) AS n, count(frame_num) AS g FROM numbered_plays LEFT JOIN (SELECT play_id, frame_num FROM told WHERE event = 'goal') USING (play_id) GROUP BY ALL) USING (match_id)""",
+    "crop_sharpness": """WITH px AS (SELECT match_id, frame_num, i // 8 AS y, i % 8 AS x, greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS v FROM (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num, embedding FROM embeddings), (SELECT unnest(range(64)) AS i)),
+ n AS (SELECT p.match_id, p.frame_num, p.y, p.x, sum(CASE WHEN k = 0 THEN -4 * q.v ELSE q.v END) AS l FROM px p, (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([0, 0, 0, 1, -1]) AS dy, unnest([0, 1, -1, 0, 0]) AS dx) d
+  JOIN px q ON q.match_id = p.match_id AND q.frame_num = p.frame_num AND q.y = 7 - abs(7 - abs(p.y + dy)) AND q.x = 7 - abs(7 - abs(p.x + dx)) GROUP BY ALL)
+ SELECT match_id, frame_num, CAST(round(var_pop(l) * 4096) AS BIGINT) AS sharpness FROM n GROUP BY ALL""",
     "team_calibration": "SELECT * FROM kit_clusters",
     "team_candidates": """SELECT match_id, '[' || string_agg('{"cluster_id":' || cluster_id || ',"color":"' || color || '","label":"' || label || '","sample_image":"' || sample_image || '"}', ',' ORDER BY cluster_id) || ']' AS team_candidates,
  max(reason) AS error FROM kit_clusters GROUP BY match_id""",

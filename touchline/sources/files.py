@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,26 +28,51 @@ def save_by_match(df: DataFrame, path: str) -> None:
     df.repartition("match_id").write.partitionBy("match_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def save_store(stored: Mapping[str, DataFrame], path: str) -> None:
-    """Save the tables of ``store.stored_match`` under path, each in a folder of its own.
+#: The folder of a store's manifests: one for each version, of which the last is the store.
+MANIFESTS = "_manifests"
 
-    All of them are computed into a staging folder first, so that a failure there leaves the store as it was; then each is
-    put in place from it. Tables with a match replace just the matches they hold, players all rows. Occurrences find their
-    match through their event.
+
+def store_version(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """The number of a store's last complete version, and the folder of each table in it; 0 and nothing before the first."""
+    try:
+        rows = spark.read.schema("version long, name string, folder string").json(f"{path}/{MANIFESTS}/*")
+        last = rows.where(F.col("version") == rows.agg(F.max("version").alias("v")).first()["v"]).collect()  # a row a table
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = []
+    return (last[0]["version"], {r["name"]: r["folder"] for r in last}) if last else (0, {})
+
+
+def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a store as of its last complete version."""
+    _, folders = store_version(spark, path)
+    return {name: spark.read.parquet(f"{path}/{folder}") for name, folder in folders.items()}
+
+
+def save_store(stored: Mapping[str, DataFrame], path: str) -> int:
+    """Save tables, such as those of ``store.stored_match``, as the next version of the store under path, in one commit.
+
+    A table with a match keeps the rows of the matches that ``stored`` doesn't hold, any other is replaced; a table that is not
+    given stays as it is. New folders are written first, and the manifest that names them last, by one task that puts
+    one file in place. Until then readers see the version before, whatever fails; folders without a manifest are nothing
+    to them. Occurrences find their match through their event. One writer at a time. Returns the version.
     """
     spark = next(iter(stored.values())).sparkSession
-    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    version, folders = store_version(spark, path)
     tables = dict(stored)
-    if "match_id" not in tables["occurrences"].columns:
+    if "occurrences" in tables and "match_id" not in tables["occurrences"].columns:
         tables["occurrences"] = tables["occurrences"].join(tables["events"].select("event_id", "match_id"), "event_id")
+    told = {}
     for name, df in tables.items():
-        df.write.parquet(f"{staging}/{name}")
-    for name in tables:
-        ready = spark.read.parquet(f"{staging}/{name}")
-        if "match_id" in ready.columns:
-            save_by_match(ready, f"{path}/{name}")
-        else:
-            ready.write.mode("overwrite").parquet(f"{path}/{name}")
+        if "match_id" in df.columns and name in folders:
+            before = spark.read.parquet(f"{path}/{folders[name]}")
+            df = before.join(df.select("match_id").distinct(), "match_id", "left_anti").unionByName(df, allowMissingColumns=True)
+        told[name] = f"{name}/v{version + 1}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/{told[name]}")
+    rows = [(version + 1, name, folder) for name, folder in (folders | told).items()]
+    spark.createDataFrame(rows, "version long, name string, folder string").coalesce(1).write.json(f"{path}/{MANIFESTS}/v{version + 1}")
+    return version + 1
 
 
 def create_database(spark: SparkSession, name: str) -> None:

@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from touchline.operators import tracker as tk
 from touchline.operators.events import COOLDOWN, START
 from touchline.operators.possession import LOOKBACK, RECENT
 
 
-def with_time(frames: DataFrame, fps: float = 24.0, start: str = "2020-01-01 00:00:00") -> DataFrame:
-    """ts of a frame: matches start a day apart."""
+def with_time(frames: DataFrame, fps: float = 24.0, start: str = "2020-01-01 00:00:00", apart: int = 86400) -> DataFrame:
+    """ts of a frame: matches start so many seconds apart, by default a day."""
     at = F.lit(start).cast("timestamp")
-    seconds = F.col("match_id") * 86400 + F.col("frame_num") / F.lit(fps)
+    seconds = F.col("match_id") * apart + F.col("frame_num") / F.lit(fps)
     return frames.withColumn("ts", F.timestamp_micros(F.unix_micros(at) + (seconds * 1_000_000).cast("long")))
 
 
@@ -146,3 +147,22 @@ def stream_feature_windows(rows: DataFrame, length: int = 10, delay: str = "10 s
     rows = rows.select("match_id", "frame_num", "embedding", "ts")
     waiting = "array<struct<frame_num:bigint,embedding:array<float>,ts:bigint>>"
     return _run(rows, delay, fold, "match_id long, frame_num long, sequence array<array<float>>", f"kept array<struct<embedding:array<float>>>, waiting {waiting}")
+
+
+def stream_tracks(rows: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """``tracker.assign_tracks`` on a stream: what is kept of a match are its tracks, at most those of the last frames."""
+    names = [c for c in tk.COLUMNS if c != "match_id"]
+
+    def fold(key: tuple, ready: list[tuple], kept: list[tuple]):
+        tracks = [tk.Track(n, np.array(box), np.array(velocity), seen) for n, box, velocity, seen in kept[1:]]
+        tracker = tk.Tracker(tracks, kept[0][0] if kept else 0)
+        given = pd.DataFrame([x[:-1] for x in ready], columns=names)
+        out = [tracker.follow(frame, own) for frame, own in given.groupby("frame_num", sort=True)]
+        found = pd.concat(out) if out else given.assign(track_id=0)
+        state = [(t.number, t.box.tolist(), t.velocity.tolist(), t.seen) for t in tracker.tracks]
+        return found.assign(match_id=key[0])[[*tk.COLUMNS, "track_id"]], [(tracker.started, [], [], 0), *state]
+
+    rows = rows.select("match_id", *names, "ts").na.drop()
+    waiting = "array<struct<frame_num:bigint,x1:double,y1:double,x2:double,y2:double,object_class:string,confidence:double,ts:bigint>>"
+    kept = "array<struct<number:bigint,box:array<double>,velocity:array<double>,seen:bigint>>"
+    return _run(rows, delay, fold, f"{tk.SCHEMA}, track_id long", f"kept {kept}, waiting {waiting}")
