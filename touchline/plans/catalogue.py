@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import checks, colour, text
@@ -705,12 +705,74 @@ def result_json(t):
     return told.select("job_id", "code", F.when(F.col("code") == 200, F.col("goals")).alias("goals"), F.when(F.col("code") == 200, F.col("teams")).alias("teams"))
 
 
+def grey_crops(t: Tables) -> DataFrame:
+    """Vectors of 64 values as grey crops of 8 by 8 points."""
+    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255)).cast("long")), 2, "0"))
+    side = F.lit(8).alias
+    return t.features.select("match_id", "frame_num", F.unhex(F.array_join(grey, "")).alias("image"), side("height"), side("width"))
+
+
+def points(image: str) -> Column:
+    """The points of a crop as whole numbers."""
+    return F.transform(F.sequence(F.lit(1), F.length(image)), lambda i: F.conv(F.hex(F.substring(F.col(image), i, F.lit(1))), 16, 10).cast("long"))
+
+
 @query
 def crop_sharpness(t):
-    """Vectors of 64 values as grey crops of 8 by 8 points; times 64 * 64 the variance is a whole number."""
-    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255)).cast("long")), 2, "0"))
-    image = F.unhex(F.array_join(grey, ""))
-    return t.features.select("match_id", "frame_num", F.round(calibrate.sharpness(image, F.lit(8), F.lit(8)) * 4096).cast("long").alias("sharpness"))
+    """Times 64 * 64 the variance is a whole number."""
+    sharp = calibrate.sharpness(F.col("image"), F.col("height"), F.col("width"))
+    return grey_crops(t).select("match_id", "frame_num", F.round(sharp * 4096).cast("long").alias("sharpness"))
+
+
+@query
+def crop_variants(t):
+    """What the points of both variants of every crop add up to."""
+    rows = boundary.crop_variants(grey_crops(t)).withColumn("points", points("image"))
+    total = F.aggregate("points", F.lit(0).cast("long"), lambda s, x: s + x)
+    weighted = F.aggregate(F.transform("points", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("match_id", "frame_num", "variant", total.alias("total"), weighted.alias("weighted"))
+
+
+class Spots:
+    """A small detector: the brightest point of an image is the ball, the darkest a player, each as sure as it is extreme."""
+
+    def __call__(self, images: list[bytes]) -> list[list[tuple]]:
+        out = []
+        for image in images:
+            high, low = max(image), min(image)
+            i, j = image.index(high), image.index(low)
+            box = lambda k: (k % 8, k // 8, k % 8 + 1, k // 8 + 1)
+            out.append([("ball", high / 255, *box(i)), ("player", (255 - low) / 255 / 2, *box(j))])
+        return out
+
+
+@query
+def model_detections(t):
+    """Detections by a small model in batches, of all vectors as images."""
+    return boundary.detect(grey_crops(t), Spots(), least=0.45).withColumn("confidence", F.round("confidence", 6))
+
+
+def first_points():
+    """An engine that reads a number off the first point, as sure as the second, and fails where the first is divisible by seven."""
+
+    def read(image: bytes) -> list[tuple[str, float]]:
+        if image[0] % 7 == 0:
+            raise RuntimeError("unreadable")
+        return [(str(image[0] % 23), image[1] / 200), (f"NO {image[2]}", 0.25)]
+
+    return read
+
+
+def no_engine():
+    raise RuntimeError("no engine")
+
+
+@query
+def model_readings(t):
+    """Readings by a small engine, with crops that it fails on, and those of matches with an odd number by one that is not there."""
+    crops = grey_crops(t).select("match_id", (F.col("frame_num") % 22 + 1).alias("track_id"), "frame_num", F.lit(0.5).alias("quality"), "image")
+    read = boundary.read_crops(crops.where("match_id % 2 = 0"), first_points).unionByName(boundary.read_crops(crops.where("match_id % 2 = 1"), no_engine))
+    return read.withColumn("confidence", F.round("confidence", 6))
 
 
 @query

@@ -199,6 +199,8 @@ VIEWS |= {
  'mail' || (c_custkey % 997) || '@example.com' AS email, c_name, c_acctbal FROM customer)""",
     "kit_samples": """kit_samples AS (SELECT match_id, CASE WHEN match_id % 7 = 3 THEN 40 ELSE b END AS b, CASE WHEN match_id % 7 = 3 THEN 40 ELSE g END AS g, CASE WHEN match_id % 7 = 3 THEN 40 ELSE r END AS r,
  frame_num % 50 + 40 AS area, match_id * 100 + frame_num AS sample_id FROM player_colors WHERE match_id % 11 <> 4 OR frame_num = 0)""",
+    "pixels": """pixels AS (SELECT match_id, frame_num, i // 8 AS y, i % 8 AS x, CAST(greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v
+ FROM (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num, embedding FROM embeddings), (SELECT unnest(range(64)) AS i))""",
     "kit_centers": f"kit_centers AS ({_two_means()})",
     "kit_clusters": f"""kit_clusters AS (SELECT match_id, CAST(k AS INT) AS cluster_id, color, 'Team ' || (k + 1) AS label, sample_id, members, 'team_' || (k + 1) || '.jpg' AS sample_image, CAST(NULL AS VARCHAR) AS reason FROM (
  SELECT match_id, CASE WHEN second <> ((r1, g1, b1) < (r0, g0, b0)) THEN 1 ELSE 0 END AS k, any_value('#' || CASE WHEN second THEN {_HEX("r1")} || {_HEX("g1")} || {_HEX("b1")} ELSE {_HEX("r0")} || {_HEX("g0")} || {_HEX("b0")} END) AS color,
@@ -355,10 +357,23 @@ SELECTS = {
     "store_read_back": """SELECT 'plays' AS name, match_id, play_id AS id FROM numbered_plays UNION ALL SELECT 'events', match_id, event_id FROM told UNION ALL SELECT 'occurrences', match_id, event_id FROM told""",
     "result_json": """SELECT 'job-' || match_id AS job_id, CAST(CASE WHEN status = 'completed' THEN 200 ELSE 409 END AS INT) AS code, CAST(CASE WHEN status = 'completed' THEN g END AS BIGINT) AS goals,
  CAST(CASE WHEN status = 'completed' THEN n END AS INT) AS teams FROM matches JOIN (SELECT match_id, count(DISTINCT play_id) AS n, count(frame_num) AS g FROM numbered_plays LEFT JOIN (SELECT play_id, frame_num FROM told WHERE event = 'goal') USING (play_id) GROUP BY ALL) USING (match_id)""",
-    "crop_sharpness": """WITH px AS (SELECT match_id, frame_num, i // 8 AS y, i % 8 AS x, greatest(0, least(255, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS v FROM (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num, embedding FROM embeddings), (SELECT unnest(range(64)) AS i)),
- n AS (SELECT p.match_id, p.frame_num, p.y, p.x, sum(CASE WHEN k = 0 THEN -4 * q.v ELSE q.v END) AS l FROM px p, (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([0, 0, 0, 1, -1]) AS dy, unnest([0, 1, -1, 0, 0]) AS dx) d
-  JOIN px q ON q.match_id = p.match_id AND q.frame_num = p.frame_num AND q.y = 7 - abs(7 - abs(p.y + dy)) AND q.x = 7 - abs(7 - abs(p.x + dx)) GROUP BY ALL)
+    "crop_sharpness": """WITH n AS (SELECT p.match_id, p.frame_num, p.y, p.x, sum(CASE WHEN k = 0 THEN -4 * q.v ELSE q.v END) AS l FROM pixels p, (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([0, 0, 0, 1, -1]) AS dy, unnest([0, 1, -1, 0, 0]) AS dx) d
+  JOIN pixels q ON q.match_id = p.match_id AND q.frame_num = p.frame_num AND q.y = 7 - abs(7 - abs(p.y + dy)) AND q.x = 7 - abs(7 - abs(p.x + dx)) GROUP BY ALL)
  SELECT match_id, frame_num, CAST(round(var_pop(l) * 4096) AS BIGINT) AS sharpness FROM n GROUP BY ALL""",
+    "crop_variants": """WITH h AS (SELECT match_id, frame_num, v, count(*) AS n FROM pixels GROUP BY ALL),
+ e AS (SELECT match_id, frame_num, v, 256 * row_number() OVER w + (v + 1) * (64 - count(*) OVER (PARTITION BY match_id, frame_num)) AS upto FROM h WINDOW w AS (PARTITION BY match_id, frame_num ORDER BY v)),
+ s AS (SELECT match_id, frame_num, y, x, (510 * upto + 16384) // 32768 AS v FROM pixels JOIN e USING (match_id, frame_num, v)),
+ b AS (SELECT p.match_id, p.frame_num, p.y, p.x, any_value(p.v) AS v, sum((2 - abs(dy)) * (2 - abs(dx)) * q.v) AS blur FROM s p, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)
+  JOIN s q ON q.match_id = p.match_id AND q.frame_num = p.frame_num AND q.y = 7 - abs(7 - abs(p.y + dy)) AND q.x = 7 - abs(7 - abs(p.x + dx)) GROUP BY ALL),
+ u AS (SELECT match_id, frame_num, y, x, 1 AS variant, greatest(0, least(255, CAST(floor((288 * v - 8 * blur + 80) / 160) AS BIGINT))) AS v FROM b UNION ALL SELECT match_id, frame_num, y, x, 0, v FROM pixels)
+ SELECT match_id, frame_num, CAST(variant AS INT) AS variant, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (8 * y + x + 1)) AS BIGINT) AS weighted FROM u GROUP BY ALL""",
+    "model_detections": """WITH o AS (SELECT match_id, frame_num, 0 AS k, 'ball' AS c, max(v) / 255 AS s, arg_min(8 * y + x, (-v, 8 * y + x)) AS i FROM pixels GROUP BY ALL
+ UNION ALL SELECT match_id, frame_num, 1, 'player', (255 - min(v)) / 255 / 2, arg_min(8 * y + x, (v, 8 * y + x)) FROM pixels GROUP BY ALL)
+ SELECT match_id, frame_num, CAST(k AS INT) AS det_order, c AS object_class, round(s, 6) AS confidence, CAST(i % 8 AS DOUBLE) AS x1, CAST(i // 8 AS DOUBLE) AS y1, CAST(i % 8 + 1 AS DOUBLE) AS x2, CAST(i // 8 + 1 AS DOUBLE) AS y2 FROM o WHERE s >= 0.45""",
+    "model_readings": """WITH f AS (SELECT match_id, frame_num, any_value(v) FILTER (y = 0 AND x = 0) AS a, any_value(v) FILTER (y = 0 AND x = 1) AS b, any_value(v) FILTER (y = 0 AND x = 2) AS c FROM pixels GROUP BY ALL),
+ r AS (SELECT match_id, frame_num, CAST(a % 23 AS VARCHAR) AS text, round(least(1, b / 200), 6) AS confidence, CAST(NULL AS VARCHAR) AS error FROM f WHERE match_id % 2 = 0 AND a % 7 <> 0
+ UNION ALL SELECT match_id, frame_num, 'NO ' || c, 0.25, NULL FROM f WHERE match_id % 2 = 0 AND a % 7 <> 0 UNION ALL SELECT match_id, frame_num, NULL, NULL, 'no engine' FROM f WHERE match_id % 2 = 1)
+ SELECT match_id, frame_num % 22 + 1 AS track_id, frame_num, text, confidence, CAST(0.5 AS DOUBLE) AS crop_quality, error FROM r""",
     "team_calibration": "SELECT * FROM kit_clusters",
     "team_candidates": """SELECT match_id, '[' || string_agg('{"cluster_id":' || cluster_id || ',"color":"' || color || '","label":"' || label || '","sample_image":"' || sample_image || '"}', ',' ORDER BY cluster_id) || ']' AS team_candidates,
  max(reason) AS error FROM kit_clusters GROUP BY match_id""",
