@@ -16,6 +16,7 @@ from touchline.operators import identity as idn
 from touchline.operators import possession as pos
 from touchline.operators import store
 from touchline.operators import tracking as tr
+from touchline.operators.team_names import resolve_names
 from touchline.operators.tracker import assign_tracks
 from touchline.plans.payloads import PAYLOADS
 from touchline.sources import files
@@ -624,6 +625,15 @@ def team_candidates(t):
     return calibrate.candidates_json(calibrate.calibrate_teams(kit_samples(t)))
 
 
+@query
+def team_names(t):
+    """Short names cut from what was read, with the marker colour of the same frame, resolved to the match's kit clusters."""
+    token = F.upper(F.substring(F.col("text"), F.lit(1), (2 + F.col("frame_num") % 5).cast("int")))
+    read = t.ocr_candidates.select("match_id", "frame_num", token.alias("token"), "confidence", (F.col("frame_num") % 100).alias("at"))
+    marks = t.player_colors.select("match_id", F.col("frame_num").alias("at"), "b", "g", "r")
+    return resolve_names(read.join(marks, ["match_id", "at"]), calibrate.kit_clusters(kit_samples(t)))
+
+
 @query
 def kit_color_udf(t):
     """Crops painted from a shirt colour on a green background, and the colour found again."""

@@ -375,6 +375,16 @@ SELECTS = {
  UNION ALL SELECT match_id, frame_num, 'NO ' || c, 0.25, NULL FROM f WHERE match_id % 2 = 0 AND a % 7 <> 0 UNION ALL SELECT match_id, frame_num, NULL, NULL, 'no engine' FROM f WHERE match_id % 2 = 1)
  SELECT match_id, frame_num % 22 + 1 AS track_id, frame_num, text, confidence, CAST(0.5 AS DOUBLE) AS crop_quality, error FROM r""",
     "team_calibration": "SELECT * FROM kit_clusters",
+    "team_names": """WITH t AS (SELECT o.match_id, o.frame_num, upper(substr(text, 1, CAST(2 + o.frame_num % 5 AS INT))) AS token, confidence, b, g, r FROM ocr_candidates o JOIN player_colors c ON c.match_id = o.match_id AND c.frame_num = o.frame_num % 100),
+ n AS (SELECT match_id, frame_num // 100 AS w, token, round(sum(confidence), 9) AS weight, round(sum(confidence * (1 - sqrt((b - b0) * (b - b0) + (g - g0) * (g - g0) + (r - r0) * (r - r0)) / (sqrt(3) * 255))) / sum(confidence), 9) AS n0,
+  round(sum(confidence * (1 - sqrt((b - b1) * (b - b1) + (g - g1) * (g - g1) + (r - r1) * (r - r1)) / (sqrt(3) * 255))) / sum(confidence), 9) AS n1
+  FROM t JOIN kit_centers USING (match_id) WHERE regexp_full_match(token, '[A-Z]{2,5}') AND token NOT IN ('GOAL', 'TEAM', 'SCORE', 'SPORT', 'LIVE', 'MATCH', 'HOME', 'AWAY') GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY match_id, w ORDER BY weight DESC, token) AS k FROM n),
+ p AS (SELECT a.match_id, a.w, a.token AS ta, b.token AS tb, a.n0 AS a0, a.n1 AS a1, b.n0 AS b0, b.n1 AS b1, round(a.n0 + b.n1, 9) >= round(a.n1 + b.n0, 9) AS straight FROM k a JOIN k b ON b.match_id = a.match_id AND b.w = a.w AND a.k = 1 AND b.k = 2),
+ c AS (SELECT match_id, w, 0 AS cluster_id, CASE WHEN straight THEN ta ELSE tb END AS name, CASE WHEN straight THEN a0 ELSE b0 END AS near FROM p UNION ALL SELECT match_id, w, 1, CASE WHEN straight THEN tb ELSE ta END, CASE WHEN straight THEN b1 ELSE a1 END FROM p),
+ s AS (SELECT *, round(0.6 * near + 0.4 * (count(*) OVER (PARTITION BY match_id, cluster_id, name ORDER BY w)) / (count(*) OVER (PARTITION BY match_id, cluster_id ORDER BY w)), 6) AS confidence FROM c),
+ z AS (SELECT *, CASE WHEN confidence >= 0.7 THEN 'assign' WHEN confidence >= 0.45 THEN 'hold' ELSE 'none' END AS band FROM s)
+ SELECT match_id, w AS "window", CAST(cluster_id AS INT) AS cluster_id, name, confidence, band, CASE WHEN band <> 'none' THEN last_value(CASE WHEN band = 'assign' THEN name END IGNORE NULLS) OVER (PARTITION BY match_id, cluster_id ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS shown FROM z""",
     "team_candidates": """SELECT match_id, '[' || string_agg('{"cluster_id":' || cluster_id || ',"color":"' || color || '","label":"' || label || '","sample_image":"' || sample_image || '"}', ',' ORDER BY cluster_id) || ']' AS team_candidates,
  max(reason) AS error FROM kit_clusters GROUP BY match_id""",
     "kit_color_udf": "SELECT match_id, frame_num, track_id, greatest(0, least(255, b)) AS b, greatest(0, least(255, g)) AS g, greatest(0, least(255, r)) AS r FROM player_colors",
