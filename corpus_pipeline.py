@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import new_folder
+from touchline.llm.common import new_folder, remove_folder
 from touchline.llm.line_dedup import dedup_lines
 from touchline.llm.mixing import mix_sources
 from touchline.llm.near_dedup import near_duplicates
@@ -63,10 +63,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents; each result is written in the shared folder and read again.
+
+    A stage's input is removed once its own result is written, so that no more than two copies are kept at a time; the last
+    stage writes its pieces as it is called, and reads nothing else from then on.
+    """
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = f"{new_folder(spark)}/{name}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        read, folder = folder, new_folder(spark)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}.parquet")
+        docs = spark.read.parquet(f"{folder}/{name}.parquet")
+        if read:
+            remove_folder(spark, read)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove_folder(spark, folder)
+    return packed
