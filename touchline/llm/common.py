@@ -95,6 +95,12 @@ def new_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written and is not read any more, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bit_test(longs: list[int]) -> Callable[[Column], Column]:
     """Whether the bit of a value's hash is set in a table of bits, a power of two; the same cost for any number of bits."""
     n = 64 * len(longs)
