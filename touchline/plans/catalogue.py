@@ -21,6 +21,7 @@ from touchline.operators.tracker import assign_tracks
 from touchline.plans.payloads import PAYLOADS
 from touchline.sources import files
 from touchline.sources.tables import adapt, read, shared_folder, staged
+from touchline.streaming import match_loop as loop
 from touchline.streaming import stateful as st
 from touchline.streaming.replay import Replay
 
@@ -74,6 +75,10 @@ class Tables:
         """All goals with the scorer's team, number and name as of the goal; without a touch they keep nulls."""
         goals = staged(self.placed_goals())
         best = tr.crops_as_of(goals.where("track_id is not null").select("match_id", "goal_frame", "track_id"), tr.scored_crops(self.crops))
+        return self.with_readings(goals, best)
+
+    def with_readings(self, goals: DataFrame, best: DataFrame) -> DataFrame:
+        """Goals with number and name by consensus of what was read from these crops."""
         read = idn.readings_as_of(goals, self.ocr_candidates, best)
         key = ["match_id", "goal_frame"]
         for kind, value, sure in (("number", "jersey_number", "jersey_confidence"), ("name", "player_name", "name_confidence")):
@@ -424,10 +429,12 @@ def score_sheet(t):
     return ev.score_sheet(t.plays, goals).join(t.teams, "team_id").select("match_id", "team_slot", "team_name", "score")
 
 
+SCORER = ["match_id", "goal_frame", "track_id", "team_name", "jersey_number", "jersey_confidence", "player_name", "name_confidence", "possession_confidence"]
+
+
 @query
 def scorer_list(t):
-    cols = ["match_id", "goal_frame", "track_id", "team_name", "jersey_number", "jersey_confidence", "player_name", "name_confidence", "possession_confidence"]
-    return t.named_scorers().select(*cols)
+    return t.named_scorers().select(*SCORER)
 
 
 @query
@@ -815,3 +822,20 @@ def stream_feature_windows(t):
 @query
 def stream_sticky_team(t):
     return streamed(t, t.kits().select("match_id", "frame_num", "track_id", "team_id"), st.sticky_teams)
+
+
+@query
+def stream_match(t):
+    """The list of scorers, from a loop with one state per match; numbers and names are read from the crops that it gives."""
+    events = ev.eligible(t.detected_events, ev.presence(t.tracks, t.ball))
+    rows = loop.loop_rows(t.team_frames, tr.scored_crops(t.crops), pos.nearest_player(t.tracks, t.ball), events)
+    before = t.spark.conf.get(*loop.PROVIDER)
+    t.spark.conf.set(*loop.PROVIDER)
+    try:
+        goals = staged(streamed(t, rows, loop.attributed_goals))
+    finally:
+        t.spark.conf.set(loop.PROVIDER[0], before)
+    names = t.plays.join(t.teams, "team_id").select("match_id", F.col("team_slot").alias("team_id"), "team_name")
+    goals = goals.join(names, ["match_id", "team_id"], "left").withColumn("team_name", F.coalesce("team_name", F.lit("unknown_team")))
+    crops = goals.select("match_id", "goal_frame", "track_id", F.inline(F.arrays_zip("crop_frames", "crop_qualities"))).toDF("match_id", "goal_frame", "track_id", "crop_frame", "quality")
+    return t.with_readings(goals, crops).select(*SCORER)

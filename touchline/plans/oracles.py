@@ -389,6 +389,7 @@ SELECTS = {
  max(reason) AS error FROM kit_clusters GROUP BY match_id""",
     "kit_color_udf": "SELECT match_id, frame_num, track_id, greatest(0, least(255, b)) AS b, greatest(0, least(255, g)) AS g, greatest(0, least(255, r)) AS r FROM player_colors",
     "stream_goal_crops": "SELECT * FROM goal_crops",
+    "stream_match": "SELECT * EXCLUDE (g, last_touch_frame) FROM named_scorers",
     "stream_cooldown": "SELECT * FROM confirmed",
     "stream_last_touch": "SELECT * FROM scorers",
     "stream_sticky_team": "SELECT match_id, track_id, team_id, frame_num AS since FROM (SELECT *, row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame_num) AS k FROM kits WHERE team_id <> 0) WHERE k = 1",
