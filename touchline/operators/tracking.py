@@ -56,6 +56,14 @@ def camera_movement(pairs: DataFrame, least: float = 5.0) -> DataFrame:
     return top.select("match_id", "frame_num", keep("dx"), keep("dy"))
 
 
+def flow_features(movement: DataFrame) -> DataFrame:
+    """(match_id, frame_num, features_from): the frame whose feature points are followed into a frame, the first of the match or the
+    last one before it in which the camera moved; points are taken anew only then. movement: as ``camera_movement`` returns it."""
+    order = Window.partitionBy("match_id").orderBy("frame_num").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.last(F.when((F.col("dx") != 0) | (F.col("dy") != 0), F.col("frame_num")), ignorenulls=True).over(order)
+    return movement.select("match_id", "frame_num", F.coalesce(moved, F.first("frame_num").over(order)).alias("features_from")).where("features_from is not null")
+
+
 def adjust_positions(positions: DataFrame, movement: DataFrame, keys: Sequence[str] = ("match_id", "frame_num")) -> DataFrame:
     """px, py less the camera's movement in that frame."""
     moved = positions.join(movement, list(keys), "left")

@@ -181,6 +181,17 @@ def camera_movement_argmax(t):
     return t.movement()
 
 
+@query
+def flow_features(t):
+    return tr.flow_features(t.movement())
+
+
+@query
+def staged_tracks(t):
+    """Tracks read back from where they were staged, as a run does that finds them there."""
+    return staged(t.tracks).groupBy("match_id", "track_id").agg(F.count("*").alias("n_rows"), F.min("frame_num").alias("first_frame"), F.max("x2").alias("right"))
+
+
 @query
 def movement_labels(t):
     return tr.movement_labels(t.movement().withColumns({k: F.round(k, 2) for k in ("dx", "dy")}))

@@ -232,6 +232,9 @@ SELECTS = {
     "class_split": """SELECT CASE object_class WHEN 'referee' THEN 'referees' ELSE 'players' END AS part, match_id, frame_num, track_id, x1, y2 FROM detections WHERE confidence >= 0.1
  UNION ALL SELECT 'ball', match_id, frame_num, 1, arg_max(x1, det_order), arg_max(y2, det_order) FROM ball_detections WHERE confidence >= 0.1 GROUP BY match_id, frame_num""",
     "camera_movement_argmax": "SELECT match_id, frame_num, dx, dy FROM moves",
+    "flow_features": """SELECT match_id, frame_num, coalesce(moved, first_frame) AS features_from FROM (SELECT match_id, frame_num, last_value(CASE WHEN dx <> 0 OR dy <> 0 THEN frame_num END IGNORE NULLS) OVER w AS moved, first_value(frame_num) OVER w AS first_frame
+ FROM moves WINDOW w AS (PARTITION BY match_id ORDER BY frame_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE first_frame IS NOT NULL""",
+    "staged_tracks": "SELECT match_id, track_id, count(*) AS n_rows, min(frame_num) AS first_frame, max(x2) AS right FROM tracks GROUP BY ALL",
     "movement_labels": "SELECT match_id, frame_num, 'Camera Movement X: ' || printf('%.2f', round(dx, 2)) AS x_text, 'Camera Movement Y: ' || printf('%.2f', round(dy, 2)) AS y_text FROM moves",
     "frame_numbers": "SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS match_id, o_orderkey, row_number() OVER (PARTITION BY CAST(floor(o_orderkey / 1000) AS BIGINT) ORDER BY o_orderkey) - 1 AS frame_num FROM orders",
     "camera_adjust": "SELECT match_id, frame_num, track_id, px, py, ax, ay FROM adjusted",
