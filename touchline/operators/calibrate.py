@@ -133,13 +133,6 @@ def sharpness(image: Column, height: Column, width: Column) -> Column:
     return variance(image, height, width)
 
 
-def random_weights(inputs: int, hidden: int = 32, classes: int = 3, seed: int = 0) -> dict[str, np.ndarray]:
-    """Weights of the right shapes where no trained ones are at hand."""
-    rng = np.random.default_rng(seed)
-    shapes = {"wx": (inputs, 4 * hidden), "wh": (hidden, 4 * hidden), "b": (4 * hidden,), "wo": (hidden, classes), "bo": (classes,)}
-    return {k: rng.normal(0, 0.1, s) for k, s in shapes.items()}
-
-
 def save_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
     """A row an array: name, shape, values."""
     rows = [(k, list(w.shape), [float(x) for x in w.ravel()]) for k, w in weights.items()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -665,11 +666,28 @@ def kit_color_udf(t):
     return rows.select("match_id", "frame_num", "track_id", *[F.round(f"k.{x}", 4).alias(x) for x in "bgr"])
 
 
+#: Hidden units of the event network, and vectors that its weights are cut from where no trained ones are at hand.
+HIDDEN = 128
+WEIGHT_VECTORS = 500
+
+
+def network_weights(t: Tables) -> dict[str, np.ndarray]:
+    """Weights of the network's shapes, cut from the first vectors of the table (``WEIGHT_VECTORS`` of 64 values)."""
+    rows = t.read("embeddings").where(F.col("vec_id") < WEIGHT_VECTORS).orderBy("vec_id").select("embedding").collect()
+    e, gates = np.array([r["embedding"] for r in rows], dtype=float), np.arange(4 * HIDDEN)
+    at = lambda k: e[k % len(e)]
+    out = np.arange(3)
+    return {
+        "wx": 0.5 * at(gates).T, "wh": 0.25 * np.hstack([at(gates + 7), at(gates + 13)]).T, "b": at(3 * gates)[gates, gates % 64],
+        "wo": np.hstack([at(out + 100), at(out + 200)]).T, "bo": at(out + 300)[:, 0],
+    }
+
+
 @query
 def lstm_event_udf(t):
-    """Scores of a small recurrent network whose weights are read from a table."""
+    """Scores of a recurrent network of 128 units whose weights are read from a table."""
     folder = f"{shared_folder(t.spark)}/weights-{uuid.uuid4().hex}"
-    calibrate.save_weights(t.spark, calibrate.random_weights(64, hidden=1), folder)
+    calibrate.save_weights(t.spark, network_weights(t), folder)
     windows = tr.feature_windows(t.features)
     scored = windows.select("match_id", "frame_num", calibrate.event_scores(F.col("sequence"), calibrate.load_weights(t.spark, folder)).alias("p"))
     names = F.array(F.lit("goal"), F.lit("foul"), F.lit("none"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from touchline.functions.geometry import HOMOGRAPHY, PITCH_CORNERS
-from touchline.operators.calibrate import random_weights
 from touchline.sources.tables import ADAPTERS
 from touchline.plans.payloads import PAYLOADS
 
@@ -418,24 +417,27 @@ def compose(select: str) -> str:
     return f"WITH RECURSIVE {body} {select}"
 
 
-def _recurrence(steps: int = 10) -> str:
-    """The network of one hidden unit, a select for each step; the windows' gate inputs come first, by lag."""
-    w = random_weights(64, hidden=1)
-    number = lambda x: f"CAST({float(x)!r} AS DOUBLE)"
-    gates = ["i", "f", "g", "o"]
-    dots = [f"list_inner_product(e, [{', '.join(number(x) for x in w['wx'][:, k])}]) + {number(w['b'][k])} AS {n}" for k, n in enumerate(gates)]
-    lags = [f"lag({n}, {steps - 1 - t}) OVER w AS {n}{t}" for t in range(steps) for n in gates]
-    sql = f"""SELECT *, CAST(0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS c FROM (SELECT match_id, frame_num, {", ".join(lags)} FROM (
- SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num, {", ".join(dots)} FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))
- WINDOW w AS (PARTITION BY match_id ORDER BY frame_num)) WHERE i0 IS NOT NULL"""
+def _recurrence(steps: int = 10, hidden: int = 128) -> str:
+    """The network gate by gate: windows meet the gates' weights as rows, a select for each step."""
+    e = lambda k: f"m[({k}) % len(m) + 1]"
+    scaled = lambda f, v: f"list_transform({v}, lambda x: {f} * x)"
+    both = lambda a, b: f"list_concat({a}, {b})"
     sig = lambda x: f"(1 / (1 + exp(-({x}))))"
     tanh = lambda x: f"(1 - 2 / (exp(2 * ({x})) + 1))"
-    for t in range(steps):
-        i, f, g, o = (f"{n}{t} + h * {number(w['wh'][0][k])}" for k, n in enumerate(gates))
-        sql = f"SELECT * EXCLUDE (c_, o_) REPLACE ({sig('o_')} * {tanh('c_')} AS h, c_ AS c) FROM (SELECT *, {sig(f)} * c + {sig(i)} * {tanh(g)} AS c_, {o} AS o_ FROM ({sql}))"
-    z = [f"exp(h * {number(w['wo'][0][k])} + {number(w['bo'][k])})" for k in range(3)]
-    return f"""SELECT match_id, frame_num, CASE greatest(a, b, n) WHEN a THEN 'goal' WHEN b THEN 'foul' ELSE 'none' END AS event, round(greatest(a, b, n) / (a + b + n), 6) AS confidence
- FROM (SELECT match_id, frame_num, {z[0]} AS a, {z[1]} AS b, {z[2]} AS n FROM ({sql}))"""
+    sql = f"""WITH m AS (SELECT list(e ORDER BY vec_id) AS m FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id < 500)),
+ gate AS (SELECT j, {scaled(0.5, e("j"))} AS wx, {scaled(0.25, both(e("j + 7"), e("j + 13")))} AS wh, {e("3 * j")}[j % 64 + 1] AS b FROM m, (SELECT unnest(range({4 * hidden})) AS j)),
+ seen AS (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS match_id, vec_id % 100 AS frame_num, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ step0 AS (SELECT match_id, frame_num, xs, list_transform(range({hidden}), lambda k: CAST(0 AS DOUBLE)) AS h, list_transform(range({hidden}), lambda k: CAST(0 AS DOUBLE)) AS c
+  FROM (SELECT match_id, frame_num, list(e) OVER (PARTITION BY match_id ORDER BY frame_num ROWS BETWEEN {steps - 1} PRECEDING AND CURRENT ROW) AS xs FROM seen) WHERE len(xs) = {steps})"""
+    for t in range(1, steps + 1):
+        sql += f""",
+ z{t} AS (SELECT match_id, frame_num, any_value(c) AS c, list(list_inner_product(wx, xs[{t}]) + list_inner_product(wh, h) + b ORDER BY j) AS z FROM step{t - 1}, gate GROUP BY match_id, frame_num),
+ n{t} AS (SELECT match_id, frame_num, z, list_transform(range(1, {hidden + 1}), lambda k: {sig(f"z[{hidden} + k]")} * c[k] + {sig("z[k]")} * {tanh(f"z[{2 * hidden} + k]")}) AS c FROM z{t}),
+ step{t} AS (SELECT match_id, frame_num, xs, n.c, list_transform(range(1, {hidden + 1}), lambda k: {sig(f"n.z[{3 * hidden} + k]")} * {tanh("n.c[k]")}) AS h FROM n{t} n JOIN step0 USING (match_id, frame_num))"""
+    z = [f"exp(list_inner_product(h, {both(e(f'{100 + k}'), e(f'{200 + k}'))}) + {e(f'{300 + k}')}[1])" for k in range(3)]
+    return f"""{sql}
+ SELECT match_id, frame_num, CASE greatest(a, b, n) WHEN a THEN 'goal' WHEN b THEN 'foul' ELSE 'none' END AS event, round(greatest(a, b, n) / (a + b + n), 6) AS confidence
+ FROM (SELECT match_id, frame_num, {z[0]} AS a, {z[1]} AS b, {z[2]} AS n FROM step{steps}, m)"""
 
 
 SELECTS["lstm_event_udf"] = _recurrence()
