@@ -40,7 +40,7 @@ GUARANTEE_WORDS = 3
 #: Grams of a window of the first pass.
 WINDOW_LINES = 6
 #: Fingerprints that a task hands on at once.
-ROWS_AT_ONCE = 5_000
+ROWS_AT_ONCE = 2_000
 
 
 def fingerprints(hashes: np.ndarray, n_words: np.ndarray, noise: int, guarantee: int) -> tuple[list[int], list[int]]:
@@ -77,7 +77,7 @@ def hash_of(hashes: np.ndarray) -> int:
 
 def sketch_lines(docs: DataFrame, noise_words: int, guarantee_words: int) -> DataFrame:
     """A row for each selected fingerprint: doc_id, key, windows (whether of the first pass), gram, line (its first line's
-    number in the text), and the numbers of its lines (own), and of those around it: before, from the nearest on, and after, with
+    number in the text), and the numbers of its other lines (own), and of those around it: before, from the nearest on, and after, with
     their hashes, one a line; in the first pass one for the stretch up to the next fingerprint. Empty arrays are null."""
     names = ["doc_id", "key", "windows", "gram", "line", "own", "before", "before_hash", "after", "after_hash"]
     two = guarantee_words <= noise_words
@@ -97,14 +97,14 @@ def sketch_lines(docs: DataFrame, noise_words: int, guarantee_words: int) -> Dat
                 los = np.searchsorted(upto, upto[at] - guarantee_words, side="right").tolist()
                 his = (np.searchsorted(upto, upto[ends] + guarantee_words, side="left") - 1).tolist()
                 for i, gram, end, lo, hi in zip(at, grams, ends.tolist(), los, his, strict=True):
-                    rows.append((doc_id, key, False, gram - (gram >> 63 << 64), number[i], number[i:end],
+                    rows.append((doc_id, key, False, gram - (gram >> 63 << 64), number[i], number[i + 1 : end] or None,
                                  number[lo:i][::-1] or None, signed[lo:i][::-1] or None, number[end:hi] or None, signed[end:hi] or None))
                 if two and len(at) > 1:  # every gram is in ``at``, in order
                     chosen = minima(np.array(grams, dtype=np.uint64)).tolist()
                     first = [at[k] for k in chosen]
                     for k, lo, hi in zip(chosen, [-1, *first[:-1]], [*first[1:], len(lines)], strict=True):
                         i, end, gram = at[k], int(ends[k]), grams[k]
-                        rows.append((doc_id, key, True, gram - (gram >> 63 << 64), number[i], number[i:end],
+                        rows.append((doc_id, key, True, gram - (gram >> 63 << 64), number[i], number[i + 1 : end] or None,
                                      number[lo + 1 : i] or None, [hash_of(hashes[lo + 1 : i])], number[end:hi] or None, [hash_of(hashes[i + 1 : hi])]))
                 if len(rows) > ROWS_AT_ONCE:
                     yield pd.DataFrame(rows, columns=names)
@@ -144,7 +144,7 @@ def repeated_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_wo
         F.struct("first.doc_id", "first.key", "first.line") < F.col("last")
     )
     later = matches.where(F.struct("first.doc_id", "first.key", "first.line") < place)
-    run = F.concat("own", agreeing("before_hash", "first.before_hash", "before"), agreeing("after_hash", "first.after_hash", "after"))
+    run = F.concat(F.array("line"), F.coalesce("own", F.array().cast("array<int>")), agreeing("before_hash", "first.before_hash", "before"), agreeing("after_hash", "first.after_hash", "after"))
     found = later.select("doc_id", "key", F.col("first.doc_id").alias("source"), F.col("first.key").alias("other"), (F.col("line") - F.col("first.line")).alias("shift"), run.alias("run"))
     sorted_lines = F.array_sort(F.array_distinct(F.flatten(F.collect_list("run"))))
     alike = found.repartition("doc_id", "key").groupBy("doc_id", "key", "source", "other", "shift").agg(sorted_lines.alias("run"))
