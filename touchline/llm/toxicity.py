@@ -54,8 +54,9 @@ PADDING = b". \n" * 8
 LEVEL = 16
 LOW, HIGH = -3, 16
 CUT = 0.7
-#: Characters of a text that are worked on at once.
+#: Characters of a text that are worked on at once, and of texts whose pieces are counted before the counts are handed on.
 PART = 1 << 20
+COUNTED = 8 << 20
 _OTHER = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -120,12 +121,20 @@ def toxic_pieces(taught: DataFrame) -> set[bytes]:
     """Pieces that many toxic documents have and few ordinary ones: TRAIN_PIECES at most, those of the most documents."""
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = {0: Counter(), 1: Counter()}, 0
+
+        def told() -> pd.DataFrame:
+            every = list(found[0].keys() | found[1].keys())
+            return pd.DataFrame({"piece": every, "toxic": [found[1][p] for p in every], "ordinary": [found[0][p] for p in every]})
+
         for part in parts:
-            found = {0: Counter(), 1: Counter()}
             for text, toxic in zip(part["text"], part["toxic"], strict=True):
                 found[toxic].update(pieces({w for p in text_parts(text) for w in p.split()}))
-            every = list(found[0].keys() | found[1].keys())
-            yield pd.DataFrame({"piece": every, "toxic": [found[1][p] for p in every], "ordinary": [found[0][p] for p in every]})
+                size += len(text or "")
+                if size > COUNTED:  # what a task holds is bounded by the texts counted so far
+                    yield told()
+                    found, size = {0: Counter(), 1: Counter()}, 0
+        yield told()
 
     n = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
