@@ -32,8 +32,8 @@ CACHED_WORDS = 800_000
 #: Pieces of a length are ranked in sub-bins of about so many.
 RANK_ROWS = 100
 BINS_A_GROUP = 1000
-#: A letter before punctuation other than an apostrophe: the tokenizer always splits there.
-_EDGE = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
+#: Punctuation other than an apostrophe behind a letter: the tokenizer always splits there. The rarer character is looked for first.
+_EDGE = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)")
 _cache: dict[bytes, bytes] = {}
 _loaded: dict[str, object] = {}
 
@@ -51,7 +51,7 @@ def split_text(text: str | None) -> list[bytes]:
     hold one of its special tokens, which are case-sensitive, is only split at white space.
     """
     data = (text or "").encode()
-    return data.split() if b"<|" in data else _EDGE.sub(rb"\1 \2", data.lower()).split()
+    return data.split() if b"<|" in data else _EDGE.sub(rb" \g<0>", data.lower()).split()
 
 
 def encode_words(path: str, texts: list[list[bytes]]) -> list[bytes]:
@@ -64,14 +64,15 @@ def encode_words(path: str, texts: list[list[bytes]]) -> list[bytes]:
         _cache.clear()
         _loaded[path] = Tokenizer.from_file(path)
     found = [list(map(_cache.get, words)) for words in texts]
-    new = {w for words, ids in zip(texts, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+    missed = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+    new = {words[i] for words, places in zip(texts, missed, strict=True) for i in places}
     if new:
         order = list(new)
         coded = _loaded[path].encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
         fresh = {w: struct.pack(f"<{len(x.ids)}I", *x.ids) for w, x in zip(order, coded, strict=True)}
-        for words, ids in zip(texts, found, strict=True):
-            if None in ids:
-                ids[:] = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        for words, ids, places in zip(texts, found, missed, strict=True):
+            for i in places:
+                ids[i] = fresh[words[i]]
         if len(_cache) < CACHED_WORDS:
             _cache.update(fresh)
     return list(map(b"".join, found))
