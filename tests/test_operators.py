@@ -133,6 +133,15 @@ def test_crop_limits(spark):
     assert (b.jx1, b.jy1, b.jx2, b.jy2, b.j_ok) == (30, 25, 89, 102, True)
 
 
+def test_quality_is_rounded_as_in_the_sql(spark):
+    rows = [(82, 72, 11.88, 0.5), (84, 46, 13.68, 0.0), (121, 105, 102.6, 0.5), (142, 102, 37.8, 0.5)]
+    df = spark.createDataFrame(rows, "h int, w int, s double, r double")
+    got = df.select(geometry.crop_quality(*map(F.col, "hwsr")).alias("q")).collect()
+    assert [x.q for x in got] == [0.344, 0.172, 0.75, 0.624]
+    exact = spark.createDataFrame([(0.0625,), (0.1875,), (None,)], "x double").select(geometry.half_even(F.col("x"), 3).alias("y")).collect()
+    assert [x.y for x in exact] == [0.062, 0.188, None]
+
+
 def test_register_and_upsert(spark):
     users = spark.createDataFrame([("Ann", "a@x")], "username string, email string")
     wanted = spark.createDataFrame([(1, "ANN", "n@x"), (2, "bob", "A@X"), (3, "cy", "c@x"), (4, "CY", "d@x"), (5, "di", "c@X")], "request_id long, username string, email string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.geometry import half_even
+
 MAX_DISTANCE = 62.0
 MIN_SEPARATION = 10.0
 
@@ -75,7 +77,7 @@ def match_team(df: DataFrame, kits: dict[int, tuple[float, float, float]], most:
     return rows.withColumns(
         {
             "team_id": F.when(known, F.when(F.col("__d1") <= F.col("__d2"), one).otherwise(two)).otherwise(0),
-            "confidence": F.bround(sure, 3),
+            "confidence": half_even(sure, 3),
             "distance": F.round(best, 4),
             "separation": F.round(gap, 4),
         }

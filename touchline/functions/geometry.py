@@ -23,6 +23,12 @@ def to_int(x: Column) -> Column:
     return x.cast("int")
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """x rounded to so many digits, halves to the even one: the nearest whole number of x times a power of ten, in doubles as
+    other engines do it; ``bround`` rounds the shortest decimal text of x, which lies beside a half where the product is one."""
+    return F.rint(x * float(10**digits)) / float(10**digits)
+
+
 def center(x1="x1", y1="y1", x2="x2", y2="y2") -> tuple[Column, Column]:
     return to_int((c(x1) + c(x2)) / 2), to_int((c(y1) + c(y2)) / 2)
 
@@ -88,4 +94,4 @@ def jersey_crop(width: int, height: int) -> dict[str, Column]:
 
 def crop_quality(h: Column, w: Column, sharpness: Column, rear: Column) -> Column:
     raw = 0.45 * F.least(F.lit(1.0), h * w / 12000) + 0.35 * F.least(F.lit(1.0), sharpness / 180) + 0.20 * rear
-    return F.bround(clip(raw, 0.0, 1.0), 3)
+    return half_even(clip(raw, 0.0, 1.0), 3)

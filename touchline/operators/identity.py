@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as tx
+from touchline.functions.geometry import half_even
 
 
 def sticky(assigned: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def consensus(read: DataFrame, support: int = 2, least: float = 0.58, lead: floa
     sure = (F.col("support") >= support) & (F.col("average") >= least) & ~F.coalesce(F.col("weight") < lead * F.col("next_weight"), F.lit(False))
     return ranked.select(
         *by, F.when(sure, F.col("value")).alias("value"),
-        F.when(sure, F.bround("average", 3)).otherwise(F.col("average")).alias("confidence"), "support",
+        F.when(sure, half_even(F.col("average"), 3)).otherwise(F.col("average")).alias("confidence"), "support",
     )
 
 

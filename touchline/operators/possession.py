@@ -57,7 +57,7 @@ def last_touch(goals: DataFrame, touches: DataFrame, lookback: int = LOOKBACK, r
     found = rows.groupBy("match_id", "goal_frame").agg(F.sort_array(F.collect_list("touch"), asc=False).alias("t"))
     last, few = F.get("t", F.lit(0)), F.slice("t", 1, recent)
     same = F.try_divide(F.size(F.filter(few, lambda x: x["track_id"] == last["track_id"])), F.size(few))
-    return found.select("match_id", "goal_frame", last["track_id"].alias("track_id"), last["frame_num"].alias("last_touch_frame"), F.bround(same, 3).alias("possession_confidence"))
+    return found.select("match_id", "goal_frame", last["track_id"].alias("track_id"), last["frame_num"].alias("last_touch_frame"), geo.half_even(same, 3).alias("possession_confidence"))
 
 
 def ring(samples: DataFrame, keep: int = 600) -> DataFrame:
