@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.operators import tracker as tk
 from touchline.sources import files
-from touchline.streaming import stateful
+from touchline.streaming import replay, stateful
 from touchline.streaming.replay import Replay
 
 SCHEMA = tk.SCHEMA
@@ -106,6 +107,28 @@ def test_streamed_tracks_are_those_of_the_table(spark):
     assert share == sorted(share) and share[-1] == 100 and sum(r.n_rows for r in told) == rows.count()
 
 
+def test_few_bytes_of_many_matches_are_tracked_in_several_tasks(spark):
+    parts = tk.assign_tracks(spark.createDataFrame(players(3, matches=12, frames=5), SCHEMA)).select(F.spark_partition_id().alias("p"))
+    assert parts.distinct().count() > 1
+
+
+def test_a_replay_works_its_rows_out_once_and_has_more_files_of_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(replay, "ROWS_A_FILE", 20)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = spark.range(1200).selectExpr("id % 10 AS match_id", "id DIV 10 AS frame_num").mapInPandas(counted, "match_id long, frame_num long")
+    played = replay.Replay(rows)
+    assert (played.slots, played.files) == (12, 5)
+    played.play()
+    assert seen.value == 1200 and spark.read.parquet(f"{played.base}/in/*").count() == 1201
+    assert len(spark.read.parquet(f"{played.base}/in/000003").inputFiles()) == 5
+
+
 def test_overlaps_and_assignment():
     a = np.array([[0.0, 0, 2, 2], [5, 5, 5, 9]])
     assert tk.overlaps(a, np.array([[1.0, 0, 3, 2], [0, 0, 2, 2], [5, 5, 5, 9]])).tolist() == [[1 / 3, 1, 0], [0, 0, 0]]
