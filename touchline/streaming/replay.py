@@ -12,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from touchline.sources.tables import shared_folder
 from touchline.streaming.stateful import with_time
 
-#: Triggers that a table is played back in, and files of each, which are its partitions.
+#: Triggers that a table is played back in, and files of each, which are its partitions: so many, or more of so many rows.
 TRIGGERS = 12
 FILES = 4
+ROWS_A_FILE = 250_000
 #: The match of the row that ends the input by moving the watermark past every frame.
 END = -1
 
@@ -22,32 +23,35 @@ END = -1
 class Replay:
     """Rows with match_id and frame_num as a stream, all matches on one clock, in the shared folder.
 
-    The rows are written slot by slot, a slot being the frames of one trigger, as ``FILES`` files, of which none is empty if the
-    slot has so many rows; the files are read in the order in which they were written, ``FILES`` a trigger. So a trigger has a bounded number of rows, and a query
-    that is stopped goes on from its checkpoint with the slot that comes next.
+    The rows are worked out once and written in order of frames, so that reading a slot passes over the others' pages. They are
+    then put in slot by slot, a slot being the frames of one trigger, as ``self.files`` files, ``FILES`` or more, of which none is
+    empty if the slot has so many rows; the files are read in the order in which they were written, so many a trigger. So a trigger
+    has a bounded number of rows, and a query that is stopped goes on from its checkpoint with the slot that comes next.
     """
 
     def __init__(self, rows: DataFrame, triggers: int = TRIGGERS, files: int = FILES) -> None:
         self.spark: SparkSession = rows.sparkSession
         self.base = f"{shared_folder(self.spark)}/stream-{uuid.uuid4().hex}"
-        self.files = files
-        last = rows.agg(F.max("frame_num").alias("m")).first()["m"]
-        width = max(1, -(-((last or 0) + 1) // triggers))
-        self.slots = ((last or 0) // width) + 1
-        timed = with_time(rows, apart=0).withColumn("slot", F.floor(F.col("frame_num") / width).cast("int"))
-        timed.repartition("slot").write.partitionBy("slot").parquet(f"{self.base}/rows")
-        self.rows = self.spark.read.parquet(f"{self.base}/rows")
-        self.schema = self.rows.drop("slot").schema
+        timed = with_time(rows, apart=0).where("frame_num is not null")
+        timed.sortWithinPartitions("frame_num").write.parquet(f"{self.base}/rows")
+        self.schema = timed.schema
+        self.rows = self.spark.read.schema(self.schema).parquet(f"{self.base}/rows")
+        told = self.rows.agg(F.max("frame_num").alias("last"), F.count("*").alias("n")).first()
+        self.last = told["last"] or 0
+        self.width = max(1, -(-(self.last + 1) // triggers))
+        self.slots = self.last // self.width + 1
+        self.files = max(files, -(-told["n"] // (self.slots * ROWS_A_FILE)))
         self.played = 0
 
     def play(self, slots: int | None = None) -> None:
         """Put the next slots, or all, at the end of the input."""
         upto = self.slots if slots is None else min(self.slots, self.played + slots)
         for k in range(self.played, upto):
-            self.rows.where(F.col("slot") == k).drop("slot").repartition(self.files).write.parquet(f"{self.base}/in/{k:06d}")
+            own = self.rows.where(F.col("frame_num").between(k * self.width, (k + 1) * self.width - 1))
+            own.repartition(self.files).write.parquet(f"{self.base}/in/{k:06d}")
         self.played = upto
         if upto == self.slots:
-            last = self.rows.drop("slot").orderBy(F.desc("ts")).limit(1)
+            last = self.rows.where(F.col("frame_num") == self.last).limit(1)
             last.withColumns({"match_id": F.lit(END).cast("long"), "ts": F.expr("ts + interval 1 day")}).write.parquet(f"{self.base}/in/{upto:06d}")
 
     def run(self, operator: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
