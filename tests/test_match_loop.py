@@ -62,3 +62,10 @@ def test_the_loop_is_the_plain_one_and_its_state_is_bounded(spark):
         assert len(told) >= 10
         peaks.append(max(p["stateOperators"][0]["numRowsTotal"] for p in told))
     assert peaks[1] < 1.3 * peaks[0]  # twice the match, no more state
+
+
+def test_only_the_first_team_of_a_track_waits():
+    team = lambda frame, track, k: (frame, loop.TEAM, track, k, None, None, None, frame * 40)
+    touch = (5, loop.TOUCH, 1, None, None, None, None, 200)
+    held = [team(9, 1, 2), team(4, 1, 1), touch, team(6, 1, 2), team(3, 2, 1), team(8, 3, 2)]
+    assert loop.MatchLoop.first_teams(held, {2: 1}) == [team(4, 1, 1), team(8, 3, 2), touch]

@@ -3,7 +3,8 @@
 Rows wait in a list state until the watermark has passed them; a timer wakes the match then. The frames that are ready are
 gone through in order, within a frame first what was seen of the players (teams, crops), then the touch, then the event. What is
 kept between wakes is bounded whatever the match's length: of each track its first known team and its best crops, the touches
-of the lookback, and the frame of the last confirmed event. It is read and written once a wake, not once a row.
+of the lookback, and the frame of the last confirmed event. It is read and written once a wake, not once a row, and a match
+wakes once a trigger: rows that come in take the place of the timer that was set. Of a track's teams only the first one waits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sq
 TEAM, CROP, TOUCH, EVENT = range(4)
 CROPS_KEPT, CROPS_READ = 16, 8
 COLUMNS = ["frame_num", "kind", "track_id", "team_id", "score", "quality", "event", "ts"]
-KINDS = (int, int, int, int, float, float, str, int)
 OUT = "match_id long, goal_frame long, track_id long, last_touch_frame long, possession_confidence double, team_id int, crop_frames array<long>, crop_qualities array<double>"
 
 
@@ -50,66 +50,79 @@ class MatchLoop(StatefulProcessor):
         self.touches = handle.getListState("touches", "frame_num long, track_id long")
         self.teams = handle.getMapState("teams", "track_id long", "team_id int")
         self.crops = handle.getMapState("crops", "track_id long", "scores array<double>, frames array<bigint>, qualities array<double>")
-        self.clock = handle.getValueState("clock", "confirmed long, last_ts long")
+        self.clock = handle.getValueState("clock", "confirmed long, last_ts long, timer long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         fresh = []
         for part in rows:
             part = part[COLUMNS].assign(ts=part["ts"].astype("int64") // 1_000_000)  # nanoseconds of a pandas time
-            for x in part.itertuples(index=False, name=None):  # a column with a null holds floats; the state wants whole numbers
-                fresh.append(tuple(None if pd.isna(v) else kind(v) for kind, v in zip(KINDS, x, strict=True)))
+            for frame, kind, track, team, score, quality, event, ts in zip(*(part[c].tolist() for c in COLUMNS), strict=True):
+                if kind == EVENT:
+                    fresh.append((frame, kind, None, None, None, None, event, ts))
+                elif track is not None and track == track:  # a column with a null holds floats; the state wants whole numbers
+                    crop = (score, quality) if kind == CROP else (None, None)
+                    fresh.append((frame, kind, int(track), int(team) if kind == TEAM else None, *crop, None, ts))
         yield from self.advance(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
 
     def advance(self, key: Any, fresh: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        confirmed, last, timer = self.clock.get() or (START, 0, None)
         held = [tuple(x) for x in self.waiting.get()] + fresh
-        confirmed, last = tuple(self.clock.get()) if self.clock.exists() else (START, 0)
         last = max([last, *(x[-1] for x in held)])
+        known = {k[0]: v[0] for k, v in self.teams.iterator()} if held else {}
+        held = self.first_teams(held, known)
         ready = sorted((x for x in held if x[-1] <= mark), key=lambda x: (x[0], x[1], x[6] or ""))
         left = [x for x in held if x[-1] > mark]
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        confirmed, out = self.run(key, ready, confirmed, known)
         if not left and mark >= last + IDLE_MS:  # the match is over
-            yield from self.run(key, ready, confirmed)[1]
             for state in (self.waiting, self.touches, self.teams, self.crops, self.clock):
                 state.clear()
-            return
-        confirmed, out = self.run(key, ready, confirmed)
-        if left:
-            self.waiting.put([tuple(x) for x in left])
         else:
-            self.waiting.clear()
-        self.clock.update((confirmed, last))
-        self.handle.registerTimer(max(mark + 1, (min(x[-1] for x in left) if left else last + IDLE_MS) + 1))
+            self.waiting.put(left) if left else self.waiting.clear()
+            timer = max(mark + 1, (min(x[-1] for x in left) if left else last + IDLE_MS) + 1)
+            self.clock.update((confirmed, last, timer))
+            self.handle.registerTimer(timer)
         yield from out
 
-    def run(self, key: Any, ready: list[tuple], confirmed: int) -> tuple[int, list[pd.DataFrame]]:
+    @staticmethod
+    def first_teams(held: list[tuple], known: dict[int, int]) -> list[tuple]:
+        """held with one team a track at most, that of the first frame, and none of a track whose team is known."""
+        first, rest = {}, []
+        for x in held:
+            if x[1] != TEAM:
+                rest.append(x)
+            elif x[2] not in known and (x[2] not in first or x[0] < first[x[2]][0]):
+                first[x[2]] = x
+        return [*first.values(), *rest]
+
+    def run(self, key: Any, ready: list[tuple], confirmed: int, teams: dict[int, int]) -> tuple[int, list[pd.DataFrame]]:
         """The ready rows, gone through in order, with the states read before and written after."""
         if not ready:
             return confirmed, []
         touches = [tuple(t) for t in self.touches.get()]
-        teams: dict[int, int | None] = {}
         crops: dict[int, list[tuple]] = {}
 
         def team(track: int) -> int:
-            if track not in teams:
-                teams[track] = self.teams.getValue((track,))[0] if self.teams.containsKey((track,)) else None
-            return teams[track] or 0
+            return teams.get(track) or 0
 
         def best(track: int) -> list[tuple]:
             if track not in crops:
-                known = self.crops.getValue((track,)) if self.crops.containsKey((track,)) else ([], [], [])
-                crops[track] = list(zip(*known, strict=True))
+                crops[track] = list(zip(*(self.crops.getValue((track,)) or ([], [], [])), strict=True))
             return crops[track]
 
-        told, found = set(), []
+        changed, found = set(), []
         for frame, kind, track, team_id, score, quality, event, _ in ready:
             if kind == TEAM:
                 if not team(track):
                     teams[track] = team_id
-                    told.add(track)
+                    self.teams.updateValue((track,), (team_id,))
             elif kind == CROP:
                 crops[track] = sorted([*best(track), (score, frame, quality)], reverse=True)[:CROPS_KEPT]
+                changed.add(track)
             elif kind == TOUCH:
                 touches = [*(t for t in touches if t[0] >= frame - self.lookback), (frame, track)]
             elif frame - confirmed >= self.cooldown:
@@ -117,15 +130,13 @@ class MatchLoop(StatefulProcessor):
                 if event == "goal":
                     found.append((key[0], frame, *self.attribute(frame, touches, team, best)))
         self.touches.put(touches) if touches else self.touches.clear()
-        for track in told:
-            self.teams.updateValue((track,), (teams[track],))
-        for track, kept in crops.items():
-            if kept:
-                scores, frames, qualities = zip(*kept, strict=True)
-                self.crops.updateValue((track,), (list(scores), list(frames), list(qualities)))
+        for track in changed:
+            scores, frames, qualities = zip(*crops[track], strict=True)
+            self.crops.updateValue((track,), (list(scores), list(frames), list(qualities)))
+        if not found:
+            return confirmed, []
         names = [c.split()[0] for c in OUT.split(", ")]
-        frame = pd.DataFrame(found, columns=names).astype({"track_id": "Int64", "last_touch_frame": "Int64", "team_id": "Int32"})
-        return confirmed, [frame] if found else []
+        return confirmed, [pd.DataFrame(found, columns=names).astype({"track_id": "Int64", "last_touch_frame": "Int64", "team_id": "Int32"})]
 
     def attribute(self, frame: int, touches: list[tuple], team: Any, best: Any) -> tuple:
         near = [t for t in touches if t[0] >= frame - self.lookback]
