@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from touchline.plans import catalogue
 from touchline.plans.catalogue import QUERIES
 from touchline.plans.oracles import ORACLES
 from touchline.sources.tables import TABLES
@@ -41,3 +42,11 @@ def test_query_matches_sql(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_storing_works_the_tracks_out_no_more_than_once_a_step(spark, monkeypatch):
+    asked = []
+    held = catalogue.adapt
+    monkeypatch.setattr(catalogue, "adapt", lambda spark, sf_dir, name: asked.append(name) or held(spark, sf_dir, name))
+    assert QUERIES["stored_events"](spark, SF).count() > 0
+    assert asked.count("detected_events") == 1 and asked.count("team_frames") == 1 and asked.count("tracks") == 2

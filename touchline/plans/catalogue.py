@@ -52,14 +52,19 @@ class Tables:
     def touches(self) -> DataFrame:
         return pos.possession(pos.nearest_player(self.tracks, self.ball), self.known_teams())
 
+    def touchers(self) -> DataFrame:
+        """Touches without teams, for what asks only who touched the ball."""
+        return pos.nearest_player(self.tracks, self.ball).where("track_id >= 0")
+
     def confirmed(self) -> DataFrame:
         return ev.with_cooldown(ev.eligible(self.detected_events, ev.presence(self.tracks, self.ball)))
 
-    def goals(self) -> DataFrame:
-        return self.confirmed().where("event = 'goal'").select("match_id", F.col("frame_num").alias("goal_frame"))
+    def goals(self, confirmed: DataFrame | None = None) -> DataFrame:
+        """confirmed: the confirmed events, where they are at hand."""
+        return (self.confirmed() if confirmed is None else confirmed).where("event = 'goal'").select("match_id", F.col("frame_num").alias("goal_frame"))
 
     def scorers(self) -> DataFrame:
-        return pos.last_touch(self.goals(), self.touches())
+        return pos.last_touch(self.goals(), self.touchers())
 
     def kits(self) -> DataFrame:
         return colour.match_team(self.player_colors, KITS).drop("b", "g", "r")
@@ -67,14 +72,14 @@ class Tables:
     def shirt(self, kind: str) -> DataFrame:
         return idn.consensus(idn.readings(self.ocr_candidates, kind))
 
-    def placed_goals(self) -> DataFrame:
+    def placed_goals(self, confirmed: DataFrame | None = None) -> DataFrame:
         """All goals with the scorer, where there is one, and the scorer's team as of the goal."""
-        rows = pos.last_touch(self.goals(), self.touches(), all_goals=True)
+        rows = pos.last_touch(self.goals(confirmed), self.touchers(), all_goals=True)
         return idn.team_as_of(rows, self.known_teams(), "goal_frame")
 
-    def named_scorers(self) -> DataFrame:
+    def named_scorers(self, confirmed: DataFrame | None = None) -> DataFrame:
         """All goals with the scorer's team, number and name as of the goal; without a touch they keep nulls."""
-        goals = staged(self.placed_goals())
+        goals = staged(self.placed_goals(confirmed))
         best = tr.crops_as_of(goals.where("track_id is not null").select("match_id", "goal_frame", "track_id"), tr.scored_crops(self.crops))
         return self.with_readings(goals, best)
 
@@ -90,8 +95,9 @@ class Tables:
     def stored(self) -> dict[str, DataFrame]:
         """What storing all matches adds to the store."""
         plays = self.plays.withColumn("play_id", F.col("match_id") * 2 + F.col("team_slot"))
-        scorers = self.named_scorers().withColumnRenamed("goal_frame", "frame_num").drop("team_id")
-        detected = self.confirmed().drop("confidence").join(scorers.withColumn("event", F.lit("goal")), ["match_id", "frame_num", "event"], "left")
+        confirmed = staged(self.confirmed())
+        scorers = self.named_scorers(confirmed).withColumnRenamed("goal_frame", "frame_num").drop("team_id")
+        detected = confirmed.drop("confidence").join(scorers.withColumn("event", F.lit("goal")), ["match_id", "frame_num", "event"], "left")
         return store.stored_match(self.matches(), plays, self.teams, self.players(), staged(detected), FPS)
 
     def players(self) -> DataFrame:
@@ -743,7 +749,8 @@ def store_read_back(t):
 @query
 def result_json(t):
     """The result of every match's job, as the poll returns it."""
-    objects = store.match_objects(t.stored(), t.teams.withColumn("primary_color", F.lit("#000000")))
+    stored = {k: staged(v) if k in ("occurrences", "players") else v for k, v in t.stored().items()}  # both are read several times
+    objects = store.match_objects(stored, t.teams.withColumn("primary_color", F.lit("#000000")))
     jobs = t.jobs().withColumn("match_id", F.regexp_extract("job_id", "[0-9]+", 0).cast("long")).drop("result")
     told = store.job_results(jobs.select("job_id"), jobs.join(store.result_json(objects), "match_id"))
     sheet = F.from_json("result", "score_sheet array<struct<team:string,score:long>>")["score_sheet"]
@@ -828,7 +835,7 @@ def stream_cooldown(t):
 
 @query
 def stream_last_touch(t):
-    touches = t.touches().select("match_id", "frame_num", "track_id")
+    touches = t.touchers().select("match_id", "frame_num", "track_id")
     goals = t.goals().select("match_id", F.col("goal_frame").alias("frame_num"), F.lit(None).cast("long").alias("track_id"))
     return streamed(t, touches.unionByName(goals), st.stream_last_touch)
 
