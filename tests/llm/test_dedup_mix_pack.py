@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from touchline.llm import embedding_dedup, near_dedup
+from touchline.llm import common, embedding_dedup, near_dedup
 from touchline.llm.common import components
 from touchline.llm.mixing import mix_sources, op2_mixing
 from touchline.llm.packing import encode_words, op7_packing, pack_histogram, packed_digests, tokenizer_path
@@ -92,6 +92,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_write_few_files(spark, monkeypatch):
+    """Files go by the number of links, not by that of shuffle partitions; with as few links a file, by partitions again."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    whole, parts = common.cut, []
+
+    def counted(df):
+        done = whole(df)
+        parts.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(common, "cut", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for a_file, files in ((50_000, 1), (30, 2), (1, 4)):
+            monkeypatch.setattr(common, "LINKS_A_FILE", a_file, raising=False)
+            parts.clear()
+            assert {r.component for r in components(links, "a", "b").collect()} == {0}
+            assert len(parts) > 4 and set(parts[1:]) == {files}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def brute_vectors(rows):
     good = {i: np.array(v, dtype=float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     sets, n = Sets([i for i, _ in rows if i is not None]), Counter()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Parts that the rows of one key are dealt out to.
 SALTS = 64
+#: Links that a task of the connected components writes, or as many as its partition has: each file costs the executor processes of their own.
+LINKS_A_FILE = 50_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -69,7 +71,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014). Each step needs only the minimum of a
     node's neighbours beside its links, which ``attach`` brings there without gathering a hub's links in one task.
-    Nodes without links are absent. Null ends are ignored.
+    Nodes without links are absent. Null ends are ignored. No step adds links, so the first count tells how many files the
+    later ones need, whatever the number of shuffle partitions.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = cut(e.where(F.col("u") > F.col("v")).distinct())
@@ -78,13 +81,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if tuple(now) == state or now["n"] == 0:
             break
-        state = tuple(now)
+        state, files = tuple(now), -(-now["n"] // LINKS_A_FILE)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = attach(both, ["u"], "v", {"m": (F.min, F.least("u", "v"))})
-        large = cut(least.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(least.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(files))
         least = attach(large, ["u"], "v", {"m": (F.min, F.col("v"))})
         moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        e = cut(least.select(moved.alias("u"), F.col("m").alias("v")).distinct())
+        e = cut(least.select(moved.alias("u"), F.col("m").alias("v")).distinct().coalesce(files))
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
