@@ -112,11 +112,11 @@ def speed_distance(positions: DataFrame, frames: DataFrame, window: int = 5, fps
 
 
 def scored_crops(crops: DataFrame, stride: int = 3) -> DataFrame:
-    """Every stride-th frame's crops with their quality and rank score."""
+    """Every stride-th frame's crops with their quality and rank score; with a stride of 1 or less all rows, also those without a frame."""
     c = F.col
     quality = geo.crop_quality(c("h"), c("w"), c("sharpness"), c("rear_facing_score"))
-    rows = crops.where(c("frame_num") % max(1, stride) == 0).withColumn("quality", quality)
-    return rows.withColumn("score", c("quality") + 0.25 * c("rear_facing_score"))
+    rows = crops.where(c("frame_num") % stride == 0) if stride > 1 else crops
+    return rows.withColumn("quality", quality).withColumn("score", c("quality") + 0.25 * c("rear_facing_score"))
 
 
 def top_crops(crops: DataFrame, keep: int = 16) -> DataFrame:

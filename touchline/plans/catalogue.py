@@ -239,7 +239,7 @@ def crop_quality(t):
 
 @query
 def crops_topk(t):
-    return tr.top_crops(tr.scored_crops(t.crops)).select("match_id", "track_id", "rank", "frame_num", "quality", F.round("score", 6).alias("score"))
+    return tr.top_crops(tr.scored_crops(t.crops, 1)).select("match_id", "track_id", "rank", "frame_num", "quality", F.round("score", 6).alias("score"))
 
 
 @query

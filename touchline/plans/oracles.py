@@ -245,7 +245,7 @@ SELECTS = {
  CAST({_clip('trunc(x1+(x2-x1)*CAST(0.08 AS DOUBLE))', 1920)} AS INT) AS jx1, CAST({_clip('trunc(x2-(x2-x1)*CAST(0.08 AS DOUBLE))', 1920)} AS INT) AS jx2,
  CAST({_clip('trunc(y1+(y2-y1)*CAST(0.08 AS DOUBLE))', 1080)} AS INT) AS jy1, CAST({_clip('trunc(y1+(y2-y1)*CAST(0.67 AS DOUBLE))', 1080)} AS INT) AS jy2 FROM tracks)""",
     "crop_quality": "SELECT match_id, frame_num, track_id, quality, round(score, 6) AS score FROM crops_scored",
-    "crops_topk": "SELECT match_id, track_id, rank, frame_num, quality, round(score, 6) AS score FROM top_crops",
+    "crops_topk": """SELECT match_id, track_id, rank, frame_num, quality, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY match_id, track_id ORDER BY score DESC, frame_num DESC) AS INT) AS rank FROM crops_scored) WHERE rank <= 16""",
     "crops_as_of_goal": "SELECT match_id, goal_frame, track_id, rank, crop_frame, quality FROM goal_crops",
     "scorer_image_path": "SELECT match_id, goal_frame, '/media/scorers/track_' || track_id || '_frame_' || crop_frame || '.jpg' AS url FROM goal_crops WHERE rank = 1",
     "hex_rgb_roundtrip": """SELECT *, CASE WHEN r IS NOT NULL THEN printf('#%02X%02X%02X', r, g, b) END AS back FROM (SELECT p_partkey, value,
